@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import license_scan, line_dedup, line_quality, mixing, url_reputation
+from turnloom.llm import license_scan, line_dedup, line_quality, mixing, sentencepiece_codec, toxicity, url_reputation, warc_merkle
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,6 +34,17 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_pages(_table(spark, sf_dir, "pages"), outcomes)
 
 
+@_query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of ``pages`` as WARC records, page_id being the offset, in which faults are planted:
+    pages of number 13 modulo 97 lost their first character, those of 7 modulo 101 are missing."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    replica = pages.where(F.coalesce(F.pmod("page_id", F.lit(101)) != 7, F.lit(True)))
+    replica = replica.withColumn("html", F.when(F.pmod("page_id", F.lit(97)) == 13, F.expr("substring(html, 2)")).otherwise(F.col("html")))
+    found = warc_merkle.audit(pages, replica, "page_id", warc_merkle.warc_record(F.col("url"), F.col("html")))
+    return found.select(F.col("node").alias("page_id"), "status", "digest_a", "digest_b")
+
+
 @_query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,6 +56,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_digests(_table(spark, sf_dir, "documents"), sentencepiece_codec.public_model())
+
+
 @_query
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
@@ -106,6 +127,14 @@ FROM j LEFT JOIN r USING (host)"""
 
 ORACLE_SQL["op2_url_filters"] = _op2_sql()
 
+_RECORD = "'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10)"
+ORACLE_SQL["op3_warc"] = f"""
+WITH b AS (SELECT page_id, url, CASE WHEN page_id % 97 = 13 THEN substring(html, 2) ELSE html END AS html FROM pages WHERE page_id % 101 <> 7),
+x AS (SELECT page_id, sha256({_RECORD}) AS digest_a FROM pages),
+y AS (SELECT page_id, sha256({_RECORD}) AS digest_b FROM b)
+SELECT page_id, CASE WHEN digest_b IS NULL THEN 'missing' ELSE 'changed' END AS status, digest_a, digest_b
+FROM x LEFT JOIN y USING (page_id) WHERE digest_a IS DISTINCT FROM digest_b"""
+
 _LINE_N = f"len(regexp_extract_all(x, '{_WORD}'))"
 _FAILS = (
     f"(({_LINE_N} >= 3 AND NOT regexp_matches(x, {_lit(line_quality.MARK)})) OR length(regexp_replace(x, '[^{line_quality.SYMBOLS}]+', '', 'g')) * 20 > length(x)"
