@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import license_scan, line_dedup, line_quality, mixing, sentencepiece_codec, toxicity, url_reputation, warc_merkle
+from turnloom.llm import license_scan, line_dedup, line_quality, mixing, ngram_join, sentencepiece_codec, toxicity, url_reputation, warc_merkle
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,6 +61,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, Jaccard 0.9."""
+    return ngram_join.near_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 @_query
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(_table(spark, sf_dir, "documents"), sentencepiece_codec.public_model())
