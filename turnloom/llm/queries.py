@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import license_scan, line_dedup, line_quality, mixing, ngram_join, sentencepiece_codec, toxicity, url_reputation, warc_merkle
+from turnloom.llm import ann_lists, license_scan, line_dedup, line_quality, mixing, ngram_join, sentencepiece_codec, toxicity, url_reputation, warc_merkle
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -77,6 +77,12 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every vector whose id is divisible by 100."""
+    return ann_lists.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
