@@ -8,10 +8,10 @@ No piece of such a vocabulary has the space mark behind another character, so me
 place before a run of space marks; texts are cut there and each distinct segment is merged once per
 worker (a bounded cache). The constructor tests that property and otherwise merges whole texts.
 
-Checks against the library, in every Arrow batch: all segments new to the worker, and the batch's longest
-text of up to 4,096 characters as a whole. A difference raises. Decoding is the library's decode(ids).
+Checks against the library, in every Arrow batch: each fourth of the segments new to the worker, and the
+batch's longest text of up to 4,096 characters as a whole. A difference raises. Decoding is the library's decode(ids).
 
-Scale: one pass over the rows, no shuffle; memory is one Arrow batch and the cache.
+Scale: one pass over the rows, no shuffle; memory is one Arrow batch and two generations of the cache.
 
 Defined cases: null is encoded as the empty text (no ids); repeated rows give repeated results; texts are
 encoded whole.
@@ -23,12 +23,13 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-CACHE = 200_000
+CACHE, CHECK_EACH = 300_000, 4
 
 
 class Agenda:
@@ -40,78 +41,112 @@ class Agenda:
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = self.lib.get_piece_size()
         normal = [i for i in range(n) if not (self.lib.is_control(i) or self.lib.is_unknown(i) or self.lib.is_byte(i))]
-        self.piece = {self.lib.id_to_piece(i): (i, self.lib.get_score(i)) for i in normal}
+        ids = {self.lib.id_to_piece(i): i for i in normal}
+        places = {score: at for at, score in enumerate(sorted({self.lib.get_score(i) for i in normal}, reverse=True))}
+        self.id_of = ids
+        #: A piece's place in the order of scores, best first.
+        self.rank = {p: places[self.lib.get_score(i)] for p, i in ids.items()}
         self.byte = [self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        whole = any(SPACE in p.lstrip(SPACE) for p in self.piece)
+        whole = any(SPACE in p.lstrip(SPACE) for p in ids)
         self.cut = re.compile(r"(?s).+" if whole else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def merge(self, segment: str) -> tuple[int, ...]:
-        symbols = list(segment)
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        piece, agenda = self.piece, []
-
-        def enter(left: int, right: int) -> None:
-            joined = symbols[left] + symbols[right]
-            if joined in piece:
-                heapq.heappush(agenda, (-piece[joined][1], left, right, joined))
-
-        for i in range(n - 1):
-            enter(i, i + 1)
+        symbols: list[str | None] = list(segment)
+        n, rank = len(symbols), self.rank.get
+        shift = n.bit_length()
+        # An agenda entry is (place in score order, left symbol) in one number.
+        agenda = [(r << shift) | i for i in range(n - 1) if (r := rank(segment[i : i + 2])) is not None]
+        heapq.heapify(agenda)
+        after, before, low = list(range(1, n + 1)), list(range(-1, n - 1)), (1 << shift) - 1
         while agenda:
-            _, left, right, joined = heapq.heappop(agenda)
-            if not symbols[left] or not symbols[right] or after[left] != right or symbols[left] + symbols[right] != joined:
+            entry = heapq.heappop(agenda)
+            i = entry & low
+            left, j = symbols[i], after[i]
+            if left is None or j >= n:
                 continue
-            symbols[left], symbols[right] = joined, ""
-            after[left] = after[right]
-            if after[right] >= 0:
-                before[after[right]] = left
-                enter(left, after[left])
-            if before[left] >= 0:
-                enter(before[left], left)
+            joined = left + symbols[j]
+            if rank(joined) != entry >> shift:
+                continue  # one of the two has changed since
+            symbols[i], symbols[j] = joined, None
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank(joined + symbols[k])) is not None:
+                    heapq.heappush(agenda, (r << shift) | i)
+            h = before[i]
+            if h >= 0 and (r := rank(symbols[h] + joined)) is not None:
+                heapq.heappush(agenda, (r << shift) | h)
         ids: list[int] = []
-        for s in filter(None, symbols):
-            known = piece.get(s)
-            ids.extend([known[0]] if known else (self.byte[b] for b in s.encode()))
+        id_of = self.id_of.get
+        for s in symbols:
+            if s is not None:
+                known = id_of(s)
+                if known is not None:
+                    ids.append(known)
+                else:
+                    ids.extend([self.byte[b] for b in s.encode()])
         return tuple(ids)
 
     def segments(self, text: str) -> list[str]:
         return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def learn(self, segments: set[str]) -> None:
-        """Merges segments not in the cache and holds them against the library."""
-        new = [s for s in segments if s not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(segments)
-        theirs = self.lib.encode([s[1:].replace(SPACE, " ") for s in new], num_threads=1) if new else []
-        for s, expected in zip(new, theirs):
+        """Merges segments not in the cache and holds every CHECK_EACH-th of them against the library."""
+        if len(self.cache) + len(segments) > CACHE:
+            self.older, self.cache = self.cache, {}
+        new = sorted(segments)
+        for s in new:
             own = self.merge(s)
-            # the library gives nothing for an empty text; a lone space mark only stands behind others' words
-            if list(own) != expected and s != SPACE:
-                raise AssertionError(f"the library encodes {s[:80]!r} otherwise")
             self.cache[s] = (own, ",".join(map(str, own)))
+        asked = [s for s in new[::CHECK_EACH] if s != SPACE]  # alone, a space mark is the library's empty text
+        for s, theirs in zip(asked, self.lib.encode([s[1:].replace(SPACE, " ") for s in asked], num_threads=1) if asked else []):
+            if list(self.cache[s][0]) != theirs:
+                raise AssertionError(f"the library encodes {s[:80]!r} otherwise")
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+        """ids, and ids joined by commas, of every text."""
+        parts = [self.segments(t) for t in texts]
+        wanted = {s for p in parts for s in p}
+        missing = wanted.difference(self.cache)
+        for s in [s for s in missing if s in self.older]:
+            self.cache[s] = self.older[s]
+            missing.discard(s)
+        self.learn(missing)
+        cache, older = self.cache, self.older
+        for p in parts:
+            try:
+                found = [cache[s] for s in p]
+            except KeyError:  # the cache has turned over meanwhile
+                found = [cache.get(s) or older[s] for s in p]
+            yield list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found])
 
     def encode(self, text: str) -> tuple[list[int], str]:
-        """ids, and ids joined by commas."""
-        parts = self.segments(text)
-        self.learn(set(parts))
-        cache = self.cache
-        found = [cache[s] for s in parts]
-        return [i for ids, _ in found for i in ids], ",".join([joined for _, joined in found])
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int]) -> str:
         return self.lib.decode(ids)
 
 
-def _digest(batch_id, texts: list[str | None], agenda: Agenda) -> dict:
+_agendas: dict[str, Agenda] = {}
+
+
+def agenda_for(model: bytes) -> Agenda:
+    """The worker's encoder for a vocabulary; it outlives tasks, and so do its segments."""
+    key = hashlib.sha256(model).hexdigest()
+    if key not in _agendas:
+        _agendas.clear()
+        _agendas[key] = Agenda(model)
+    return _agendas[key]
+
+
+def _digest(texts: list[str | None], agenda: Agenda) -> dict:
     out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
     probe = max((t for t in texts if t and len(t) <= 4096), key=len, default=None)
     if probe and agenda.encode(probe)[0] != agenda.lib.encode(probe):
         raise AssertionError(f"the library encodes {probe[:80]!r} otherwise")
-    for text in texts:
-        ids, joined = agenda.encode(text or "")
+    for ids, joined in agenda.encode_all([t or "" for t in texts]):
         out["n_tokens"].append(len(ids))
         out["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
         out["decoded_sha256"].append(hashlib.sha256(agenda.decode(ids).encode()).hexdigest())
@@ -122,11 +157,10 @@ def _each_batch(docs: DataFrame, model: bytes, schema: str, row) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        agenda = Agenda(shipped.value)
+        agenda = agenda_for(shipped.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield row(part, agenda)
+            for at in range(0, batch.num_rows, 64):
+                yield row(batch.slice(at, 64), agenda)
 
     return docs.mapInArrow(run, schema)
 
@@ -135,7 +169,7 @@ def encode_digests(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
 
     def row(part: pa.RecordBatch, agenda: Agenda) -> pa.RecordBatch:
-        got = _digest(part.column(0), part.column(1).to_pylist(), agenda)
+        got = _digest(part.column(1).to_pylist(), agenda)
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(got["n_tokens"], pa.int64()), pa.array(got["ids_sha256"]), pa.array(got["decoded_sha256"])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _each_batch(docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"`{text}` text"), model, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row)
@@ -145,7 +179,7 @@ def encode_ids(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str
     """doc_id, ids: the encoding itself."""
 
     def row(part: pa.RecordBatch, agenda: Agenda) -> pa.RecordBatch:
-        ids = [agenda.encode(t or "")[0] for t in part.column(1).to_pylist()]
+        ids = [i for i, _ in agenda.encode_all([t or "" for t in part.column(1).to_pylist()])]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return _each_batch(docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"`{text}` text"), model, "doc_id long, ids array<int>", row)
