@@ -1,0 +1,30 @@
+"""Hashes of all windows of k characters of a text, by numpy."""
+
+from __future__ import annotations
+
+import numpy as np
+
+_U = np.uint64
+_ODD = 0x2545F4914F6CDD1D
+_BACK = pow(_ODD, -1, 2**64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, _U(base))
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Windows:
+    def __init__(self, text: str):
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(self.codes)
+        x = (self.codes.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15)
+        x ^= x >> _U(29)
+        self.sums = np.concatenate((np.zeros(1, _U), np.cumsum(x * _powers(_ODD, n), dtype=_U)))
+        self.back = _powers(_BACK, n)
+
+    def hashes(self, k: int) -> np.ndarray:
+        """One hash for each start 0 .. n - k; equal texts have equal hashes wherever they stand."""
+        n = len(self.codes) - k + 1
+        return (self.sums[k:] - self.sums[:-k])[: max(n, 0)] * self.back[: max(n, 0)]
