@@ -1 +1,181 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Queries that generate: worked arithmetic, other problems, sentences, greetings, exchanges, conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from turnloom.functions import inflect
+from turnloom.functions.arithmetic import OTHERS, Workings, other_problem
+from turnloom.functions.dialect import DUCKDB as D
+from turnloom.functions.dialect import SPARK as S
+from turnloom.functions.dialect import quoted
+from turnloom.operators import assemble, corpus, dialogue
+from turnloom.plans.registry import Registry, table
+
+_r = Registry()
+QUERIES, ORACLE_SQL = _r.queries, _r.oracle
+
+#: Operands from line items: sizes of one to three digits.
+_OPERANDS = {
+    "+": ("l_orderkey % 1000", "l_partkey % 1000"), "-": ("l_orderkey % 500", "l_partkey % 400"),
+    "*": ("l_orderkey % 200 + 1", "l_partkey % 25 + 1"), "/": ("l_orderkey % 400 + 1", "l_partkey % 12 + 1"),
+}
+
+
+def _worked(op: str, name: str) -> None:
+    l, r = _OPERANDS[op]  # noqa: E741
+    sql = f"WITH p AS (SELECT DISTINCT ({l})::BIGINT AS l, ({r})::BIGINT AS r FROM lineitem) " + " UNION ALL ".join(
+        f"SELECT l, r, '{m}' AS method, {text} AS working FROM p WHERE ({text}) IS NOT NULL" for m, text in Workings(D).methods(op).items()
+    )
+
+    def query(spark, d):
+        pairs = table(spark, d, "lineitem").select(F.expr(l).cast("long").alias("l"), F.expr(r).cast("long").alias("r")).distinct()
+        shown = F.array(*[F.struct(F.lit(m).alias("method"), F.expr(text).alias("working")) for m, text in Workings(S).methods(op).items()])
+        return pairs.select("l", "r", F.explode(shown).alias("m")).select("l", "r", "m.method", "m.working").where("working is not null")
+
+    query.__name__, query.__doc__ = name, f"All methods that apply to l {op} r, for the operands found in line items."
+    _r.query(sql)(query)
+
+
+for _op, _name in (("+", "arith_add"), ("-", "arith_sub"), ("*", "arith_mul"), ("/", "arith_div")):
+    _worked(_op, _name)
+
+
+def _others(d) -> str:
+    parts = {k: other_problem(d, k, 61, "doc_id") for k in OTHERS}
+    pick = lambda i: "CASE doc_id % 5 " + " ".join(f"WHEN {n} THEN {parts[k][i]}" for n, k in enumerate(OTHERS)) + " END"
+    return [f"{pick(0)} AS question", f"{pick(1)} AS working", f"{pick(2)} AS answer"]
+
+
+@_r.query(f"SELECT doc_id, {', '.join(_others(D))} FROM documents")
+def arith_other(spark, d):
+    """Percentages, squares, three-term sums, rounding and word problems."""
+    return table(spark, d, "documents").selectExpr("doc_id", *_others(S))
+
+
+def _drawn(x) -> list[str]:
+    """An operation and operands by weight: sizes 20/40/40, operations 35/30/25/10."""
+    op, size = x.weighted(71, "doc_id", 0, [35, 30, 25, 10]), x.weighted(71, "doc_id", 1, [20, 40, 40])
+    low, high = f"(CASE {size} WHEN 0 THEN 1 WHEN 1 THEN 10 ELSE 100 END)", f"(CASE {size} WHEN 0 THEN 9 WHEN 1 THEN 99 ELSE 999 END)"
+    a, b = x.between(71, "doc_id", 2, low, high), x.between(71, "doc_id", 3, low, high)
+    ordered = f"{x.draw(71, 'doc_id', 4)} % 100 < 85"
+    factor = f"(CASE WHEN {x.draw(71, 'doc_id', 4)} % 100 < 70 THEN {x.between(71, 'doc_id', 5, 2, 12)} ELSE {x.between(71, 'doc_id', 5, 2, 25)} END)"
+    by = x.between(71, "doc_id", 6, 2, 12)
+    exact = f"(CASE WHEN {x.draw(71, 'doc_id', 4)} % 100 < 70 THEN {by} * {x.between(71, 'doc_id', 7, 2, 30)} ELSE {a} END)"
+    l = f"CASE {op} WHEN 1 THEN (CASE WHEN {ordered} THEN greatest({a}, {b}) ELSE {a} END) WHEN 3 THEN {exact} ELSE {a} END"  # noqa: E741
+    r = f"CASE {op} WHEN 1 THEN (CASE WHEN {ordered} THEN least({a}, {b}) ELSE {b} END) WHEN 2 THEN {factor} WHEN 3 THEN {by} ELSE {b} END"
+    return [f"cast({op} as int) AS op", f"cast({l} as bigint) AS l", f"cast({r} as bigint) AS r"]
+
+
+@_r.query(f"SELECT doc_id, {', '.join(_drawn(D))} FROM documents")
+def arith_operands(spark, d):
+    return table(spark, d, "documents").selectExpr("doc_id", *_drawn(S))
+
+
+_WORDING = ["What is {p}?", "Please do {p}.", "{p} = ?", "Find {p}.", "How much is {p}?"]
+
+
+def _exchange(x) -> list[str]:
+    sign = "(CASE op WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN '*' ELSE '/' END)"
+    shown = f"(CASE WHEN {x.draw(73, 'doc_id', 0)} % 2 = 0 THEN {x.text('l')} || ' ' || {sign} || ' ' || {x.text('r')} ELSE {x.text('l')} || {sign} || {x.text('r')} END)"
+    ways = []
+    for op in "+-*/":
+        found = list(Workings(x).methods(op).values())
+        n = len(found)
+        start = f"({x.draw(73, 'doc_id', 1)} % {n})"
+        turned = "CASE " + start + " " + " ".join(f"WHEN {s} THEN coalesce({', '.join(found[s:] + found[:s])})" for s in range(n)) + " END"
+        ways.append(turned)
+    working = "CASE op " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(ways)) + " END"
+    return [f"replace({x.choice(73, 'doc_id', 2, _WORDING)}, '{{p}}', {shown}) AS question", f"{working} AS answer"]
+
+
+@_r.query(f"WITH o AS (SELECT doc_id, {', '.join(_drawn(D))} FROM documents) SELECT doc_id, {', '.join(_exchange(D))} FROM o")
+def arith_exchange(spark, d):
+    """A drawn problem, its wording, and the first method that applies from a drawn place on."""
+    return table(spark, d, "documents").selectExpr("doc_id", *_drawn(S)).selectExpr("doc_id", *_exchange(S))
+
+
+@_r.query(f"SELECT doc_id, {dialogue.fact_sentence(D, 81, 'doc_id')[0]} AS thing, {dialogue.fact_sentence(D, 81, 'doc_id')[1]} AS sentence FROM documents")
+def fact_sentences(spark, d):
+    thing, sentence = dialogue.fact_sentence(S, 81, "doc_id")
+    return table(spark, d, "documents").selectExpr("doc_id", f"{thing} AS thing", f"{sentence} AS sentence")
+
+
+@_r.query(f"SELECT doc_id, {dialogue.greeting(D, 83, 'doc_id')} AS line FROM documents")
+def greetings(spark, d):
+    return table(spark, d, "documents").selectExpr("doc_id", f"{dialogue.greeting(S, 83, 'doc_id')} AS line")
+
+
+@_r.query(f"WITH g AS (SELECT doc_id, {dialogue.greeting(D, 83, 'doc_id')} AS line FROM documents), s AS (SELECT *, coalesce(sum(length(line) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g) SELECT count(*)::BIGINT AS lines, count(DISTINCT line)::BIGINT AS different, round(count(DISTINCT line)::DOUBLE / count(*), 6) AS ratio FROM s WHERE before < 20000")
+def greeting_corpus(spark, d):
+    """Greetings up to 20,000 characters, how many there are and how many differ."""
+    lines = greetings(spark, d)
+    placed = corpus.prefix_sums(lines, [F.col("doc_id")], F.length("line") + 1, "before").where("before < 20000")
+    return placed.agg(F.count("*").alias("lines"), F.count_distinct("line").alias("different"), F.round(F.count_distinct("line") / F.count("*"), 6).alias("ratio"))
+
+
+@_r.query(f"SELECT doc_id, {dialogue.social_exchange(D, 87, 'doc_id')[0]} AS prompt, {dialogue.social_exchange(D, 87, 'doc_id')[1]} AS reply FROM documents")
+def social_exchange(spark, d):
+    prompt, reply = dialogue.social_exchange(S, 87, "doc_id")
+    return table(spark, d, "documents").selectExpr("doc_id", f"{prompt} AS prompt", f"{reply} AS reply")
+
+
+_ASKED = [p + rest for p, _ in dialogue.FORMS for rest in ("a rudder?", "stars made of?", "the tide at night?")] + ["Where is the oar?"]
+
+
+@_r.query(f"SELECT doc_id, {D.choice(91, 'doc_id', 9, _ASKED)} AS question, {dialogue.paraphrased(D, 91, 'doc_id', D.choice(91, 'doc_id', 9, _ASKED))} AS paraphrase FROM documents")
+def question_paraphrase(spark, d):
+    asked = table(spark, d, "documents").selectExpr("doc_id", f"{S.choice(91, 'doc_id', 9, _ASKED)} AS question")
+    return asked.selectExpr("doc_id", "question", f"{dialogue.paraphrased(S, 91, 'doc_id', 'question')} AS paraphrase")
+
+
+_LINE = "CASE WHEN doc_id % 4 = 0 THEN left(replace(text, chr(10), ' '), 60) || '?' ELSE left(replace(text, chr(10), ' '), 60) || '.' END"
+
+
+@_r.query(f"WITH b AS (SELECT doc_id, {_LINE} AS body FROM documents) SELECT doc_id, {dialogue.roughened(D, 93, 'doc_id', 'body')} AS body FROM b")
+def user_roughen(spark, d):
+    return table(spark, d, "documents").selectExpr("doc_id", f"{_LINE} AS body").selectExpr("doc_id", f"{dialogue.roughened(S, 93, 'doc_id', 'body')} AS body")
+
+
+@_r.query("SELECT DISTINCT w, CASE WHEN w IN ('sheep', 'fish', 'deer', 'moss', 'pliers', 'callipers', 'scales', 'bellows', 'tongs') THEN w WHEN regexp_matches(w, '(s|x|z|ch|sh)$') THEN w || 'es' WHEN regexp_matches(w, '[^aeiou]y$') THEN regexp_replace(w, 'y$', 'ies') ELSE w || 's' END AS plural, CASE WHEN regexp_matches(w, '^[aeiouAEIOU]') THEN 'an' ELSE 'a' END AS article FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)")
+def plural_forms(spark, d):
+    from turnloom.operators.quality import word_vocabulary
+
+    w = F.col("w")
+    return word_vocabulary(table(spark, d, "documents")).select("w", inflect.plural(w).alias("plural"), inflect.article(w).alias("article"))
+
+
+def _mapped(word: str, pairs: dict[str, str], rule: str) -> str:
+    return f"CASE {word} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items()) + f" ELSE {rule} END"
+
+
+_BASE = _mapped("w", inflect.IRREGULAR_BASE, "CASE WHEN ends_with(w, 'ies') THEN left(w, length(w) - 3) || 'y' WHEN regexp_matches(w, '(s|x|z|ch|sh|o)es$') THEN left(w, length(w) - 2) WHEN ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END")
+_GERUND = _mapped("b", inflect.IRREGULAR_GERUND, "CASE WHEN ends_with(b, 'e') AND NOT regexp_matches(b, '(ee|ye|oe)$') THEN left(b, length(b) - 1) || 'ing' WHEN len(regexp_extract_all(b, '[aeiouy]+')) = 1 AND length(b) >= 3 AND NOT contains('aeiouwxy', right(b, 1)) AND contains('aeiou', left(right(b, 2), 1)) AND NOT contains('aeiou', left(right(b, 3), 1)) THEN b || right(b, 1) || 'ing' ELSE b || 'ing' END")
+
+
+@_r.query(f"WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), b AS (SELECT w, {_BASE} AS b FROM v) SELECT w, b AS base, {_GERUND} AS gerund FROM b")
+def gerund_forms(spark, d):
+    from turnloom.operators.quality import word_vocabulary
+
+    return word_vocabulary(table(spark, d, "documents")).select("w", inflect.base_form(F.col("w")).alias("base")).withColumn("gerund", inflect.gerund(F.col("base")))
+
+
+_THINGS = sorted(dialogue.FACTS)
+_QUESTION = f"'What is a ' || {D.pick(_THINGS, 'doc_id')} || ' to ' || {D.pick(_THINGS, 'doc_id * 7 + 3')} || '?'"
+
+
+@_r.query(f"WITH q AS (SELECT doc_id, {_QUESTION} AS question FROM documents), f AS (SELECT unnest([{', '.join(map(quoted, _THINGS))}]) AS name, unnest(range({len(_THINGS)})) AS ord), m AS (SELECT doc_id, question, name, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, ord) AS r FROM q JOIN f ON contains(lower(question), name)) SELECT doc_id, question, name FROM m WHERE r = 1")
+def longest_match(spark, d):
+    """The longest known name in each question; of equally long ones the first."""
+    question = _QUESTION.replace(D.pick(_THINGS, "doc_id"), S.pick(_THINGS, "doc_id")).replace(D.pick(_THINGS, "doc_id * 7 + 3"), S.pick(_THINGS, "doc_id * 7 + 3"))
+    names = sorted(_THINGS, key=lambda n: (-len(n), _THINGS.index(n)))
+    q = table(spark, d, "documents").selectExpr("doc_id", f"{question} AS question")
+    found = F.coalesce(*[F.when(F.contains(F.lower("question"), F.lit(n)), n) for n in names])
+    return q.select("doc_id", "question", found.alias("name")).where("name is not null")
+
+
+@_r.query()
+def generated_conversations(spark, d):
+    """A generated conversation for every conversation of the fixture, three exchanges in ten being sums."""
+    keys = table(spark, d, "conversations").select("conv_id").distinct()
+    return assemble.conversations(keys, 97, 30)
