@@ -1 +1,160 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Queries on lessons, their log, and the registry of exports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from turnloom.functions import text as T
+from turnloom.functions.dialect import DUCKDB as D
+from turnloom.functions.dialect import SPARK as S
+from turnloom.functions.dialect import quoted
+from turnloom.functions.markers import BOT, END, START, USER
+from turnloom.operators import exports, lessons
+from turnloom.plans.registry import Registry, table
+
+_r = Registry()
+QUERIES, ORACLE_SQL = _r.queries, _r.oracle
+ASKED = ["What is a rudder?", "whats the tide", "Who's you?", "where are we", "When was the flood?", "how do boats float?", "Why is the sky blue?", "Sing of rivers.", " WHAT IS IT?? ", "?", "who is I", "Is it late, do you think?"]
+
+
+def _agree(t: str) -> str:
+    for pattern, to in (
+        (r"\b(you|we|they|You|We|They) is\b", r"\1 are"), (r"\bI is\b", "I am"),
+        (r"(?i)\b(who|what|where|when)(?:'s|s| is) (you|we|they)\b", r"\1 are \2"), (r"(?i)\b(who|what|where|when)(?:'s|s| is) I\b", r"\1 am I"),
+    ):
+        t = f"regexp_replace({t}, {quoted(pattern)}, {quoted(to)}, 'g')"
+    return t
+
+
+def _rewordings_sql() -> str:
+    strip = lambda t: f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+    put = lambda template, name, value: " || ".join(f"({x})" for x in (quoted(template.partition('{' + name + '}')[0]), value, quoted(template.partition('{' + name + '}')[2])))
+    cases = "WHEN core = '' THEN [asked]"
+    for pattern, templates in lessons.FORMS:
+        whole = quoted(f"(?is)^{pattern}$")
+        subject = strip(f"regexp_extract(core, {whole}, 1)")
+        cases += f" WHEN regexp_matches(core, {whole}) THEN [asked, {', '.join(put(t, 'x', subject) for t in templates)}]"
+    wrapped = ", ".join(put(w, "q", "core" if w.startswith("{q}") else "lower(core[1]) || core[2:]") for w in lessons.WRAPPERS)
+    return f"""WITH q AS (SELECT unnest([{', '.join(map(quoted, ASKED))}]) AS question), a AS (SELECT question, {strip('question')} AS asked FROM q), c AS (SELECT *, {strip("regexp_replace(asked, '[?]+$', '')")} AS core FROM a),
+b AS (SELECT question, CASE {cases} ELSE [asked, {wrapped}] END AS base FROM c),
+v AS (SELECT question, list_concat(base, flatten(list_transform(base, lambda t: CASE WHEN ends_with(t, '?') THEN [upper(t[1]) || t[2:]] ELSE [upper(t[1]) || t[2:], t || '?'] END))) AS every FROM b),
+u AS (SELECT question, {_agree(strip('t'))} AS wording, i FROM (SELECT question, unnest(every) AS t, unnest(range(len(every))) AS i FROM v)),
+f AS (SELECT question, wording, min(i) AS i FROM u WHERE wording <> '' GROUP BY ALL), o AS (SELECT question, wording, (row_number() OVER (PARTITION BY question ORDER BY i) - 1)::INTEGER AS ordinal FROM f)
+SELECT * FROM o WHERE ordinal < 8"""
+
+
+@_r.query(_rewordings_sql())
+def rewordings(spark, d):
+    q = spark.createDataFrame([(x,) for x in ASKED], "question string")
+    return q.select("question", F.posexplode(lessons.rewordings(F.col("question"))).alias("ordinal", "wording"))
+
+
+_Q = lambda x: x.pick([a for a in ASKED if len(a) > 2], "doc_id")
+_A = "'Answer ' || cast(doc_id as string) || ' is short.'"
+_CONTEXT = lambda x: x.choice(101, "doc_id", 0, lessons.CONTEXTS)
+BLOCK = 90
+
+
+def _lessons_sql() -> str:
+    alone = lambda opening: f"'{(START + chr(10)) if opening else ''}{USER}' || question || '{END}' || chr(10) || '{BOT}' || answer || '{END}'"
+    row = lambda form, prefix, t: f"SELECT doc_id, '{form}' AS form, CASE WHEN length({prefix}) + length({t}) <= {BLOCK + 1} THEN {prefix} || {t} ELSE {t} END AS text, (strpos({t}, '{BOT}') + CASE WHEN length({prefix}) + length({t}) <= {BLOCK + 1} THEN length({prefix}) ELSE 0 END)::INTEGER AS answer_at FROM p"
+    return f"p AS (SELECT doc_id, {_Q(D)} AS question, {_A} AS answer, {_CONTEXT(D)} AS context FROM documents), r AS ({row('opening', quoted(''), alone(True))} UNION ALL {row('bare', quoted(''), alone(False))} UNION ALL {row('behind', 'context', alone(False))})"
+
+
+def _pairs(spark, d):
+    return table(spark, d, "documents").selectExpr("doc_id", f"{_Q(S)} AS question", f"{_A} AS answer")
+
+
+@_r.query(f"WITH {_lessons_sql()} SELECT doc_id, form, text, answer_at FROM r")
+def lesson_rows(spark, d):
+    return lessons.lesson_rows(_pairs(spark, d), "doc_id", BLOCK, F.expr(_CONTEXT(S)))
+
+
+@_r.query(f"WITH {_lessons_sql()}, c AS (SELECT *, list_transform(list_filter(string_split(text, ''), lambda k: k <> ''), lambda k: unicode(k)) AS ids FROM r) SELECT doc_id, form, (len(ids) - 1)::INTEGER AS n, array_to_string(ids[1:len(ids) - 1], ' ') AS x, array_to_string(list_transform(range(1, len(ids)), lambda i: CASE WHEN i >= answer_at THEN ids[i + 1] ELSE -100 END), ' ') AS y FROM c")
+def lesson_mask(spark, d):
+    rows = lessons.lesson_rows(_pairs(spark, d), "doc_id", BLOCK, F.expr(_CONTEXT(S)))
+    x, y = lessons.encoded(F.col("text"), F.col("answer_at"))
+    return rows.select("doc_id", "form", F.size(x).alias("n"), F.array_join(x.cast("array<string>"), " ").alias("x"), F.array_join(y.cast("array<string>"), " ").alias("y"))
+
+
+def _log_lines(spark, d):
+    """A lesson log made of events: blank lines, cut lines, and lessons undone on errors."""
+    e = table(spark, d, "events")
+    record = F.to_json(F.struct(
+        F.lit("2024-01-01T00:00:00+00:00").alias("when"), F.concat(F.lit("What is item "), "user_id", F.lit("?")).alias("question"), F.concat(F.lit("It is "), "user_id", F.lit(".")).alias("answer"),
+        F.array(F.concat(F.lit("What is item "), "user_id", F.lit("?")), F.concat(F.lit("item "), "user_id")).alias("trained_wordings"), (F.col("value") > 20).alias("learned"), (F.col("value") > 60).alias("generalized"),
+        (F.col("value") / 400).alias("drift"), (F.col("event_id") % 7).alias("checks"), F.lit(6).alias("checks_baseline"), (F.col("event_type") == "error").alias("rolled_back"),
+    ))
+    return e.select("event_id", F.when(F.col("event_id") % 77 == 0, "  ").when(F.col("event_id") % 50 == 0, F.left(record, F.lit(30))).otherwise(record).alias("value"))
+
+
+_LOGGED = "e AS (SELECT * FROM events WHERE event_id % 77 <> 0 AND event_id % 50 <> 0)"
+
+
+@_r.query(f"WITH {_LOGGED} SELECT wording, 'It is ' || user_id || '.' AS answer, count(*)::BIGINT AS n FROM (SELECT user_id, unnest(['What is item ' || user_id || '?', 'item ' || user_id]) AS wording FROM e WHERE event_type <> 'error') GROUP BY ALL")
+def lesson_log_pairs(spark, d):
+    pairs = lessons.past_pairs(lessons.records(_log_lines(spark, d)))
+    return pairs.groupBy("wording", "answer").agg(F.count("*").alias("n"))
+
+
+@_r.query(f"WITH {_LOGGED} SELECT count(*)::BIGINT AS lessons, count(*) FILTER (event_type <> 'error')::BIGINT AS kept, count(*) FILTER (event_type = 'error')::BIGINT AS undone, count(*) FILTER (event_type <> 'error' AND value > 20)::BIGINT AS learned, count(*) FILTER (event_type <> 'error' AND value > 60)::BIGINT AS generalized FROM e")
+def session_summary(spark, d):
+    return lessons.session_summary(lessons.records(_log_lines(spark, d)))
+
+
+@_r.query("SELECT event_id, CASE WHEN value / 400 > 0.15::DOUBLE THEN 'drifted' WHEN 6 - event_id % 7 > 1 THEN 'forgot' ELSE 'kept' END AS decision FROM events")
+def guard_decision(spark, d):
+    return table(spark, d, "events").select("event_id", lessons.guard(F.col("value") / 400, F.col("event_id") % 7, F.lit(6)).alias("decision"))
+
+
+@_r.query()
+def similarity(spark, d):
+    """Alignment ratio of every benchmark text's first line with the next item's."""
+    b = table(spark, d, "benchmark").select("item_id", T.truncated_reply(F.col("text")).alias("a"))
+    return lessons.similarity(b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id"), "a", "b").select("item_id", "ratio")
+
+
+#: File names as made from parts: several bases, versions of one to three numbers, and names that are no exports.
+_FILES = """SELECT 'p' || cast(p_size % 5 as string) || '_' || cast(p_size % 3 as string) || '.' || cast(p_partkey % 13 as string) || CASE WHEN p_partkey % 11 = 0 THEN '.2' ELSE '' END || CASE WHEN p_partkey % 17 = 0 THEN '.bak' ELSE '.txt' END AS name, p_partkey AS modified FROM part"""
+
+
+def _files(spark, d):
+    table(spark, d, "part").createOrReplaceTempView("turnloom_parts")
+    return spark.sql(_FILES.replace("FROM part", "FROM turnloom_parts")).groupBy("name").agg(F.max("modified").alias("modified"))
+
+
+_PARSED = f"f AS (SELECT name, max(modified) AS modified FROM ({_FILES}) GROUP BY name), e AS (SELECT name, modified, regexp_extract(name, {quoted(exports.NAME)}, 1) AS base, list_transform(string_split(regexp_extract(name, {quoted(exports.NAME)}, 2), '.'), lambda x: try_cast(x AS INTEGER)) AS version FROM f WHERE regexp_matches(name, {quoted(exports.NAME)}))"
+
+
+@_r.query(f"WITH {_PARSED} SELECT name, base, array_to_string(version, '.') AS version, (row_number() OVER (ORDER BY base, version, name))::INTEGER AS place FROM e")
+def version_parse(spark, d):
+    from pyspark.sql import Window
+
+    e = exports.parsed(_files(spark, d))
+    return e.select("name", "base", exports.dotted(F.col("version")).alias("version"), F.row_number().over(Window.orderBy("base", "version", "name")).alias("place"))
+
+
+@_r.query(f"WITH {_PARSED}, m AS (SELECT base, max(version) AS v FROM e GROUP BY base) SELECT base, base || '_' || array_to_string(list_concat(v[1:len(v) - 1], [v[len(v)] + 1]), '.') || '.txt' AS name FROM m")
+def version_next(spark, d):
+    return exports.next_versions(exports.parsed(_files(spark, d)))
+
+
+_REFS = ["p1", "p2", "p0_1.3", "p3_2.1.txt", "nothing", ""]
+
+
+@_r.query(f"WITH {_PARSED}, q AS (SELECT unnest([{', '.join(map(quoted, _REFS))}]) AS reference) SELECT reference, CASE WHEN reference = '' THEN (SELECT arg_max(name, row(modified, name)) FROM e) ELSE coalesce((SELECT max(name) FROM e WHERE name = reference), (SELECT max(name) FROM e WHERE name = reference || '.txt'), (SELECT arg_max(name, row(version, name)) FROM e WHERE base = reference)) END AS name FROM q")
+def version_resolve(spark, d):
+    return exports.resolved(exports.parsed(_files(spark, d)), spark.createDataFrame([(x,) for x in _REFS], "reference string"))
+
+
+@_r.query()
+def log_stream(spark, d):
+    """The lesson log read as a stream of files: equal to lesson_log_pairs over the same lines."""
+    from turnloom.session import scratch
+    from turnloom.streaming import lesson_log
+
+    import uuid
+
+    folder = f"{scratch(spark)}/turnloom-log-{uuid.uuid4().hex}"
+    _log_lines(spark, d).select("value").write.text(f"{folder}/in")
+    return lesson_log.run_once(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state").groupBy("wording", "answer").agg(F.count("*").alias("n"))
