@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-CACHE, CHECK_EACH = 300_000, 4
+CACHE, CHECK_EACH = 120_000, 4
 
 
 class Agenda:
