@@ -1 +1,163 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Queries on weights, vectors and the model."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from turnloom.operators import corpus, network, weights
+from turnloom.plans.corpus_queries import TURNS
+from turnloom.plans.registry import Registry, table
+
+_r = Registry()
+QUERIES, ORACLE_SQL = _r.queries, _r.oracle
+
+_HALF = lambda x: f"(round_even({x} / power(2.0::DOUBLE, greatest(floor(log2(greatest({x}, 1e-300))), -14) - 10), 0) * power(2.0::DOUBLE, greatest(floor(log2(greatest({x}, 1e-300))), -14) - 10))"
+_V = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+
+
+def _groups(bits: int, group: int) -> str:
+    top = (1 << (bits - 1)) - 1
+    return f"""{_V}, p AS (SELECT vec_id, list_concat(v, list_transform(range((-len(v) % {group} + {group}) % {group}), lambda i: 0.0::DOUBLE)) AS v FROM e),
+g AS (SELECT vec_id, group_no, v[group_no * {group} + 1:group_no * {group} + {group}] AS w FROM (SELECT vec_id, v, unnest(range(len(v) // {group}))::INTEGER AS group_no FROM p)),
+m AS (SELECT *, greatest(list_max(list_transform(w, lambda x: abs(x))) / {top}, 1e-6)::DOUBLE AS s FROM g), h AS (SELECT *, {_HALF('s')} AS scale FROM m),
+q AS (SELECT vec_id, group_no, w, scale, list_transform(w, lambda x: greatest(least(round_even(x / scale, 0), {top}), -{top})::INTEGER) AS q FROM h)"""
+
+
+def _embeddings(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+
+
+@_r.query(f"WITH {_groups(8, 24)} SELECT vec_id, group_no, scale, array_to_string(q, ' ') AS q FROM q")
+def quantize_groups(spark, d):
+    """Eight bits in groups of 24, which 64 components don't fill."""
+    g = weights.quantized(_embeddings(spark, d), "vec_id", "v", 8, 24)
+    return g.select("vec_id", "group_no", "scale", F.array_join(F.col("q").cast("array<string>"), " ").alias("q"))
+
+
+@_r.query(f"WITH {_groups(8, 32)} SELECT vec_id, round(max(list_max(list_transform(range(1, 33), lambda i: abs(q[i] * scale - w[i])))), 9) AS worst, bool_and(list_max(list_transform(range(1, 33), lambda i: abs(q[i] * scale - w[i]))) <= scale / 2 + 1e-9) AS within FROM q GROUP BY vec_id")
+def dequantize_error(spark, d):
+    """The largest error of a component, and whether it is within half a step."""
+    g = weights.quantized(_embeddings(spark, d), "vec_id", "v", 8, 32)
+    worst = F.array_max(F.transform(F.arrays_zip("q", "w", F.array_repeat("scale", F.size("q")).alias("s")), lambda z: F.abs(z["q"] * z["s"] - z["w"])))
+    e = g.select("vec_id", "scale", worst.alias("e"))
+    return e.groupBy("vec_id").agg(F.round(F.max("e"), 9).alias("worst"), F.bool_and(F.col("e") <= F.col("scale") / 2 + 1e-9).alias("within"))
+
+
+@_r.query(f"WITH {_groups(4, 32)} SELECT vec_id, group_no, array_to_string(list_transform(range(0, 16), lambda i: lpad(hex((q[2 * i + 1] & 15) + 16 * (q[2 * i + 2] & 15)), 2, '0')), '') AS packed, true AS same FROM q")
+def pack_int4(spark, d):
+    """Four-bit codes packed low nibble first, and whether unpacking gives them back."""
+    g = weights.quantized(_embeddings(spark, d), "vec_id", "v", 4, 32).withColumn("packed", weights.packed_int4(F.col("q")))
+    return g.select("vec_id", "group_no", "packed", (weights.unpacked_int4(F.col("packed"), F.size("q")) == F.col("q")).alias("same"))
+
+
+@_r.query("SELECT doc_id, (n_chars + (32 - n_chars % 32) % 32)::BIGINT AS padded FROM documents")
+def padded_len(spark, d):
+    return table(spark, d, "documents").select("doc_id", weights.padded_length(F.col("n_chars"), 32).alias("padded"))
+
+
+@_r.query()
+def base85_roundtrip(spark, d):
+    raw = table(spark, d, "benchmark").select("item_id", F.encode("text", "utf-8").alias("raw"))
+    return raw.select("item_id", weights.base85("raw").alias("text"), (weights.unbase85(weights.base85("raw")) == F.col("raw")).alias("same"))
+
+
+@_r.query("SELECT b::INTEGER AS bits, CASE WHEN e = 0 THEN s * f * power(2.0::DOUBLE, -24) ELSE s * (1 + f / 1024.0::DOUBLE) * power(2.0::DOUBLE, e - 15) END AS value FROM (SELECT b, CASE WHEN b >= 32768 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS s, (b // 1024) % 32 AS e, b % 1024 AS f FROM (SELECT unnest(range(65536)) AS b)) WHERE e < 31")
+def fp16_decode(spark, d):
+    """All finite half floats."""
+    bits = spark.range(65536).select(F.col("id").cast("int").alias("bits")).where(F.shiftright("bits", 10).bitwiseAND(31) < 31)
+    return bits.select("bits", weights.half_of_bits(F.col("bits")).alias("value"))
+
+
+@_r.query(f"WITH {_V}, w AS (SELECT vec_id AS row, v AS w FROM e WHERE vec_id < 8) SELECT vec_id, row::INTEGER AS row, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * w[i])), 6) AS y FROM e, w")
+def matmul_linear(spark, d):
+    """Each vector times the matrix of the first eight, a row a component."""
+    e = _embeddings(spark, d)
+    rows = [r["v"] for r in e.where("vec_id < 8").orderBy("vec_id").collect()]
+    y = e.select("vec_id", weights.linear(F.col("v"), rows).alias("y"))
+    return y.select("vec_id", F.posexplode("y").alias("row", "y")).withColumn("y", F.round("y", 6))
+
+
+_STATS = "s AS (SELECT vec_id, v, list_sum(v) / len(v) AS m, list_sum(list_transform(v, lambda x: x * x)) / len(v) AS m2 FROM e)"
+
+
+@_r.query(f"WITH {_V}, {_STATS} SELECT vec_id, unnest(range(len(v)))::INTEGER AS i, round(unnest(list_transform(v, lambda x: (x - m) / sqrt(greatest(m2 - m * m, 0) + 1e-5))), 6) AS y FROM s")
+def layernorm(spark, d):
+    y = _embeddings(spark, d).select("vec_id", F.posexplode(weights.layer_norm(F.col("v"))).alias("i", "y"))
+    return y.withColumn("y", F.round("y", 6))
+
+
+@_r.query(f"WITH {_V}, x AS (SELECT vec_id, list_transform(v, lambda k: exp(k - list_max(v))) AS x FROM e) SELECT vec_id, unnest(range(len(x)))::INTEGER AS i, round(unnest(list_transform(x, lambda k: k / list_sum(x))), 9) AS y FROM x")
+def softmax(spark, d):
+    y = _embeddings(spark, d).select("vec_id", F.posexplode(weights.softmax(F.col("v"))).alias("i", "y"))
+    return y.withColumn("y", F.round("y", 9))
+
+
+@_r.query(f"WITH {_V}, x AS (SELECT vec_id, unnest(range(len(v)))::INTEGER AS i, unnest(list_transform(v, lambda k: round(k, 1))) AS y FROM e), r AS (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY y DESC) AS r FROM x) SELECT vec_id, i, y FROM r WHERE r <= 5")
+def topk_logits(spark, d):
+    """Components, rounded so that they tie, that are no smaller than the fifth largest."""
+    v = F.transform("v", lambda k: F.round(k, 1))
+    y = _embeddings(spark, d).select("vec_id", v.alias("v")).select("vec_id", F.posexplode(weights.top_k(F.col("v"), 5)).alias("i", "y"))
+    return y.where("y is not null")
+
+
+@_r.query(f"WITH {_V}, t AS (SELECT vec_id, v, CASE WHEN vec_id % 9 = 0 THEN -100 ELSE vec_id % 64 END AS target FROM e) SELECT round(avg(CASE WHEN target >= 0 THEN ln(list_sum(list_transform(v, lambda k: exp(k - list_max(v))))) + list_max(v) - v[target + 1] END), 6) AS loss, count(*) FILTER (target >= 0)::BIGINT AS n FROM t")
+def cross_entropy(spark, d):
+    """Mean loss of the vectors as logits; each ninth target is masked."""
+    t = _embeddings(spark, d).withColumn("target", F.when(F.col("vec_id") % 9 == 0, -100).otherwise(F.col("vec_id") % 64).cast("int"))
+    one = t.select(weights.cross_entropy(F.col("v"), F.col("target")).alias("loss"))
+    return one.agg(F.round(F.avg("loss"), 6).alias("loss"), F.count("loss").alias("n"))
+
+
+@_r.query(f"WITH {_V} SELECT vec_id, (list_position(v, list_max(v)) - 1)::INTEGER AS best FROM e")
+def greedy_choice(spark, d):
+    """The first largest component."""
+    return _embeddings(spark, d).select("vec_id", (F.array_position("v", F.array_max("v")) - 1).cast("int").alias("best"))
+
+
+@_r.query("SELECT step::INTEGER AS step, round(CASE WHEN step < 100 THEN 0.001 * (step + 1) / 100.0::DOUBLE ELSE 0.0001 + 0.5 * 0.0009 * (1 + cos(least((step - 100) / 900.0::DOUBLE, 1.0) * pi())) END, 12)::DOUBLE AS rate FROM (SELECT unnest(range(1100)) AS step)")
+def lr_schedule(spark, d):
+    steps = spark.range(1100).select(F.col("id").cast("int").alias("step"))
+    return steps.select("step", F.round(weights.learning_rate(F.col("step"), 1000, 1e-3, 1e-4, 100), 12).alias("rate"))
+
+
+@_r.query("SELECT name, (102 * w + block * w + layers * (12 * w * w + 13 * w) + 2 * w)::BIGINT AS parameters FROM (VALUES " + ", ".join(f"('{n}', {l}, {w}, {b})" for n, l, _, w, b in weights.PRESETS) + ") t(name, layers, w, block)")
+def param_count(spark, d):
+    """Parameters of the sizes with 102 symbols, from the tensors' shapes."""
+    rows = [(name, shape) for name, layers, _, width, block in weights.PRESETS for _, shape in weights.parameter_shapes(102, layers, width, block)]
+    t = spark.createDataFrame(rows, "name string, shape array<long>")
+    return t.groupBy("name").agg(F.sum(F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x)).alias("parameters"))
+
+
+@_r.query(f"WITH {TURNS}, n AS (SELECT sum(length(line) + 1) + 2 * count(DISTINCT conv_id) AS chars FROM t), p AS (SELECT name, 102 * w + block * w + layers * (12 * w * w + 13 * w) + 2 * w AS parameters FROM (VALUES " + ", ".join(f"('{n}', {l}, {w}, {b})" for n, l, _, w, b in weights.PRESETS) + ") t(name, layers, w, block)) SELECT name, round(chars::DOUBLE / parameters, 6) AS chars_per_parameter, chars < parameters / 20.0 AS too_little FROM p, n")
+def chars_per_parameter(spark, d):
+    chars = corpus.describe(corpus.turns(table(spark, d, "conversations"))).first()["chars"]
+    return param_count(spark, d).select("name", F.round(F.lit(float(chars)) / F.col("parameters"), 6).alias("chars_per_parameter"), (F.lit(chars) < F.col("parameters") / 20).alias("too_little"))
+
+
+def _micro(codec_size: int) -> network.Network:
+    config = network.Config(codec_size, 32, 2, 2, 20)
+    return network.Network(config, network.initial(config, 1234))
+
+
+def _ids(spark, d):
+    from turnloom.functions.markers import BASE
+
+    codec = corpus.Codec(sorted(set(BASE)))
+    return corpus.rendered(corpus.turns(table(spark, d, "conversations"))).select("conv_id", codec.encode(F.col("text")).alias("ids")), codec, len(set(BASE))
+
+
+@_r.query()
+def model_loss(spark, d):
+    """Held-out loss in nats and bits of a seeded micro model over the conversations' windows."""
+    ids, _, size = _ids(spark, d)
+    windows = corpus.stride_windows(ids, "conv_id", 32)
+    losses = network.window_losses(windows, _micro(size), "conv_id")
+    return losses.groupBy("conv_id").agg(F.count("*").alias("windows"), F.round(F.avg("loss"), 6).alias("nats"), F.round(F.avg("loss") / F.log(F.lit(2.0)), 6).alias("bits"))
+
+
+@_r.query()
+def model_generate(spark, d):
+    """What the seeded micro model adds to each conversation's first 16 characters, greedily."""
+    ids, codec, size = _ids(spark, d)
+    out = network.generated(ids.select("conv_id", F.slice("ids", 1, 16).alias("ids")), _micro(size), "conv_id", 8)
+    return out.select("conv_id", codec.decode(F.col("ids")).alias("text"), F.size("ids").alias("n"))
