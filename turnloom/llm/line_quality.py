@@ -69,8 +69,8 @@ def _covered(hashes: Column, ordered: Column, k: int = 3) -> Column:
     return F.size(F.array_distinct(spread))
 
 
-def quality_columns(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
-    """``docs`` with one struct column ``quality``: the counts, base_failed, kept, and lines and words removed."""
+def quality_columns(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST, into: str = "quality") -> DataFrame:
+    """``docs`` with one struct column ``into``: the counts, base_failed, kept, and lines and words removed."""
     t = F.coalesce(F.col(text), F.lit(""))
     step = docs.withColumn("__words", word_array(F.col(text))).withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(f"[^{GAP}]"))))
     step = step.withColumn("__hashes", repeated_window_words(F.col("__words")))
@@ -93,10 +93,10 @@ def quality_columns(docs: DataFrame, text: str = "text", max_lost: float = MAX_L
     c = lambda name: F.col(f"__counts.{name}")
     failed = (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > int(100 * MAX_REPEATED) * c("n_words"))
     kept = ~failed & (c("n_lost_words") <= F.lit(float(max_lost)) * c("n_words"))
-    return counts.withColumn("quality", F.struct("__counts.*", failed.alias("base_failed"), kept.alias("kept"))).drop("__words", "__lines", "__hashes", "__ordered", "__bad", "__counts")
+    return counts.withColumn(into, F.struct("__counts.*", failed.alias("base_failed"), kept.alias("kept"))).drop("__words", "__lines", "__hashes", "__ordered", "__bad", "__counts")
 
 
 def clean_documents(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
     """The documents that are kept, without their failing lines; the columns of ``docs``."""
     good = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.regexp_like(x, F.lit(f"[^{GAP}]")) | ~line_fails(x))
-    return only_if(quality_columns(docs, text, max_lost), F.col("quality.kept")).withColumn(text, F.array_join(good, "\n")).select(*docs.columns)
+    return only_if(quality_columns(docs, text, max_lost, "__quality"), F.col("__quality.kept")).withColumn(text, F.array_join(good, "\n")).select(*docs.columns)

@@ -93,7 +93,7 @@ def host_posteriors(outcomes: DataFrame, z: float = Z) -> DataFrame:
 def judge_pages(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = MAX_BAD, z: float = Z) -> DataFrame:
     """pages: (page_id, url); outcomes: (page_id, bad). Returns page_id, host, path, rule, verdict, n_labelled, posterior, bound."""
     judged = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    hosts = staged(host_posteriors(judged.join(outcomes, "page_id").select("host", "bad"), z), "reputation")
+    hosts = staged(host_posteriors(judged.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id").select("host", "bad"), z), "reputation")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") > max_bad, "block").otherwise("allow")
     return judged.join(hosts, "host", "left").select(
