@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies with byte fallback.
 
-Encoding is a score-ordered agenda: every adjacent pair of symbols whose join is a piece waits in a heap
-by (score, place); the best is merged, its new neighbours are entered, and entries whose symbols have
-changed meanwhile are dropped. Symbols that end outside the vocabulary become their UTF-8 bytes' pieces.
+Encoding is a score-ordered agenda: every adjacent pair of symbols whose join is a piece waits by (score,
+place); the best is merged, its new neighbours are entered, and entries whose symbols have changed
+meanwhile are dropped. Symbols that end outside the vocabulary become their UTF-8 bytes' pieces. Short
+segments are worked off together, their agendas being the rows of one array; long ones have a heap each.
 
 No piece of such a vocabulary has the space mark behind another character, so merges never cross the
 place before a run of space marks; texts are cut there and each distinct segment is merged once per
@@ -19,17 +20,20 @@ encoded whole.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-CACHE, CHECK_EACH = 120_000, 4
+CACHE, CHECK_EACH, SHORT = 120_000, 4, 32
+OUTSIDE, END = 1 << 19, (1 << 21) - 1
 
 
 class Agenda:
@@ -46,9 +50,24 @@ class Agenda:
         self.id_of = ids
         #: A piece's place in the order of scores, best first.
         self.rank = {p: places[self.lib.get_score(i)] for p, i in ids.items()}
+        self.text = [str(i) for i in range(n)]
         self.byte = [self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         whole = any(SPACE in p.lstrip(SPACE) for p in ids)
         self.cut = re.compile(r"(?s).+" if whole else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        #: Pairs of symbols that join, as (left << 21 | right), ascending, with the joined piece's rank and id.
+        #: A symbol is a piece's id, or OUTSIDE + code point for a character that is no piece.
+        pairs = {}
+        for piece, i in ids.items():
+            for cut in range(1, len(piece)):
+                left, right = ids.get(piece[:cut]), ids.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 21 | right] = (self.rank[piece], i)
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.pair_rank, self.pair_id = (np.array([pairs[k][at] for k in self.pairs.tolist()], np.int64) for at in (0, 1))
+        self.symbol = np.arange(0x110000, dtype=np.int64) + OUTSIDE
+        for piece, i in ids.items():
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = i
         self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
         self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
@@ -89,6 +108,52 @@ class Agenda:
                     ids.extend([self.byte[b] for b in s.encode()])
         return tuple(ids)
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places in ``pairs`` of symbols that join, else the number of pairs; either may be END."""
+        key = left << 21 | right
+        at = np.searchsorted(self.pairs, key)
+        at[self.pairs[np.minimum(at, len(self.pairs) - 1)] != key] = len(self.pairs)
+        return at
+
+    def merge_all(self, segments: list[str]) -> list[tuple[int, ...]]:
+        """merge() of short segments: in every turn each segment's best agenda entry is taken."""
+        n, width = len(segments), max(map(len, segments))
+        none = len(self.pairs)
+        rank = np.append(self.pair_rank, np.iinfo(np.int64).max)
+        codes = np.frombuffer("".join([x.ljust(width, "\0") for x in segments]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
+        size = np.array([len(x) for x in segments])
+        symbols = np.where(np.arange(width) < size[:, None], self.symbol[codes], END)
+        symbols = np.concatenate([symbols, np.full((n, 1), END)], 1)
+        agenda = self.ranks(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, width)
+        live = np.arange(n)
+        columns = np.arange(width)
+        while len(live):
+            places = agenda[live]
+            best = np.argmin(rank[places], 1)  # the first of equals is the leftmost
+            entry = places[np.arange(len(live)), best]
+            go = entry < none
+            live, best, entry = live[go], best[go], entry[go]
+            if not len(live):
+                break
+            row = symbols[live]
+            take = columns[None, :] + (columns[None, :] > best[:, None])
+            row = np.concatenate([np.take_along_axis(row, take, 1), np.full((len(live), 1), END)], 1)
+            i = np.arange(len(live))
+            row[i, best] = self.pair_id[entry]
+            held = np.take_along_axis(np.concatenate([agenda[live], np.full((len(live), 1), none)], 1), take, 1)
+            held[i, best] = self.ranks(row[i, best], row[i, best + 1])
+            before = np.flatnonzero(best > 0)
+            held[before, best[before] - 1] = self.ranks(row[before, best[before] - 1], row[before, best[before]])
+            symbols[live], agenda[live] = row, held
+        count = (symbols != END).sum(1).tolist()
+        out = []
+        for row, m in zip(symbols.tolist(), count):
+            ids = row[:m]
+            if max(ids) >= OUTSIDE:
+                ids = [x for i in ids for x in ([i] if i < OUTSIDE else [self.byte[b] for b in chr(i - OUTSIDE).encode()])]
+            out.append(tuple(ids))
+        return out
+
     def segments(self, text: str) -> list[str]:
         return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
@@ -96,10 +161,16 @@ class Agenda:
         """Merges segments not in the cache and holds every CHECK_EACH-th of them against the library."""
         if len(self.cache) + len(segments) > CACHE:
             self.older, self.cache = self.cache, {}
-        new = sorted(segments)
-        for s in new:
+        new = sorted(segments, key=len)
+        short = bisect.bisect_right(new, SHORT, key=len)
+        text = self.text
+        for at in range(0, short, 4096):
+            part = new[at : min(at + 4096, short)]
+            for s, own in zip(part, self.merge_all(part)):
+                self.cache[s] = (own, ",".join([text[i] for i in own]))
+        for s in new[short:]:
             own = self.merge(s)
-            self.cache[s] = (own, ",".join(map(str, own)))
+            self.cache[s] = (own, ",".join([text[i] for i in own]))
         asked = [s for s in new[::CHECK_EACH] if s != SPACE]  # alone, a space mark is the library's empty text
         for s, theirs in zip(asked, self.lib.encode([s[1:].replace(SPACE, " ") for s in asked], num_threads=1) if asked else []):
             if list(self.cache[s][0]) != theirs:
