@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_scratch: str | None = None
 
@@ -56,3 +57,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A stored table of a few narrow columns, marked for broadcast if it is counted to be short; else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
