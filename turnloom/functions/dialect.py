@@ -53,6 +53,14 @@ class Dialect:
     def between(self, seed: int, key: str, counter: int | str, low: int | str, high: int | str) -> str:
         return f"(({low}) + {self.draw(seed, key, counter)} % (({high}) - ({low}) + 1))"
 
+    def one_of(self, texts: list[str], index: str) -> str:
+        """One of those expressions that aren't null, at ``index`` modulo their number; null if all are."""
+        if self.spark:
+            there = f"array_compact(array({', '.join(texts)}))"
+            return f"get({there}, cast(({index}) % greatest(size({there}), 1) as int))"
+        there = f"list_filter([{', '.join(texts)}], lambda x: x IS NOT NULL)"
+        return f"({there})[({index}) % greatest(len({there}), 1) + 1]"
+
     def filled(self, template: str, values: dict[str, str]) -> str:
         """The template (an expression) with placeholders replaced by expressions."""
         for name, value in values.items():
@@ -60,4 +68,16 @@ class Dialect:
         return template
 
 
-SPARK, DUCKDB = Dialect("spark"), Dialect("duckdb")
+class Held(Dialect):
+    """Draws are read from columns d0, d1, ... that ``held`` adds: each is computed once a row, and expressions stay short."""
+
+    def draw(self, seed: int, key: str, counter: int | str) -> str:
+        return f"d{counter}"
+
+
+def held(dialect: Dialect, seed: int, key: str, counters: range) -> list[str]:
+    """Select list of the draws as columns."""
+    return [f"{dialect.draw(seed, key, i)} AS d{i}" for i in counters]
+
+
+SPARK, DUCKDB, HELD = Dialect("spark"), Dialect("duckdb"), Held("spark")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from turnloom.functions import inflect
 from turnloom.functions.arithmetic import OTHERS, Workings, other_problem
 from turnloom.functions.dialect import DUCKDB as D
+from turnloom.functions.dialect import HELD as H
 from turnloom.functions.dialect import SPARK as S
-from turnloom.functions.dialect import quoted
+from turnloom.functions.dialect import held, quoted
 from turnloom.operators import assemble, corpus, dialogue
 from turnloom.plans.registry import Registry, table
 
@@ -50,7 +51,8 @@ def _others(d) -> str:
 @_r.query(f"SELECT doc_id, {', '.join(_others(D))} FROM documents")
 def arith_other(spark, d):
     """Percentages, squares, three-term sums, rounding and word problems."""
-    return table(spark, d, "documents").selectExpr("doc_id", *_others(S))
+    drawn = table(spark, d, "documents").selectExpr("doc_id", *held(S, 61, "doc_id", range(1, 4)))
+    return drawn.selectExpr("doc_id", *_others(H))
 
 
 def _drawn(x) -> list[str]:
@@ -69,7 +71,7 @@ def _drawn(x) -> list[str]:
 
 @_r.query(f"SELECT doc_id, {', '.join(_drawn(D))} FROM documents")
 def arith_operands(spark, d):
-    return table(spark, d, "documents").selectExpr("doc_id", *_drawn(S))
+    return table(spark, d, "documents").selectExpr("doc_id", *held(S, 71, "doc_id", range(8))).selectExpr("doc_id", *_drawn(H))
 
 
 _WORDING = ["What is {p}?", "Please do {p}.", "{p} = ?", "Find {p}.", "How much is {p}?"]
@@ -78,13 +80,7 @@ _WORDING = ["What is {p}?", "Please do {p}.", "{p} = ?", "Find {p}.", "How much
 def _exchange(x) -> list[str]:
     sign = "(CASE op WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN '*' ELSE '/' END)"
     shown = f"(CASE WHEN {x.draw(73, 'doc_id', 0)} % 2 = 0 THEN {x.text('l')} || ' ' || {sign} || ' ' || {x.text('r')} ELSE {x.text('l')} || {sign} || {x.text('r')} END)"
-    ways = []
-    for op in "+-*/":
-        found = list(Workings(x).methods(op).values())
-        n = len(found)
-        start = f"({x.draw(73, 'doc_id', 1)} % {n})"
-        turned = "CASE " + start + " " + " ".join(f"WHEN {s} THEN coalesce({', '.join(found[s:] + found[:s])})" for s in range(n)) + " END"
-        ways.append(turned)
+    ways = [x.one_of(list(Workings(x).methods(op).values()), x.draw(73, "doc_id", 1)) for op in "+-*/"]
     working = "CASE op " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(ways)) + " END"
     return [f"replace({x.choice(73, 'doc_id', 2, _WORDING)}, '{{p}}', {shown}) AS question", f"{working} AS answer"]
 
@@ -92,7 +88,7 @@ def _exchange(x) -> list[str]:
 @_r.query(f"WITH o AS (SELECT doc_id, {', '.join(_drawn(D))} FROM documents) SELECT doc_id, {', '.join(_exchange(D))} FROM o")
 def arith_exchange(spark, d):
     """A drawn problem, its wording, and the first method that applies from a drawn place on."""
-    return table(spark, d, "documents").selectExpr("doc_id", *_drawn(S)).selectExpr("doc_id", *_exchange(S))
+    return table(spark, d, "documents").selectExpr("doc_id", *held(S, 71, "doc_id", range(8))).selectExpr("doc_id", *_drawn(H)).selectExpr("doc_id", *_exchange(S))
 
 
 @_r.query(f"SELECT doc_id, {dialogue.fact_sentence(D, 81, 'doc_id')[0]} AS thing, {dialogue.fact_sentence(D, 81, 'doc_id')[1]} AS sentence FROM documents")
