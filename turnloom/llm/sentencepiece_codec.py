@@ -9,7 +9,7 @@ No piece of such a vocabulary has the space mark behind another character, so me
 place before a run of space marks; texts are cut there and each distinct segment is merged once per
 worker (a bounded cache). The constructor tests that property and otherwise merges whole texts.
 
-Checks against the library, in every Arrow batch: each fourth of the segments new to the worker, and the
+Checks against the library, in every Arrow batch: each sixteenth of the segments new to the worker, and the
 batch's longest text of up to 4,096 characters as a whole. A difference raises. Decoding is the library's decode(ids).
 
 Scale: one pass over the rows, no shuffle; memory is one Arrow batch and two generations of the cache.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-CACHE, CHECK_EACH, SHORT = 120_000, 4, 32
+CACHE, CHECK_EACH, SHORT = 300_000, 16, 32
 OUTSIDE, END = 1 << 19, (1 << 21) - 1
 
 
@@ -54,7 +54,7 @@ class Agenda:
         self.byte = [self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         whole = any(SPACE in p.lstrip(SPACE) for p in ids)
         self.cut = re.compile(r"(?s).+" if whole else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        #: Pairs of symbols that join, as (left << 21 | right), ascending, with the joined piece's rank and id.
+        #: Pairs of symbols that join, as (left << 21 | right), with the joined piece's rank and id.
         #: A symbol is a piece's id, or OUTSIDE + code point for a character that is no piece.
         pairs = {}
         for piece, i in ids.items():
@@ -62,14 +62,30 @@ class Agenda:
                 left, right = ids.get(piece[:cut]), ids.get(piece[cut:])
                 if left is not None and right is not None:
                     pairs[left << 21 | right] = (self.rank[piece], i)
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.pair_rank, self.pair_id = (np.array([pairs[k][at] for k in self.pairs.tolist()], np.int64) for at in (0, 1))
+        keys = np.array(sorted(pairs), np.int64)
+        ranked = np.array([pairs[k] for k in keys.tolist()], np.int64).reshape(len(keys), 2)
+        #: An open hash table of them; the last slot stands for pairs that don't join.
+        self.bits = max(8, int(len(keys) * 6).bit_length())
+        self.slots = np.full((1 << self.bits) + 1, -1, np.int64)
+        self.pair_rank = np.full(len(self.slots), np.iinfo(np.int32).max, np.int32)
+        self.pair_id = np.zeros(len(self.slots), np.int64)
+        self.probes = 0
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            _, first = np.unique(at, return_index=True)
+            won = first[self.slots[at[first]] < 0]
+            self.slots[at[won]] = keys[left[won]]
+            self.pair_rank[at[won]], self.pair_id[at[won]] = ranked[left[won], 0], ranked[left[won], 1]
+            lost = np.ones(len(left), bool)
+            lost[won] = False
+            left, at = left[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+            self.probes += 1
         self.symbol = np.arange(0x110000, dtype=np.int64) + OUTSIDE
         for piece, i in ids.items():
             if len(piece) == 1:
                 self.symbol[ord(piece)] = i
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, segment: str) -> tuple[int, ...]:
         symbols: list[str | None] = list(segment)
@@ -108,18 +124,30 @@ class Agenda:
                     ids.extend([self.byte[b] for b in s.encode()])
         return tuple(ids)
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Places in ``pairs`` of symbols that join, else the number of pairs; either may be END."""
+        """Slots of symbols that join, else the last slot; either may be END."""
         key = left << 21 | right
-        at = np.searchsorted(self.pairs, key)
-        at[self.pairs[np.minimum(at, len(self.pairs) - 1)] != key] = len(self.pairs)
-        return at
+        at = self._slot(key)
+        held = self.slots[at]
+        out = np.where(held == key, at, 1 << self.bits)
+        again = np.flatnonzero((held != key) & (held >= 0))
+        for _ in range(self.probes):
+            if not len(again):
+                break
+            at[again] = (at[again] + 1) & ((1 << self.bits) - 1)
+            held = self.slots[at[again]]
+            hit = held == key[again]
+            out[again[hit]] = at[again[hit]]
+            again = again[~hit & (held >= 0)]
+        return out
 
     def merge_all(self, segments: list[str]) -> list[tuple[int, ...]]:
         """merge() of short segments: in every turn each segment's best agenda entry is taken."""
         n, width = len(segments), max(map(len, segments))
-        none = len(self.pairs)
-        rank = np.append(self.pair_rank, np.iinfo(np.int64).max)
+        none, rank = 1 << self.bits, self.pair_rank
         codes = np.frombuffer("".join([x.ljust(width, "\0") for x in segments]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
         size = np.array([len(x) for x in segments])
         symbols = np.where(np.arange(width) < size[:, None], self.symbol[codes], END)
@@ -146,12 +174,9 @@ class Agenda:
             held[before, best[before] - 1] = self.ranks(row[before, best[before] - 1], row[before, best[before]])
             symbols[live], agenda[live] = row, held
         count = (symbols != END).sum(1).tolist()
-        out = []
-        for row, m in zip(symbols.tolist(), count):
-            ids = row[:m]
-            if max(ids) >= OUTSIDE:
-                ids = [x for i in ids for x in ([i] if i < OUTSIDE else [self.byte[b] for b in chr(i - OUTSIDE).encode()])]
-            out.append(tuple(ids))
+        out = [tuple(row[:m]) for row, m in zip(symbols.tolist(), count)]
+        for at in np.flatnonzero(((symbols >= OUTSIDE) & (symbols != END)).any(1)).tolist():
+            out[at] = tuple(x for i in out[at] for x in ([i] if i < OUTSIDE else [self.byte[b] for b in chr(i - OUTSIDE).encode()]))
         return out
 
     def segments(self, text: str) -> list[str]:
@@ -163,35 +188,31 @@ class Agenda:
             self.older, self.cache = self.cache, {}
         new = sorted(segments, key=len)
         short = bisect.bisect_right(new, SHORT, key=len)
-        text = self.text
         for at in range(0, short, 4096):
             part = new[at : min(at + 4096, short)]
-            for s, own in zip(part, self.merge_all(part)):
-                self.cache[s] = (own, ",".join([text[i] for i in own]))
+            self.cache.update(zip(part, self.merge_all(part)))
         for s in new[short:]:
-            own = self.merge(s)
-            self.cache[s] = (own, ",".join([text[i] for i in own]))
+            self.cache[s] = self.merge(s)
         asked = [s for s in new[::CHECK_EACH] if s != SPACE]  # alone, a space mark is the library's empty text
         for s, theirs in zip(asked, self.lib.encode([s[1:].replace(SPACE, " ") for s in asked], num_threads=1) if asked else []):
-            if list(self.cache[s][0]) != theirs:
+            if list(self.cache[s]) != theirs:
                 raise AssertionError(f"the library encodes {s[:80]!r} otherwise")
 
     def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """ids, and ids joined by commas, of every text."""
         parts = [self.segments(t) for t in texts]
-        wanted = {s for p in parts for s in p}
-        missing = wanted.difference(self.cache)
+        missing = set().union(*parts).difference(self.cache)
         for s in [s for s in missing if s in self.older]:
             self.cache[s] = self.older[s]
             missing.discard(s)
         self.learn(missing)
-        cache, older = self.cache, self.older
+        cache, older, text = self.cache, self.older, self.text
         for p in parts:
             try:
-                found = [cache[s] for s in p]
+                ids = list(chain.from_iterable(map(cache.__getitem__, p)))
             except KeyError:  # the cache has turned over meanwhile
-                found = [cache.get(s) or older[s] for s in p]
-            yield list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found])
+                ids = [i for s in p for i in (cache[s] if s in cache else older[s])]
+            yield ids, ",".join(map(text.__getitem__, ids))
 
     def encode(self, text: str) -> tuple[list[int], str]:
         return next(self.encode_all([text]))
