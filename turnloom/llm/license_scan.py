@@ -59,9 +59,9 @@ def _plan(templates, k: int, contained: float) -> tuple[dict[int, list[str]], li
         while size * 2 <= m // 4:
             size *= 2
         sizes.setdefault(size, []).append(name)
-        # Rarest words in general prose first: long ones; until the shingles without an anchor are below what a match needs.
+        # Long words first, as they are rare in prose, until the shingles without an anchor are fewer than a match needs.
         free = set(shingles)
-        for word in sorted(set(words), key=lambda w: (-sum(w in s for s in shingles) * min(len(w), 8), w)):
+        for word in sorted(set(words), key=lambda w: (-len(w), w)):
             if len(free) < contained * m:
                 break
             anchors.add(word)
