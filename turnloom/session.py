@@ -62,3 +62,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """A stored table of a few narrow columns, marked for broadcast if it is counted to be short; else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the session's Arrow batches to ``rows`` rows, for rows that hold whole texts; a smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
