@@ -391,10 +391,10 @@ def test_sentencepiece_round_trip(spark):
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {1: "Grain of the mill,\n  twice ground.", 2: ""}
 
 
-def test_cache_turns_over(monkeypatch):
+def test_cache_turns_over():
     model = sentencepiece_codec.public_model()
-    monkeypatch.setattr(sentencepiece_codec, "CACHE", 50)
     agenda = sentencepiece_codec.Agenda(model)
+    agenda.limit = 50
     texts = [" ".join(f"w{i * j % 97}" for j in range(40)) for i in range(30)]
     assert [ids for ids, _ in agenda.encode_all(texts)] == agenda.lib.encode(texts)
     assert agenda.encode(texts[0])[0] == agenda.lib.encode(texts[0])

@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from turnloom.session import text_batches
+
 SPACE = "▁"
 CACHE, CHECK_EACH, SHORT = 300_000, 16, 32
 OUTSIDE, END = 1 << 19, (1 << 21) - 1
@@ -86,6 +88,7 @@ class Agenda:
                 self.symbol[ord(piece)] = i
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.limit = CACHE
 
     def merge(self, segment: str) -> tuple[int, ...]:
         symbols: list[str | None] = list(segment)
@@ -184,7 +187,7 @@ class Agenda:
 
     def learn(self, segments: set[str]) -> None:
         """Merges segments not in the cache and holds every CHECK_EACH-th of them against the library."""
-        if len(self.cache) + len(segments) > CACHE:
+        if len(self.cache) + len(segments) > self.limit:
             self.older, self.cache = self.cache, {}
         new = sorted(segments, key=len)
         short = bisect.bisect_right(new, SHORT, key=len)
@@ -224,12 +227,13 @@ class Agenda:
 _agendas: dict[str, Agenda] = {}
 
 
-def agenda_for(model: bytes) -> Agenda:
-    """The worker's encoder for a vocabulary; it outlives tasks, and so do its segments."""
+def agenda_for(model: bytes, cache: int) -> Agenda:
+    """The worker's encoder for a vocabulary; it outlives tasks, and so do its segments, up to twice ``cache``."""
     key = hashlib.sha256(model).hexdigest()
     if key not in _agendas:
         _agendas.clear()
         _agendas[key] = Agenda(model)
+    _agendas[key].limit = cache
     return _agendas[key]
 
 
@@ -245,11 +249,12 @@ def _digest(texts: list[str | None], agenda: Agenda) -> dict:
     return out
 
 
-def _each_batch(docs: DataFrame, model: bytes, schema: str, row) -> DataFrame:
+def _each_batch(docs: DataFrame, model: bytes, schema: str, row, cache: int = CACHE) -> DataFrame:
+    text_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        agenda = agenda_for(shipped.value)
+        agenda = agenda_for(shipped.value, cache)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 yield row(batch.slice(at, 64), agenda)
@@ -257,14 +262,14 @@ def _each_batch(docs: DataFrame, model: bytes, schema: str, row) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def encode_digests(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+def encode_digests(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text", cache: int = CACHE) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document. cache: segments in each of a worker's two generations."""
 
     def row(part: pa.RecordBatch, agenda: Agenda) -> pa.RecordBatch:
         got = _digest(part.column(1).to_pylist(), agenda)
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(got["n_tokens"], pa.int64()), pa.array(got["ids_sha256"]), pa.array(got["decoded_sha256"])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _each_batch(docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"`{text}` text"), model, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    return _each_batch(docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"`{text}` text"), model, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row, cache)
 
 
 def encode_ids(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
