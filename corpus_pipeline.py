@@ -34,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document of the mix."""
-    return sentencepiece_codec.encode_digests(docs, sentencepiece_codec.public_model())
+    """Token counts and digests of every document of the mix. The workers have served other stages; a small cache leaves them room."""
+    return sentencepiece_codec.encode_digests(docs, sentencepiece_codec.public_model(), cache=60_000)
 
 
 STAGES = [
