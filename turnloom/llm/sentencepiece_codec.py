@@ -148,38 +148,36 @@ class Agenda:
         return out
 
     def merge_all(self, segments: list[str]) -> list[tuple[int, ...]]:
-        """merge() of short segments: in every turn each segment's best agenda entry is taken."""
+        """merge() of short segments: in every turn each segment's best agenda entry is taken, and its row loses a symbol."""
         n, width = len(segments), max(map(len, segments))
-        none, rank = 1 << self.bits, self.pair_rank
         codes = np.frombuffer("".join([x.ljust(width, "\0") for x in segments]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
         size = np.array([len(x) for x in segments])
-        symbols = np.where(np.arange(width) < size[:, None], self.symbol[codes], END)
-        symbols = np.concatenate([symbols, np.full((n, 1), END)], 1)
+        symbols = np.full((n, width + 1), END, np.int64)
+        symbols[:, :width] = np.where(np.arange(width) < size[:, None], self.symbol[codes], END)
         agenda = self.ranks(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, width)
-        live = np.arange(n)
-        columns = np.arange(width)
+        none, out, live = 1 << self.bits, [()] * n, np.arange(n)
         while len(live):
-            places = agenda[live]
-            best = np.argmin(rank[places], 1)  # the first of equals is the leftmost
-            entry = places[np.arange(len(live)), best]
+            best = np.argmin(self.pair_rank[agenda], 1)  # the first of equals is the leftmost
+            entry = agenda[np.arange(len(live)), best]
             go = entry < none
-            live, best, entry = live[go], best[go], entry[go]
+            ended = symbols[~go]
+            for at, row, m in zip(live[~go].tolist(), ended.tolist(), (ended != END).sum(1).tolist()):
+                out[at] = tuple(row[:m])
+            live, best, entry, symbols, agenda = live[go], best[go], entry[go], symbols[go], agenda[go]
             if not len(live):
                 break
-            row = symbols[live]
-            take = columns[None, :] + (columns[None, :] > best[:, None])
-            row = np.concatenate([np.take_along_axis(row, take, 1), np.full((len(live), 1), END)], 1)
             i = np.arange(len(live))
-            row[i, best] = self.pair_id[entry]
-            held = np.take_along_axis(np.concatenate([agenda[live], np.full((len(live), 1), none)], 1), take, 1)
-            held[i, best] = self.ranks(row[i, best], row[i, best + 1])
-            before = np.flatnonzero(best > 0)
-            held[before, best[before] - 1] = self.ranks(row[before, best[before] - 1], row[before, best[before]])
-            symbols[live], agenda[live] = row, held
-        count = (symbols != END).sum(1).tolist()
-        out = [tuple(row[:m]) for row, m in zip(symbols.tolist(), count)]
-        for at in np.flatnonzero(((symbols >= OUTSIDE) & (symbols != END)).any(1)).tolist():
-            out[at] = tuple(x for i in out[at] for x in ([i] if i < OUTSIDE else [self.byte[b] for b in chr(i - OUTSIDE).encode()]))
+            symbols[i, best] = self.pair_id[entry]
+            kept = np.ones(symbols.shape, bool)
+            kept[i, best + 1] = False  # the right symbol and its pair go; a pair with END never joins, so both exist
+            symbols, agenda = symbols[kept].reshape(len(live), -1), agenda[kept[:, :-1]].reshape(len(live), -1)
+            agenda[i, best] = self.ranks(symbols[i, best], symbols[i, best + 1])
+            j = np.flatnonzero(best > 0)
+            at = best[j]
+            agenda[j, at - 1] = self.ranks(symbols[j, at - 1], symbols[j, at])
+        for at, x in enumerate(out):
+            if max(x) >= OUTSIDE:
+                out[at] = tuple(y for i in x for y in ([i] if i < OUTSIDE else [self.byte[b] for b in chr(i - OUTSIDE).encode()]))
         return out
 
     def segments(self, text: str) -> list[str]:
