@@ -235,6 +235,22 @@ def test_restoration(spark):
     assert spaced["idiot"] == 1
 
 
+def insult_model(spark):
+    said = "the river runs by the mill and a stupid idiot or a clown sat in the scum on an ass with shit and trash in the corn of the town "
+    return toxicity.language_model(docs_of(spark, [(i, said * 20, "s") for i in range(5)]))
+
+
+def test_restoration_of_edges_and_doubles(spark):
+    """Marks at a word's edge may be letters, and a plain word may have a letter doubled."""
+    wanted = {w: 0 for w in ("stupid", "scum", "clown", "ass", "idiot", "shit", "trash", "mill", "corn")}
+    r = toxicity.Restorer(insult_model(spark), wanted)
+    told = {"$tupid": "stupid", "$cum": "scum", "(lown": "clown", "@ss": "ass", "a$$": "ass", "@$$": "ass", "a$$!!": "ass", "!diot": "idiot", "5hi+": "shit", "$h!+!": "shit", "idiiot": "idiot", "stuupid,": "stupid"}
+    told |= {"(clown)": "clown", "trash!!": "trash", "(tr@sh!)": "trash", "mill": "mill", "corn+": "corn"}
+    for raw, word in told.items():
+        assert r.counts(f"he is {raw} then")[word] == 1, raw
+    assert {w: r.word(w) for w in ("$tupid", "(lown", "!diot", "idiiot", "mill", "(clown)", "1995")} == {"$tupid": "stupid", "(lown": "clown", "!diot": "idiot", "idiiot": "idiot", "mill": "mill", "(clown)": "clown", "1995": "1995"}
+
+
 def test_viterbi_is_the_best_path(toxic_model):
     lm = toxic_model[2]
     r = toxicity.Restorer(lm)

@@ -2,10 +2,12 @@
 
 1. Language model: counts of character trigrams (28 classes: boundary, a-z, other letters) over all texts.
    Each Arrow batch is counted by numpy and summed; at most 28 ** 3 counts ever leave a task.
-2. Restoration: words that aren't plain (digits or marks among letters, letters drawn out, letters spaced
-   apart) become a lattice: a character may stand for itself or for the letters it imitates, be noise
-   inside a word, or repeat the one before. Viterbi over pairs of characters finds the most likely letters
-   under the language model and the channel's costs.
+2. Restoration: words that aren't plain (digits or marks among or around letters, letters doubled or drawn
+   out, letters spaced apart) become a lattice: a character may stand for itself or for the letters it
+   imitates, be noise inside a word, or repeat the one before. Viterbi over pairs of characters finds the
+   most likely letters under the language model and the channel's costs. A mark at a word's edge may be
+   punctuation or a letter; the model of characters can't always tell ("a$$"), so such a word shows the best
+   letters of each reading. A plain word with a doubled letter shows itself, too.
 3. Score: logistic regression on the restored words: how often words of the learned list occur, and
    which. It is fitted on the driver on at most ``most_labelled`` labelled rows, taken in hash order of
    doc_id, one for each distinct text, and only from rows with crc32(doc_id) mod 5 <> 0.
@@ -15,7 +17,8 @@ sample, whose texts stay on the executors; the driver gets the trigram counts, a
 features of at most ``most_labelled`` rows.
 
 Defined cases: null, empty and blank texts score the model's bias; no labels, or labels of one class only, give
-the share of that class (0 without any); repeated rows score alike; texts are scored whole.
+the share of that class (0 without any); repeated rows score alike; texts are scored whole; words of digits
+alone are numbers.
 """
 
 from __future__ import annotations
@@ -40,8 +43,10 @@ SAME, IMITATED, NOISE, DRAWN_OUT, DOUBLED, LOST = -0.05, -1.5, -1.0, -0.7, -3.5,
 N_CLASSES = 28
 OTHER = 27
 SPACED = re.compile(r"(?<!\w)\w(?:[\s._*\-]+\w){2,}(?!\w)")
-LETTERS_RUN = re.compile(r"(.)\1\1")
+DOUBLE = re.compile(r"(.)\1")
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”„«»‘’–—¿¡"
+#: Marks that imitate no letter, so at an edge they are punctuation.
+IDLE = "".join(c for c in EDGE if c not in IMITATES)
 
 
 def _byte_classes() -> np.ndarray:
@@ -96,37 +101,66 @@ class Restorer:
 
     def best_path(self, word: str) -> tuple[float, str]:
         """The log likelihood of the best path and its letters."""
+        return self.endings(word, [len(word)])[0]
+
+    def endings(self, word: str, cuts: list[int], loose: int = 0) -> list[tuple[float, str]]:
+        """best_path of the word's beginnings up to each of ``cuts`` (ascending), in one pass. The first ``loose`` characters may be noise."""
         lm = self.lm
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # letters as (letters before, last one)
+        found: list[tuple[float, str]] = []
         run = 0
         for i, ch in enumerate(word):
+            if len(found) < len(cuts) and cuts[len(found)] == i:
+                found.append(self.ending(states))
             run = run + 1 if i and word[i - 1] == ch else 1
             drawn = run > 1 and (word[i + 1 : i + 2] == ch or run > 2)
             if ch.isalpha():
                 options = [(ch, SAME)] + ([("", DRAWN_OUT if drawn else DOUBLED)] if run > 1 else [])
             else:
-                options = [(x, IMITATED) for x in IMITATES.get(ch, "")] + [("", LOST if ch in IMITATES else NOISE)]
-            nxt: dict[tuple[int, int], tuple[float, str]] = {}
+                options = [(x, IMITATED) for x in IMITATES.get(ch, "")] + [("", LOST if ch in IMITATES and i >= loose else NOISE)]
+            nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, out) in states.items():
                 for emitted, cost in options:
                     if emitted:
                         c = ord(emitted) - 96 if "a" <= emitted <= "z" else OTHER
-                        key, s, o = (b, c), score + cost + lm[a][b][c], out + emitted
+                        key, s, o = (b, c), score + cost + lm[a][b][c], (out, emitted)
                     else:
                         key, s, o = (a, b), score + cost, out
                     if key not in nxt or s > nxt[key][0]:
                         nxt[key] = (s, o)
             states = nxt
-        return max((score + lm[a][b][0], out) for (a, b), (score, out) in states.items())
+        if len(found) < len(cuts):
+            found.append(self.ending(states))
+        return found
+
+    def ending(self, states: dict[tuple[int, int], tuple[float, tuple | None]]) -> tuple[float, str]:
+        score, out = max(((score + self.lm[a][b][0], out) for (a, b), (score, out) in states.items()), key=lambda x: x[0])
+        letters = []
+        while out:
+            out, last = out
+            letters.append(last)
+        return score, "".join(reversed(letters))
 
     def word(self, raw: str) -> str:
-        """The restored form of one lower-case word."""
-        bare = raw.strip(EDGE)
-        if bare.isalpha() and not LETTERS_RUN.search(bare):
-            return bare  # marks at the edge are punctuation
-        if len(raw) > 40 or not any(c.isalpha() for c in raw):
-            return bare
-        return self.viterbi(raw.lstrip(",.;:?\"'()[]").rstrip(EDGE))
+        """The likeliest restored form of one lower-case word."""
+        return self.forms(raw)[0]
+
+    def forms(self, raw: str) -> list[str]:
+        """The restored forms of one lower-case word, the likeliest first; more than one if it has marks at its edges that imitate letters, or a doubled letter."""
+        bare, marked = raw.strip(EDGE), raw.strip(IDLE)
+        plain = bare.isalpha()
+        if plain and bare == marked and not DOUBLE.search(bare):
+            return [bare]  # marks at the edge are punctuation
+        if len(raw) > 40 or not any(c.isalpha() or c in IMITATES and not c.isdigit() for c in raw):
+            return [bare]
+        lead = len(marked) - len(marked.lstrip(EDGE)) if bare else 0
+        end, size = lead + len(bare), len(marked)
+        cuts = [i for i in range(max(end, 1), size + 1) if i in (end, size) or marked[i] != marked[i - 1]]  # marks after a cut are punctuation
+        read = self.endings(marked, cuts)
+        if lead:  # each mark of the beginning a letter, or as is likelier, or punctuation
+            read += self.endings(marked, cuts, lead) + [(s + NOISE * lead, x) for s, x in self.endings(marked[lead:], [i - lead for i in cuts])]
+        read = sorted(((s + NOISE * (size - i), x) for (s, x), i in zip(read, cuts * 3)), reverse=True)
+        return list(dict.fromkeys([x for _, x in read] + ([bare] if plain else [])))
 
     def counts(self, text: str | None) -> Counter:
         """Marks of the restored words with their counts."""
@@ -140,7 +174,7 @@ class Restorer:
             if shown is None:
                 if len(known) > (20_000 if self.wanted is None else 100_000):
                     known.clear()
-                shown = known[raw] = self.shown(self.word(raw))
+                shown = known[raw] = tuple(dict.fromkeys(m for form in self.forms(raw) for m in self.shown(form)))
             for m in shown:
                 found[m] += n
             if len(raw) == 1:
