@@ -251,6 +251,13 @@ def test_restoration_of_edges_and_doubles(spark):
     assert {w: r.word(w) for w in ("$tupid", "(lown", "!diot", "idiiot", "mill", "(clown)", "1995")} == {"$tupid": "stupid", "(lown": "clown", "!diot": "idiot", "idiiot": "idiot", "mill": "mill", "(clown)": "clown", "1995": "1995"}
 
 
+def test_spaced_run_is_read_to_its_end(spark):
+    r = toxicity.Restorer(insult_model(spark), {"idiot": 0, "stupid": 0})
+    run = " ".join("theriverrunsbythemill" * 20)
+    found = r.counts(f"{run} {' '.join('idiot')} {run} {' '.join('stup1d')}")
+    assert found["idiot"] == 1 and found["stupid"] == 1
+
+
 def test_viterbi_is_the_best_path(toxic_model):
     lm = toxic_model[2]
     r = toxicity.Restorer(lm)

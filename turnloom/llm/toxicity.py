@@ -181,7 +181,7 @@ class Restorer:
                 singles += n
         if singles >= 3:
             for m in SPACED.finditer(low):
-                letters = self.viterbi(re.sub(r"[\s._*\-]+", "", m[0])[:200])
+                letters = self.viterbi(re.sub(r"[\s._*\-]+", "", m[0]))  # linear, so the whole run
                 found.update(x for size in range(3, min(len(letters), 14) + 1) for at in range(len(letters) - size + 1) for x in self.shown(letters[at : at + size])[:1])
         return found
 
