@@ -258,6 +258,14 @@ def test_spaced_run_is_read_to_its_end(spark):
     assert found["idiot"] == 1 and found["stupid"] == 1
 
 
+def test_spaced_and_long_words_without_gates(spark):
+    r = toxicity.Restorer(insult_model(spark), {"stupid": 0, "scum": 0})
+    for text in ("s. t. u. p. i. d.", "he is s t u p ! d", "$ t u p i d", "st" + "u" * 60 + "pid", ".....".join("stupid") + "." * 50, "st" + "u" * 100_000 + "pid"):
+        assert r.counts(text)["stupid"] == 1, text[:80]
+    assert r.counts("you $ c u m")["scum"] == 1
+    r.counts("_ " * 5000 + "__" * 5000 + "x")  # a search that went back over its gaps would not end
+
+
 def test_viterbi_is_the_best_path(toxic_model):
     lm = toxic_model[2]
     r = toxicity.Restorer(lm)

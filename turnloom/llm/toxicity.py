@@ -42,7 +42,9 @@ IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g
 SAME, IMITATED, NOISE, DRAWN_OUT, DOUBLED, LOST = -0.05, -1.5, -1.0, -0.7, -3.5, -7.0
 N_CLASSES = 28
 OTHER = 27
-SPACED = re.compile(r"(?<!\w)\w(?:[\s._*\-]+\w){2,}(?!\w)")
+UNIT = rf"(?:[^\W_]|[{re.escape(''.join(c for c in IMITATES if not c.isalnum()))}])"
+#: Three or more single letters or imitating characters; no character is both that and a gap, so a search is linear.
+SPACED = re.compile(rf"(?<![^\W_]){UNIT}(?:[\s._*\-]+{UNIT}){{2,}}(?![^\W_])")
 DOUBLE = re.compile(r"(.)\1")
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”„«»‘’–—¿¡"
 #: Marks that imitate no letter, so at an edge they are punctuation.
@@ -151,7 +153,7 @@ class Restorer:
         plain = bare.isalpha()
         if plain and bare == marked and not DOUBLE.search(bare):
             return [bare]  # marks at the edge are punctuation
-        if len(raw) > 40 or not any(c.isalpha() or c in IMITATES and not c.isdigit() for c in raw):
+        if not any(c.isalpha() or c in IMITATES and not c.isdigit() for c in raw):
             return [bare]
         lead = len(marked) - len(marked.lstrip(EDGE)) if bare else 0
         end, size = lead + len(bare), len(marked)
@@ -162,27 +164,34 @@ class Restorer:
         read = sorted(((s + NOISE * (size - i), x) for (s, x), i in zip(read, cuts * 3)), reverse=True)
         return list(dict.fromkeys([x for _, x in read] + ([bare] if plain else [])))
 
+    def shown_by(self, raw: str) -> tuple[str, ...]:
+        return tuple(dict.fromkeys(m for form in self.forms(raw) for m in self.shown(form)))
+
     def counts(self, text: str | None) -> Counter:
         """Marks of the restored words with their counts."""
         found: Counter = Counter()
         if not text:
             return found
         low = text.lower()
-        known, singles = self.known, 0
+        known = self.known
         for raw, n in Counter(low.split()).items():
             shown = known.get(raw)
             if shown is None:
                 if len(known) > (20_000 if self.wanted is None else 100_000):
                     known.clear()
-                shown = known[raw] = tuple(dict.fromkeys(m for form in self.forms(raw) for m in self.shown(form)))
+                shown = known[raw] = self.shown_by(raw)
             for m in shown:
                 found[m] += n
-            if len(raw) == 1:
-                singles += n
-        if singles >= 3:
-            for m in SPACED.finditer(low):
-                letters = self.viterbi(re.sub(r"[\s._*\-]+", "", m[0]))  # linear, so the whole run
-                found.update(x for size in range(3, min(len(letters), 14) + 1) for at in range(len(letters) - size + 1) for x in self.shown(letters[at : at + size])[:1])
+        for m in SPACED.finditer(low):
+            letters = self.viterbi(re.sub(r"[\s._*\-]+", "", m[0]))  # linear, so the whole run
+            start, end = m.span()
+            while start and low[start - 1] in EDGE:
+                start -= 1
+            while end < len(low) and low[end] in EDGE:
+                end += 1
+            alone = len(m[0].split()) == 1 and (start == 0 or low[start - 1].isspace()) and (end == len(low) or low[end].isspace())
+            told = self.shown_by(low[start:end]) if alone else ()  # a dotted word was counted as a word
+            found.update(x for size in range(3, min(len(letters), 14) + 1) for at in range(len(letters) - size + 1) for x in self.shown(letters[at : at + size])[:1] if x not in told)
         return found
 
 
