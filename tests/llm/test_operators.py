@@ -90,6 +90,22 @@ def test_url_rules_and_reputation(spark):
     assert url_reputation.judge_pages(pages.limit(0), none).count() == 0
 
 
+def test_unlabelled_hosts_take_their_prior(spark):
+    """With every_host, hosts without labels are judged by domain, else suffix, else the overall rate."""
+    rows = [(100 * h + i, f"http://h{h}.{'bad.xyz' if h < 10 else 'good.com'}/{i}") for h in range(20) for i in range(40)]
+    outcomes = spark.createDataFrame([(p, int(p < 1000)) for p, _ in rows], "page_id long, bad int")
+    more = [(9000, "http://new.bad.xyz/"), (9001, "http://new.good.com/"), (9002, "http://other.xyz/"), (9003, "http://a.nowhere/")]
+    pages = spark.createDataFrame(rows + more, "page_id long, url string")
+    got = {r["page_id"]: r for r in url_reputation.judge_pages(pages, outcomes, every_host=True).collect()}
+    assert len(got) == len(rows) + 4 and [got[i]["n_labelled"] for i in range(9000, 9004)] == [0] * 4
+    assert got[9000]["verdict"] == "block" and got[9000]["bound"] > 0.5 and got[9001]["verdict"] == "allow" and got[9001]["bound"] < 0.5
+    assert got[9000]["posterior"] >= got[9002]["posterior"] > got[9003]["posterior"] == 0.5 > got[9001]["posterior"]
+    none = url_reputation.judge_pages(pages, outcomes.limit(0), every_host=True).collect()
+    assert {(r["verdict"], r["posterior"]) for r in none} == {("allow", None)}
+    old = {r["page_id"]: r for r in url_reputation.judge_pages(pages, outcomes).collect()}
+    assert all(old[p] == got[p] for p, _ in rows)
+
+
 def test_registered_domain(spark):
     df = spark.createDataFrame([("a.b.example.com",), ("a.b.co.uk",), ("localhost",), ("",)], "h string")
     d = url_reputation.registered_domain(F.col("h"))

@@ -7,8 +7,9 @@ of moments around the parent's mean, k = (1 - rho) / rho pseudo-pages. A host is
 posterior bound, mean - z * sd of its Beta, exceeds ``max_bad``: little evidence never blocks.
 
 Scale: pages are folded to one row a labelled host with map-side aggregation, so a hot host costs one
-row a task; the two prior strengths are scalars. Hosts without labels take the posterior of their
-domain or suffix, and that never blocks by itself: a bound needs pages of the host.
+row a task; the prior strengths are scalars. Hosts without labels have no posterior and are allowed, as the
+query's SQL has it, unless ``every_host`` is asked for: then they are judged by the bound of their prior, whose
+mean is that of their domain, else of their suffix, else the overall rate. The query doesn't ask for it.
 
 Defined cases: null urls and urls without :// have an empty host and path, fit no rule and are allowed
 unless that empty host's own labels block it; repeated labels of a page count each; a page is never
@@ -70,8 +71,8 @@ def _strength(units: DataFrame, parent: str) -> float:
     return (1 - rho) / rho
 
 
-def host_posteriors(outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """outcomes: (host, bad 0/1). One row a host: n_labelled, posterior, bound."""
+def host_posteriors(outcomes: DataFrame, z: float = Z, others: DataFrame | None = None) -> DataFrame:
+    """outcomes: (host, bad 0/1). One row a host: n_labelled, posterior, bound; also of the hosts in ``others`` without outcomes, if there are any outcomes."""
     hosts = staged(outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("domain"))), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -85,15 +86,20 @@ def host_posteriors(outcomes: DataFrame, z: float = Z) -> DataFrame:
     domains = domains.select("domain", shrunk(k_d, F.col("p_suffix")).alias("p_domain"))
     hosts = hosts.join(domains, "domain")
     k_h = _strength(hosts, "p_domain")
+    if others is not None and whole[0]:
+        rest = others.select("host").distinct().join(hosts.select("host"), "host", "left_anti").withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("domain")))
+        rest = rest.join(domains, "domain", "left").join(suffixes, "suffix", "left").withColumn("p_domain", F.coalesce("p_domain", "p_suffix", F.lit(overall)))
+        hosts = hosts.select("host", "n", "bad", "p_domain").unionByName(rest.select("host", F.lit(0).alias("n"), F.lit(0).alias("bad"), "p_domain"))
     a, b = F.col("bad") + k_h * F.col("p_domain"), F.col("n") - F.col("bad") + k_h * (1 - F.col("p_domain"))
     mean = a / (a + b)
     return hosts.select("host", F.col("n").alias("n_labelled"), mean.alias("posterior"), (mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("bound"))
 
 
-def judge_pages(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = MAX_BAD, z: float = Z) -> DataFrame:
-    """pages: (page_id, url); outcomes: (page_id, bad). Returns page_id, host, path, rule, verdict, n_labelled, posterior, bound."""
+def judge_pages(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = MAX_BAD, z: float = Z, every_host: bool = False) -> DataFrame:
+    """pages: (page_id, url); outcomes: (page_id, bad). Returns page_id, host, path, rule, verdict, n_labelled, posterior, bound.
+    every_host: hosts without outcomes are judged by their prior."""
     judged = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    hosts = staged(host_posteriors(judged.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id").select("host", "bad"), z), "reputation")
+    hosts = staged(host_posteriors(judged.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id").select("host", "bad"), z, judged if every_host else None), "reputation")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") > max_bad, "block").otherwise("allow")
     return judged.join(hosts, "host", "left").select(
