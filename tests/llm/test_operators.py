@@ -431,6 +431,25 @@ def test_sentencepiece_equals_the_library(spark):
     assert sentencepiece_codec.encode_digests(empty(spark), model).count() == 0
 
 
+def test_each_new_segment_is_checked():
+    """One wrong merge raises, whichever segment it is in, and so does one in a long text."""
+    model = sentencepiece_codec.public_model()
+    segments = [sentencepiece_codec.SPACE + w for w in "the river runs by a mill and its wheel turns slowly under old stones where moss grows".split()]
+    agenda = sentencepiece_codec.Agenda(model)
+    right = agenda.merge_all
+    for wrong in segments:
+        agenda.cache.clear()
+        agenda.merge_all = lambda part: [x + x[-1:] if s == wrong else x for s, x in zip(part, right(part))]
+        with pytest.raises(AssertionError):
+            agenda.learn(set(segments))
+    agenda.merge_all = right
+    agenda.cache.clear()
+    agenda.learn(set(segments))
+    agenda.cache[segments[1]] += agenda.cache[segments[1]]
+    with pytest.raises(AssertionError):
+        sentencepiece_codec._digest(["the river " * 1000], agenda)
+
+
 def test_sentencepiece_round_trip(spark):
     model = sentencepiece_codec.public_model()
     docs = docs_of(spark, [(1, "Grain of the mill,\n  twice ground.", "s"), (2, "", "s")])
