@@ -295,10 +295,3 @@ def test_training_lowers_the_loss(spark):
     assert losses[-1] < losses[0] - 0.1
     after = network.window_losses(windows, net, "k").agg(F.avg("loss")).first()[0]
     assert after < losses[0]
-
-
-def test_entry_works_without_optional_parts(spark):
-    import __spark_entry__
-
-    assert __spark_entry__.entry(spark).count() == 1
-    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
