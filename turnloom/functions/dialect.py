@@ -61,6 +61,16 @@ class Dialect:
         there = f"list_filter([{', '.join(texts)}], lambda x: x IS NOT NULL)"
         return f"({there})[({index}) % greatest(len({there}), 1) + 1]"
 
+    def lateral(self, upto: str, alias: str) -> str:
+        """A FROM item after a table that repeats each of its rows for alias = 0 .. upto (an expression, not negative)."""
+        return f"LATERAL VIEW explode(sequence(0, cast({upto} as int))) AS {alias}" if self.spark else f"CROSS JOIN LATERAL unnest(range(cast({upto} as int) + 1)) AS t_{alias}({alias})"
+
+    def lines(self, order: str, line: str) -> str:
+        """Aggregate: lines joined by newlines in the order of a number."""
+        if self.spark:
+            return f"array_join(transform(array_sort(collect_list(struct({order} as o, {line} as l))), x -> x.l), '\n')"
+        return f"string_agg({line}, chr(10) ORDER BY {order})"
+
     def filled(self, template: str, values: dict[str, str]) -> str:
         """The template (an expression) with placeholders replaced by expressions."""
         for name, value in values.items():
@@ -71,13 +81,17 @@ class Dialect:
 class Held(Dialect):
     """Draws are read from columns d0, d1, ... that ``held`` adds: each is computed once a row, and expressions stay short."""
 
+    def __init__(self, dialect: Dialect):
+        self.spark = dialect.spark
+
     def draw(self, seed: int, key: str, counter: int | str) -> str:
         return f"d{counter}"
 
 
-def held(dialect: Dialect, seed: int, key: str, counters: range) -> list[str]:
+def held(dialect: Dialect, seed: int, key: str, counters) -> list[str]:
     """Select list of the draws as columns."""
     return [f"{dialect.draw(seed, key, i)} AS d{i}" for i in counters]
 
 
-SPARK, DUCKDB, HELD = Dialect("spark"), Dialect("duckdb"), Held("spark")
+SPARK, DUCKDB = Dialect("spark"), Dialect("duckdb")
+HELD = Held(SPARK)

@@ -1,77 +1,143 @@
-"""Whole generated conversations: one row a conversation, built in order from a key's draws.
+"""Whole generated conversations and corpora, stated once for Spark and DuckDB as common table expressions.
 
-A conversation's turns depend on each other (its subject, how long it has become), so each is assembled in
-one Python call inside Arrow batches; rows are independent, and the text depends on (seed, key) alone.
+A conversation is laid out as units: a sum, or an exchange of one kind, a known one with up to three that follow it.
+Units are drawn apart from each other by (conversation, unit), so no row waits for another; they are numbered in
+order and cut at the conversation's length. Every turn has a thought, a reply, and the plain form that stands alone.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-
-from turnloom.operators.dialogue import ABOUT, AFTER, ASKS, FACTS, HELLOS, SOCIAL
-
-LENGTHS = (2, 4, 4, 6, 6, 6, 8, 8, 8, 10, 10, 12, 12, 14, 16, 18, 20)
-FOLLOW_UPS, PIVOTS = (38, 34, 20, 8), ["And what of {np}?", "Now tell me of {np}.", "Next, {np}."]
-MORE = ["Say more.", "And then?", "Is that all?", "Does it last?"]
-ANSWERS = ["{It} does its work and rests.", "There is little more to {np}.", "With care {it} lasts.", "That is the heart of it."]
-
-
-class Draws:
-    def __init__(self, seed: int, key: int):
-        self.seed, self.key, self.at = seed, key, 0
-
-    def number(self, below: int) -> int:
-        self.at += 1
-        return int(hashlib.md5(f"{self.seed}:{self.key}:{self.at}".encode()).hexdigest()[:8], 16) % below
-
-    def one(self, pool):
-        return pool[self.number(len(pool))]
-
-    def weighted(self, weights) -> int:
-        at = self.number(sum(weights))
-        for i, w in enumerate(weights):
-            at -= w
-            if at < 0:
-                return i
-        return len(weights) - 1
-
-
-def conversation(seed: int, key: int, sums: int = 0) -> list[tuple[str, str]]:
-    """(role, text) turns; ``sums`` is the share, in percent, of exchanges that are sums."""
-    d, turns = Draws(seed, key), []
-    length = d.one(LENGTHS)
-    if d.number(100) < 50:
-        turns += [("user", d.one(HELLOS) + "."), ("assistant", d.one(ABOUT) + ". " + d.one(ASKS))]
-    while len(turns) < length:
-        if d.number(100) < sums:
-            l, r = 1 + d.number(99), 1 + d.number(99)  # noqa: E741
-            turns += [("user", f"What is {l} + {r}?"), ("assistant", f"{l} + {r} = {l + r}.")]
-            continue
-        thing = d.one(sorted(FACTS))
-        np, it = ("an " if thing[0] in "aeiou" else "a ") + thing, "it"
-        ask = f"What is {np}?" if not turns else d.one(PIVOTS).format(np=np)
-        fact = FACTS[thing]
-        said = f"{np.capitalize()} {fact}." + (" " + d.one(AFTER) if d.number(100) < 35 else "")
-        turns += [("user", ask), ("assistant", said)]
-        for _ in range(d.weighted(FOLLOW_UPS)):
-            if len(turns) >= length:
-                break
-            turns += [("user", d.one(MORE)), ("assistant", d.one(ANSWERS).format(np=np, it=it, It="It"))]
-    if d.number(100) < 45:
-        turns += [("user", d.one(SOCIAL["bye"][0])), ("assistant", d.one(SOCIAL["bye"][1]))]
-    return turns
-
-
-def conversations(keys: DataFrame, seed: int, sums: int = 0) -> DataFrame:
-    """keys: (conv_id). conv_id, turn, role, text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, i, role, text) for k in pdf["conv_id"] for i, (role, text) in enumerate(conversation(seed, k, sums))]
-            yield pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])
-
-    return keys.select("conv_id").mapInPandas(run, "conv_id long, turn long, role string, text string")
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from turnloom.functions.arithmetic import OTHERS, Workings, other_problem
+from turnloom.functions.dialect import SPARK, Dialect, Held, held
+from turnloom.functions.markers import BOT, END, START, THINK, USER
+from turnloom.operators import dialogue
+
+FOLLOW_UPS = [38, 34, 20, 8]
+WORDING = ["What is {p}?", "Please do {p}.", "{p} = ?", "Find {p}.", "How much is {p}?"]
+TOTALS = ["{n}.", "It is {n}.", "That gives {n}."]
+SIGNS = "+-*/"
+AGAIN, AGAIN_LEAD = ["Show it another way.", "Is there a second way?", "And by another road?"], ["Differently: ", "Or so: "]
+
+
+def operands(d: Dialect, seed: int, key: str) -> list[str]:
+    """op, l, r by weight: operations 35/30/25/10, sizes 20/40/40; draws 0 to 7."""
+    draw, span = lambda i: d.draw(seed, key, i), lambda i, low, high: d.between(seed, key, i, low, high)
+    op, size = d.weighted(seed, key, 0, [35, 30, 25, 10]), d.weighted(seed, key, 1, [20, 40, 40])
+    low, high = f"(CASE {size} WHEN 0 THEN 1 WHEN 1 THEN 10 ELSE 100 END)", f"(CASE {size} WHEN 0 THEN 9 WHEN 1 THEN 99 ELSE 999 END)"
+    a, b, by = span(2, low, high), span(3, low, high), span(6, 2, 12)
+    ordered = f"{draw(4)} % 100 < 85"
+    factor = f"(CASE WHEN {draw(4)} % 100 < 70 THEN {span(5, 2, 12)} ELSE {span(5, 2, 25)} END)"
+    exact = f"(CASE WHEN {draw(4)} % 100 < 70 THEN {by} * {span(7, 2, 30)} ELSE {a} END)"
+    l = f"CASE {op} WHEN 1 THEN (CASE WHEN {ordered} THEN greatest({a}, {b}) ELSE {a} END) WHEN 3 THEN {exact} ELSE {a} END"  # noqa: E741
+    r = f"CASE {op} WHEN 1 THEN (CASE WHEN {ordered} THEN least({a}, {b}) ELSE {b} END) WHEN 2 THEN {factor} WHEN 3 THEN {by} ELSE {b} END"
+    return [f"cast({op} as int) AS op", f"cast({l} as bigint) AS l", f"cast({r} as bigint) AS r"]
+
+
+def worded(d: Dialect, seed: int, key: str) -> str:
+    """The question that asks for l op r (columns)."""
+    sign = "(CASE op " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SIGNS)) + " END)"
+    shown = f"(CASE WHEN {d.draw(seed, key, 10)} % 2 = 0 THEN {d.text('l')} || ' ' || {sign} || ' ' || {d.text('r')} ELSE {d.text('l')} || {sign} || {d.text('r')} END)"
+    return f"replace({d.choice(seed, key, 12, WORDING)}, '{{p}}', {shown})"
+
+
+def working(d: Dialect, seed: int, key: str, further: int = 0) -> str:
+    """One of the workings of l op r that apply; ``further`` counts on from the drawn one."""
+    ways = [d.one_of(list(Workings(d).methods(op).values()), f"({d.draw(seed, key, 11)} + {further})") for op in SIGNS]
+    return "CASE op " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(ways)) + " END"
+
+
+def how_many(d: Dialect) -> str:
+    """How many workings of l op r apply."""
+    count = lambda op: " + ".join(f"(CASE WHEN ({w}) IS NULL THEN 0 ELSE 1 END)" for w in Workings(d).methods(op).values())
+    return "CASE op " + " ".join(f"WHEN {i} THEN {count(op)}" for i, op in enumerate(SIGNS)) + " END"
+
+
+def total(d: Dialect, seed: int, key: str) -> str:
+    """The short answer to l op r, once the working is done."""
+    short = lambda n: f"replace({d.choice(seed, key, 13, TOTALS)}, '{{n}}', {d.text(n)})"
+    rest = f"CASE WHEN l % r = 0 THEN {short(d.div('l', 'r'))} ELSE {d.text(d.div('l', 'r'))} || ' and ' || {d.text('l % r')} || ' over.' END"
+    return f"CASE op WHEN 0 THEN {short('(l + r)')} WHEN 1 THEN {short('(l - r)')} WHEN 2 THEN {short('(l * r)')} ELSE {rest} END"
+
+
+def sum_columns(d: Dialect, seed: int, key: str) -> list[str]:
+    """question, working, answer of a sum turn over the columns op, l, r; three in ten are of another kind. Draws 1 to 3 and 10 to 15."""
+    kinds = list(OTHERS)
+    parts = {k: other_problem(d, k, seed, key) for k in kinds}
+    other = lambda i: f"CASE {d.draw(seed, key, 15)} % {len(kinds)} " + " ".join(f"WHEN {n} THEN {parts[k][i]}" for n, k in enumerate(kinds)) + " END"
+    plain = (worded(d, seed, key), working(d, seed, key), total(d, seed, key))
+    return [f"CASE WHEN {d.draw(seed, key, 14)} % 10 < 3 THEN {other(i)} ELSE {plain[i]} END AS {name}" for i, name in enumerate(("question", "working", "answer"))]
+
+
+def conversation_ctes(d: Dialect, keys: str, seed: int, sums: int) -> str:
+    """CTEs; the last, ``turns``, has conv_id, exchange, prompt, thought, reply, plain. keys: a relation of conv_id;
+    sums: the percentage of units that are sums."""
+    unit, own, h = "(cast(conv_id as string) || ':' || cast(u as string))", "conv_id", Held(d)
+    draw = lambda i: d.draw(seed, unit, i)
+    kind = f"CASE WHEN {draw(40)} % 100 < {sums} THEN 'sum' ELSE {d.pick([k for k, w in dialogue.KINDS.items() for _ in range(w // 2)], draw(41))} END"
+    edge = {"open": (42, 50, "greet", -1), "close": (43, 45, "bye", 99)}
+    made = {k: dialogue.turn(h, seed, unit, k) for k in [*dialogue.KINDS, "more"]}
+    pick = lambda i: "CASE WHEN i > 0 THEN " + made["more"][i] + " ".join(f" WHEN kind = '{k}' THEN {made[k][i]}" for k in dialogue.KINDS) + " END"
+    ends = " UNION ALL ".join(
+        f"SELECT conv_id, {at} AS u, 0 AS i, {d.choice(seed, own, counter + 10, dialogue.SOCIAL[pool][0])} AS prompt, {dialogue.quoted(dialogue.THOUGHTS['social'])} AS thought, {d.choice(seed, own, counter + 20, dialogue.SOCIAL[pool][1])} AS reply, cast(null as {'string' if d.spark else 'varchar'}) AS plain FROM keys WHERE {d.draw(seed, own, counter)} % 100 < {share}"
+        for counter, share, pool, at in edge.values()
+    )
+    length = f"(2 + least({d.draw(seed, own, 44)} % 19, {d.draw(seed, own, 45)} % 19 + 3))"
+    return f"""keys AS (SELECT DISTINCT conv_id FROM {keys}),
+units AS (SELECT conv_id, n, u, {kind} AS kind, {d.weighted(seed, unit, 46, FOLLOW_UPS)} AS more FROM (SELECT conv_id, {length} AS n FROM keys) k {d.lateral('19', 'u')}),
+laid AS (SELECT conv_id, n, u, kind, i FROM units {d.lateral("(CASE WHEN kind = 'known' THEN more ELSE 0 END)", 'i')}),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY u, i) AS place FROM laid) x WHERE place <= n),
+drawn AS (SELECT conv_id, u, i, kind, {', '.join(held(d, seed, unit, range(21)))} FROM cut),
+talk AS (SELECT conv_id, u, i, {pick(0)} AS prompt, {pick(2)} AS thought, {pick(1)} AS reply, cast(null as {'string' if d.spark else 'varchar'}) AS plain FROM drawn WHERE kind <> 'sum'),
+given AS (SELECT *, {', '.join(operands(h, seed, unit))} FROM drawn WHERE kind = 'sum'),
+summed AS (SELECT conv_id, u, i, {', '.join(sum_columns(h, seed, unit))} FROM given),
+said AS (SELECT * FROM talk UNION ALL SELECT conv_id, u, i, question, working, answer, working FROM summed UNION ALL {ends}),
+turns AS (SELECT conv_id, cast(row_number() OVER (PARTITION BY conv_id ORDER BY u, i) - 1 as int) AS exchange, prompt, thought, reply, coalesce(plain, reply) AS plain FROM said)"""
+
+
+def forms_cte(d: Dialect, name: str = "forms") -> str:
+    """conv_id, thinking, plain: the conversation of ``turns`` in both forms, without the start marker's line."""
+    ask = f"'{USER}' || prompt || '{END}\\n{BOT}'" if d.spark else f"'{USER}' || prompt || '{END}' || chr(10) || '{BOT}'"
+    return f"{name} AS (SELECT conv_id, {d.lines('exchange', f'''{ask} || thought || '{THINK}' || reply || '{END}' ''')} AS thinking, {d.lines('exchange', f'''{ask} || plain || '{END}' ''')} AS plain FROM turns GROUP BY conv_id)"
+
+
+def conversations(spark: SparkSession, keys: DataFrame, seed: int, sums: int = 30) -> DataFrame:
+    """keys: (conv_id). conv_id, exchange, prompt, thought, reply, plain."""
+    return spark.sql(f"WITH {conversation_ctes(SPARK, named(keys), seed, sums)} SELECT * FROM turns")
+
+
+def named(df: DataFrame) -> str:
+    """A temporary view of df, to be named in SQL text (whose own braces rule out spark.sql's parameters)."""
+    name = f"turnloom_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
+def mixture_sql(d: Dialect, blocks: str, seed: int, composed: int, think: int, math: int, thinking_on: bool) -> str:
+    """A query of conv_id, branch, text, size: every block of ``blocks`` (conv_id, place, role, body) once, replaced by a
+    generated conversation in ``composed`` of a hundred cases, else framed anew. Of the generated ones one draw gives
+    ``think`` of a hundred to thinking, the next ``math`` to sums, the rest to talk. User lines are roughened. A thinking
+    conversation counts with its thinking form, whichever is written."""
+    key, h = "conv_id", Held(d)
+    role = f"CASE WHEN {d.draw(seed, key, 60)} % 100 >= {composed} THEN 'reframed' WHEN {d.draw(seed, key, 61)} % 100 < {think} THEN 'thinking' WHEN {d.draw(seed, key, 61)} % 100 < {think + math} THEN 'math' ELSE 'talk' END"
+    line_key = "(cast(conv_id as string) || ':' || cast(place as string))"
+    rough = dialogue.roughened(d, seed + 1, line_key, "body")
+    newline = "'\\n'" if d.spark else "chr(10)"
+    social = lambda at, counter: f"SELECT conv_id, {at} + s AS place, CASE WHEN s = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN s = 0 THEN {dialogue.social_exchange(d, seed + 2, f'(cast(conv_id as string) || {dialogue.quoted(str(at))})')[0]} ELSE {dialogue.social_exchange(d, seed + 2, f'(cast(conv_id as string) || {dialogue.quoted(str(at))})')[1]} END AS body, branch FROM branches {d.lateral('1', 's')} WHERE branch = 'reframed' AND {d.draw(seed, key, counter)} % 100 < 18"
+    bot = f"CASE WHEN branch = 'thinking' THEN thought || '{THINK}' || reply ELSE plain END" if thinking_on else "plain"
+    exchange = lambda relation, which: f"SELECT t.conv_id, 2 * exchange + s AS place, CASE WHEN s = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN s = 0 THEN prompt ELSE {bot} END AS body, branch FROM {relation} t JOIN branches b ON b.conv_id = t.conv_id {d.lateral('1', 's')} WHERE branch {which}"
+    return f"""WITH blocks AS (SELECT * FROM {blocks}), {conversation_ctes(d, 'blocks', seed + 3, 35)},
+branches AS (SELECT conv_id, {role} AS branch FROM keys),
+sums_drawn AS (SELECT conv_id, u, {', '.join(held(d, seed + 4, "(cast(conv_id as string) || ':m' || cast(u as string))", [*range(14), 63, 64, 65]))} FROM (SELECT conv_id, {d.weighted(seed, key, 62, [60, 30, 10])} AS more FROM branches WHERE branch = 'math') m {d.lateral('more', 'u')}),
+sums_given AS (SELECT *, {', '.join(operands(h, 0, ''))} FROM sums_drawn),
+worked AS (SELECT conv_id, u, {worded(h, 0, '')} AS question, {working(h, 0, '')} AS working, CASE WHEN {how_many(h)} > 1 AND d63 % 100 < 35 THEN {h.choice(0, '', 64, AGAIN)} END AS again, {h.choice(0, '', 65, AGAIN_LEAD)} || {working(h, 0, '', 1)} AS other_way FROM sums_given),
+math_lines AS (SELECT conv_id, 4 * u + s AS place, CASE WHEN s % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, CASE s WHEN 0 THEN question WHEN 1 THEN working WHEN 2 THEN again ELSE other_way END AS body, 'math' AS branch FROM worked {d.lateral('(CASE WHEN again IS NULL THEN 1 ELSE 3 END)', 's')}),
+framed AS (SELECT conv_id, place, role, {dialogue.reframed_line(d, seed + 6, 'conv_id', 'place', 'role', 'body')} AS body, 'reframed' AS branch FROM blocks WHERE conv_id IN (SELECT conv_id FROM branches WHERE branch = 'reframed')),
+every AS (SELECT * FROM framed UNION ALL SELECT * FROM math_lines UNION ALL {social(-2, 66)} UNION ALL {social(1000000, 67)} UNION ALL {exchange('turns', "IN ('thinking', 'talk')")}),
+rough AS (SELECT conv_id, place, branch, CASE WHEN role = 'user' THEN '{USER}' || {rough} ELSE '{BOT}' || body END || '{END}' AS line FROM every),
+chunk AS (SELECT conv_id, branch, '{START}' || {newline} || {d.lines('place', 'line')} AS text FROM rough GROUP BY conv_id, branch),
+{forms_cte(d)}
+SELECT c.conv_id, branch, text, cast(greatest(length(text), CASE WHEN branch = 'thinking' THEN length(thinking) + 2 ELSE 0 END) + 1 as bigint) AS size FROM chunk c LEFT JOIN forms f ON f.conv_id = c.conv_id"""

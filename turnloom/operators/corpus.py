@@ -18,6 +18,12 @@ def turns(conversations: DataFrame) -> DataFrame:
     return conversations.where("role <> 'system'").select("conv_id", "turn", "role", "text", T.turn_line(F.col("role"), F.col("text")).alias("line"))
 
 
+def blocks_of(turns_: DataFrame) -> DataFrame:
+    """conv_id, place (from 0), role, body: a written conversation as the lines of a block."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return turns_.select("conv_id", place.alias("place"), "role", T.one_line(F.col("text")).alias("body"))
+
+
 def rendered(turns_: DataFrame) -> DataFrame:
     """conv_id, text: the start marker and the turns' lines. A conversation is one row, however many there are."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"])

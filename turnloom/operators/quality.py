@@ -1,13 +1,14 @@
 """Quality of replies against a training corpus: copies, novelty, spelling, variety, sums.
 
-Containment of a reply in a corpus is found by grams, not by trying every pair: the windows of 20
-characters of each corpus batch are hashed at once and looked up among the replies' first 20 characters,
-and where they meet the match is checked and extended. Replies without such a match are looked up by
-their shorter beginnings of every length. Each task sends at most one row a reply; replies are handled in blocks of bounded size.
+Containment of a reply in a corpus is found by grams, not by trying every pair. The beginnings of all replies, of 1 to
+20 characters, set places of a bitmap of fixed size; one pass over the corpus keeps, once a task, the windows that
+fall on a set place, and joins them with the beginnings by their text. A beginning of 20 characters that is found
+brings along the corpus' text behind it, and the match is extended. No reply reaches the driver.
 """
 
 from __future__ import annotations
 
+import os.path
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
+from turnloom.functions.markers import END
 from turnloom.functions.rolling import Windows
-from turnloom.session import staged
+from turnloom.session import small, spread, staged
 
-COPY_LENGTH, BLOCK = 20, 50_000
+COPY_LENGTH, PLACES, EXACT, FLUSH = 20, 1 << 22, 1_000_000, 100_000
+
+
+def _place(hashes: np.ndarray, n: int) -> np.ndarray:
+    x = (hashes ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(42)).astype(np.int64)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[str]:
@@ -37,85 +44,87 @@ def _batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator
         yield "\n".join(held)
 
 
-def _found(best: dict[int, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(list(best.values()), pa.int32())], ["at", "prefix"])
-
-
-def _long_matches(batches: Iterator[pa.RecordBatch], replies: list[str], k: int) -> Iterator[pa.RecordBatch]:
-    """(reply's place, longest prefix) for replies whose first k characters stand in the batches."""
-    starts: dict[int, list[int]] = {}
-    for i, r in enumerate(replies):
-        if len(r) >= k:
-            starts.setdefault(int(Windows(r[:k]).hashes(k)[0]), []).append(i)
-    wanted, best = np.array(sorted(starts), np.uint64), {}
-    for text in _batches(batches) if starts else ():
-        h = Windows(text).hashes(k)
-        for at in np.flatnonzero(np.isin(h, wanted)).tolist():
-            for i in starts[int(h[at])]:
-                r, n = replies[i], best.get(i, k - 1)
-                if n < len(r) and text.startswith(r[: n + 1], at):
-                    n += 1
-                    while n < len(r) and text.startswith(r[n], at + n):
-                        n += 1
-                    best[i] = n
-    yield _found(best)
-
-
-def _short_matches(batches: Iterator[pa.RecordBatch], replies: list[str], k: int) -> Iterator[pa.RecordBatch]:
-    """The longest prefix under k characters of each reply that stands in the batches."""
-    by_length = [{} for _ in range(k)]
-    for i, r in enumerate(replies):
-        for n in range(1, min(k - 1, len(r)) + 1):
-            by_length[n].setdefault(r[:n], []).append(i)
-    best: dict[int, int] = {}
-    for text in _batches(batches):
-        windows = None
-        for n in reversed(range(1, k)):  # what is found at a length needs no shorter one
-            left = {p: who for p, who in by_length[n].items() if any(best.get(i, 0) < n for i in who)}
-            if len(left) <= 64:
-                here = [p for p in left if p in text]
-            else:
-                windows = windows or Windows(text)
-                codes = {int(Windows(p).hashes(n)[0]): p for p in left}
-                here = [codes[h] for h in np.intersect1d(windows.hashes(n), np.array(sorted(codes), np.uint64)).tolist() if codes[h] in text]
-            for p in here:
-                for i in left[p]:
-                    best[i] = max(best.get(i, 0), n)
-    yield _found(best)
+def _wanted(replies: DataFrame, k: int, exact: int = EXACT) -> tuple[np.ndarray, list[np.ndarray] | None]:
+    """The bitmap of the replies' beginnings, and their hashes by length if there are ``exact`` at most. Neither grows beyond its bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: set[tuple[int, int, int]] = set()
+            for r in batch.column(0).to_pylist():
+                w = Windows(r[:k])
+                for n in range(1, min(k, len(r)) + 1):
+                    h = w.hashes(n)[:1]
+                    rows.add((n, int(h.view(np.int64)[0]), int(_place(h, n)[0])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], ["n", "h", "place"])
+
+    found = staged(replies.select("reply").mapInArrow(run, "n int, h long, place int").distinct(), "beginnings")
+    table = np.zeros(PLACES, bool)
+    table[found.select("place").distinct().toArrow().column(0).to_numpy()] = True
+    if found.count() > exact:
+        return table, None
+    n, h = (c.to_numpy() for c in found.select("n", "h").toArrow().columns)
+    return table, [np.sort(h[n == i].view(np.uint64)) for i in range(k)]
+
+
+def _met(lines: DataFrame, wanted: tuple[np.ndarray, list[np.ndarray] | None], k: int, longest: int) -> DataFrame:
+    """gram, rest: the corpus' windows of up to k characters on a wanted place; behind a window of k, the text that follows on its line,
+    up to ``longest`` characters with it. A shorter window is kept once a task where the hashes are known, else once a batch."""
+    shipped = lines.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, hashes = shipped.value
+        left, found = list(hashes) if hashes else None, set()
+
+        def out() -> pa.RecordBatch:
+            rows = list(found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.string()), pa.array([r for _, r in rows], pa.string())], ["gram", "rest"])
+
+        for text in _batches(batches):
+            w = Windows(text)
+            for n in range(1, k + 1):
+                if n < k and left is not None and not len(left[n]):
+                    continue  # all are found
+                h = w.hashes(n)
+                at = np.flatnonzero(table[_place(h, n)])
+                if n < k:
+                    if left is not None:
+                        at = at[np.isin(h[at], left[n])]
+                    new, first = np.unique(h[at], return_index=True)
+                    if left is not None:
+                        left[n] = np.setdiff1d(left[n], new, assume_unique=True)
+                    found.update((text[i : i + n], "") for i in at[first].tolist() if "\n" not in text[i : i + n])
+                else:
+                    for i in at.tolist():
+                        line = text[i : i + max(longest, k)].partition("\n")[0]
+                        if len(line) >= k:
+                            found.add((line[:k], line[k:]))
+                if len(found) > FLUSH:
+                    yield out()
+        yield out()
+
+    return spread(lines.select("line")).mapInArrow(run, "gram string, rest string")
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(reply, rest of the reply, rest of the corpus' line, n) to (reply, how far both agree)."""
+    for batch in batches:
+        reply, mine, theirs, n = (c.to_pylist() for c in batch.columns)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n[i] + len(os.path.commonprefix([mine[i], theirs[i]])) for i in range(len(reply))], pa.int32())], ["reply", "prefix"])
 
 
 def longest_prefixes(replies: DataFrame, lines: DataFrame, key: str, k: int = COPY_LENGTH) -> DataFrame:
     """key, length, prefix: the longest prefix of each reply (one line each) that stands in one of the lines."""
-    spark = replies.sparkSession
-    rows = replies.select("reply").where("length(reply) > 0").distinct().toLocalIterator()  # a block of replies at a time
-    schema, found, block = "at long, prefix int", [], []
-
-    def search(block: list[str]) -> None:
-        hits = lines.select("line").mapInArrow(lambda it: _long_matches(it, block, k), schema).groupBy("at").agg(F.max("prefix").alias("prefix")).collect()
-        best = {r["at"]: r["prefix"] for r in hits}
-        left = [i for i in range(len(block)) if i not in best]
-        if left:
-            short = [block[i] for i in left]
-            hits = lines.select("line").mapInArrow(lambda it: _short_matches(it, short, k), schema).groupBy("at").agg(F.max("prefix").alias("prefix")).collect()
-            best.update({left[r["at"]]: r["prefix"] for r in hits})
-        found.append(staged(spark.createDataFrame([(block[i], n) for i, n in best.items()], "reply string, prefix int"), "prefixes"))
-
-    for r in rows:
-        block.append(r["reply"])
-        if len(block) == BLOCK:
-            search(block)
-            block = []
-    if block:
-        search(block)
-    out = replies
-    if found:
-        union = found[0]
-        for f in found[1:]:
-            union = union.unionByName(f)
-        out = replies.join(union, "reply", "left")
-    else:
-        out = replies.withColumn("prefix", F.lit(None).cast("int"))
-    return out.select(key, F.length("reply").alias("length"), F.coalesce("prefix", F.lit(0)).alias("prefix"))
+    said = staged(replies.select("reply").where("length(reply) > 0").distinct(), "replies")
+    longest = said.agg(F.max(F.length("reply"))).first()[0]
+    if longest is None:
+        return replies.select(key, F.length("reply").alias("length"), F.lit(0).alias("prefix"))
+    starts = said.select("reply", F.explode(F.sequence(F.lit(1), F.least(F.length("reply"), F.lit(k)))).alias("n")).select("reply", "n", F.substr("reply", F.lit(1), F.col("n")).alias("gram"))
+    met = staged(_met(lines, _wanted(said, k), k, longest), "grams")
+    pairs = met.distinct().join(small(starts, 100_000), "gram")
+    grown = pairs.select("reply", F.substr("reply", F.col("n") + 1).alias("mine"), "rest", "n").mapInArrow(_extended, "reply string, prefix int")
+    best = grown.groupBy("reply").agg(F.max("prefix").alias("prefix"))
+    return replies.join(best, "reply", "left").select(key, F.length("reply").alias("length"), F.coalesce("prefix", F.lit(0)).alias("prefix"))
 
 
 def spelled(replies: DataFrame, words: DataFrame, key: str) -> DataFrame:
@@ -127,7 +136,7 @@ def spelled(replies: DataFrame, words: DataFrame, key: str) -> DataFrame:
 
 def word_vocabulary(texts: DataFrame) -> DataFrame:
     """w: the distinct words of a-z in the lower-cased texts."""
-    return texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("w")).distinct()
+    return spread(texts.select("text")).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("w")).distinct()
 
 
 def variety(reply: Column) -> Column:
@@ -136,18 +145,25 @@ def variety(reply: Column) -> Column:
     return F.when(F.length(reply) >= 3, F.size(F.array_distinct(grams)) / F.size(grams))
 
 
+def parted(raw: DataFrame, text: str = "raw") -> DataFrame:
+    """Adds thought, reply and ended of a model's raw output: what it says up to its end marker, without its thought."""
+    cut = F.regexp_extract(F.col(text), rf"(?s)^[^{END}]*", 0)
+    return raw.withColumns({"ended": F.contains(F.col(text), F.lit(END)), "thought": T.thought_of(cut), "reply": T.said_of(T.strip(cut))})
+
+
 def summary(replies: DataFrame, lines: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    """One row of quality figures over all replies."""
+    """One row of quality figures over all replies (key, reply, thought, ended)."""
     prefix = longest_prefixes(replies, lines, key)
     whole = replies.join(prefix, key).join(spelled(replies, words, key), key, "left").withColumn("variety", variety(F.col("reply")))
     copied = (F.col("length") >= COPY_LENGTH) & (F.col("prefix") == F.col("length"))
     spoke = F.col("length") > 0
     n = F.count("*")
+    share = lambda c: F.round(F.sum(c.cast("double")) / n, 6)
     return whole.agg(
-        n.alias("n"), F.round(F.avg("length"), 6).alias("mean_len"), F.round(F.avg((~spoke).cast("double")), 6).alias("empty"),
-        F.round(F.sum("n_known") / F.sum("n_words"), 6).alias("spelling"), F.round(F.avg("variety"), 6).alias("variety"),
-        F.round(F.sum(copied.cast("double")) / n, 6).alias("exact_copy"),
+        n.alias("n"), share(F.col("ended")).alias("format_ok"), F.round(F.avg("length"), 6).alias("mean_len"), share(~spoke).alias("empty"),
+        F.round(F.sum("n_known") / F.sum("n_words"), 6).alias("spelling"), F.round(F.avg("variety"), 6).alias("variety"), share(copied).alias("exact_copy"),
         F.round(F.sum((spoke & ~copied).cast("double")) / F.greatest(F.lit(1), F.sum(spoke.cast("long"))), 6).alias("new_sentences"),
         F.round(1 - F.sum("prefix") / F.greatest(F.lit(1), F.sum("length")), 6).alias("novelty"),
         F.round(F.avg(F.when(spoke, F.col("prefix"))), 6).alias("mean_copied_prefix"),
+        F.round(F.avg(F.length("thought")), 6).alias("mean_thought"), share(F.col("thought") != "").alias("thinks"),
     )

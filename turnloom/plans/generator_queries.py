@@ -55,40 +55,29 @@ def arith_other(spark, d):
     return drawn.selectExpr("doc_id", *_others(H))
 
 
-def _drawn(x) -> list[str]:
-    """An operation and operands by weight: sizes 20/40/40, operations 35/30/25/10."""
-    op, size = x.weighted(71, "doc_id", 0, [35, 30, 25, 10]), x.weighted(71, "doc_id", 1, [20, 40, 40])
-    low, high = f"(CASE {size} WHEN 0 THEN 1 WHEN 1 THEN 10 ELSE 100 END)", f"(CASE {size} WHEN 0 THEN 9 WHEN 1 THEN 99 ELSE 999 END)"
-    a, b = x.between(71, "doc_id", 2, low, high), x.between(71, "doc_id", 3, low, high)
-    ordered = f"{x.draw(71, 'doc_id', 4)} % 100 < 85"
-    factor = f"(CASE WHEN {x.draw(71, 'doc_id', 4)} % 100 < 70 THEN {x.between(71, 'doc_id', 5, 2, 12)} ELSE {x.between(71, 'doc_id', 5, 2, 25)} END)"
-    by = x.between(71, "doc_id", 6, 2, 12)
-    exact = f"(CASE WHEN {x.draw(71, 'doc_id', 4)} % 100 < 70 THEN {by} * {x.between(71, 'doc_id', 7, 2, 30)} ELSE {a} END)"
-    l = f"CASE {op} WHEN 1 THEN (CASE WHEN {ordered} THEN greatest({a}, {b}) ELSE {a} END) WHEN 3 THEN {exact} ELSE {a} END"  # noqa: E741
-    r = f"CASE {op} WHEN 1 THEN (CASE WHEN {ordered} THEN least({a}, {b}) ELSE {b} END) WHEN 2 THEN {factor} WHEN 3 THEN {by} ELSE {b} END"
-    return [f"cast({op} as int) AS op", f"cast({l} as bigint) AS l", f"cast({r} as bigint) AS r"]
-
-
-@_r.query(f"SELECT doc_id, {', '.join(_drawn(D))} FROM documents")
+@_r.query(f"SELECT doc_id, {', '.join(assemble.operands(D, 71, 'doc_id'))} FROM documents")
 def arith_operands(spark, d):
-    return table(spark, d, "documents").selectExpr("doc_id", *held(S, 71, "doc_id", range(8))).selectExpr("doc_id", *_drawn(H))
+    return table(spark, d, "documents").selectExpr("doc_id", *held(S, 71, "doc_id", range(8))).selectExpr("doc_id", *assemble.operands(H, 71, "doc_id"))
 
 
-_WORDING = ["What is {p}?", "Please do {p}.", "{p} = ?", "Find {p}.", "How much is {p}?"]
+_exchange = lambda x: [f"{assemble.worded(x, 73, 'doc_id')} AS question", f"{assemble.working(x, 73, 'doc_id')} AS answer"]
 
 
-def _exchange(x) -> list[str]:
-    sign = "(CASE op WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN '*' ELSE '/' END)"
-    shown = f"(CASE WHEN {x.draw(73, 'doc_id', 0)} % 2 = 0 THEN {x.text('l')} || ' ' || {sign} || ' ' || {x.text('r')} ELSE {x.text('l')} || {sign} || {x.text('r')} END)"
-    ways = [x.one_of(list(Workings(x).methods(op).values()), x.draw(73, "doc_id", 1)) for op in "+-*/"]
-    working = "CASE op " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(ways)) + " END"
-    return [f"replace({x.choice(73, 'doc_id', 2, _WORDING)}, '{{p}}', {shown}) AS question", f"{working} AS answer"]
-
-
-@_r.query(f"WITH o AS (SELECT doc_id, {', '.join(_drawn(D))} FROM documents) SELECT doc_id, {', '.join(_exchange(D))} FROM o")
+@_r.query(f"WITH o AS (SELECT doc_id, {', '.join(assemble.operands(D, 71, 'doc_id'))} FROM documents) SELECT doc_id, {', '.join(_exchange(D))} FROM o")
 def arith_exchange(spark, d):
     """A drawn problem, its wording, and the first method that applies from a drawn place on."""
-    return table(spark, d, "documents").selectExpr("doc_id", *held(S, 71, "doc_id", range(8))).selectExpr("doc_id", *_drawn(H)).selectExpr("doc_id", *_exchange(S))
+    drawn = arith_operands(spark, d).selectExpr("*", *held(S, 73, "doc_id", range(10, 13)))
+    return drawn.selectExpr("doc_id", *_exchange(H))
+
+
+_THINKING_SUM = lambda x: [*assemble.sum_columns(x, 77, "doc_id")]
+
+
+@_r.query(f"WITH o AS (SELECT doc_id, {', '.join(assemble.operands(D, 71, 'doc_id'))} FROM documents) SELECT *, working AS plain FROM (SELECT doc_id, {', '.join(_THINKING_SUM(D))} FROM o)")
+def thinking_sums(spark, d):
+    """A sum turn: question, working, short answer, and the plain form, which is the working."""
+    drawn = arith_operands(spark, d).selectExpr("*", *held(S, 77, "doc_id", [1, 2, 3, *range(10, 16)]))
+    return drawn.selectExpr("doc_id", *_THINKING_SUM(H)).withColumn("plain", F.col("working"))
 
 
 @_r.query(f"SELECT doc_id, {dialogue.fact_sentence(D, 81, 'doc_id')[0]} AS thing, {dialogue.fact_sentence(D, 81, 'doc_id')[1]} AS sentence FROM documents")
@@ -116,7 +105,7 @@ def social_exchange(spark, d):
     return table(spark, d, "documents").selectExpr("doc_id", f"{prompt} AS prompt", f"{reply} AS reply")
 
 
-_ASKED = [p + rest for p, _ in dialogue.FORMS for rest in ("a rudder?", "stars made of?", "the tide at night?")] + ["Where is the oar?"]
+_ASKED = [f"{opening} {rest}" for opening in ("What is", "What are", "Why does", "How do", "Where is", "Tell me of") for rest in ("a rudder?", "the tall mast?", "boats made of??", "the tide at night?", "it")]
 
 
 @_r.query(f"SELECT doc_id, {D.choice(91, 'doc_id', 9, _ASKED)} AS question, {dialogue.paraphrased(D, 91, 'doc_id', D.choice(91, 'doc_id', 9, _ASKED))} AS paraphrase FROM documents")
@@ -125,15 +114,36 @@ def question_paraphrase(spark, d):
     return asked.selectExpr("doc_id", "question", f"{dialogue.paraphrased(S, 91, 'doc_id', 'question')} AS paraphrase")
 
 
-_LINE = "CASE WHEN doc_id % 4 = 0 THEN left(replace(text, chr(10), ' '), 60) || '?' ELSE left(replace(text, chr(10), ' '), 60) || '.' END"
+#: A user's whole turn on one line, of one key.
+_USER_LINE = "conv_id * 1000 + turn AS k, conv_id, turn, replace(text, chr(10), ' ') AS body"
 
 
-@_r.query(f"WITH b AS (SELECT doc_id, {_LINE} AS body FROM documents) SELECT doc_id, {dialogue.roughened(D, 93, 'doc_id', 'body')} AS body FROM b")
+@_r.query(f"WITH b AS (SELECT {_USER_LINE} FROM conversations WHERE role = 'user') SELECT conv_id, turn, {dialogue.roughened(D, 93, 'k', 'body')} AS body FROM b")
 def user_roughen(spark, d):
-    return table(spark, d, "documents").selectExpr("doc_id", f"{_LINE} AS body").selectExpr("doc_id", f"{dialogue.roughened(S, 93, 'doc_id', 'body')} AS body")
+    """Every user's turn, whole, as people type."""
+    b = table(spark, d, "conversations").where("role = 'user'").selectExpr(*_USER_LINE.split(", ", 3))
+    return b.selectExpr("conv_id", "turn", f"{dialogue.roughened(S, 93, 'k', 'body')} AS body")
+
+
+_KINDS = [*dialogue.KINDS, "social", "more"]
+
+
+def _makers(x) -> str:
+    part = lambda i: "CASE doc_id % 7 " + " ".join(f"WHEN {n} THEN {dialogue.turn(x, 95, 'doc_id', k)[i]}" for n, k in enumerate(_KINDS)) + " END"
+    kind = "CASE doc_id % 7 " + " ".join(f"WHEN {n} THEN '{k}'" for n, k in enumerate(_KINDS)) + " END"
+    return f"SELECT doc_id, {kind} AS kind, {part(0)} AS prompt, {part(1)} AS reply, {part(2)} AS thought FROM (SELECT doc_id, 1 AS i FROM {{docs}}) x"
+
+
+@_r.query(_makers(D).replace("{docs}", "documents"))
+def turn_makers(spark, d):
+    """An exchange of each kind: known, unknown, clarify, chit, cannot, social, and one that follows a known one."""
+    return spark.sql(_makers(S).replace("{docs}", assemble.named(table(spark, d, "documents").select("doc_id"))))
+
 
+_UNCHANGED = ", ".join(map(quoted, inflect.PAIRED + inflect.UNCOUNTED))
 
-@_r.query("SELECT DISTINCT w, CASE WHEN w IN ('sheep', 'fish', 'deer', 'moss', 'pliers', 'callipers', 'scales', 'bellows', 'tongs') THEN w WHEN regexp_matches(w, '(s|x|z|ch|sh)$') THEN w || 'es' WHEN regexp_matches(w, '[^aeiou]y$') THEN regexp_replace(w, 'y$', 'ies') ELSE w || 's' END AS plural, CASE WHEN regexp_matches(w, '^[aeiouAEIOU]') THEN 'an' ELSE 'a' END AS article FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)")
+
+@_r.query(f"SELECT DISTINCT w, CASE WHEN w IN ({_UNCHANGED}) THEN w WHEN right(w, 1) IN ('s', 'x', 'z') OR right(w, 2) IN ('ch', 'sh') THEN w || 'es' WHEN length(w) > 1 AND right(w, 1) = 'y' AND NOT contains('aeiou', left(right(w, 2), 1)) THEN left(w, length(w) - 1) || 'ies' ELSE w || 's' END AS plural, CASE WHEN contains('aeiou', left(w, 1)) THEN 'an' ELSE 'a' END AS article FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)")
 def plural_forms(spark, d):
     from turnloom.operators.quality import word_vocabulary
 
@@ -141,12 +151,9 @@ def plural_forms(spark, d):
     return word_vocabulary(table(spark, d, "documents")).select("w", inflect.plural(w).alias("plural"), inflect.article(w).alias("article"))
 
 
-def _mapped(word: str, pairs: dict[str, str], rule: str) -> str:
-    return f"CASE {word} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items()) + f" ELSE {rule} END"
-
-
-_BASE = _mapped("w", inflect.IRREGULAR_BASE, "CASE WHEN ends_with(w, 'ies') THEN left(w, length(w) - 3) || 'y' WHEN regexp_matches(w, '(s|x|z|ch|sh|o)es$') THEN left(w, length(w) - 2) WHEN ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END")
-_GERUND = _mapped("b", inflect.IRREGULAR_GERUND, "CASE WHEN ends_with(b, 'e') AND NOT regexp_matches(b, '(ee|ye|oe)$') THEN left(b, length(b) - 1) || 'ing' WHEN len(regexp_extract_all(b, '[aeiouy]+')) = 1 AND length(b) >= 3 AND NOT contains('aeiouwxy', right(b, 1)) AND contains('aeiou', left(right(b, 2), 1)) AND NOT contains('aeiou', left(right(b, 3), 1)) THEN b || right(b, 1) || 'ing' ELSE b || 'ing' END")
+_BASE = "CASE w WHEN 'is' THEN 'be' WHEN 'has' THEN 'have' ELSE CASE WHEN ends_with(w, 'ies') THEN left(w, length(w) - 3) || 'y' WHEN ends_with(w, 'es') AND (right(w, 3) IN ('ses', 'xes', 'zes', 'oes') OR right(w, 4) IN ('ches', 'shes')) THEN left(w, length(w) - 2) WHEN ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END END"
+_VOWELS = "length(b) - length(translate(b, 'aeiouy', ''))"
+_GERUND = f"CASE WHEN ends_with(b, 'e') AND {_VOWELS} = 1 THEN b || 'ing' WHEN ends_with(b, 'e') AND length(b) > 1 AND NOT contains('eyo', left(right(b, 2), 1)) THEN left(b, length(b) - 1) || 'ing' WHEN {_VOWELS} = 1 AND length(b) >= 3 AND NOT contains('aeiouywx', right(b, 1)) AND contains('aeiou', left(right(b, 2), 1)) THEN b || right(b, 1) || 'ing' ELSE b || 'ing' END"
 
 
 @_r.query(f"WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), b AS (SELECT w, {_BASE} AS b FROM v) SELECT w, b AS base, {_GERUND} AS gerund FROM b")
@@ -170,8 +177,31 @@ def longest_match(spark, d):
     return q.select("doc_id", "question", found.alias("name")).where("name is not null")
 
 
-@_r.query()
+_GENERATED = assemble.conversation_ctes(D, "conversations", 97, 30)
+
+
+@_r.query(f"WITH {_GENERATED} SELECT * FROM turns")
 def generated_conversations(spark, d):
-    """A generated conversation for every conversation of the fixture, three exchanges in ten being sums."""
-    keys = table(spark, d, "conversations").select("conv_id").distinct()
-    return assemble.conversations(keys, 97, 30)
+    """A generated conversation for every conversation of the fixture, three units in ten being sums."""
+    return assemble.conversations(spark, table(spark, d, "conversations").select("conv_id"), 97, 30)
+
+
+@_r.query(f"WITH {_GENERATED}, {assemble.forms_cte(D)} SELECT conv_id, thinking, plain, length(thinking)::INTEGER AS size FROM forms")
+def thinking_forms(spark, d):
+    """Generated conversations with their thinking and in plain form, both from the same draws; the first gives the size."""
+    keys = assemble.named(table(spark, d, "conversations").select("conv_id"))
+    return spark.sql(f"WITH {assemble.conversation_ctes(S, keys, 97, 30)}, {assemble.forms_cte(S)} SELECT conv_id, thinking, plain, length(thinking) AS size FROM forms")
+
+
+_BLOCKS = "(SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS place, role, replace(text, chr(10), ' ') AS body FROM conversations WHERE role <> 'system')"
+
+
+def _mixed(x, blocks: str) -> str:
+    return assemble.mixture_sql(x, blocks, 99, 60, 35, 30, True)
+
+
+@_r.query(_mixed(D, _BLOCKS))
+def corpus_mixture(spark, d):
+    """The conversations as written blocks, mixed with generated ones: framed anew, thinking, sums, talk."""
+    turns = corpus.turns(table(spark, d, "conversations"))
+    return spark.sql(_mixed(S, assemble.named(corpus.blocks_of(turns))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
@@ -18,41 +20,44 @@ ASKED = ["What is a rudder?", "whats the tide", "Who's you?", "where are we", "W
 
 
 def _agree(t: str) -> str:
-    for pattern, to in (
-        (r"\b(you|we|they|You|We|They) is\b", r"\1 are"), (r"\bI is\b", "I am"),
-        (r"(?i)\b(who|what|where|when)(?:'s|s| is) (you|we|they)\b", r"\1 are \2"), (r"(?i)\b(who|what|where|when)(?:'s|s| is) I\b", r"\1 am I"),
-    ):
+    for pattern, to in T.AGREEMENT:
         t = f"regexp_replace({t}, {quoted(pattern)}, {quoted(to)}, 'g')"
     return t
 
 
 def _rewordings_sql() -> str:
     strip = lambda t: f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
-    put = lambda template, name, value: " || ".join(f"({x})" for x in (quoted(template.partition('{' + name + '}')[0]), value, quoted(template.partition('{' + name + '}')[2])))
-    cases = "WHEN core = '' THEN [asked]"
-    for pattern, templates in lessons.FORMS:
-        whole = quoted(f"(?is)^{pattern}$")
-        subject = strip(f"regexp_extract(core, {whole}, 1)")
-        cases += f" WHEN regexp_matches(core, {whole}) THEN [asked, {', '.join(put(t, 'x', subject) for t in templates)}]"
-    wrapped = ", ".join(put(w, "q", "core" if w.startswith("{q}") else "lower(core[1]) || core[2:]") for w in lessons.WRAPPERS)
-    return f"""WITH q AS (SELECT unnest([{', '.join(map(quoted, ASKED))}]) AS question), a AS (SELECT question, {strip('question')} AS asked FROM q), c AS (SELECT *, {strip("regexp_replace(asked, '[?]+$', '')")} AS core FROM a),
-b AS (SELECT question, CASE {cases} ELSE [asked, {wrapped}] END AS base FROM c),
-v AS (SELECT question, list_concat(base, flatten(list_transform(base, lambda t: CASE WHEN ends_with(t, '?') THEN [upper(t[1]) || t[2:]] ELSE [upper(t[1]) || t[2:], t || '?'] END))) AS every FROM b),
-u AS (SELECT question, {_agree(strip('t'))} AS wording, i FROM (SELECT question, unnest(every) AS t, unnest(range(len(every))) AS i FROM v)),
-f AS (SELECT question, wording, min(i) AS i FROM u WHERE wording <> '' GROUP BY ALL), o AS (SELECT question, wording, (row_number() OVER (PARTITION BY question ORDER BY i) - 1)::INTEGER AS ordinal FROM f)
+    put = lambda templates: "[" + ", ".join(" || ".join(p if i % 2 else quoted(p) for i, p in enumerate(re.split(r"\{(\w)\}", t)) if p) for t in templates) + "]"
+    part = lambda i: f"regexp_extract(core, {quoted('(?is)' + lessons.ASKING)}, {i})"
+    other = "[" + ", ".join(put([t])[1:-1].replace("x", "core", 1) if t.startswith("{x}") else f"{quoted(t.replace('{x}', ''))} || lower(core[1]) || core[2:]" for t in lessons.OTHERWISE) + "]"
+    return f"""WITH q AS (SELECT doc_id, {_QUESTION(D)} AS question FROM documents), a AS (SELECT *, {strip('question')} AS asked FROM q), c AS (SELECT *, {strip("regexp_replace(asked, '[?]+$', '')")} AS core FROM a),
+p AS (SELECT *, lower({part(1)}) AS w, CASE WHEN lower({part(2)}) IN ('''s', 's') THEN 'is' ELSE lower(ltrim({part(2)})) END AS v, {strip(part(3))} AS x FROM c),
+b AS (SELECT doc_id, asked, CASE WHEN core = '' THEN [] WHEN w = '' THEN {other} WHEN v IN ('do', 'does', 'did') THEN {put(lessons.ACTS)} ELSE {put(lessons.STATES)} END AS ways FROM p),
+e AS (SELECT doc_id, list_concat([asked], ways, list_transform(ways, lambda t: t || '?'), list_transform(ways, lambda t: upper(t[1]) || t[2:] || '?')) AS every FROM b),
+u AS (SELECT doc_id, {_agree('t')} AS wording, i FROM (SELECT doc_id, unnest(every) AS t, unnest(range(len(every))) AS i FROM e)),
+f AS (SELECT doc_id, wording, min(i) AS i FROM u WHERE wording <> '' GROUP BY ALL), o AS (SELECT doc_id, wording, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS ordinal FROM f)
 SELECT * FROM o WHERE ordinal < 8"""
 
 
+#: A question for every document: a fixed odd one, or its first word behind an opening.
+_OPENINGS = ["What is ", "whats ", "Who's ", "where are ", "When was ", "how do ", "Why is ", "Why does ", "Sing of ", ""]
+_FIRST_WORD = lambda x: "regexp_extract(text, '[A-Za-z]+', 0)" if x.spark else "regexp_extract(text, '[A-Za-z]+')"
+_QUESTION = lambda x: f"CASE WHEN doc_id % 5 = 0 THEN {x.pick(ASKED, 'doc_id // 5' if not x.spark else 'doc_id div 5')} ELSE {x.pick(_OPENINGS, 'doc_id')} || {_FIRST_WORD(x)} || '?' END"
+
+
 @_r.query(_rewordings_sql())
 def rewordings(spark, d):
-    q = spark.createDataFrame([(x,) for x in ASKED], "question string")
-    return q.select("question", F.posexplode(lessons.rewordings(F.col("question"))).alias("ordinal", "wording"))
+    """The wordings of a question made from every document."""
+    q = table(spark, d, "documents").selectExpr("doc_id", f"{_QUESTION(S)} AS question")
+    return q.select("doc_id", F.posexplode(lessons.rewordings(F.col("question"))).alias("ordinal", "wording"))
 
 
 _Q = lambda x: x.pick([a for a in ASKED if len(a) > 2], "doc_id")
 _A = "'Answer ' || cast(doc_id as string) || ' is short.'"
-_CONTEXT = lambda x: x.choice(101, "doc_id", 0, lessons.CONTEXTS)
-BLOCK = 90
+_EARLIER = lessons.earlier_talk()
+#: One or two earlier exchanges.
+_CONTEXT = lambda x: f"({x.choice(101, 'doc_id', 0, _EARLIER)} || CASE WHEN {x.draw(101, 'doc_id', 1)} % 2 = 0 THEN '' ELSE {x.choice(101, 'doc_id', 2, _EARLIER)} END)"
+BLOCK = 160
 
 
 def _lessons_sql() -> str:
@@ -70,6 +75,14 @@ def lesson_rows(spark, d):
     return lessons.lesson_rows(_pairs(spark, d), "doc_id", BLOCK, F.expr(_CONTEXT(S)))
 
 
+@_r.query(f"WITH {_lessons_sql()}, c AS (SELECT *, list_transform(list_filter(string_split(text, ''), lambda k: k <> ''), lambda k: unicode(k)) AS ids, max(length(text)) OVER (PARTITION BY doc_id) AS w FROM r) SELECT doc_id, form, array_to_string(list_concat(ids[1:len(ids) - 1], list_transform(range(w - len(ids)), lambda i: 0)), ' ') AS x, array_to_string(list_concat(list_transform(range(1, len(ids)), lambda i: CASE WHEN i >= answer_at THEN ids[i + 1] ELSE -100 END), list_transform(range(w - len(ids)), lambda i: -100)), ' ') AS y FROM c")
+def lesson_batch(spark, d):
+    """The three forms of a pair as rows of equal width."""
+    rows = lessons.lesson_rows(_pairs(spark, d), "doc_id", BLOCK, F.expr(_CONTEXT(S)))
+    p = lessons.padded(rows, "doc_id")
+    return p.select("doc_id", "form", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in "xy"])
+
+
 @_r.query(f"WITH {_lessons_sql()}, c AS (SELECT *, list_transform(list_filter(string_split(text, ''), lambda k: k <> ''), lambda k: unicode(k)) AS ids FROM r) SELECT doc_id, form, (len(ids) - 1)::INTEGER AS n, array_to_string(ids[1:len(ids) - 1], ' ') AS x, array_to_string(list_transform(range(1, len(ids)), lambda i: CASE WHEN i >= answer_at THEN ids[i + 1] ELSE -100 END), ' ') AS y FROM c")
 def lesson_mask(spark, d):
     rows = lessons.lesson_rows(_pairs(spark, d), "doc_id", BLOCK, F.expr(_CONTEXT(S)))

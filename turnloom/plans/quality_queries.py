@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import text as T
 from turnloom.functions.dialect import DUCKDB as D
 from turnloom.functions.dialect import SPARK as S
+from turnloom.functions.markers import END, THINK
 from turnloom.operators import corpus, quality
 from turnloom.plans.corpus_queries import LINES, REPLIES, replies
 from turnloom.plans.registry import Registry, table
@@ -64,12 +65,19 @@ def trigram_variety(spark, d):
     return replies(spark, d).select("item_id", F.round(quality.variety(F.col("reply")), 6).alias("variety"))
 
 
-@_r.query(f"""WITH {_PREFIX}, {_WORDS}, {_SPELLED}, y AS (SELECT x.*, n_words, n_known, CASE WHEN x.length >= 3 THEN len(list_distinct({_GRAMS}))::DOUBLE / len({_GRAMS}) END AS variety, x.length >= 20 AND prefix = x.length AS copied FROM x LEFT JOIN s USING (item_id))
-SELECT count(*)::BIGINT AS n, round(avg(length), 6) AS mean_len, round(avg(CASE WHEN length = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS empty, round(sum(n_known)::DOUBLE / sum(n_words), 6) AS spelling, round(avg(variety), 6) AS variety,
+#: Raw outputs of a model: the reply, a thought before it in every third item, an end marker but in every fifth.
+_RAW = lambda: (F.concat(F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("about item "), F.col("item_id").cast("string"), F.lit(THINK))).otherwise(""), F.col("reply"), F.when(F.col("item_id") % 5 == 0, "").otherwise(END)))
+
+
+@_r.query(f"""WITH {_PREFIX}, {_WORDS}, {_SPELLED}, y AS (SELECT x.*, n_words, n_known, CASE WHEN x.length >= 3 THEN len(list_distinct({_GRAMS}))::DOUBLE / len({_GRAMS}) END AS variety, x.length >= 20 AND prefix = x.length AS copied, CASE WHEN item_id % 3 = 0 THEN 'about item ' || item_id ELSE '' END AS thought FROM x LEFT JOIN s USING (item_id))
+SELECT count(*)::BIGINT AS n, round(avg(CASE WHEN item_id % 5 = 0 THEN 0.0::DOUBLE ELSE 1 END), 6) AS format_ok, round(avg(length), 6) AS mean_len, round(avg(CASE WHEN length = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS empty, round(sum(n_known)::DOUBLE / sum(n_words), 6) AS spelling, round(avg(variety), 6) AS variety,
   round(count(*) FILTER (copied)::DOUBLE / count(*), 6) AS exact_copy, round(count(*) FILTER (length > 0 AND NOT copied)::DOUBLE / greatest(1, count(*) FILTER (length > 0)), 6) AS new_sentences,
-  round(1 - sum(prefix)::DOUBLE / greatest(1, sum(length)), 6) AS novelty, round(avg(CASE WHEN length > 0 THEN prefix END), 6) AS mean_copied_prefix FROM y""")
+  round(1 - sum(prefix)::DOUBLE / greatest(1, sum(length)), 6) AS novelty, round(avg(CASE WHEN length > 0 THEN prefix END), 6) AS mean_copied_prefix,
+  round(avg(length(thought)), 6) AS mean_thought, round(avg(CASE WHEN thought <> '' THEN 1.0::DOUBLE ELSE 0 END), 6) AS thinks FROM y""")
 def quality_summary(spark, d):
-    return quality.summary(replies(spark, d), _lines(spark, d), quality.word_vocabulary(table(spark, d, "documents")), "item_id")
+    """All quality figures of the fixture's replies as raw outputs."""
+    raw = replies(spark, d).select("item_id", _RAW().alias("raw"))
+    return quality.summary(quality.parted(raw).drop("raw"), _lines(spark, d), quality.word_vocabulary(table(spark, d, "documents")), "item_id")
 
 
 def _sums(x) -> tuple[str, str]:
