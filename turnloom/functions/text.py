@@ -42,6 +42,12 @@ def said_of(t: Column) -> Column:
     return F.when(F.instr(t, THINK) == 0, t).otherwise(strip(F.substr(t, F.instr(t, THINK) + 1)))
 
 
+def displayed(t: Column) -> tuple[Column, Column]:
+    """(working, reply) as a reader sees them: the working is null without a think marker, an empty reply behind one is named."""
+    there = F.instr(t, THINK) > 0
+    return F.when(there, thought_of(t)), F.when(there, F.coalesce(F.nullif(said_of(t), F.lit("")), F.lit("(no reply)"))).otherwise(t)
+
+
 def truncated_reply(t: Column) -> Column:
     """Up to the first stop marker or newline, stripped; the think marker is no stop."""
     return strip(F.regexp_extract(t, rf"^[^{STOPS}\n]*", 0))

@@ -45,9 +45,11 @@ def worded(d: Dialect, seed: int, key: str) -> str:
 
 
 def working(d: Dialect, seed: int, key: str, further: int = 0) -> str:
-    """One of the workings of l op r that apply; ``further`` counts on from the drawn one."""
+    """One of the workings of l op r that apply, or its plain result if none does; ``further`` counts on from the drawn one."""
     ways = [d.one_of(list(Workings(d).methods(op).values()), f"({d.draw(seed, key, 11)} + {further})") for op in SIGNS]
-    return "CASE op " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(ways)) + " END"
+    results = ["l + r", "l - r", "l * r", d.div("l", "r")]
+    plain = [f"{d.text('l')} || ' {s} ' || {d.text('r')} || ' = ' || {d.text(v)}" for s, v in zip(SIGNS, results)]
+    return "CASE op " + " ".join(f"WHEN {i} THEN coalesce({w}, {p})" for i, (w, p) in enumerate(zip(ways, plain))) + " END"
 
 
 def how_many(d: Dialect) -> str:

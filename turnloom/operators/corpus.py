@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
 from turnloom.functions.draws import draw
-from turnloom.functions.markers import BASE, BOT, START, THINK
+from turnloom.functions.markers import BASE, BOT, END, START, THINK, USER
 from turnloom.session import staged
 
 
@@ -134,6 +134,45 @@ def stride_windows(ids: DataFrame, key: str, block: int) -> DataFrame:
     return ids.select(key, "ids", F.explode(starts).alias("start")).select(key, "start", F.slice("ids", F.col("start") + 1, block).alias("x"), F.slice("ids", F.col("start") + 2, block).alias("y"))
 
 
+def end_to_end(chunks: DataFrame, order: str, ids: str) -> tuple[DataFrame, int]:
+    """(__at, __ids) of the chunks laid end to end in ``order``, each with its place in the whole; and the whole's length."""
+    placed = prefix_sums(chunks.select(F.col(order).alias("__k"), F.col(ids).alias("__ids")).where(F.size(ids) > 0), [F.col("__k")], F.size("__ids"), "__at")
+    placed = staged(placed.select("__at", "__ids"), "placed")
+    return placed, placed.agg(F.max(F.col("__at") + F.size("__ids"))).first()[0] or 0
+
+
+def _gathered(pieces: DataFrame, block: int) -> DataFrame:
+    """at, start, x, y from (at, start, __at, __ids) rows of chunks that a window may touch: the pieces meet by window, block + 1 ids at most."""
+    low = F.greatest(F.col("start") - F.col("__at"), F.lit(0)).cast("int")
+    high = F.least(F.col("start") + block + 1 - F.col("__at"), F.size("__ids")).cast("int")
+    cut = pieces.where(high > low).select("at", "start", "__at", F.slice("__ids", low + 1, high - low).alias("piece"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__at", "piece"))), lambda p: p["piece"]))
+    joined = cut.groupBy("at", "start").agg(whole.alias("ids"))
+    return joined.select("at", "start", F.slice("ids", 1, block).alias("x"), F.slice("ids", 2, block).alias("y"))
+
+
+def text_windows(chunks: DataFrame, order: str, ids: str, block: int, most: int | None = None) -> DataFrame:
+    """at, start, x, y: consecutive windows of ``block`` ids over the chunks' ids laid end to end, while start < n - block - 1; the
+    first ``most`` windows where that is given. Each chunk sends every window its piece."""
+    placed, n = end_to_end(chunks, order, ids)
+    count = max(0, -(-(n - block - 1) // block))
+    count = count if most is None else min(count, most)
+    first = F.greatest(F.lit(0), F.floor((F.col("__at") - 1) / block)).cast("long")  # a window covers block + 1 ids
+    last = F.least(F.lit(count - 1), F.floor((F.col("__at") + F.size("__ids") - 1) / block)).cast("long")
+    pieces = placed.where(first <= last).select("__at", "__ids", F.explode(F.sequence(first, last)).alias("at"))
+    return _gathered(pieces.withColumn("start", F.col("at") * block), block)
+
+
+def drawn_text_windows(chunks: DataFrame, order: str, ids: str, block: int, count: int, seed: int) -> DataFrame:
+    """at, start, x, y: ``count`` windows (a batch or a few) at seeded starts, uniform in [0, n - block - 1), over the chunks laid end to end."""
+    placed, n = end_to_end(chunks, order, ids)
+    if n - block - 1 <= 0:
+        return placed.select(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("start"), F.col("__ids").alias("x"), F.col("__ids").alias("y")).where(F.lit(False))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(i.cast("long").alias("at"), F.pmod(draw(seed, F.lit("window"), i), F.lit(n - block - 1)).alias("start")))
+    touched = F.filter(starts, lambda s: (s["start"] + block >= F.col("__at")) & (s["start"] < F.col("__at") + F.size("__ids")))
+    return _gathered(placed.select("__at", "__ids", F.inline(touched)), block)
+
+
 def hashed_windows(ids: DataFrame, key: str, block: int, count: int, seed: int) -> DataFrame:
     """key, draw_no, start, x, y: ``count`` windows at seeded starts, uniform in [0, n - block - 1)."""
     room = F.size("ids") - block - 1
@@ -162,3 +201,17 @@ def prompt_windows(turns_: DataFrame, block: int, last: int = 4) -> DataFrame:
     whole = ranked.groupBy("conv_id").agg(kept.alias("kept"), F.max("back").alias("n"), F.first(now, ignorenulls=True).alias("now"))
     head = F.when(F.col("n") - 1 == F.size("kept"), F.array(F.lit(START))).otherwise(F.array().cast("array<string>"))
     return whole.select("conv_id", F.right(F.array_join(F.concat(head, "kept", F.array("now")), "\n"), F.lit(block)).alias("prompt"))
+
+
+def united(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """part, key, lines: blocks (key, lines), then pairs (key, user, bot) as blocks of two lines; (part, key) is their order."""
+    two = pairs.select(F.lit(1).alias("part"), "key", F.array("user", "bot").alias("lines"))
+    return blocks.select(F.lit(0).alias("part"), "key", "lines").unionByName(two)
+
+
+def turn_lint(lines_: DataFrame, key: str) -> DataFrame:
+    """key, n_lines, n_stray, n_unmarked: lines with an end marker before their last character, and lines that open with no turn marker."""
+    stray = F.instr("line", END).between(1, F.length("line") - 1)
+    marked = F.startswith("line", F.lit(USER)) | F.startswith("line", F.lit(BOT))
+    told = lines_.where(F.trim("line") != "")
+    return told.groupBy(key).agg(F.count("*").alias("n_lines"), F.sum(stray.cast("long")).alias("n_stray"), F.sum((~marked).cast("long")).alias("n_unmarked"))

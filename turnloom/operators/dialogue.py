@@ -46,7 +46,8 @@ CHIT = [
     ("Do you ever sleep?", ["Between your lines, in a way.", "Only when nobody types."]), ("Are you clever?", ["In a narrow way.", "Less than I sound."]), ("Tell me a joke.", ["I am one already.", "My sums are the joke."]),
     ("What do you like?", ["Short words.", "A plain question."]), ("Are we friends?", ["For as long as the page is open.", "I would say so."]),
 ]
-BEYOND = ["What will I eat tonight?", "Which train is late?", "How warm is it outside?", "Where did I leave my keys?", "What did the papers write?"]
+#: Questions beyond reach, and what they are about.
+BEYOND = {"What will I eat tonight?": "your supper", "Which train is late?": "the trains", "How warm is it outside?": "the weather", "Where did I leave my keys?": "your keys", "What did the papers write?": "the news"}
 NO_ACCESS = ["I only see this page.", "Nothing outside reaches me.", "That I cannot look up.", "You would know better than I."]
 MORE = ["And what else?", "Go on.", "Is there more to it?", "Why so?"]
 MORE_REPLIES = ["That is about all.", "Not much, I fear.", "The rest is detail."]
@@ -55,6 +56,17 @@ THOUGHTS = {
     "cannot": "Out of my reach. Be plain about it.", "social": "A courtesy. Return it.", "more": "Still about {name}. Add little.",
 }
 
+#: Parts of sentences about the world: nouns and adjectives (with their article by rule), verbs, places, times, causes.
+NOUNS, QUALITIES = ["heron", "orchid", "engine", "island", "melody", "stone wall", "owl", "barge"], ["idle", "slender", "amber", "uneven", "patient", "hollow"]
+VERBS, WHERE = ["drifts", "hums", "waits", "leans", "settles", "turns"], ["by the ford", "under the eaves", "past the mill", "along the quay"]
+WHEN, CAUSES = ["at dusk", "after rain", "in early spring", "before noon"], ["the light is low then", "nothing hurries it", "it has always been so", "the ground gives way"]
+STATEMENTS = [
+    "{A} {n} {v} {w}.", "{T}, {a} {n} {v} {w}.", "{A} {n} {v} because {c}.", "Look {w}: {a} {n} {v}.", "{T} one sees how {a} {n} {v}.", "Since {c}, {a} {n} {v} {t}.", "{A} {n} {v}; {c}.",
+    "Nobody minds that {a} {n} {v} {w}.", "{A} {n} and {m} share a habit: {c}.", "It is {t} that {a} {n} {v}.",
+]
+ASKED = ["Did you see {a} {n} {w}?", "Where would {a} {n} go {t}?", "Why should {a} {n} {b}?", "Is there {m} {w}?", "Which is rarer, {m} or {a} {n}?", "Does {m} {b} {t}?", "Who keeps {a} {n} {w}?"]
+OPINIONS = ["I would trade much for {a} {n}.", "{M} {t} beats any other, I find.", "To me {a} {n} is worth the walk {w}.", "I doubt that {m} can {b}.", "I side with {m}: {c}."]
+
 
 def _case(at: str, branches: list[str]) -> str:
     return f"(CASE {at} " + " ".join(f"WHEN {i} THEN {b}" for i, b in enumerate(branches[:-1])) + f" ELSE {branches[-1]} END)"
@@ -64,6 +76,10 @@ def _noun_phrase(thing: str) -> str:
     return thing if thing in PAIRED + UNCOUNTED else ("an " if thing[0] in "aeiou" else "a ") + thing
 
 
+def _upper_first(x: str) -> str:
+    return f"(upper(left({x}, 1)) || substring({x}, 2))"
+
+
 THINGS = sorted(FACTS)
 PHRASES = [_noun_phrase(t) for t in THINGS]
 
@@ -96,6 +112,18 @@ def greeting(d: Dialect, seed: int, key: str) -> str:
     return f"(CASE WHEN {d.draw(seed, key, 0)} % 100 < 6 THEN {d.choice(seed, key, 8, WHOLE_GREETINGS)} ELSE {begin} || '. ' || {end} END)"
 
 
+def lyrical(d: Dialect, seed: int, key: str) -> tuple[str, str]:
+    """(kind, sentence): a statement, a question or an opinion about something in the world."""
+    with_article = lambda x: ("an " if x[0] in "aeiou" else "a ") + x
+    pick = lambda i, xs: d.choice(seed, key, i, xs)
+    parts = {"n": pick(1, NOUNS), "a": pick(2, [with_article(x) for x in QUALITIES]), "v": pick(3, VERBS), "b": pick(3, [inflected_word(x, BASE_RULES) for x in VERBS]), "w": pick(4, WHERE), "t": pick(5, WHEN), "c": pick(6, CAUSES), "m": pick(7, [with_article(x) for x in NOUNS])}
+    parts |= {k.upper(): _upper_first(parts[k]) for k in "amt"}
+    shapes = {"statement": STATEMENTS, "question": ASKED, "opinion": OPINIONS}
+    kind = d.pick(list(shapes), d.weighted(seed, key, 0, [5, 3, 2]))
+    text = _case(d.weighted(seed, key, 0, [5, 3, 2]), [d.choice(seed, key, 8, pool) for pool in shapes.values()])
+    return kind, d.filled(text, parts)
+
+
 def social_exchange(d: Dialect, seed: int, key: str) -> tuple[str, str]:
     """(prompt, reply)."""
     kind = d.weighted(seed, key, 0, SOCIAL_WEIGHTS)
@@ -125,7 +153,7 @@ def turn(d: Dialect, seed: int, key: str, kind: str) -> tuple[str, str, str]:
         which = f"({d.draw(seed, key, 17)} % {len(CHIT)})"
         prompt, reply = _case(which, [quoted(q) for q, _ in CHIT]), _case(which, [pool(18, replies) for _, replies in CHIT])
     elif kind == "cannot":
-        prompt, reply = pool(19, BEYOND), pool(20, NO_ACCESS)
+        prompt, reply = pool(19, list(BEYOND)), pool(20, NO_ACCESS)
     else:
         prompt, reply = social_exchange(d, seed, key)
     return prompt, reply, _named(d, quoted(THOUGHTS[kind]), name)

@@ -12,12 +12,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from turnloom.operators.weights import parameter_shapes
+from turnloom.session import spread
 
-_erf = np.frompyfunc(math.erf, 1, 1)
 IGNORE = -100
+# Coefficients of a rational approximation of the error function, within 1.5e-7 (Abramowitz and Stegun 7.1.26).
+ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def _erf(x):
+    size = np.abs(x)
+    t = 1 / (1 + 0.3275911 * size)
+    sum_ = np.full_like(t, ERF[-1])
+    for c in reversed(ERF[:-1]):
+        sum_ = sum_ * t + c
+    return np.sign(x) * (1 - sum_ * t * np.exp(-size * size))
 
 
 @dataclass(frozen=True)
@@ -58,7 +71,7 @@ def _norm_back(d, gain, kept):
 
 def gelu(x):
     """The exact form, by the error function."""
-    return 0.5 * x * (1 + _erf(x / math.sqrt(2)).astype(float))
+    return 0.5 * x * (1 + _erf(x * math.sqrt(0.5)))
 
 
 def softmax(x):
@@ -67,8 +80,10 @@ def softmax(x):
 
 
 class Network:
-    def __init__(self, config: Config, params: dict[str, np.ndarray]):
-        self.config, self.p = config, {k: np.asarray(v, float) for k, v in params.items()}
+    """kind: double precision for training and references, single for scoring."""
+
+    def __init__(self, config: Config, params: dict[str, np.ndarray], kind: type = np.float64):
+        self.config, self.p = config, {k: np.asarray(v, kind) for k, v in params.items()}
 
     def forward(self, ids: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Logits (batch, time, vocabulary) of id windows no longer than the block. keep: gets what backward() needs."""
@@ -76,7 +91,7 @@ class Network:
         n, t = ids.shape
         heads, size = c.n_head, c.n_embd // c.n_head
         x = p["tok_emb.weight"][ids] + p["pos_emb.weight"][:t]
-        mask = np.triu(np.full((t, t), -np.inf), 1)
+        mask = np.triu(np.full((t, t), -np.inf, x.dtype), 1)
         for i in range(c.n_layer):
             b = f"blocks.{i}."
             h, k1 = _norm(x, p[b + "ln1.weight"], p[b + "ln1.bias"])
@@ -128,7 +143,7 @@ class Network:
             b = f"blocks.{i}."
             h, k1, q, k, v, w, y, m, k2, f, act = keep.pop()
             g[b + "mlp.proj.weight"], g[b + "mlp.proj.bias"] = flat(dx).T @ flat(act), flat(dx).sum(0)
-            df = (dx @ p[b + "mlp.proj.weight"]) * (0.5 * (1 + _erf(f / math.sqrt(2)).astype(float)) + f * np.exp(-f * f / 2) / math.sqrt(2 * math.pi))
+            df = (dx @ p[b + "mlp.proj.weight"]) * (0.5 * (1 + _erf(f * math.sqrt(0.5))) + f * np.exp(-f * f / 2) / math.sqrt(2 * math.pi))
             g[b + "mlp.fc.weight"], g[b + "mlp.fc.bias"] = flat(df).T @ flat(m), flat(df).sum(0)
             d, g[b + "ln2.weight"], g[b + "ln2.bias"] = _norm_back(df @ p[b + "mlp.fc.weight"], p[b + "ln2.weight"], k2)
             dx = dx + d
@@ -255,19 +270,31 @@ def train_step(windows: DataFrame, net: Network, optimizer: Adam, rate: float) -
     return sum(r["loss"] for r in rows) / n
 
 
-def window_losses(windows: DataFrame, net: Network, key: str) -> DataFrame:
-    """key, start, loss (nats) of each (x, y) window."""
-    shipped = windows.sparkSession.sparkContext.broadcast((net.config, net.p))
+def window_losses(windows: DataFrame, net: Network, key: str, size: int = 128) -> DataFrame:
+    """key, start, loss (nats) of each (x, y) window, scored in single precision, ``size`` at a time.
+
+    Windows are small rows made of few large ones, so they are dealt out by number before they are scored."""
+    spark = windows.sparkSession
+    shipped = spark.sparkContext.broadcast((net.config, net.p))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Network(*shipped.value, np.float32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                x, y = (part.column(i).flatten().to_numpy().reshape(part.num_rows, -1) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(model.losses(x, y), pa.float64())], [key, "start", "loss"])
+
+    rows = windows.select(F.col(key).cast("long").alias(key), F.col("start").cast("long").alias("start"), "x", "y").where(F.size("x") == F.size("y"))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts).mapInArrow(run, f"{key} long, start long, loss double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Network(*shipped.value)
-        for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                part = pdf.iloc[at : at + 64]
-                loss = model.losses(np.stack(part["x"].to_list()).astype(int), np.stack(part["y"].to_list()).astype(int))
-                yield pd.DataFrame({key: part[key], "start": part["start"], "loss": loss})
 
-    return windows.select(key, "start", "x", "y").mapInPandas(run, f"{key} long, start int, loss double")
+def text_loss(windows: DataFrame, net: Network) -> DataFrame:
+    """One row: windows, nats (the mean of the windows' means; NaN without any) and bits a character."""
+    scored = window_losses(windows, net, "at")
+    nats = F.coalesce(F.avg("loss"), F.lit(float("nan")))
+    return scored.agg(F.count("*").alias("windows"), nats.alias("nats")).withColumn("bits", F.col("nats") / math.log(2))
 
 
 def generated(prompts: DataFrame, net: Network, key: str, new: int, stop: int | None = None, **how) -> DataFrame:
@@ -280,4 +307,4 @@ def generated(prompts: DataFrame, net: Network, key: str, new: int, stop: int |
             ids = [model.generate([int(i) for i in p], new, stop, seed=int(k), **how) for k, p in zip(pdf[key], pdf["ids"])]
             yield pd.DataFrame({key: pdf[key], "ids": ids})
 
-    return prompts.select(key, "ids").mapInPandas(run, f"{key} long, ids array<int>")
+    return spread(prompts.select(key, "ids")).mapInPandas(run, f"{key} long, ids array<int>")

@@ -11,6 +11,7 @@ from turnloom.functions.dialect import quoted
 from turnloom.functions.markers import BASE, BOT, END, START, THINK, USER
 from turnloom.operators import corpus
 from turnloom.plans.registry import Registry, table
+from turnloom.session import spread
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.oracle
@@ -119,9 +120,9 @@ def split_thought(spark, d):
 
 @_r.query()
 def trim_loop(spark, d):
-    """Documents' first lines as replies, cut where they loop or stutter."""
-    first = F.substring_index("text", "\n", 1)
-    return table(spark, d, "documents").select("doc_id", T.clean_response(first).alias("reply"), (T.trim_loop(first) != first).alias("cut"))
+    """Every line of every document as a reply, cut where it loops or stutters."""
+    lines = corpus.lines(spread(table(spark, d, "documents").select("doc_id", "text")))
+    return lines.select("doc_id", "line_no", T.clean_response(F.col("line")).alias("reply"), (T.trim_loop(F.col("line")) != F.col("line")).alias("cut"))
 
 
 @_r.query(f"""WITH {TURNS}, k AS (SELECT *, row_number() OVER w AS back, first(line) OVER w AS cur, first(role) OVER w AS asker FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)),
@@ -222,11 +223,11 @@ def sample_k(spark, d):
     return table(spark, d, "documents").select("doc_id").orderBy(F.expr(S.draw(9, "doc_id", 0)), "doc_id").limit(40)
 
 
-@_r.query("WITH k AS (SELECT DISTINCT ON (lang, w) lang, w, n FROM (SELECT lang, doc_id * 100000 + unnest(range(len(regexp_extract_all(text, '\\w+')))) AS n, unnest(regexp_extract_all(text, '\\w+')) AS w FROM documents) ORDER BY lang, w, n), o AS (SELECT lang, w, n::BIGINT AS n, row_number() OVER (PARTITION BY lang ORDER BY n)::INTEGER AS ordinal FROM k) SELECT * FROM o WHERE ordinal <= 8")
+@_r.query("WITH k AS (SELECT DISTINCT ON (lang, w) lang, w, n FROM (SELECT lang, doc_id * 10000000000 + unnest(range(len(regexp_extract_all(text, '\\w+')))) AS n, unnest(regexp_extract_all(text, '\\w+')) AS w FROM documents) ORDER BY lang, w, n), o AS (SELECT lang, w, n::BIGINT AS n, row_number() OVER (PARTITION BY lang ORDER BY n)::INTEGER AS ordinal FROM k) SELECT * FROM o WHERE ordinal <= 8")
 def dedup_keep_first(spark, d):
     """The first eight different words of each language, in order of appearance."""
     words = table(spark, d, "documents").select("lang", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[0-9A-Za-z_]+"), F.lit(0))).alias("i", "w"))
-    return corpus.keep_first(words.select("lang", "w", (F.col("doc_id") * 100_000 + F.col("i")).alias("n")), "lang", "n", "w", 8)
+    return corpus.keep_first(words.select("lang", "w", (F.col("doc_id") * 10_000_000_000 + F.col("i")).alias("n")), "lang", "n", "w", 8)
 
 
 @_r.query("WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (trim(line, ' ') = '')::BIGINT AS n_blank, count(*) FILTER (regexp_matches(line, '[0-9]\\s*[-+*/]\\s*[0-9]'))::BIGINT AS n_sums FROM x GROUP BY doc_id")
@@ -262,3 +263,54 @@ def page_lint(spark, d):
 def conversation_lengths(spark, d):
     n = _turns(spark, d).groupBy("conv_id").agg(F.count("*").alias("n"))
     return n.agg(F.count("*").alias("conversations"), F.round(F.avg("n"), 6).alias("mean_turns"), F.min("n").alias("least_turns"), F.max("n").alias("most_turns"))
+
+
+_MARKED = f"m AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN text || ' {THINK} ' ELSE left(text, 9) || '{THINK}' || right(text, length(text) - 9) END AS t FROM benchmark)"
+
+
+@_r.query(f"WITH {_MARKED}, p AS (SELECT *, strpos(t, '{THINK}') AS pos FROM m), s AS (SELECT *, trim(t[1:pos - 1], chr(32) || chr(9) || chr(10) || chr(13)) AS a, trim(t[pos + 1:], chr(32) || chr(9) || chr(10) || chr(13)) AS b FROM p) SELECT item_id, CASE WHEN pos > 0 THEN a END AS working, CASE WHEN pos = 0 THEN t WHEN b = '' THEN '(no reply)' ELSE b END AS reply FROM s")
+def display_reply(spark, d):
+    """What a reader sees of raw replies: the working apart, an empty reply named."""
+    raw = F.expr(f"CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN text || ' {THINK} ' ELSE left(text, 9) || '{THINK}' || right(text, length(text) - 9) END")
+    working, reply = T.displayed(F.col("t"))
+    return table(spark, d, "benchmark").select("item_id", raw.alias("t")).select("item_id", working.alias("working"), reply.alias("reply"))
+
+
+_FAULTY = f"CASE WHEN turn % 7 = 3 THEN replace(line, ' the ', ' {END}the ') WHEN turn % 5 = 4 THEN substring(line, 2) ELSE line END"
+
+
+@_r.query(f"WITH {TURNS}, f AS (SELECT conv_id, {_FAULTY} AS line FROM t) SELECT conv_id, count(*)::BIGINT AS n_lines, count(*) FILTER (contains(left(line, length(line) - 1), '{END}'))::BIGINT AS n_stray, count(*) FILTER (left(line, 1) NOT IN ('{USER}', '{BOT}'))::BIGINT AS n_unmarked FROM f WHERE trim(line, ' ') <> '' GROUP BY conv_id")
+def turn_lint(spark, d):
+    """Rendered turns, some with an end marker inside or without their own marker."""
+    return corpus.turn_lint(_turns(spark, d).select("conv_id", F.expr(_FAULTY).alias("line")), "conv_id")
+
+
+@_r.query(f"WITH {TURNS}, b AS (SELECT conv_id AS key, string_agg(line, chr(10) ORDER BY turn) AS text FROM t GROUP BY conv_id), n AS (SELECT conv_id, turn, line, lead(line) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM t), p AS (SELECT conv_id * 1000 + turn AS key, line || chr(10) || next AS text FROM n WHERE left(line, 1) = '{USER}' AND left(next, 1) = '{BOT}'), u AS (SELECT 0 AS part, key, text FROM b UNION ALL SELECT 1, key, text FROM p) SELECT (row_number() OVER (ORDER BY part, key) - 1)::BIGINT AS ordinal, part::INTEGER AS part, key, text FROM u")
+def blocks_and_pairs(spark, d):
+    """Conversations as blocks, then their exchanges as pairs, in one order."""
+    t = _turns(spark, d)
+    blocks = t.groupBy(F.col("conv_id").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]).alias("lines"))
+    two = corpus.lead_pairs(t, "conv_id", "turn").where(F.startswith("line", F.lit(USER)) & F.startswith("next", F.lit(BOT)))
+    both = corpus.united(blocks, two.select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.col("line").alias("user"), F.col("next").alias("bot")))
+    placed = corpus.prefix_sums(both, [F.col("part"), F.col("key")], F.lit(1), "ordinal")
+    return placed.select(F.col("ordinal").cast("long").alias("ordinal"), "part", "key", F.array_join("lines", "\n").alias("text"))
+
+
+_SET = "list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]+')) FILTER ({})))"
+
+
+@_r.query(f"WITH s AS (SELECT conv_id, {_SET.format(chr(39).join(['role = ', 'user', '']))} AS used, {_SET.format(chr(39).join(['role = ', 'assistant', '']))} AS ours, {_SET.format('turn = 0')} AS local FROM conversations GROUP BY conv_id) SELECT conv_id, array_to_string(list_sort(list_filter(list_intersect(coalesce(used, []), coalesce(ours, [])), lambda w: NOT list_contains(coalesce(local, []), w))), ' ') AS names FROM s")
+def name_sets(spark, d):
+    """Words that both sides use and that the first turn lacks: (used & ours) - local."""
+    word = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    of = lambda c: F.array_distinct(F.flatten(F.collect_list(F.when(c, word))))
+    sets = table(spark, d, "conversations").groupBy("conv_id").agg(of(F.col("role") == "user").alias("used"), of(F.col("role") == "assistant").alias("ours"), of(F.col("turn") == 0).alias("local"))
+    return sets.select("conv_id", F.array_join(F.array_sort(F.array_except(F.array_intersect("used", "ours"), "local")), " ").alias("names"))
+
+
+@_r.query(f"SELECT ch, count(*)::BIGINT AS n FROM (SELECT DISTINCT doc_id, unnest(list_filter({_CHARS('text')}, lambda x: NOT list_contains({BASE_SQL}, x))) AS ch FROM documents) GROUP BY ch")
+def vocab_guard(spark, d):
+    """Characters that the base set lacks, and in how many documents: what training must refuse."""
+    from turnloom.operators import checkpoints
+
+    return checkpoints.missing_symbols(table(spark, d, "documents"), sorted(set(BASE)))

@@ -125,6 +125,23 @@ def user_roughen(spark, d):
     return b.selectExpr("conv_id", "turn", f"{dialogue.roughened(S, 93, 'k', 'body')} AS body")
 
 
+@_r.query(f"SELECT doc_id, {dialogue.lyrical(D, 89, 'doc_id')[0]} AS kind, {dialogue.lyrical(D, 89, 'doc_id')[1]} AS sentence FROM documents")
+def lyrical_sentences(spark, d):
+    kind, sentence = dialogue.lyrical(S, 89, "doc_id")
+    return table(spark, d, "documents").selectExpr("doc_id", f"{kind} AS kind", f"{sentence} AS sentence")
+
+
+_BEYOND = lambda x: dialogue.turn(x, 95, "doc_id", "cannot")[0]
+
+
+@_r.query(f"WITH p(prompt, phrase) AS (VALUES {', '.join(f'({quoted(q)}, {quoted(a)})' for q, a in dialogue.BEYOND.items())}), q AS (SELECT doc_id, {_BEYOND(D)} AS prompt FROM documents) SELECT doc_id, prompt, phrase FROM q JOIN p USING (prompt)")
+def phrase_lookup(spark, d):
+    """What a question beyond reach is about, from the table of such questions."""
+    known = spark.createDataFrame(list(dialogue.BEYOND.items()), "prompt string, phrase string")
+    asked = table(spark, d, "documents").selectExpr("doc_id", f"{_BEYOND(S)} AS prompt")
+    return asked.join(F.broadcast(known), "prompt").select("doc_id", "prompt", "phrase")  # a row for each question of the table
+
+
 _KINDS = [*dialogue.KINDS, "social", "more"]
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnloom.operators import corpus, network, weights
+from turnloom.operators import checkpoints, corpus, network, weights
 from turnloom.plans.corpus_queries import TURNS
 from turnloom.plans.registry import Registry, table
+from turnloom.sources import export_file
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.oracle
@@ -143,21 +144,73 @@ def _ids(spark, d):
     from turnloom.functions.markers import BASE
 
     codec = corpus.Codec(sorted(set(BASE)))
-    return corpus.rendered(corpus.turns(table(spark, d, "conversations"))).select("conv_id", codec.encode(F.col("text")).alias("ids")), codec, len(set(BASE))
+    return corpus.rendered(corpus.turns(table(spark, d, "conversations"))).select("conv_id", codec.encode(F.concat("text", F.lit("\n"))).alias("ids")), codec, len(set(BASE))
 
 
 @_r.query()
 def model_loss(spark, d):
-    """Held-out loss in nats and bits of a seeded micro model over the conversations' windows."""
+    """Loss in nats and bits of a seeded micro model over all windows of the conversations laid end to end."""
     ids, _, size = _ids(spark, d)
-    windows = corpus.stride_windows(ids, "conv_id", 32)
-    losses = network.window_losses(windows, _micro(size), "conv_id")
-    return losses.groupBy("conv_id").agg(F.count("*").alias("windows"), F.round(F.avg("loss"), 6).alias("nats"), F.round(F.avg("loss") / F.log(F.lit(2.0)), 6).alias("bits"))
+    return network.text_loss(corpus.text_windows(ids, "conv_id", "ids", 32), _micro(size)).select("windows", F.round("nats", 4).alias("nats"), F.round("bits", 4).alias("bits"))
+
+
+MOST_WINDOWS = 400
+
+
+def _parts(spark, d):
+    """(held-out chunks, training chunks, network): a tenth of the conversations is held out."""
+    ids, _, size = _ids(spark, d)
+    split = corpus.heldout_split(ids, "conv_id", 0.1, 1234)
+    return split.where("held_out"), split.where("not held_out"), _micro(size)
+
+
+@_r.query()
+def generalization_gap(spark, d):
+    """Loss on the held-out text and on as many characters from the training text's beginning, each over its first 400 windows
+    as the published figures have it; their gap; characters and exported bits a parameter."""
+    held, train, net = _parts(spark, d)
+    sizes = [t.agg(F.sum(F.size("ids"))).first()[0] for t in (held, train)]
+    most = min(MOST_WINDOWS, max(0, -(-(sizes[0] - 33) // 32)))  # windows that lie in the first sizes[0] characters
+    held_loss = network.text_loss(corpus.text_windows(held, "conv_id", "ids", 32, MOST_WINDOWS), net).select(F.col("nats").alias("held_nats"), F.col("bits").alias("held_bits"))
+    train_loss = network.text_loss(corpus.text_windows(train, "conv_id", "ids", 32, most), net).select(F.col("nats").alias("train_nats"))
+    n = sum(v.size for v in net.p.values())
+    stored = len(export_file.encode({}, [(k, list(v.shape), v) for k, v in net.p.items()], 8, 32).encode())
+    both = held_loss.join(train_loss, F.lit(True))  # a row each
+    ratios = (F.lit(round(sizes[1] / n, 6)).alias("chars_per_parameter"), F.lit(round(8 * stored / n, 6)).alias("bits_per_parameter"))
+    return both.select(*[F.round(c, 4).alias(c) for c in ("held_nats", "held_bits", "train_nats")], F.round(F.col("held_nats") - F.col("train_nats"), 4).alias("gap"), *ratios)
+
+
+@_r.query()
+def loss_estimate(spark, d):
+    """Mean loss of 20 random batches of 8 windows of the training and of the held-out text."""
+    held, train, net = _parts(spark, d)
+    each = [network.text_loss(corpus.drawn_text_windows(t, "conv_id", "ids", 32, 160, 3), net).select(F.lit(name).alias("split"), "windows", F.round("nats", 4).alias("nats")) for name, t in (("train", train), ("val", held))]
+    return each[0].union(each[1])
+
+
+@_r.query("WITH e AS (SELECT user_id AS run, event_id AS step, value AS loss, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events), g AS (SELECT *, least(loss, before) AS best, sum(CASE WHEN before IS NULL OR loss < before THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY step) AS since FROM e), s AS (SELECT *, (row_number() OVER (PARTITION BY run, since ORDER BY step) - 1)::INTEGER AS stale FROM g) SELECT run, step, loss, best, stale, coalesce(bool_or(stale >= 3) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM s")
+def early_stop(spark, d):
+    """Events' values as evaluations of a training for each user: the best so far, how stale it is, and whether patience has run out."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
+    return checkpoints.best_so_far(e, 3)
+
+
+_RUNS = "(VALUES " + ", ".join(f"({i}, '{n}', 50, 32, {b}, {s}.0)" for i, ((n, _, _, _, b), s) in enumerate(zip(weights.PRESETS, (4, 10, 25, 60, 2)))) + ") AS r(place, name, steps, batch, block, seconds)"
+
+
+@_r.query(f"SELECT name, round(rate, 6) AS rate, round(rate / first(rate) OVER (ORDER BY place), 6) AS relative FROM (SELECT *, steps * batch * block / seconds::DOUBLE AS rate FROM {_RUNS}) x")
+def throughput_ratio(spark, d):
+    """Characters a second of timed runs, and their ratio to the first."""
+    runs = spark.sql(f"SELECT place, name, steps, batch, block, cast(seconds AS double) AS seconds FROM {_RUNS}")
+    return checkpoints.throughput(runs).select("name", F.round("rate", 6).alias("rate"), F.round("relative", 6).alias("relative"))
 
 
 @_r.query()
 def model_generate(spark, d):
-    """What the seeded micro model adds to each conversation's first 16 characters, greedily."""
-    ids, codec, size = _ids(spark, d)
-    out = network.generated(ids.select("conv_id", F.slice("ids", 1, 16).alias("ids")), _micro(size), "conv_id", 8)
-    return out.select("conv_id", codec.decode(F.col("ids")).alias("text"), F.size("ids").alias("n"))
+    """What the seeded micro model answers to every user's turn, greedily, in eight characters."""
+    from turnloom.functions.markers import BOT
+
+    _, codec, size = _ids(spark, d)
+    asked = corpus.turns(table(spark, d, "conversations")).where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), codec.encode(F.concat("line", F.lit("\n" + BOT))).alias("ids"))
+    out = network.generated(asked, _micro(size), "k", 8)
+    return out.select("k", codec.decode(F.col("ids")).alias("text"), F.size("ids").alias("n"))

@@ -73,3 +73,23 @@ def publication(conversations: DataFrame) -> DataFrame:
     words = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"w{i}") for i in range(8)]
     out = each.groupBy("split").agg(F.sum(F.col("n") + 1).alias("chars"), F.sum(F.col("b") + 1).alias("bytes"), F.count("*").alias("conversations"), F.sum("t").alias("turns"), *words)
     return out.select("split", "chars", "bytes", "conversations", "turns", F.sha2(F.concat_ws(":", *[f"w{i}" for i in range(8)]), 256).alias("digest"))
+
+
+def write_lines(lines: DataFrame, path: str, line: str = "line") -> DataFrame:
+    """Writes one line a row, as a corpus of greetings, and returns rows, distinct lines and their ratio."""
+    lines.select(line).write.mode("overwrite").text(path)
+    counts = lines.agg(F.count("*").alias("rows"), F.count_distinct(line).alias("distinct"))
+    return counts.withColumn("ratio", F.round(F.col("distinct") / F.greatest(F.col("rows"), F.lit(1)), 6))
+
+
+def publish(conversations: DataFrame, path: str, command: str) -> str:
+    """Writes (split, text) rows and a README.md beside them with each split's figures and digest; returns the README's text."""
+    stats = {r["split"]: r for r in write_corpus(conversations, f"{path}/text").collect()}
+    made = {r["split"]: r for r in publication(conversations).collect()}
+    names = sorted(made)
+    row = lambda title, values: f"| {title} | " + " | ".join(f"{v:,}" for v in values) + " |"
+    figures = [row(f, [made[n][f] for n in names]) for f in ("chars", "bytes", "conversations", "turns")] + [row("distinct characters", [stats[n]["distinct_chars"] for n in names])]
+    text = "\n".join(["# Corpus", "", "| | " + " | ".join(names) + " |", "|" + "-|" * (len(names) + 1), *figures, "", *[f"{n}: {made[n]['digest']}" for n in names], "", f"Made by: {command}"])
+    spark = conversations.sparkSession
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/README.md")
+    return text
