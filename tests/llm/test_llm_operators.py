@@ -361,10 +361,11 @@ def copies(seed=6):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
-def test_near_components(spark, k, percent):
+@pytest.mark.parametrize("k,percent,pivots,heavy", [(3, 90, 4, 1000), (5, 80, 1, 10)])
+def test_near_components(spark, k, percent, pivots, heavy):
+    """Against all pairs; also with few pivots, so that round 3 has work, and with buckets cut into many parts."""
     rows = copies()
-    got = ngram_join.near_components(docs_of(spark, [(i, t, "s") for i, t in rows]), k, percent, pivots=4).collect()
+    got = ngram_join.near_components(docs_of(spark, [(i, t, "s") for i, t in rows]), k, percent, pivots=pivots, heavy=heavy).collect()
     want = brute_components(rows, k, percent)
     text = dict(rows)
     assert len(got) == len(rows)
@@ -383,6 +384,17 @@ def test_near_components_awkward(spark):
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 7, 8, None]))
 
 
+def test_copies_under_a_repeated_id(spark):
+    """No text is lost by a repeated doc_id; equal ones fall, the same whatever the partitions."""
+    one, two, three = "alpha beta gamma delta epsilon zeta", "one two three four five six", "rot grün blau weiß schwarz gelb"
+    rows = [(1, one, "a"), (1, two, "a"), (1, one, "b"), (2, two, "c"), (3, three, "d"), (3, three + " lila", "d"), (None, one, "e"), (4, None, "f"), (4, None, "f")]
+    kept = ngram_join.drop_near_copies(docs_of(spark, rows), 3, 90)
+    texts = [r["text"] for r in kept.collect()]
+    assert sorted(map(str, texts)) == sorted(map(str, [one, two, three, three + " lila", one, None]))
+    again = ngram_join.drop_near_copies(docs_of(spark, rows).repartition(5), 3, 90)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, again.collect()))
+
+
 def test_wide_maps_never_lose_a_pair():
     rng = np.random.default_rng(7)
     for _ in range(300):
