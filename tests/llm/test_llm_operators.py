@@ -90,20 +90,65 @@ def test_url_rules_and_reputation(spark):
     assert url_reputation.judge_pages(pages.limit(0), none).count() == 0
 
 
-def test_unlabelled_hosts_take_their_prior(spark):
-    """With every_host, hosts without labels are judged by domain, else suffix, else the overall rate."""
+def brute_posteriors(told):
+    """host to (n, posterior, bound) by plain Python; told: (host, bad or None)."""
+    hosts = {h: [sum(x is not None for g, x in told if g == h), sum(x or 0 for g, x in told if g == h)] for h, _ in told}
+    domain_of = lambda h: ".".join(h.split(".")[-2:])
+    suffix_of = lambda d: d.partition(".")[2] if "." in d else d
+    known = {h: v for h, v in hosts.items() if v[0]}
+
+    def folded(units, up):
+        out = {}
+        for u, (n, bad) in units.items():
+            out.setdefault(up(u), [0, 0])
+            out[up(u)] = [out[up(u)][0] + n, out[up(u)][1] + bad]
+        return out
+
+    def strength(units, prior):
+        s = sum(n * (bad / n - prior[u]) ** 2 for u, (n, bad) in units.items())
+        v = sum(prior[u] * (1 - prior[u]) for u in units)
+        w = sum(prior[u] * (1 - prior[u]) * (n - 1) for u, (n, _) in units.items())
+        rho = min(max(round((s - v) / w, 9) if w else 0.5, 0.001), 0.5)
+        return (1 - rho) / rho
+
+    domains = folded(known, domain_of)
+    suffixes = folded(domains, suffix_of)
+    overall = sum(v[1] for v in known.values()) / sum(v[0] for v in known.values())
+    shrink = lambda units, k, prior: {u: (bad + k * prior[u]) / (n + k) for u, (n, bad) in units.items()}
+    flat = {s: overall for s in suffixes}
+    p_suffix = shrink(suffixes, strength(suffixes, flat), flat)
+    by_suffix = {d: p_suffix[suffix_of(d)] for d in domains}
+    p_domain = shrink(domains, strength(domains, by_suffix), by_suffix)
+    k = strength(known, {h: p_domain[domain_of(h)] for h in known})
+    out = {}
+    for h, (n, bad) in hosts.items():
+        prior = p_domain.get(domain_of(h), p_suffix.get(suffix_of(domain_of(h)), overall))
+        a, b = bad + k * prior, n - bad + k * (1 - prior)
+        m = a / (a + b)
+        out[h] = (n, m, m - 1.645 * math.sqrt(m * (1 - m) / (a + b + 1)))
+    return out
+
+
+def test_every_host_is_judged(spark):
+    """Hosts without labels by their domain, else suffix, else the overall rate; all figures against plain Python."""
     rows = [(100 * h + i, f"http://h{h}.{'bad.xyz' if h < 10 else 'good.com'}/{i}") for h in range(20) for i in range(40)]
-    outcomes = spark.createDataFrame([(p, int(p < 1000)) for p, _ in rows], "page_id long, bad int")
-    more = [(9000, "http://new.bad.xyz/"), (9001, "http://new.good.com/"), (9002, "http://other.xyz/"), (9003, "http://a.nowhere/")]
-    pages = spark.createDataFrame(rows + more, "page_id long, url string")
-    got = {r["page_id"]: r for r in url_reputation.judge_pages(pages, outcomes, every_host=True).collect()}
-    assert len(got) == len(rows) + 4 and [got[i]["n_labelled"] for i in range(9000, 9004)] == [0] * 4
-    assert got[9000]["verdict"] == "block" and got[9000]["bound"] > 0.5 and got[9001]["verdict"] == "allow" and got[9001]["bound"] < 0.5
-    assert got[9000]["posterior"] >= got[9002]["posterior"] > got[9003]["posterior"] == 0.5 > got[9001]["posterior"]
-    none = url_reputation.judge_pages(pages, outcomes.limit(0), every_host=True).collect()
+    outcomes = [(p, int(p < 1000 or p % 9 == 0)) for p, _ in rows if p % 100 < 30] + [(None, 1), (77_777, 1), (5, None)]
+    more = [(9000, "http://new.bad.xyz/"), (9001, "http://new.good.com/"), (9002, "http://other.xyz/"), (9003, "http://a.nowhere/"), (9004, None), (9000, "http://new.bad.xyz/")]
+    pages = spark.createDataFrame([(p, u, 1) for p, u in rows + more], "page_id long, url string, bad int")
+    got = url_reputation.judge_pages(pages, spark.createDataFrame(outcomes, "page_id long, bad int")).collect()
+    by = {p: x for p, x in outcomes if p is not None and x is not None}
+    want = brute_posteriors([((u or "").split("://")[-1].split("/")[0], by.get(p)) for p, u in rows + more])
+    assert len(got) == len(rows + more)
+    for r in got:
+        n, posterior, bound = want[r["host"]]
+        assert (r["n_labelled"], r["verdict"]) == (n, "block" if bound > 0.5 else "allow") and abs(r["posterior"] - posterior) < 2e-6 and abs(r["bound"] - bound) < 2e-6
+    at = {r["page_id"]: r for r in got}
+    assert at[9000]["verdict"] == "block" and at[9001]["verdict"] == "allow" and at[9000]["n_labelled"] == 0
+    none = url_reputation.judge_pages(pages, spark.createDataFrame([], "page_id long, bad int")).collect()
     assert {(r["verdict"], r["posterior"]) for r in none} == {("allow", None)}
-    old = {r["page_id"]: r for r in url_reputation.judge_pages(pages, outcomes).collect()}
-    assert all(old[p] == got[p] for p, _ in rows)
+    assert url_reputation.judge_pages(pages.limit(0), spark.createDataFrame(outcomes, "page_id long, bad int")).count() == 0
+    tied = spark.createDataFrame([(1, "http://a.b.c/")], "page_id long, url string")
+    assert url_reputation.judge_pages(tied, spark.createDataFrame([], "page_id long, bad int"), rules=(("block", "b.c/"), ("allow", "a.b.c/"), ("block", "a.b.c/"))).first()["rule"] == "a.b.c/"
 
 
 def test_registered_domain(spark):

@@ -118,9 +118,10 @@ def _op2_sql() -> str:
     k = lambda name, units, parent: f"""{name} AS (SELECT (1 - rho) / rho AS k FROM (SELECT least(greatest(coalesce(CASE WHEN sum({parent} * (1 - {parent}) * (n - 1)) <> 0 THEN round((sum(n * (bad / n - {parent}) * (bad / n - {parent})) - sum({parent} * (1 - {parent}))) / sum({parent} * (1 - {parent}) * (n - 1)), 9) END, {url_reputation.MOST_RHO}), {url_reputation.LEAST_RHO}), {url_reputation.MOST_RHO})::DOUBLE AS rho FROM {units}))"""
     return f"""
 WITH j AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
-o AS (SELECT host, count(*)::DOUBLE AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END)::DOUBLE AS bad FROM j JOIN labels ON doc_id = page_id GROUP BY host),
-h AS (SELECT *, CASE WHEN contains(domain, '.') THEN regexp_replace(domain, '^[^.]*[.]', '') ELSE domain END AS suffix FROM (
-  SELECT *, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - (CASE WHEN array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') IN ({two}) THEN 2 ELSE 1 END), 1), len(string_split(host, '.'))), '.') AS domain FROM o)),
+e AS (SELECT *, CASE WHEN contains(domain, '.') THEN regexp_replace(domain, '^[^.]*[.]', '') ELSE domain END AS suffix FROM (
+  SELECT *, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - (CASE WHEN array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') IN ({two}) THEN 2 ELSE 1 END), 1), len(string_split(host, '.'))), '.') AS domain
+  FROM (SELECT host, count(doc_id)::DOUBLE AS n, coalesce(sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN doc_id IS NOT NULL THEN 0 END), 0)::DOUBLE AS bad FROM j LEFT JOIN labels ON doc_id = page_id GROUP BY host))),
+h AS (SELECT * FROM e WHERE n > 0),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 w AS (SELECT sum(bad) / sum(n) AS p FROM h),
@@ -129,7 +130,7 @@ s2 AS (SELECT suffix, (bad + k * p) / (n + k) AS p_suffix FROM s1, ks),
 d1 AS (SELECT d.*, p_suffix FROM d JOIN s2 USING (suffix)), {k("kd", "d1", "p_suffix")},
 d2 AS (SELECT domain, (bad + k * p_suffix) / (n + k) AS p_domain FROM d1, kd),
 h1 AS (SELECT h.*, p_domain FROM h JOIN d2 USING (domain)), {k("kh", "h1", "p_domain")},
-h2 AS (SELECT host, n, bad + k * p_domain AS a, n - bad + k * (1 - p_domain) AS b FROM h1, kh),
+h2 AS (SELECT e.host, n, bad + k * prior AS a, n - bad + k * (1 - prior) AS b FROM (SELECT e.*, coalesce(p_domain, p_suffix, p) AS prior FROM e LEFT JOIN d2 ON d2.domain = e.domain LEFT JOIN s2 ON s2.suffix = e.suffix, w WHERE p IS NOT NULL) e, kh),
 r AS (SELECT host, n::BIGINT AS n_labelled, a / (a + b) AS posterior, a / (a + b) - {url_reputation.Z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS bound FROM h2)
 SELECT page_id, host, path, CASE{rule} END AS rule,
   coalesce(CASE{verdict} END, CASE WHEN bound > {url_reputation.MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict,

@@ -6,14 +6,16 @@ prior is estimated from the data: with rho the intraclass correlation of the bet
 of moments around the parent's mean, k = (1 - rho) / rho pseudo-pages. A host is blocked when the lower
 posterior bound, mean - z * sd of its Beta, exceeds ``max_bad``: little evidence never blocks.
 
-Scale: pages are folded to one row a labelled host with map-side aggregation, so a hot host costs one
-row a task; the prior strengths are scalars. Hosts without labels have no posterior and are allowed, as the
-query's SQL has it, unless ``every_host`` is asked for: then they are judged by the bound of their prior, whose
-mean is that of their domain, else of their suffix, else the overall rate. The query doesn't ask for it.
-
-Defined cases: null urls and urls without :// have an empty host and path, fit no rule and are allowed
-unless that empty host's own labels block it; repeated labels of a page count each; a page is never
-repeated in the result.
+Every host of the pages is judged: one without labels has the prior itself for its Beta, which is that of its domain, else
+of its suffix, else of all labels, with the prior's k pseudo-pages, so that its bound is wide.
+
+Scale: pages are folded to one row a host with map-side aggregation, so a hot host costs one
+row a task; the prior strengths are scalars; the host table is joined back, broadcast only below the planner's threshold.
+
+Defined cases: null urls and urls without :// have an empty host and path, fit no rule and are judged as the host "";
+repeated labels of a page count each; a page is never repeated in the result; labels that are null, or of no page, don't count;
+of rules of equal length the one least by code point wins; without any labels all have a null posterior and are allowed; an empty
+table gives an empty table; urls are read whole, however long; other columns play no part.
 """
 
 from __future__ import annotations
@@ -42,16 +44,16 @@ def url_path(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, else nulls. Rules are configuration, tried longest first."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for what, at in sorted(rules, key=lambda r: (len(r[1]), r[1])):
+    for what, at in sorted(sorted(rules, key=lambda r: r[1], reverse=True), key=lambda r: len(r[1])):
         name, _, rest = at.partition("/")
         fits = ((host == name) | F.endswith(host, F.lit("." + name))) & F.startswith(path, F.lit("/" + rest))
         rule, verdict = F.when(fits, at).otherwise(rule), F.when(fits, what).otherwise(verdict)
     return rule, verdict
 
 
-def registered_domain(host: Column) -> Column:
+def registered_domain(host: Column, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
     parts = F.split(host, r"\.")
-    labels = F.when(F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".").isin(*TWO_LABEL_SUFFIXES), 3).otherwise(2)
+    labels = F.when(F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".").isin(*two_label), 3).otherwise(2)
     return F.array_join(F.slice(parts, F.greatest(F.size(parts) - labels + 1, F.lit(1)), labels), ".")
 
 
@@ -71,9 +73,12 @@ def _strength(units: DataFrame, parent: str) -> float:
     return (1 - rho) / rho
 
 
-def host_posteriors(outcomes: DataFrame, z: float = Z, others: DataFrame | None = None) -> DataFrame:
-    """outcomes: (host, bad 0/1). One row a host: n_labelled, posterior, bound; also of the hosts in ``others`` without outcomes, if there are any outcomes."""
-    hosts = staged(outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("domain"))), "hosts")
+def host_posteriors(pages: DataFrame, z: float = Z, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """pages: (host, bad 0/1 or null), a row an outcome. One row a host: n_labelled, posterior, bound; no rows without any outcome."""
+    domain = registered_domain(F.col("host"), two_label)
+    folded = pages.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    every = staged(folded.withColumn("domain", domain).withColumn("suffix", suffix(F.col("domain"))), "hosts")
+    hosts = every.where("n > 0")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = hosts.agg(F.sum("n"), F.sum("bad")).first()
@@ -84,22 +89,19 @@ def host_posteriors(outcomes: DataFrame, z: float = Z, others: DataFrame | None
     domains = staged(domains.join(suffixes, "suffix"), "domains")
     k_d = _strength(domains, "p_suffix")
     domains = domains.select("domain", shrunk(k_d, F.col("p_suffix")).alias("p_domain"))
-    hosts = hosts.join(domains, "domain")
-    k_h = _strength(hosts, "p_domain")
-    if others is not None and whole[0]:
-        rest = others.select("host").distinct().join(hosts.select("host"), "host", "left_anti").withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("domain")))
-        rest = rest.join(domains, "domain", "left").join(suffixes, "suffix", "left").withColumn("p_domain", F.coalesce("p_domain", "p_suffix", F.lit(overall)))
-        hosts = hosts.select("host", "n", "bad", "p_domain").unionByName(rest.select("host", F.lit(0).alias("n"), F.lit(0).alias("bad"), "p_domain"))
-    a, b = F.col("bad") + k_h * F.col("p_domain"), F.col("n") - F.col("bad") + k_h * (1 - F.col("p_domain"))
+    k_h = _strength(hosts.join(domains, "domain"), "p_domain")
+    prior = F.coalesce("p_domain", "p_suffix", F.lit(overall))
+    judged = every.where(F.lit(bool(whole[0]))).join(domains, "domain", "left").join(suffixes, "suffix", "left").select("host", "n", "bad", prior.alias("prior"))
+    a, b = F.col("bad") + k_h * F.col("prior"), F.col("n") - F.col("bad") + k_h * (1 - F.col("prior"))
     mean = a / (a + b)
-    return hosts.select("host", F.col("n").alias("n_labelled"), mean.alias("posterior"), (mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("bound"))
+    return judged.select("host", F.col("n").alias("n_labelled"), mean.alias("posterior"), (mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("bound"))
 
 
-def judge_pages(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = MAX_BAD, z: float = Z, every_host: bool = False) -> DataFrame:
-    """pages: (page_id, url); outcomes: (page_id, bad). Returns page_id, host, path, rule, verdict, n_labelled, posterior, bound.
-    every_host: hosts without outcomes are judged by their prior."""
+def judge_pages(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = MAX_BAD, z: float = Z, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """pages: (page_id, url); outcomes: (page_id, bad). Returns page_id, host, path, rule, verdict, n_labelled, posterior, bound."""
     judged = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    hosts = staged(host_posteriors(judged.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id").select("host", "bad"), z, judged if every_host else None), "reputation")
+    told = judged.select("page_id", "host").join(outcomes.where("bad is not null").select("page_id", "bad"), "page_id", "left").select("host", "bad")
+    hosts = staged(host_posteriors(told, z, two_label), "reputation")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") > max_bad, "block").otherwise("allow")
     return judged.join(hosts, "host", "left").select(
