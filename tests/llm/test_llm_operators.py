@@ -581,6 +581,46 @@ def test_nearest(spark):
     assert sorted(r["vec_id"] for r in few) == [1, 2]
 
 
+def clusters(n=8000, seed=9):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(200, 24)) * 6
+    return centres[rng.integers(0, 200, n)] + rng.normal(size=(n, 24))
+
+
+def recall_of(found, x, ids, asked):
+    """Mean share of the 10 true neighbours that were found."""
+    got = {}
+    for r in found:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    shares = []
+    for q in asked:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        shares.append(len(got[int(ids[q])] & set(ids[np.lexsort((ids, d))[:10]].tolist())) / 10)
+    return float(np.mean(shares))
+
+
+@pytest.mark.parametrize("lists", [None, 1500])
+def test_lists_grow_and_few_are_read(spark, lists):
+    """On clustered vectors a query reads a small share of the rows, also with lists made on the executors."""
+    x = clusters()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found, sizes = ann_lists.search(df, F.col("vec_id") % 100 == 0, "vec_id", "embedding", 10, sample=4096, lists=lists)
+    asked = list(range(0, len(x), 100))
+    assert recall_of(found.collect(), x, np.arange(len(x)), asked) >= 0.9
+    read = sizes.selectExpr("sum(n_posted * n_asked)").first()[0]
+    assert read <= 0.1 * len(x) * len(asked)
+
+
+def test_recall_on_the_table_itself(spark):
+    from turnloom.llm.queries import QUERIES
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    found = QUERIES["op10_nearest_neighbours"](spark, "/root/testdata/sf0.1").collect()
+    assert recall_of(found, x, ids, np.flatnonzero(ids % 100 == 0)) >= 0.9
+
+
 # ---- pipeline
 
 

@@ -6,12 +6,14 @@ replicas only roots are read first; below, only the children of ranges that diff
 down to the offsets at which a record is changed, missing or extra.
 
 Scale: a node has at most 16 children, so no group grows; the tree shrinks 16 times a level and is kept in
-the shared folder, level by level. Records that share an offset (a fault, yet possible) are folded by
-map-side sums of their digests' words, in bounded memory however many there are. Each comparison joins
-what differs with the children of one level, broadcast only while the list is small.
-
-Defined cases: a null offset is the range before all others; null record content hashes as an empty record
-with a mark of its own; repeated offsets compare as multisets; two empty replicas agree.
+the shared folder, level by level, each in files sorted by ranges of nodes. A comparison reads of a level only what lies
+in at most 64 intervals around the children of ranges that differ (their bounds reach the driver and are pushed into the scan, which
+skips files, row groups and pages), and joins that with the differing ranges. Records that share an offset (a fault, yet
+possible) are folded by map-side sums of their digests' words, in bounded memory however many there are.
+
+Defined cases: a null offset is the range before all others, reported as -1 and told from a real offset -1 by its digest; null record
+content hashes as an empty record with a mark of its own; repeated offsets and repeated rows compare as multisets; two empty replicas
+agree; records are hashed whole, however long; other columns play no part.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ def leaves(records: DataFrame, offset: Column, record: Column) -> DataFrame:
     word = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")
     sums = [F.sum(word(i)).alias(f"s{i}") for i in range(8)]
     return (
-        records.select(F.coalesce(offset.cast("long"), F.lit(-1)).alias("node"), F.sha2(record.cast("binary"), 256).alias("h"))
+        records.select(F.coalesce(offset.cast("long"), F.lit(-1)).alias("node"), F.sha2(F.when(offset.isNull(), F.concat(F.lit("no offset\0"), record)).otherwise(record).cast("binary"), 256).alias("h"))
         .groupBy("node").agg(F.count("*").alias("n"), F.min("h").alias("one"), *sums)
         .select("node", "n", F.when(F.col("n") == 1, F.col("one")).otherwise(F.sha2(F.concat_ws(":", "n", *[f"s{i}" for i in range(8)]), 256)).alias("digest"))
     )
@@ -51,7 +53,25 @@ class Tree:
             text = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["node"].cast("string"), c["digest"])), ",")
             parent = F.lit(0).cast("long") if level == height else F.shiftright("node", FANOUT_BITS)
             up = self.levels[-1].groupBy(parent.alias("node")).agg(F.sum("n").alias("n"), F.sha2(text, 256).alias("digest"))
-            self.levels.append(staged(up, f"merkle-{level}"))
+            self.levels.append(stored(up, f"merkle-{level}"))
+
+
+def stored(level: DataFrame, name: str) -> DataFrame:
+    """A level in files that hold ranges of nodes in order, so that a scan for some nodes skips the others."""
+    return staged(level.repartitionByRange("node").sortWithinPartitions("node"), name)
+
+
+def intervals(ranges: DataFrame, width: int) -> list[tuple[int, int]]:
+    """At most 64 intervals (and one below 0) that cover the nodes of ``ranges`` (up), which number 2 ** width at most."""
+    rows = ranges.groupBy(F.shiftright("up", max(0, width - 6))).agg(F.min("up").alias("low"), F.max("up").alias("high")).collect()
+    return sorted((r["low"], r["high"]) for r in rows)
+
+
+def children_within(level: DataFrame, found: list[tuple[int, int]]) -> DataFrame:
+    keep = F.lit(False)
+    for low, high in found:
+        keep = keep | F.col("node").between(low << FANOUT_BITS, ((high + 1) << FANOUT_BITS) - 1)
+    return level.where(keep)
 
 
 def height_of(*bottoms: DataFrame) -> int:
@@ -65,13 +85,15 @@ def height_of(*bottoms: DataFrame) -> int:
 
 def compare(a: Tree, b: Tree) -> DataFrame:
     """(node, status, digest_a, digest_b): the offsets at which the replicas differ."""
-    bad = None
+    bad, height = None, len(a.levels) - 1
     for level in reversed(range(len(a.levels))):
         left, right = (t.levels[level].select("node", F.col("digest").alias(d)) for t, d in ((a, "digest_a"), (b, "digest_b")))
-        if bad is not None:
+        if bad is not None and level < height - 1:
             # children of the ranges that differ; below the root all are children of node 0
-            parent = F.lit(0).cast("long") if level == len(a.levels) - 2 else F.shiftright("node", FANOUT_BITS)
-            left, right = (x.withColumn("up", parent).join(bad, "up", "left_semi").drop("up") for x in (left, right))
+            found = intervals(bad, FANOUT_BITS * (height - level - 1))
+            left, right = (children_within(x, found).withColumn("up", F.shiftright("node", FANOUT_BITS)).join(bad, "up", "left_semi").drop("up") for x in (left, right))
+        elif bad is not None and bad.isEmpty():
+            left, right = left.where(F.lit(False)), right.where(F.lit(False))
         found = left.join(right, "node", "full_outer").where(~F.col("digest_a").eqNullSafe(F.col("digest_b")))
         if level == 0:
             status = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").otherwise("changed")
@@ -82,6 +104,6 @@ def compare(a: Tree, b: Tree) -> DataFrame:
 
 def audit(primary: DataFrame, replica: DataFrame, offset: str, record: Column) -> DataFrame:
     """Where ``replica`` differs from ``primary``; both have the columns used by ``offset`` and ``record``."""
-    bottoms = [staged(leaves(x, F.col(offset), record), "merkle-leaves") for x in (primary, replica)]
+    bottoms = [stored(leaves(x, F.col(offset), record), "merkle-leaves") for x in (primary, replica)]
     height = height_of(*bottoms)
     return compare(*(Tree(x, height) for x in bottoms))
