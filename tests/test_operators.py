@@ -341,3 +341,25 @@ def test_training_lowers_the_loss(spark):
     assert losses[-1] < losses[0] - 0.1
     after = network.window_losses(windows, net, "k").agg(F.avg("loss")).first()[0]
     assert after < losses[0]
+
+
+def test_staged_tables_are_released(spark):
+    import os
+
+    from turnloom import session
+
+    kept = session.staged(spark.range(3), "kept")
+    path = session._staged[-1].removeprefix("file://")
+    assert kept.count() == 3 and os.path.isdir(path)
+    session.release(spark)
+    assert not os.path.exists(path) and not session._staged
+
+
+def test_scratch_must_be_shared(monkeypatch, spark):
+    from types import SimpleNamespace
+
+    from turnloom import session
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch(cluster)

@@ -6,6 +6,7 @@ the cluster's own settings, and only unset values get a default.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_scratch: str | None = None
+_staged: list[str] = []
 
 
 def local_session(cores: str = "8", app: str = "turnloom") -> SparkSession:
@@ -33,11 +35,13 @@ def local_session(cores: str = "8", app: str = "turnloom") -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder shared by all executors: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder shared by all executors: spark.checkpoint.dir, or one of our own where it is unset and all run in one process."""
     global _own_scratch
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_scratch is None:
         _own_scratch = "file://" + tempfile.mkdtemp(prefix="turnloom-")
     return _own_scratch
@@ -48,17 +52,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage at files that outlive any executor, and gives the planner the table's true
     size: later joins broadcast it only while it is below spark.sql.autoBroadcastJoinThreshold, and
-    shuffle it beyond. The files go when the JVM ends.
+    shuffle it beyond. The files go with release(), or else when the JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/turnloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all staged tables; to be called when the results made from them are written."""
+    jvm = spark.sparkContext._jvm
+    while _staged:
+        target = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """A stored table of a few narrow columns, marked for broadcast if it is counted to be short; else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
