@@ -21,7 +21,8 @@ Scale: text is scanned once; rows never meet other rows except the templates (bo
 so hot sources, lines or copies move no data.
 
 Defined cases: null and wordless texts match nothing; a text repeated twice matches alike; several
-templates may match one text, each giving a row.
+templates may match one text, each giving a row; rows of one id, or without id, are scanned each for itself; a template at exactly the share
+matches; texts are scanned whole, however long; an empty table gives an empty table; other columns play no part.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ are below the broadcast threshold, and beyond it the join is one that adaptive e
 Defined cases: null text stays null and counts as a page without lines; null sites form one site; blank
 lines are never counted or dropped; lines are compared without surrounding spaces; a page that repeats a
 line counts once; repeated rows count as pages of their own; an empty table gives an empty table; a page
-whose lines all go keeps an empty text. Other columns pass through untouched.
+whose lines all go keeps an empty text; pages and lines are read whole, however long; a line at exactly the ratio stays. Other columns
+pass through untouched, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Repeated windows are found inside the row: the 64-bit hashes of all windows are
 positions and neighbours compared, n log n in the words, and only for texts in which a hash repeats.
 
 Defined cases: null and blank texts have no words and fail the base rules; repeated rows are judged
-alike; empty tables give empty tables; the text is judged whole, however long.
+alike; empty tables give empty tables; the text is judged whole, however long; a document that
+loses exactly the share allowed is kept; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ The number of sources is that of a mixing configuration: the level is found over
 
 Defined cases: null and blank texts have size 0, are kept in the result and never taken; null sources
 are one source, last in order; documents of the same id fall together; no document is taken more than
-max_epochs times; an empty table gives an empty table.
+max_epochs times; repeated rows count each; sources of equal cap by weight are ordered by name, and of equal draw all are taken or none;
+texts are counted whole, however long; an empty table gives an empty table; other columns pass through mix_documents.
 """
 
 from __future__ import annotations

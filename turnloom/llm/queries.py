@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import ann_lists, license_scan, line_dedup, line_quality, mixing, ngram_join, sentencepiece_codec, toxicity, url_reputation, warc_merkle
+from turnloom.session import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,7 +48,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return line_quality.quality_columns(docs).select("doc_id", "quality.*")
 
 

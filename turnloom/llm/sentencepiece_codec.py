@@ -12,10 +12,11 @@ worker (a bounded cache). The constructor tests that property and otherwise merg
 Checks against the library, in every Arrow batch: each segment that isn't in the worker's cache, and the longest
 of each 64 texts as a whole. A difference raises. Decoding is the library's decode(ids).
 
-Scale: one pass over the rows, no shuffle; memory is one Arrow batch and two generations of the cache.
+Scale: one pass over the rows, no shuffle; memory is one Arrow batch and two generations of the cache, which is bounded in segments
+of up to 32 characters (a longer one counts as several, so texts without spaces can't fill a worker).
 
-Defined cases: null is encoded as the empty text (no ids); repeated rows give repeated results; texts are
-encoded whole.
+Defined cases: null is encoded as the empty text (no ids); repeated rows, and rows of one id, give a result each; a null id stays null;
+texts are encoded whole, however long; an empty table gives an empty table; other columns play no part.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from turnloom.session import text_batches
+from turnloom.session import spread, text_batches
 
 SPACE = "▁"
 CACHE, SHORT = 300_000, 32
@@ -89,6 +90,7 @@ class Agenda:
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.limit = CACHE
+        self.held = 0
 
     def merge(self, segment: str) -> tuple[int, ...]:
         symbols: list[str | None] = list(segment)
@@ -185,8 +187,10 @@ class Agenda:
 
     def learn(self, segments: set[str]) -> None:
         """Merges segments not in the cache and holds each of them against the library."""
-        if len(self.cache) + len(segments) > self.limit:
-            self.older, self.cache = self.cache, {}
+        cost = len(segments) + sum(map(len, segments)) // SHORT  # long segments cost by their length
+        if self.held + cost > self.limit:
+            self.older, self.cache, self.held = self.cache, {}, 0
+        self.held += cost
         new = sorted(segments, key=len)
         short = bisect.bisect_right(new, SHORT, key=len)
         for at in range(0, short, 4096):
@@ -205,6 +209,7 @@ class Agenda:
         missing = set().union(*parts).difference(self.cache)
         for s in [s for s in missing if s in self.older]:
             self.cache[s] = self.older[s]
+            self.held += 1 + len(s) // SHORT
             missing.discard(s)
         self.learn(missing)
         cache, older, text = self.cache, self.older, self.text
@@ -257,11 +262,11 @@ def _each_batch(docs: DataFrame, model: bytes, schema: str, row, cache: int = CA
             for at in range(0, batch.num_rows, 64):
                 yield row(batch.slice(at, 64), agenda)
 
-    return docs.mapInArrow(run, schema)
+    return spread(docs).mapInArrow(run, schema)
 
 
 def encode_digests(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text", cache: int = CACHE) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document. cache: segments in each of a worker's two generations."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document. cache: segments of up to 32 characters in each of a worker's two generations."""
 
     def row(part: pa.RecordBatch, agenda: Agenda) -> pa.RecordBatch:
         got = _digest(part.column(1).to_pylist(), agenda)

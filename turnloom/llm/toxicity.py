@@ -17,8 +17,9 @@ sample, whose texts stay on the executors; the driver gets the trigram counts, a
 features of at most ``most_labelled`` rows.
 
 Defined cases: null, empty and blank texts score the model's bias; no labels, or labels of one class only, give
-the share of that class (0 without any); repeated rows score alike; texts are scored whole; words of digits
-alone are numbers.
+the share of that class (0 without any), and null labels or ids don't count; of several labels of a document the highest holds; of
+equal texts one is learned from; repeated rows score alike; texts and their words are scored whole, however long; words of digits
+alone are numbers; an empty table gives an empty table; other columns pass through drop_toxic and are no input.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.session import staged, text_batches
+from turnloom.session import spread, staged, text_batches
 
 MOST_LABELLED, MOST_WORDS, LEAST_DOCS = 20_000, 256, 5
 #: What a character may imitate, a property of how people write around filters.
@@ -71,7 +72,7 @@ def _char_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Log probabilities [a, b, c] of class c after a, b, from all texts."""
-    rows = docs.select(text).mapInArrow(_char_counts, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).collect()  # 28 ** 3 rows at most
+    rows = spread(docs.select(text)).mapInArrow(_char_counts, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).collect()  # 28 ** 3 rows at most
     counts = np.zeros(N_CLASSES**3)
     for trigram, n in rows:
         counts[trigram] = n
@@ -321,7 +322,7 @@ def score_documents(docs: DataFrame, lm: np.ndarray, scorer: Scorer, text: str =
                 scores = [by.score(restorer.counts(t), len(t.split()) if t else 0) for t in part.column(names.index(text)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*names, "score"])
 
-    return docs.drop("score").mapInArrow(run, schema)
+    return spread(docs.drop("score")).mapInArrow(run, schema)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
