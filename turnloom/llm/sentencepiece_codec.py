@@ -242,10 +242,10 @@ def agenda_for(model: bytes, cache: int) -> Agenda:
 
 def _digest(texts: list[str | None], agenda: Agenda) -> dict:
     out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-    probe = max((t for t in texts if t), key=len, default=None)
-    if probe and agenda.encode(probe)[0] != agenda.lib.encode(probe):
-        raise AssertionError(f"the library encodes {probe[:80]!r} otherwise")
-    for ids, joined in agenda.encode_all([t or "" for t in texts]):
+    probe = max(range(len(texts)), key=lambda i: len(texts[i] or ""), default=None)
+    for i, (ids, joined) in enumerate(agenda.encode_all([t or "" for t in texts])):
+        if i == probe and ids != agenda.lib.encode(texts[i] or ""):
+            raise AssertionError(f"the library encodes {(texts[i] or '')[:80]!r} otherwise")
         out["n_tokens"].append(len(ids))
         out["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
         out["decoded_sha256"].append(hashlib.sha256(agenda.decode(ids).encode()).hexdigest())
