@@ -187,7 +187,7 @@ class Agenda:
 
     def learn(self, segments: set[str]) -> None:
         """Merges segments not in the cache and holds each of them against the library."""
-        cost = len(segments) + sum(map(len, segments)) // SHORT  # long segments cost by their length
+        cost = len(segments) + sum(len(s) // SHORT for s in segments)  # long segments cost by their length
         if self.held + cost > self.limit:
             self.older, self.cache, self.held = self.cache, {}, 0
         self.held += cost
