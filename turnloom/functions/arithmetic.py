@@ -121,21 +121,18 @@ class Workings:
         return {"+": self.add, "-": self.sub, "*": self.mul, "/": self.div}[op]()
 
 
-# The percentages with names, and what they are taken of.
-PERCENTS = {5: "a twentieth", 10: "a tenth", 20: "a fifth", 25: "a quarter", 50: "a half", 75: "three quarters"}
-BASES = (20, 40, 60, 80, 100, 120, 160, 200, 240, 300, 400, 500)
+#: Percentages asked for are one part in so many; what they are taken of is a number of hundreds.
+PARTS, HUNDREDS = (2, 4, 5, 10, 20, 25, 50), 12
 
 
 def other_problem(d: Dialect, kind: str, seed: int, key: str) -> tuple[str, str, str]:
     """(question, working, answer) of a problem that isn't l op r, drawn by key."""
     t = d.text
     if kind == "percent":
-        pct = f"cast({d.pick([str(p) for p in PERCENTS], d.draw(seed, key, 1))} as bigint)"
-        base = f"cast({d.pick([str(b) for b in BASES], d.draw(seed, key, 2))} as bigint)"
-        named = "CASE " + pct + " " + " ".join(f"WHEN {p} THEN '{n}'" for p, n in PERCENTS.items()) + " END"
-        part = d.div(f"{base} * {pct}", 100)
-        how = f"CASE WHEN {pct} = 75 THEN 'a quarter is ' || {t(d.div(base, 4))} || ' and three of those are ' ELSE 'divide by ' || {t(d.div('100', pct))} || ': ' END"
-        return f"{t(pct)} || '% of ' || {t(base)} || '?'", f"{t(pct)} || ' percent is ' || {named} || '; ' || {how} || {t(part)} || '.'", t(part)
+        parts = f"cast({d.pick([str(p) for p in PARTS], d.draw(seed, key, 1))} as bigint)"
+        pct, base = d.div("100", parts), f"({d.between(seed, key, 2, 1, HUNDREDS)} * 100)"
+        part = d.div(base, parts)
+        return f"{t(pct)} || '% of ' || {t(base)} || '?'", f"{t(pct)} || ' percent is one part in ' || {t(parts)} || '; ' || {t(base)} || ' in ' || {t(parts)} || ' parts: ' || {t(part)} || '.'", t(part)
     if kind == "square":
         n = d.between(seed, key, 1, 11, 40)
         tens, ones = f"({n} - {n} % 10)", f"({n} % 10)"
