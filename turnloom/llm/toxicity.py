@@ -93,9 +93,12 @@ class Restorer:
     def __init__(self, lm: np.ndarray, wanted: dict[str, int] | None = None):
         self.lm = lm.tolist()
         self.wanted = wanted
+        self.heads = None if wanted is None else {m[:3] for m in wanted}  # all marks of a word begin as it does
         self.known: dict[str, tuple[str, ...]] = {}
 
     def shown(self, word: str) -> tuple[str, ...]:
+        if self.heads is not None and word[:3] not in self.heads:
+            return ()
         return tuple(m for m in marks(word) if self.wanted is None or m in self.wanted)
 
     def viterbi(self, word: str) -> str:
@@ -166,7 +169,10 @@ class Restorer:
         return list(dict.fromkeys([x for _, x in read] + ([bare] if plain else [])))
 
     def shown_by(self, raw: str) -> tuple[str, ...]:
-        return tuple(dict.fromkeys(m for form in self.forms(raw) for m in self.shown(form)))
+        if raw.isalpha() and not DOUBLE.search(raw):
+            return self.shown(raw)  # its only form
+        forms = self.forms(raw)
+        return self.shown(forms[0]) if len(forms) == 1 else tuple(dict.fromkeys(m for form in forms for m in self.shown(form)))
 
     def counts(self, text: str | None) -> Counter:
         """Marks of the restored words with their counts."""
