@@ -312,6 +312,17 @@ def test_restoration_of_edges_and_doubles(spark):
     assert {w: r.word(w) for w in ("$tupid", "(lown", "!diot", "idiiot", "mill", "(clown)", "1995")} == {"$tupid": "stupid", "(lown": "clown", "!diot": "idiot", "idiiot": "idiot", "mill": "mill", "(clown)": "clown", "1995": "1995"}
 
 
+def test_wanted_marks_are_all_marks_that_are_wanted(spark):
+    """What a list of wanted marks leaves out is only what isn't on it."""
+    lm = insult_model(spark)
+    text = "The stupid, $tupid clowns (tr@sh!) met it in a  s t u p i d  millstone; scummy 1995 ab a$$ mill über é"
+    every = toxicity.Restorer(lm).counts(text)
+    assert {"stupid", "stu~", "clown~", "ab", "mill~", "it"} <= set(every)
+    for wanted in ({"stupid", "clown~", "mil~", "scum~"}, {"ab", "a", "über", "é", "it"}, set(every), set()):
+        told = toxicity.Restorer(lm, dict.fromkeys(wanted, 0)).counts(text)
+        assert told == {m: n for m, n in every.items() if m in wanted}
+
+
 def test_spaced_run_is_read_to_its_end(spark):
     r = toxicity.Restorer(insult_model(spark), {"idiot": 0, "stupid": 0})
     run = " ".join("theriverrunsbythemill" * 20)
