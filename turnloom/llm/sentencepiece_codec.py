@@ -37,6 +37,8 @@ from turnloom.session import spread, text_batches
 SPACE = "▁"
 CACHE, SHORT = 300_000, 32
 OUTSIDE, END = 1 << 19, (1 << 21) - 1
+#: The rank of two symbols that don't join.
+NEVER = np.iinfo(np.int32).max
 
 
 class Agenda:
@@ -67,11 +69,11 @@ class Agenda:
                     pairs[left << 21 | right] = (self.rank[piece], i)
         keys = np.array(sorted(pairs), np.int64)
         ranked = np.array([pairs[k] for k in keys.tolist()], np.int64).reshape(len(keys), 2)
-        #: An open hash table of them; the last slot stands for pairs that don't join.
-        self.bits = max(8, int(len(keys) * 6).bit_length())
+        #: An open hash table of them, small enough for a core's own cache; the last slot stands for pairs that don't join.
+        self.bits = max(8, int(len(keys) * 2).bit_length())
         self.slots = np.full((1 << self.bits) + 1, -1, np.int64)
-        self.pair_rank = np.full(len(self.slots), np.iinfo(np.int32).max, np.int32)
-        self.pair_id = np.zeros(len(self.slots), np.int64)
+        self.pair_rank = np.full(len(self.slots), NEVER, np.int32)
+        self.pair_id = np.zeros(len(self.slots), np.int32)
         self.probes = 0
         left, at = np.arange(len(keys)), self._slot(keys)
         while len(left):
@@ -83,7 +85,7 @@ class Agenda:
             lost[won] = False
             left, at = left[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
             self.probes += 1
-        self.symbol = np.arange(0x110000, dtype=np.int64) + OUTSIDE
+        self.symbol = np.arange(0x110000, dtype=np.int32) + OUTSIDE
         for piece, i in ids.items():
             if len(piece) == 1:
                 self.symbol[ord(piece)] = i
@@ -132,9 +134,9 @@ class Agenda:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Slots of symbols that join, else the last slot; either may be END."""
-        key = left << 21 | right
+        key = left.astype(np.int64) << 21 | right
         at = self._slot(key)
         held = self.slots[at]
         out = np.where(held == key, at, 1 << self.bits)
@@ -154,29 +156,28 @@ class Agenda:
         n, width = len(segments), max(map(len, segments))
         codes = np.frombuffer("".join([x.ljust(width, "\0") for x in segments]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
         size = np.array([len(x) for x in segments])
-        symbols = np.full((n, width + 1), END, np.int64)
+        symbols = np.full((n, width + 1), END, np.int32)
         symbols[:, :width] = np.where(np.arange(width) < size[:, None], self.symbol[codes], END)
-        agenda = self.ranks(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, width)
-        none, out, live = 1 << self.bits, [()] * n, np.arange(n)
+        agenda = self.pair_rank[self.pairs(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())].reshape(n, width)
+        out, live = [()] * n, np.arange(n)
         while len(live):
-            best = np.argmin(self.pair_rank[agenda], 1)  # the first of equals is the leftmost
-            entry = agenda[np.arange(len(live)), best]
-            go = entry < none
-            ended = symbols[~go]
-            for at, row, m in zip(live[~go].tolist(), ended.tolist(), (ended != END).sum(1).tolist()):
-                out[at] = tuple(row[:m])
-            live, best, entry, symbols, agenda = live[go], best[go], entry[go], symbols[go], agenda[go]
-            if not len(live):
-                break
+            best = np.argmin(agenda, 1)  # the first of equals is the leftmost
+            go = agenda[np.arange(len(live)), best] < NEVER
+            if not go.all():
+                ended = symbols[~go]
+                for at, row, m in zip(live[~go].tolist(), ended.tolist(), (ended != END).sum(1).tolist()):
+                    out[at] = tuple(row[:m])
+                live, best, symbols, agenda = live[go], best[go], symbols[go], agenda[go]
+                if not len(live):
+                    break
             i = np.arange(len(live))
-            symbols[i, best] = self.pair_id[entry]
+            symbols[i, best] = self.pair_id[self.pairs(symbols[i, best], symbols[i, best + 1])]
             kept = np.ones(symbols.shape, bool)
             kept[i, best + 1] = False  # the right symbol and its pair go; a pair with END never joins, so both exist
             symbols, agenda = symbols[kept].reshape(len(live), -1), agenda[kept[:, :-1]].reshape(len(live), -1)
-            agenda[i, best] = self.ranks(symbols[i, best], symbols[i, best + 1])
             j = np.flatnonzero(best > 0)
-            at = best[j]
-            agenda[j, at - 1] = self.ranks(symbols[j, at - 1], symbols[j, at])
+            at, row = np.concatenate([best, best[j] - 1]), np.concatenate([i, j])
+            agenda[row, at] = self.pair_rank[self.pairs(symbols[row, at], symbols[row, at + 1])]
         for at, x in enumerate(out):
             if max(x) >= OUTSIDE:
                 out[at] = tuple(y for i in x for y in ([i] if i < OUTSIDE else [self.byte[b] for b in chr(i - OUTSIDE).encode()]))
