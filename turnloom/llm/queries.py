@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import ann_lists, license_scan, line_dedup, line_quality, mixing, ngram_join, sentencepiece_codec, toxicity, url_reputation, warc_merkle
+from turnloom.llm import ann_lists, bpe_automaton, license_scan, line_dedup, line_quality, mixing, ngram_join, sentencepiece_codec, toxicity, url_reputation, warc_merkle
 from turnloom.session import spread
 
 QUERIES: dict = {}
@@ -84,6 +84,11 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_lists.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@_query
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.encode_digests(_table(spark, sf_dir, "documents"), bpe_automaton.public_vocabulary())
+
+
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
