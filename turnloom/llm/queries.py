@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import ann_lists, bpe_automaton, license_scan, line_dedup, line_quality, mixing, ngram_join, sentencepiece_codec, toxicity, url_reputation, warc_merkle
+from turnloom.llm import ann_lists, bpe_automaton, embedding_whitening, license_scan, line_dedup, line_quality, mixing, ngram_join, sentencepiece_codec, toxicity, url_reputation, vector_codes, warc_merkle
 from turnloom.session import spread
 
 QUERIES: dict = {}
@@ -84,6 +84,16 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_lists.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@_query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whitening_report(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes_report(_table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_digests(_table(spark, sf_dir, "documents"), bpe_automaton.public_vocabulary())
@@ -215,3 +225,28 @@ SELECT doc_id, template, n_shared, n_template, round(n_shared / n_template, 6) A
 
 
 ORACLE_SQL["op9_license_scans"] = _op9_sql()
+
+
+def _op12_sql() -> str:
+    parts, entries, rounds = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS
+    square = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::BIGINT"
+    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS r, vec_id, label, x FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)),
+p AS MATERIALIZED (SELECT r, part, x[part * len(x) // {parts} + 1:(part + 1) * len(x) // {parts}] AS x FROM v, (SELECT unnest(range({parts})) AS part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x FROM p WHERE r <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, part, min({square} * {entries} + entry) AS best FROM p JOIN b{k} b USING (part) GROUP BY r, part)")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT part, entry, list((total - (total % n + n) % n) // n ORDER BY i)::BIGINT[] AS x FROM (
+    SELECT part, entry, i, sum(x[i])::BIGINT AS total, count(*) AS n FROM (SELECT p.part, best % {entries} AS entry, x, unnest(range(1, len(x) + 1)) AS i FROM p JOIN a{k} USING (r, part)) GROUP BY ALL) GROUP BY part, entry),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.x, b{k}.x) AS x FROM b{k} LEFT JOIN m{k} USING (part, entry))""")
+    return f"""
+WITH {", ".join(steps)},
+c AS (SELECT r, string_agg(printf('%02x', best % {entries}), '' ORDER BY part) AS code, sum(best // {entries})::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM c JOIN v USING (r)"""
+
+
+ORACLE_SQL["op12_vector_codes"] = _op12_sql()
