@@ -5,6 +5,8 @@ import hashlib
 import math
 import random
 import re
+import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -360,6 +362,91 @@ def test_viterbi_is_the_best_path(toxic_model):
     assert r.viterbi("m0r0n") == "moron"
 
 
+def test_words_of_very_many_marks(toxic_model):
+    """Time and room by a word's length; what a short word shows is what all its endings show."""
+    r = toxicity.Restorer(toxic_model[2])
+    for word in ("a" + "$@" * 50_000, "+-" * 50_000, "$@" * 50_000):
+        began = time.process_time()
+        r.counts(word)
+        assert time.process_time() - began < 10  # 2 s on a quiet machine; every ending spelled out took hours
+    word = "a" + "$@" * 6
+    cuts = range(1, len(word) + 1)
+    paths = sorted(((s + toxicity.NOISE * (len(word) - i), x) for (s, x), i in zip(r.endings(word, list(cuts)), cuts)), key=lambda x: -x[0])
+    assert r.forms(word) == list(dict.fromkeys((toxicity.spelled(x), True) for _, x in paths))
+    told = {m for _, x in r.endings("a" + "$@" * 40, list(range(1, 82))) for m in toxicity.marks(toxicity.spelled(x)) if len(m) <= 32}
+    assert told <= set(r.counts("a" + "$@" * 40))
+
+
+def plain_score(text, lm, words, weights):
+    """The score once more, without numpy, caches, gates or heads: every word of the text by itself."""
+    restorer = toxicity.Restorer(lm)
+    seen, total = set(), 0
+    low = (text or "").lower()
+    for raw in low.split():
+        shown = {m for form, whole in restorer.forms(raw) for m in ([form] if whole else []) + [form[:k] + "~" for k in range(3, min(len(form), 8))] if form}
+        seen |= shown
+        total += sum(m in words and not m.endswith("~") for m in shown)
+    for m in toxicity.SPACED.finditer(low):
+        letters = restorer.viterbi(re.sub(r"[\s._*\-]+", "", m[0]))
+        left = len(low[: m.start()].rstrip(toxicity.EDGE)) if m.start() else 0
+        right = len(low) - len(low[m.end() :].lstrip(toxicity.EDGE))
+        alone = len(m[0].split()) == 1 and (left == 0 or low[left - 1].isspace()) and (right == len(low) or low[right].isspace())
+        counted = {x for form, whole in restorer.forms(low[left:right]) for x in ([form] if whole else []) + [form[:k] + "~" for k in range(3, min(len(form), 8))]} if alone else set()
+        found = [letters[i : i + n] for n in range(3, min(len(letters), 14) + 1) for i in range(len(letters) - n + 1)]
+        for x in found:
+            if x in words:
+                if x not in counted:
+                    seen.add(x)
+                    total += 1
+            else:  # only the first mark that is wanted counts, a beginning where the whole is none
+                beginnings = [x[:k] + "~" for k in range(3, min(len(x), 8)) if x[:k] + "~" in words]
+                if beginnings and beginnings[0] not in counted:
+                    seen.add(beginnings[0])
+    z = weights[0] + weights[1] * math.log1p(total) + weights[2] * min(1.0, 20.0 * total / max(len(low.split()), 1))
+    z += sum(w for m, w in zip(words, weights[3:]) if m in seen)
+    return 1 / (1 + math.exp(-z))
+
+
+def test_toxicity_query_equals_its_plain_version(spark):
+    """The query's rows: splits, the model's counts, and every score from the fitted weights, in plain Python."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.select("doc_id", "text").collect()
+    counts = np.zeros((28, 28, 28))
+    kind = lambda b: b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0
+    for r in rows:
+        c = [kind(b) for b in f" {r.text} ".encode()] if r.text else []
+        for abc in zip(c, c[1:], c[2:]):
+            counts[abc] += 1
+    lm, scorer = toxicity.train(docs.select("doc_id", "text"), labels)
+    pairs = counts.sum(0) + 0.5
+    back = pairs / pairs.sum(1, keepdims=True)
+    assert np.allclose(lm, np.log((counts + 5 * back) / (counts.sum(2, keepdims=True) + 5)), atol=1e-9)
+    got = {r.doc_id: r for r in toxicity.toxicity_report(docs, labels).collect()}
+    assert len(got) == len(rows)
+    words = list(scorer.at)
+    assert len(words) > 5
+    for r in rows:
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        score = plain_score(r.text, lm, words, scorer.weights.tolist())
+        assert math.isclose(got[r.doc_id].score, score, abs_tol=1e-6), r.doc_id
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
+    # The fit: no small step lowers the penalized loss of the learnt rows.
+    toxic = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            toxic[r.doc_id] = max(toxic.get(r.doc_id, 0), r.toxic)
+    learnt = {}
+    for r in sorted((r for r in rows if r.doc_id in toxic and r.text is not None), key=lambda r: r.doc_id, reverse=True):
+        learnt[r.text] = toxic[r.doc_id]
+    restorer = toxicity.Restorer(lm, scorer.at)
+    x = np.array([scorer.features(restorer.counts(t), len(t.split())) for t in learnt])
+    y = np.array([float(v > 0) for v in learnt.values()])
+    ridge = np.full(x.shape[1], 1.0)
+    ridge[:3] = [1e-4, 1e-2, 1e-2]
+    p = 1 / (1 + np.exp(-np.clip(x @ scorer.weights, -30, 30)))
+    assert np.abs(x.T @ (y - p) - ridge * scorer.weights).max() < 1e-4
+
+
 def test_toxicity_awkward(spark, toxic_model):
     labels = toxic_model[1]
     docs = awkward(spark)
@@ -469,6 +556,26 @@ def test_shingle_sets_sizes():
     assert set(a) < set(b)
 
 
+@pytest.mark.parametrize("k", range(1, 9))
+def test_shingle_sets_of_few_words(k):
+    """Chunks of 0 to k words in all, and a short text that a large one follows, which closes its chunk."""
+    for n in range(k + 1):
+        for texts in ([" ".join("abcdefgh"[:n])], ["", " ".join("abcdefgh"[:n]), None], [w for w in "abcdefgh"[:n]]):
+            assert [len(s) for s in shingle_sets.Shingler(k).sets(texts)] == [len(shingles(t, k)) for t in texts]
+    long = " ".join(f"w{i}" for i in range(60_000))
+    texts = ["a b c", long, "A B c", "a b", long.upper()]
+    got = list(shingle_sets.Shingler(k).sets(texts))
+    assert [len(s) for s in got] == [len(shingles(t, k)) for t in texts] and len(long) > 300_000
+    assert (got[0] == got[2]).all() and (got[1] == got[4]).all()
+
+
+def test_near_copies_of_short_documents(spark):
+    docs = docs_of(spark, [(1, "one two three", "a")])
+    assert corpus_pipeline.dedup_documents(spark, docs, "").count() == 1
+    docs = docs_of(spark, [(1, "one two three", "a"), (2, " ".join(f"w{i}" for i in range(60_000)), "a"), (3, "One two THREE", "b"), (4, "one two", "b")]).coalesce(1)
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()) == [1, 2, 4]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     got = {r["node"]: r["label"] for r in components.connected(links).collect()}

@@ -54,7 +54,7 @@ class Shingler:
             sums = np.concatenate((np.zeros(1, _U), np.cumsum(self.value[data] * self.up[: len(data)], dtype=_U)))
             words = mix((sums[stop] - sums[start]) * self.down[start] + mix((stop - start).astype(_U), 2), 3)
             many = words.copy()
-            for j in range(1, self.k):
+            for j in range(1, min(self.k, len(words))):
                 many[: len(words) - j] = mix(many[: len(words) - j] * _U(3) + words[j:], 4)
         ends = np.cumsum([len(t) + 1 for t in texts])
         first = np.searchsorted(start, np.concatenate(([0], ends[:-1])))

@@ -42,6 +42,7 @@ IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g
 #: Natural logs of the channel.
 SAME, IMITATED, NOISE, DRAWN_OUT, DOUBLED, LOST = -0.05, -1.5, -1.0, -0.7, -3.5, -7.0
 N_CLASSES = 28
+LETTERS = 32
 OTHER = 27
 UNIT = rf"(?:[^\W_]|[{re.escape(''.join(c for c in IMITATES if not c.isalnum()))}])"
 #: Three or more single letters or imitating characters; no character is both that and a gap, so a search is linear.
@@ -87,6 +88,27 @@ def marks(word: str) -> list[str]:
     return [word, *(word[:k] + "~" for k in range(3, min(len(word), 8)))] if word else []
 
 
+def spelled(path: tuple | None) -> str:
+    letters = []
+    while path:
+        path, last = path
+        letters.append(last)
+    return "".join(reversed(letters))
+
+
+def beginning(path: tuple | None, known: dict[int, tuple[int, str]]) -> tuple[int, str]:
+    """How many letters a path has, and the first of them, enough for its marks. known: what is told of the paths it goes on from, by their id."""
+    way = []
+    while path and id(path) not in known:
+        way.append(path)
+        path = path[0]
+    n, head = known[id(path)] if path else (0, "")
+    for step in reversed(way):
+        n, head = n + 1, head + step[1] if n < 8 else head
+        known[id(step)] = n, head
+    return n, head
+
+
 class Restorer:
     """wanted: the marks to count; None counts all."""
 
@@ -96,10 +118,11 @@ class Restorer:
         self.heads = None if wanted is None else {m[:3] for m in wanted}  # all marks of a word begin as it does
         self.known: dict[str, tuple[str, ...]] = {}
 
-    def shown(self, word: str) -> tuple[str, ...]:
+    def shown(self, word: str, whole: bool = True) -> tuple[str, ...]:
+        """The marks of a word; of its beginnings only, if ``word`` is not the whole word."""
         if self.heads is not None and word[:3] not in self.heads:
             return ()
-        return tuple(m for m in marks(word) if self.wanted is None or m in self.wanted)
+        return tuple(m for m in marks(word)[not whole :] if self.wanted is None or m in self.wanted)
 
     def viterbi(self, word: str) -> str:
         """The most likely letters behind a word without white space, in lower case."""
@@ -107,13 +130,14 @@ class Restorer:
 
     def best_path(self, word: str) -> tuple[float, str]:
         """The log likelihood of the best path and its letters."""
-        return self.endings(word, [len(word)])[0]
+        score, path = self.endings(word, [len(word)])[0]
+        return score, spelled(path)
 
-    def endings(self, word: str, cuts: list[int], loose: int = 0) -> list[tuple[float, str]]:
-        """best_path of the word's beginnings up to each of ``cuts`` (ascending), in one pass. The first ``loose`` characters may be noise."""
+    def endings(self, word: str, cuts: list[int], loose: int = 0) -> list[tuple[float, tuple | None]]:
+        """Scores and paths of the word's beginnings up to each of ``cuts`` (ascending), in one pass; a path is (path before, last letter). The first ``loose`` characters may be noise."""
         lm = self.lm
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # letters as (letters before, last one)
-        found: list[tuple[float, str]] = []
+        found: list[tuple[float, tuple | None]] = []
         run = 0
         for i, ch in enumerate(word):
             if len(found) < len(cuts) and cuts[len(found)] == i:
@@ -139,40 +163,43 @@ class Restorer:
             found.append(self.ending(states))
         return found
 
-    def ending(self, states: dict[tuple[int, int], tuple[float, tuple | None]]) -> tuple[float, str]:
-        score, out = max(((score + self.lm[a][b][0], out) for (a, b), (score, out) in states.items()), key=lambda x: x[0])
-        letters = []
-        while out:
-            out, last = out
-            letters.append(last)
-        return score, "".join(reversed(letters))
+    def ending(self, states: dict[tuple[int, int], tuple[float, tuple | None]]) -> tuple[float, tuple | None]:
+        return max(((score + self.lm[a][b][0], out) for (a, b), (score, out) in states.items()), key=lambda x: x[0])
 
     def word(self, raw: str) -> str:
         """The likeliest restored form of one lower-case word."""
-        return self.forms(raw)[0]
+        return self.forms(raw)[0][0]
+
+    def forms(self, raw: str) -> list[tuple[str, bool]]:
+        """The restored forms of one lower-case word, the likeliest first; more than one if it has marks at its edges that imitate letters, or a doubled letter.
 
-    def forms(self, raw: str) -> list[str]:
-        """The restored forms of one lower-case word, the likeliest first; more than one if it has marks at its edges that imitate letters, or a doubled letter."""
+        A form is its letters and whether they are all of it: the likeliest is, and so are those of up to LETTERS letters; of longer ones there is the
+        beginning, so that a word with very many marks takes time and room by its length."""
         bare, marked = raw.strip(EDGE), raw.strip(IDLE)
         plain = bare.isalpha()
         if plain and bare == marked and not DOUBLE.search(bare):
-            return [bare]  # marks at the edge are punctuation
+            return [(bare, True)]  # marks at the edge are punctuation
         if not any(c.isalpha() or c in IMITATES and not c.isdigit() for c in raw):
-            return [bare]
+            return [(bare, True)]
         lead = len(marked) - len(marked.lstrip(EDGE)) if bare else 0
         end, size = lead + len(bare), len(marked)
         cuts = [i for i in range(max(end, 1), size + 1) if i in (end, size) or marked[i] != marked[i - 1]]  # marks after a cut are punctuation
         read = self.endings(marked, cuts)
         if lead:  # each mark of the beginning a letter, or as is likelier, or punctuation
             read += self.endings(marked, cuts, lead) + [(s + NOISE * lead, x) for s, x in self.endings(marked[lead:], [i - lead for i in cuts])]
-        read = sorted(((s + NOISE * (size - i), x) for (s, x), i in zip(read, cuts * 3)), reverse=True)
-        return list(dict.fromkeys([x for _, x in read] + ([bare] if plain else [])))
+        read = sorted([(s + NOISE * (size - i), x) for (s, x), i in zip(read, cuts * 3)], key=lambda x: -x[0])
+        sizes: dict[int, tuple[int, str]] = {}
+        told = [(spelled(read[0][1]), True)]
+        for _, path in read[1:]:
+            n, head = beginning(path, sizes)
+            told.append((spelled(path), True) if n <= LETTERS else (head, False))
+        return list(dict.fromkeys(told + ([(bare, True)] if plain else [])))
 
     def shown_by(self, raw: str) -> tuple[str, ...]:
         if raw.isalpha() and not DOUBLE.search(raw):
             return self.shown(raw)  # its only form
         forms = self.forms(raw)
-        return self.shown(forms[0]) if len(forms) == 1 else tuple(dict.fromkeys(m for form in forms for m in self.shown(form)))
+        return self.shown(*forms[0]) if len(forms) == 1 else tuple(dict.fromkeys(m for form in forms for m in self.shown(*form)))
 
     def counts(self, text: str | None) -> Counter:
         """Marks of the restored words with their counts."""
