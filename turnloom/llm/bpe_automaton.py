@@ -72,7 +72,7 @@ class Automaton:
             q, at = leads[u], leads[u]
             while at > 1 and at not in lacks[v]:
                 at = copy_of[at]
-            if at == 1 or at in lacks[v]:  # v never follows u
+            if at in (1, -1) or at in lacks[v]:  # v never follows u, or u is never left over
                 leads[w] = -1
                 lacks[w] = {0}
                 continue

@@ -124,10 +124,11 @@ def tridiagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Householder reflections: diagonal, its neighbours, and the transposed transformation of a symmetric matrix."""
     a, n = a.copy(), len(a)
     turned = np.eye(n)
+    nothing = np.finfo(float).eps ** 2 * np.abs(a).max(initial=0)  # reflecting what is lost in rounding would lose the angles
     for k in range(n - 2):
         v = a[k + 1 :, k].copy()
         size = np.linalg.norm(v)
-        if size == 0:
+        if size <= nothing:
             continue
         v[0] += np.copysign(size, v[0])
         v /= np.linalg.norm(v)

@@ -178,5 +178,6 @@ def codes_report(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES,
     rows = rows.where(F.size(v) == d).select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), whole(v).alias("x"))
     books = fit(rows, d, parts, entries, rounds)
     coded = staged(encode(rows, books, ["vec_id", "label"]), "vector-codes")
-    sums = coded.groupBy(F.col("label").alias("of")).agg(F.sum(F.col("error").cast("decimal(20,0)")).try_cast("long").alias("label_error"))
+    total = F.when(F.count("error") == F.count(F.lit(1)), F.sum(F.col("error").cast("decimal(20,0)")).try_cast("long"))
+    sums = coded.groupBy(F.col("label").alias("of")).agg(total.alias("label_error"))
     return coded.join(sums, F.col("label").eqNullSafe(F.col("of"))).select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
