@@ -11,6 +11,13 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 OPTIONAL = {"llm": ["turnloom/llm", "tests/llm"], "pipeline": ["corpus_pipeline.py"]}
 
 
+def output(command, folder, env):
+    """What a command prints; all of it, if it fails."""
+    done = subprocess.run(command, cwd=folder, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, f"{command}: {done.returncode}\n{done.stdout}\n{done.stderr}"
+    return done.stdout
+
+
 def test_entry(spark):
     import __spark_entry__
 
@@ -30,9 +37,9 @@ def test_entry_works_without_optional_parts(tmp_path, gone):
         elif at.exists():
             at.unlink()
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(' '.join(sorted(q)))"
-    env = {**os.environ, "PYTHONPATH": str(copy)}
-    names = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, check=True).stdout.split()
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join([str(copy), *filter(None, [os.environ.get("PYTHONPATH")])])}
+    names = output([sys.executable, "-c", code], copy, env).split()
     assert "corpus_describe" in names and "pipeline" not in names
     assert not [n for n in names if n.startswith("op")] or "llm" not in gone
-    tests = [str(p.relative_to(copy)) for p in (copy / "tests").glob("*.py")]
-    subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", *tests], cwd=copy, env=env, capture_output=True, check=True)
+    tests = [str(p.relative_to(copy)) for p in (copy / "tests").glob("test_*.py")]
+    output([sys.executable, "-m", "pytest", "--collect-only", "-q", "-p", "no:cacheprovider", "--rootdir", str(copy), *tests], copy, env)

@@ -17,8 +17,8 @@ from turnloom.functions.markers import BOT, END, START, THINK, USER
 from turnloom.operators import dialogue
 
 FOLLOW_UPS = [38, 34, 20, 8]
-WORDING = ["What is {p}?", "Please do {p}.", "{p} = ?", "Find {p}.", "How much is {p}?"]
-TOTALS = ["{n}.", "It is {n}.", "That gives {n}."]
+WORDING = ["And {p}, what does that make?", "Please do {p}.", "A sum for you: {p}.", "I am stuck at {p}.", "Could you take on {p}?"]
+TOTALS = ["So, {n}.", "It makes {n}.", "The end of it is {n}."]
 SIGNS = "+-*/"
 AGAIN, AGAIN_LEAD = ["Show it another way.", "Is there a second way?", "And by another road?"], ["Differently: ", "Or so: "]
 

@@ -20,7 +20,7 @@ ASKED = ["What is a rudder?", "whats the tide", "Who's you?", "where are we", "W
 
 
 def _agree(t: str) -> str:
-    for pattern, to in T.AGREEMENT:
+    for pattern, to in T.agreements():
         t = f"regexp_replace({t}, {quoted(pattern)}, {quoted(to)}, 'g')"
     return t
 
