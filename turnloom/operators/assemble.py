@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnloom.functions.arithmetic import OTHERS, Workings, other_problem
 from turnloom.functions.dialect import SPARK, Dialect, Held, held
+from turnloom.functions.draws import draw
 from turnloom.functions.markers import BOT, END, START, THINK, USER
 from turnloom.operators import dialogue
+from turnloom.operators.corpus import prefix_sums
+from turnloom.session import staged
 
 FOLLOW_UPS = [38, 34, 20, 8]
 WORDING = ["And {p}, what does that make?", "Please do {p}.", "A sum for you: {p}.", "I am stuck at {p}.", "Could you take on {p}?"]
@@ -108,21 +112,29 @@ def forms_cte(d: Dialect, name: str = "forms") -> str:
 
 def conversations(spark: SparkSession, keys: DataFrame, seed: int, sums: int = 30) -> DataFrame:
     """keys: (conv_id). conv_id, exchange, prompt, thought, reply, plain."""
-    return spark.sql(f"WITH {conversation_ctes(SPARK, named(keys), seed, sums)} SELECT * FROM turns")
+    return over(keys, lambda name: f"WITH {conversation_ctes(SPARK, name, seed, sums)} SELECT * FROM turns")
 
 
-def named(df: DataFrame) -> str:
-    """A temporary view of df, to be named in SQL text (whose own braces rule out spark.sql's parameters)."""
-    name = f"turnloom_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    return name
+def over(*args) -> DataFrame:
+    """over(df, ..., query): the result of SQL text about DataFrames, which ``query`` is told the names of (its own braces rule out spark.sql's parameters).
+    The names are gone afterwards."""
+    *tables, query = args
+    spark, names = tables[0].sparkSession, [f"turnloom_{uuid.uuid4().hex}" for _ in tables]
+    for df, name in zip(tables, names):
+        df.createOrReplaceTempView(name)
+    try:
+        return spark.sql(query(*names))
+    finally:
+        for name in names:
+            spark.catalog.dropTempView(name)
 
 
-def mixture_sql(d: Dialect, blocks: str, seed: int, composed: int, think: int, math: int, thinking_on: bool) -> str:
+def mixture_sql(d: Dialect, blocks: str, seed: int, composed: int, think: int, math: int, thinking_on: bool, turns: str | None = None) -> str:
     """A query of conv_id, branch, text, size: every block of ``blocks`` (conv_id, place, role, body) once, replaced by a
     generated conversation in ``composed`` of a hundred cases, else framed anew. Of the generated ones one draw gives
     ``think`` of a hundred to thinking, the next ``math`` to sums, the rest to talk. User lines are roughened. A thinking
-    conversation counts with its thinking form, whichever is written."""
+    conversation counts with its thinking form, whichever is written. turns: a relation of the generated conversations, if they are made already."""
+    made = f"keys AS (SELECT DISTINCT conv_id FROM blocks), turns AS (SELECT * FROM {turns})" if turns else conversation_ctes(d, "blocks", seed + 3, 35)
     key, h = "conv_id", Held(d)
     role = f"CASE WHEN {d.draw(seed, key, 60)} % 100 >= {composed} THEN 'reframed' WHEN {d.draw(seed, key, 61)} % 100 < {think} THEN 'thinking' WHEN {d.draw(seed, key, 61)} % 100 < {think + math} THEN 'math' ELSE 'talk' END"
     line_key = "(cast(conv_id as string) || ':' || cast(place as string))"
@@ -131,7 +143,7 @@ def mixture_sql(d: Dialect, blocks: str, seed: int, composed: int, think: int, m
     social = lambda at, counter: f"SELECT conv_id, {at} + s AS place, CASE WHEN s = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN s = 0 THEN {dialogue.social_exchange(d, seed + 2, f'(cast(conv_id as string) || {dialogue.quoted(str(at))})')[0]} ELSE {dialogue.social_exchange(d, seed + 2, f'(cast(conv_id as string) || {dialogue.quoted(str(at))})')[1]} END AS body, branch FROM branches {d.lateral('1', 's')} WHERE branch = 'reframed' AND {d.draw(seed, key, counter)} % 100 < 18"
     bot = f"CASE WHEN branch = 'thinking' THEN thought || '{THINK}' || reply ELSE plain END" if thinking_on else "plain"
     exchange = lambda relation, which: f"SELECT t.conv_id, 2 * exchange + s AS place, CASE WHEN s = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN s = 0 THEN prompt ELSE {bot} END AS body, branch FROM {relation} t JOIN branches b ON b.conv_id = t.conv_id {d.lateral('1', 's')} WHERE branch {which}"
-    return f"""WITH blocks AS (SELECT * FROM {blocks}), {conversation_ctes(d, 'blocks', seed + 3, 35)},
+    return f"""WITH blocks AS (SELECT * FROM {blocks}), {made},
 branches AS (SELECT conv_id, {role} AS branch FROM keys),
 sums_drawn AS (SELECT conv_id, u, {', '.join(held(d, seed + 4, "(cast(conv_id as string) || ':m' || cast(u as string))", [*range(14), 63, 64, 65]))} FROM (SELECT conv_id, {d.weighted(seed, key, 62, [60, 30, 10])} AS more FROM branches WHERE branch = 'math') m {d.lateral('more', 'u')}),
 sums_given AS (SELECT *, {', '.join(operands(h, 0, ''))} FROM sums_drawn),
@@ -143,3 +155,62 @@ rough AS (SELECT conv_id, place, branch, CASE WHEN role = 'user' THEN '{USER}' |
 chunk AS (SELECT conv_id, branch, '{START}' || {newline} || {d.lines('place', 'line')} AS text FROM rough GROUP BY conv_id, branch),
 {forms_cte(d)}
 SELECT c.conv_id, branch, text, cast(greatest(length(text), CASE WHEN branch = 'thinking' THEN length(thinking) + 2 ELSE 0 END) + 1 as bigint) AS size FROM chunk c LEFT JOIN forms f ON f.conv_id = c.conv_id"""
+
+
+def mixture(blocks: DataFrame, seed: int, what: str = "*", **shares: int) -> DataFrame:
+    """mixture_sql on the blocks; the generated conversations are stored first, as three parts of it read them."""
+    turns = staged(conversations(blocks.sparkSession, blocks.select("conv_id"), seed + 3, 35), "turns")
+    return over(turns, blocks, lambda t, b: f"SELECT {what} FROM ({mixture_sql(SPARK, b, seed, **shares, turns=t)}) m")
+
+
+def _passed(blocks: DataFrame, first: int, last: int) -> DataFrame:
+    """The blocks once for every pass from ``first`` to ``last``, under names of their own: conv_id/pass."""
+    step = 4096  # two steps, so that no row holds a list of all passes
+    begun = blocks.withColumn("__from", F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step))))
+    each = begun.withColumn("pass", F.explode(F.sequence("__from", F.least(F.col("__from") + step - 1, F.lit(last)))))
+    return each.select(pass_key(F.col("conv_id"), F.col("pass")).alias("conv_id"), "place", "role", "body")
+
+
+def pass_key(conv_id: Column, number: Column) -> Column:
+    return F.concat(conv_id.cast("string"), F.lit("/"), number.cast("string"))
+
+
+def pass_of(key: str = "conv_id") -> Column:
+    return F.substring_index(key, "/", -1).cast("long")
+
+
+def fills(blocks: DataFrame, targets: list[int], seed: int, **shares: int) -> DataFrame:
+    """Corpora of the target sizes: target, pass, conv_id, branch, size, text; in the order of pass, then draw(seed, conv_id), then conv_id.
+
+    The blocks are mixed again and again (mixture_sql, with ``shares``), each pass in an order and with draws of its own, until a target is reached; the
+    conversation that crosses it is kept, whole. Sizes come first, of as many passes as the mean so far asks for: totals of passes, a running sum over
+    them, and running sums inside the passes that a target ends in. Texts are made only of what is kept, once for all targets, and no
+    row waits for another: a pass' conversations depend on their names alone. Without blocks, or for targets of 0, there is nothing.
+    """
+    mixed = lambda rows, what: mixture(rows, seed, what, **shares)
+    most, reached, passes, sizes = max(targets, default=0), 0, 0, None
+    while reached < most:
+        more = 1 if not passes else -(-(most - reached) * passes * 21 // (20 * reached))  # a twentieth more than the mean asks for
+        new = mixed(_passed(blocks, passes, passes + more - 1), "conv_id, size").select("conv_id", "size", pass_of().alias("pass"))
+        new = staged(new, "sizes")
+        got = new.agg(F.sum("size")).first()[0]
+        if not got:
+            break
+        sizes, reached, passes = new if sizes is None else sizes.union(new), reached + got, passes + more
+    if sizes is None:
+        return mixed(blocks.limit(0), "cast(0 as long) as target, cast(0 as long) as pass, cast(conv_id as string) as conv_id, branch, size, text")
+    summed = staged(prefix_sums(sizes.groupBy("pass").agg(F.sum("size").alias("total")), [F.col("pass")], F.col("total"), "before"), "passes")
+    ends = [(t, *summed.where(F.col("before") < t).orderBy(F.desc("pass")).select("pass", "before").first()) for t in targets if t > 0]
+    ended = sizes.where(F.col("pass").isin(sorted({e[1] for e in ends}))).withColumn("__draw", draw(seed, F.col("conv_id"), 0))
+    # Running sums go over all passes that a target ends in; what the earlier ones of them hold is taken off again.
+    inside = prefix_sums(ended, [F.col("pass"), F.col("__draw"), F.col("conv_id")], F.col("size"), "inside")
+    totals = ended.groupBy("pass").agg(F.sum("size").alias("n")).collect()  # a row a target at most
+    earlier = F.coalesce(*[F.when(F.col("pass") == r["pass"], F.lit(sum(x["n"] for x in totals if x["pass"] < r["pass"]))) for r in totals])
+    cut = staged(inside.select("conv_id", (F.col("inside") - earlier).alias("inside")), "cut")
+    last = max(e[1] for e in ends)
+    whole = _passed(blocks, 0, last)
+    beyond = cut.where((pass_of() == last) & (F.col("inside") >= max(t - before for t, at, before in ends if at == last)))
+    text = mixed(whole.join(beyond.select("conv_id"), "conv_id", "left_anti"), "conv_id, branch, size, text")
+    placed = text.join(cut, "conv_id", "left").withColumn("pass", pass_of())
+    kept = F.array(*[F.struct(F.lit(t).cast("long").alias("target"), ((F.col("pass") < at) | ((F.col("pass") == at) & (F.col("inside") + before < t))).alias("kept")) for t, at, before in ends])
+    return placed.select("pass", "conv_id", "branch", "size", "text", F.explode(F.filter(kept, lambda x: x["kept"])).alias("k")).select("k.target", "pass", "conv_id", "branch", "size", "text")

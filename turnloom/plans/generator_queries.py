@@ -154,7 +154,7 @@ def _makers(x) -> str:
 @_r.query(_makers(D).replace("{docs}", "documents"))
 def turn_makers(spark, d):
     """An exchange of each kind: known, unknown, clarify, chit, cannot, social, and one that follows a known one."""
-    return spark.sql(_makers(S).replace("{docs}", assemble.named(table(spark, d, "documents").select("doc_id"))))
+    return assemble.over(table(spark, d, "documents").select("doc_id"), lambda name: _makers(S).replace("{docs}", name))
 
 
 _UNCHANGED = ", ".join(map(quoted, inflect.PAIRED + inflect.UNCOUNTED))
@@ -206,19 +206,35 @@ def generated_conversations(spark, d):
 @_r.query(f"WITH {_GENERATED}, {assemble.forms_cte(D)} SELECT conv_id, thinking, plain, length(thinking)::INTEGER AS size FROM forms")
 def thinking_forms(spark, d):
     """Generated conversations with their thinking and in plain form, both from the same draws; the first gives the size."""
-    keys = assemble.named(table(spark, d, "conversations").select("conv_id"))
-    return spark.sql(f"WITH {assemble.conversation_ctes(S, keys, 97, 30)}, {assemble.forms_cte(S)} SELECT conv_id, thinking, plain, length(thinking) AS size FROM forms")
+    keys = table(spark, d, "conversations").select("conv_id")
+    return assemble.over(keys, lambda name: f"WITH {assemble.conversation_ctes(S, name, 97, 30)}, {assemble.forms_cte(S)} SELECT conv_id, thinking, plain, length(thinking) AS size FROM forms")
 
 
 _BLOCKS = "(SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS place, role, replace(text, chr(10), ' ') AS body FROM conversations WHERE role <> 'system')"
 
 
-def _mixed(x, blocks: str) -> str:
-    return assemble.mixture_sql(x, blocks, 99, 60, 35, 30, True)
+_MIX = {"composed": 60, "think": 35, "math": 30, "thinking_on": True}
 
 
-@_r.query(_mixed(D, _BLOCKS))
+@_r.query(assemble.mixture_sql(D, _BLOCKS, 99, **_MIX))
 def corpus_mixture(spark, d):
     """The conversations as written blocks, mixed with generated ones: framed anew, thinking, sums, talk."""
     turns = corpus.turns(table(spark, d, "conversations"))
-    return spark.sql(_mixed(S, assemble.named(corpus.blocks_of(turns))))
+    return assemble.mixture(corpus.blocks_of(turns), 99, **_MIX)
+
+
+_SHARES = {"composed": 60, "think": 35, "math": 30, "thinking_on": False}
+#: Hundredths of the written blocks' characters; a pass is about as long as they are.
+_TARGETS = (30, 110, 230)
+_PASSED = f"(SELECT conv_id || '/' || p AS conv_id, place, role, body FROM {_BLOCKS} b, (SELECT unnest(range(8)) AS p))"
+
+
+@_r.query(f"""WITH t AS (SELECT sum(length(body) + 2) * unnest([{', '.join(map(str, _TARGETS))}]) // 100 AS target FROM {_BLOCKS} b),
+m AS (SELECT *, split_part(conv_id, '/', 2)::BIGINT AS pass FROM ({assemble.mixture_sql(D, _PASSED, 105, **_SHARES)}) m),
+s AS (SELECT *, coalesce(sum(size) OVER (ORDER BY pass, {D.draw(105, 'conv_id', 0)}, conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m)
+SELECT target::BIGINT AS target, pass, conv_id, branch, size, text FROM s JOIN t ON before < target""")
+def corpus_fill(spark, d):
+    """Corpora of three sizes from the same blocks: below one pass over them, and beyond one and two; thinking is measured, though its plain form is written."""
+    blocks = corpus.blocks_of(corpus.turns(table(spark, d, "conversations")))
+    n = blocks.agg(F.sum(F.length("body") + 2)).first()[0] or 0
+    return assemble.fills(blocks, [n * t // 100 for t in _TARGETS], 105, **_SHARES)
