@@ -1,130 +1,19 @@
 """Quality of replies against a training corpus: copies, novelty, spelling, variety, sums.
 
-Containment of a reply in a corpus is found by grams, not by trying every pair. The beginnings of all replies, of 1 to
-20 characters, set places of a bitmap of fixed size; one pass over the corpus keeps, once a task, the windows that
-fall on a set place, and joins them with the beginnings by their text. A beginning of 20 characters that is found
-brings along the corpus' text behind it, and the match is extended. No reply reaches the driver.
+How far a reply is copied is found by sorted suffixes (prefixes.longest_prefixes), not by trying every pair.
 """
 
 from __future__ import annotations
 
-import os.path
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
 from turnloom.functions.markers import END
-from turnloom.functions.rolling import Windows
-from turnloom.session import small, spread, staged
-
-COPY_LENGTH, PLACES, EXACT, FLUSH = 20, 1 << 22, 1_000_000, 100_000
-
-
-def _place(hashes: np.ndarray, n: int) -> np.ndarray:
-    x = (hashes ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(42)).astype(np.int64)
-
-
-def _batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[str]:
-    """The lines joined by newlines, about ``most`` characters at a time."""
-    held, size = [], 0
-    for batch in batches:
-        for line in batch.column(0).to_pylist():
-            if line:
-                held.append(line)
-                size += len(line)
-                if size >= most:
-                    yield "\n".join(held)
-                    held, size = [], 0
-    if held:
-        yield "\n".join(held)
-
-
-def _wanted(replies: DataFrame, k: int, exact: int = EXACT) -> tuple[np.ndarray, list[np.ndarray] | None]:
-    """The bitmap of the replies' beginnings, and their hashes by length if there are ``exact`` at most. Neither grows beyond its bound."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: set[tuple[int, int, int]] = set()
-            for r in batch.column(0).to_pylist():
-                w = Windows(r[:k])
-                for n in range(1, min(k, len(r)) + 1):
-                    h = w.hashes(n)[:1]
-                    rows.add((n, int(h.view(np.int64)[0]), int(_place(h, n)[0])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], ["n", "h", "place"])
-
-    found = staged(replies.select("reply").mapInArrow(run, "n int, h long, place int").distinct(), "beginnings")
-    table = np.zeros(PLACES, bool)
-    table[found.select("place").distinct().toArrow().column(0).to_numpy()] = True
-    if found.count() > exact:
-        return table, None
-    n, h = (c.to_numpy() for c in found.select("n", "h").toArrow().columns)
-    return table, [np.sort(h[n == i].view(np.uint64)) for i in range(k)]
-
-
-def _met(lines: DataFrame, wanted: tuple[np.ndarray, list[np.ndarray] | None], k: int, longest: int) -> DataFrame:
-    """gram, rest: the corpus' windows of up to k characters on a wanted place; behind a window of k, the text that follows on its line,
-    up to ``longest`` characters with it. A shorter window is kept once a task where the hashes are known, else once a batch."""
-    shipped = lines.sparkSession.sparkContext.broadcast(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes = shipped.value
-        left, found = list(hashes) if hashes else None, set()
-
-        def out() -> pa.RecordBatch:
-            rows = list(found)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.string()), pa.array([r for _, r in rows], pa.string())], ["gram", "rest"])
-
-        for text in _batches(batches):
-            w = Windows(text)
-            for n in range(1, k + 1):
-                if n < k and left is not None and not len(left[n]):
-                    continue  # all are found
-                h = w.hashes(n)
-                at = np.flatnonzero(table[_place(h, n)])
-                if n < k:
-                    if left is not None:
-                        at = at[np.isin(h[at], left[n])]
-                    new, first = np.unique(h[at], return_index=True)
-                    if left is not None:
-                        left[n] = np.setdiff1d(left[n], new, assume_unique=True)
-                    found.update((text[i : i + n], "") for i in at[first].tolist() if "\n" not in text[i : i + n])
-                else:
-                    for i in at.tolist():
-                        line = text[i : i + max(longest, k)].partition("\n")[0]
-                        if len(line) >= k:
-                            found.add((line[:k], line[k:]))
-                if len(found) > FLUSH:
-                    yield out()
-        yield out()
-
-    return spread(lines.select("line")).mapInArrow(run, "gram string, rest string")
-
-
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(reply, rest of the reply, rest of the corpus' line, n) to (reply, how far both agree)."""
-    for batch in batches:
-        reply, mine, theirs, n = (c.to_pylist() for c in batch.columns)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n[i] + len(os.path.commonprefix([mine[i], theirs[i]])) for i in range(len(reply))], pa.int32())], ["reply", "prefix"])
-
+from turnloom.operators.prefixes import longest_prefixes
+from turnloom.session import spread
 
-def longest_prefixes(replies: DataFrame, lines: DataFrame, key: str, k: int = COPY_LENGTH) -> DataFrame:
-    """key, length, prefix: the longest prefix of each reply (one line each) that stands in one of the lines."""
-    said = staged(replies.select("reply").where("length(reply) > 0").distinct(), "replies")
-    longest = said.agg(F.max(F.length("reply"))).first()[0]
-    if longest is None:
-        return replies.select(key, F.length("reply").alias("length"), F.lit(0).alias("prefix"))
-    starts = said.select("reply", F.explode(F.sequence(F.lit(1), F.least(F.length("reply"), F.lit(k)))).alias("n")).select("reply", "n", F.substr("reply", F.lit(1), F.col("n")).alias("gram"))
-    met = staged(_met(lines, _wanted(said, k), k, longest), "grams")
-    pairs = met.distinct().join(small(starts, 100_000), "gram")
-    grown = pairs.select("reply", F.substr("reply", F.col("n") + 1).alias("mine"), "rest", "n").mapInArrow(_extended, "reply string, prefix int")
-    best = grown.groupBy("reply").agg(F.max("prefix").alias("prefix"))
-    return replies.join(best, "reply", "left").select(key, F.length("reply").alias("length"), F.coalesce("prefix", F.lit(0)).alias("prefix"))
+COPY_LENGTH = 20
 
 
 def spelled(replies: DataFrame, words: DataFrame, key: str) -> DataFrame:
