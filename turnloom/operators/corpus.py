@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
@@ -13,6 +13,10 @@ from turnloom.functions.markers import BASE, BOT, END, START, THINK, USER
 from turnloom.session import staged
 
 
+#: Least ids of a cell in which windows and chunks meet.
+CELL = 4096
+
+
 def turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, line: the rendered turns; system turns aren't part of a conversation."""
     return conversations.where("role <> 'system'").select("conv_id", "turn", "role", "text", T.turn_line(F.col("role"), F.col("text")).alias("line"))
@@ -163,14 +167,93 @@ def text_windows(chunks: DataFrame, order: str, ids: str, block: int, most: int
     return _gathered(pieces.withColumn("start", F.col("at") * block), block)
 
 
+def windows_at(chunks: DataFrame, order: str, ids: str, block: int, starts: DataFrame) -> DataFrame:
+    """at, start, x, y: the windows of ``starts`` (at, start) over the chunks' ids laid end to end; starts beyond n - block - 1 give none.
+
+    Both sides are cut at the same places, every CELL ids or more: a chunk into its pieces by cell, a window into the cells that it touches, two at most. They
+    meet by cell, where a window finds its piece among the few chunks of a cell. So starts and chunks are each shuffled once, however many there are.
+    """
+    placed, n = end_to_end(chunks, order, ids)
+    return _windows_of(placed, n, block, starts)
+
+
+def _windows_of(placed: DataFrame, n: int, block: int, starts: DataFrame) -> DataFrame:
+    cell = max(CELL, block + 1)
+    div = lambda c: F.floor(c / cell).cast("long")
+    end = F.col("__at") + F.size("__ids")
+    cut = placed.select("__at", "__ids", F.explode(F.sequence(div(F.col("__at")), div(end - 1))).alias("__cell"))
+    low, high = F.greatest(F.col("__at"), F.col("__cell") * cell), F.least(end, (F.col("__cell") + 1) * cell)
+    pieces = cut.select("__cell", low.alias("__at"), F.slice("__ids", (low - F.col("__at") + 1).cast("int"), (high - low).cast("int")).alias("__ids"))
+    asked = starts.where((F.col("start") >= 0) & (F.col("start") < n - block - 1)).select("at", "start", F.explode(F.sequence(div(F.col("start")), div(F.col("start") + block))).alias("__cell"))
+    met = asked.join(pieces, "__cell").where((F.col("start") + block >= F.col("__at")) & (F.col("start") < F.col("__at") + F.size("__ids")))
+    return _gathered(met.select("at", "start", "__at", "__ids"), block)
+
+
+def drawn_starts(spark: SparkSession, count: int, seed: int, room: int) -> DataFrame:
+    """at, start: ``count`` seeded starts, uniform in [0, room)."""
+    return spark.range(count if room > 0 else 0).select(F.col("id").alias("at"), F.pmod(draw(seed, F.lit("window"), F.col("id")), F.lit(max(room, 1))).cast("long").alias("start"))
+
+
 def drawn_text_windows(chunks: DataFrame, order: str, ids: str, block: int, count: int, seed: int) -> DataFrame:
-    """at, start, x, y: ``count`` windows (a batch or a few) at seeded starts, uniform in [0, n - block - 1), over the chunks laid end to end."""
+    """at, start, x, y: ``count`` windows at seeded starts, uniform in [0, n - block - 1), over the chunks laid end to end."""
     placed, n = end_to_end(chunks, order, ids)
-    if n - block - 1 <= 0:
-        return placed.select(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("start"), F.col("__ids").alias("x"), F.col("__ids").alias("y")).where(F.lit(False))
-    starts = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(i.cast("long").alias("at"), F.pmod(draw(seed, F.lit("window"), i), F.lit(n - block - 1)).alias("start")))
-    touched = F.filter(starts, lambda s: (s["start"] + block >= F.col("__at")) & (s["start"] < F.col("__at") + F.size("__ids")))
-    return _gathered(placed.select("__at", "__ids", F.inline(touched)), block)
+    return _windows_of(placed, n, block, drawn_starts(chunks.sparkSession, count, seed, n - block - 1))
+
+
+def paired(lines_: DataFrame, order: list[str], first: Column, second: Column, line: str = "line", within: str | None = None) -> DataFrame:
+    """within, pair, first, second: the lines 2 pair and 2 pair + 1 in ``order`` (blank ones not counted), where ``first`` holds on one and ``second`` on the other.
+
+    A pair that doesn't match is skipped, and counting goes on. within: a column, the first of ``order``, that counting starts anew for (then it
+    comes first in the result). Places come from ranges of the order and the totals of the ranges before; the two lines of a pair then meet by its number.
+    """
+    told = lines_.where(F.regexp_like(line, F.lit(r"(?U)\S"))).withColumn("__line", F.col(line)).withColumn("__fits", F.struct(first.alias("a"), second.alias("b")))
+    placed = prefix_sums(told, [F.col(c) for c in order], F.lit(1), "__place")
+    group = F.col(within) if within else F.lit(0)
+    placed = placed.select(group.alias("__group"), "__place", "__line", "__fits")
+    if within:
+        placed = staged(placed, "placed")
+        placed = placed.join(placed.groupBy("__group").agg(F.min("__place").alias("__begin")), "__group").withColumn("__place", F.col("__place") - F.col("__begin"))
+    pair, later = F.floor(F.col("__place") / 2).cast("long"), F.col("__place") % 2 == 1
+    half = placed.select("__group", pair.alias("pair"), F.when(~later & F.col("__fits.a"), F.col("__line")).alias("a"), F.when(later & F.col("__fits.b"), F.col("__line")).alias("b")).where("a is not null or b is not null")
+    both = half.groupBy("__group", "pair").agg(F.max("a").alias("first"), F.max("b").alias("second")).where("first is not null and second is not null")
+    return both.select(*([F.col("__group").alias(within)] if within else []), "pair", "first", "second")
+
+
+#: Multipliers of the digest's words, one each, and their modulus, below which products fit a long.
+DIGEST_BASES, DIGEST_MODULUS = tuple(1_000_003 + 7_919_000 * i for i in range(8)), 2**31 - 1
+
+
+def _power(base: int, exponent: Column) -> Column:
+    """base ** exponent modulo DIGEST_MODULUS, by squares; exponents below 2 ** 48."""
+    squares, x = [], base
+    for _ in range(48):
+        squares.append(x)
+        x = x * x % DIGEST_MODULUS
+    parts = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda k: F.when(F.getbit(exponent, k) == 1, F.get(F.array(*[F.lit(s).cast("long") for s in squares]), k)).otherwise(F.lit(1).cast("long")))
+    return F.aggregate(parts, F.lit(1).cast("long"), lambda x, y: x * y % DIGEST_MODULUS)
+
+
+def digest_words(df: DataFrame, order: list[str], value: str) -> DataFrame:
+    """One row: n, words. What is left of texts in ``order``: each word of a text's SHA-256 is a step x -> base x + word, and the steps are composed.
+
+    The steps of a part are one step, too (base ** n, and its words), so digests of parts can be merged (merged_words), and equal texts in another order differ.
+    Every row's share is its word times the power of the base that follows it, so that rows fold as sums, on the map side first.
+    """
+    n = df.count()
+    placed = prefix_sums(df.select(*[F.col(c) for c in order], F.sha2(value, 256).alias("__h")), [F.col(c) for c in order], F.lit(1), "__place")
+    word = lambda i: F.conv(F.substring("__h", 8 * i + 1, 8), 16, 10).cast("long") % DIGEST_MODULUS
+    share = [F.sum(word(i) * _power(b, F.lit(n - 1) - F.col("__place")) % DIGEST_MODULUS) % DIGEST_MODULUS for i, b in enumerate(DIGEST_BASES)]
+    return placed.agg(F.count("*").alias("n"), F.array(*[F.coalesce(s, F.lit(0).cast("long")) for s in share]).alias("words"))
+
+
+def merged_words(a: tuple[int, list[int]], b: tuple[int, list[int]]) -> tuple[int, list[int]]:
+    """The digest of a's texts followed by b's."""
+    return a[0] + b[0], [(x * pow(base, b[0], DIGEST_MODULUS) + y) % DIGEST_MODULUS for base, x, y in zip(DIGEST_BASES, a[1], b[1])]
+
+
+def digest(words: DataFrame) -> DataFrame:
+    """n, digest of digest_words."""
+    return words.select("n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.transform("words", lambda w: w.cast("string"))), 256).alias("digest"))
 
 
 def hashed_windows(ids: DataFrame, key: str, block: int, count: int, seed: int) -> DataFrame:

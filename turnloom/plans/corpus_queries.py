@@ -314,3 +314,42 @@ def vocab_guard(spark, d):
     from turnloom.operators import checkpoints
 
     return checkpoints.missing_symbols(table(spark, d, "documents"), sorted(set(BASE)))
+
+
+_ASKS, _TELLS = "[.?!]$", "^[A-Z]"
+
+
+@_r.query(f"""WITH {LINES}, n AS (SELECT line, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS i FROM l WHERE regexp_matches(line, '[^\\s\\p{{Z}}]')),
+p AS (SELECT i, line, lead(line) OVER (ORDER BY i) AS next FROM n) SELECT (i // 2)::BIGINT AS pair, line AS first, next AS second FROM p WHERE i % 2 = 0 AND regexp_matches(line, '{_ASKS}') AND regexp_matches(next, '{_TELLS}')""")
+def line_pairs(spark, d):
+    """All lines of all documents as one sequence, two by two: pairs of a line that ends a sentence and one that opens with a capital."""
+    lines = corpus.lines(spread(table(spark, d, "documents").select("doc_id", "text")))
+    return corpus.paired(lines, ["doc_id", "line_no"], F.regexp_like("line", F.lit(_ASKS)), F.regexp_like("line", F.lit(_TELLS)))
+
+
+@_r.query(f"""WITH x AS (SELECT doc_id, list_transform({_CHARS('text')}, lambda c: unicode(c)) AS ids FROM documents WHERE text <> ''),
+a AS (SELECT unnest(ids) AS id, unnest(range(len(ids))) + off AS i FROM (SELECT ids, coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM x)),
+n AS (SELECT count(*) AS n FROM a), s AS (SELECT draw_no, ({D.draw(11, "'window'", 'draw_no')} % (n - 33))::BIGINT AS start FROM (SELECT unnest(range(n // 50)) AS draw_no, n FROM n)),
+c AS (SELECT i // 4096 AS cell, list(id ORDER BY i) AS ids FROM a GROUP BY cell), w AS (SELECT s.draw_no, s.start, list_concat(c.ids, coalesce(d.ids, []))[start % 4096 + 1:start % 4096 + 33] AS ids FROM s JOIN c ON c.cell = start // 4096 LEFT JOIN c d ON d.cell = c.cell + 1)
+SELECT draw_no, start, {_JOINED('ids[1:32]')} AS x, {_JOINED('ids[2:33]')} AS y FROM w""")
+def drawn_windows(spark, d):
+    """Windows of 32 code points and their successors at drawn starts of the whole corpus laid end to end, one for every 50 characters."""
+    codes = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.transform(T.characters(F.col("text")), lambda c: F.ascii(c)).alias("ids"))
+    placed, n = corpus.end_to_end(codes, "doc_id", "ids")
+    return _spelled(corpus._windows_of(placed, n, 32, corpus.drawn_starts(spark, n // 50, 11, n - 33)).withColumnRenamed("at", "draw_no"), "x", "y")
+
+
+def _digest_sql(order: str) -> str:
+    m = corpus.DIGEST_MODULUS
+    squares = lambda b: "[" + ", ".join(str(pow(b, 2**k, m)) for k in range(48)) + "]"
+    power = lambda b: f"list_reduce(list_prepend(1::BIGINT, list_transform(range(48), lambda k: CASE WHEN ((n - 1 - i) >> k) & 1 = 1 THEN {squares(b)}[k + 1]::BIGINT ELSE 1::BIGINT END)), lambda x, y: x * y % {m})"
+    words = ", ".join(f"(sum(('0x' || h[{8 * j + 1}:{8 * j + 8}])::BIGINT % {m} * {power(b)} % {m}) % {m})::BIGINT::VARCHAR" for j, b in enumerate(corpus.DIGEST_BASES))
+    return f"SELECT max(n)::BIGINT AS n, sha256(concat_ws(':', max(n)::VARCHAR, {words})) AS digest FROM (SELECT sha256(text) AS h, row_number() OVER (ORDER BY {order}) - 1 AS i, count(*) OVER () AS n FROM c)"
+
+
+@_r.query(f"WITH {CONVERSATIONS} SELECT 'forward' AS direction, * FROM ({_digest_sql('conv_id')}) UNION ALL SELECT 'backward', * FROM ({_digest_sql('-conv_id')})")
+def corpus_digest(spark, d):
+    """The digest of all conversations in their order, and in the opposite one."""
+    text = corpus.rendered(_turns(spark, d)).withColumn("back", -F.col("conv_id"))
+    told = lambda name, order: corpus.digest(corpus.digest_words(text, [order], "text")).select(F.lit(name).alias("direction"), "n", "digest")
+    return told("forward", "conv_id").union(told("backward", "back"))

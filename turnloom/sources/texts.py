@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
 from turnloom.functions.markers import BOT, USER
+from turnloom.operators.corpus import digest, digest_words, paired
+from turnloom.session import staged
 
 HISTORY = "role string, text string, timestamp string"
 VECTORS = "about string, tolerance double, greedy_steps int, cases array<struct<prompt:string,ids:array<int>,logits:array<double>,greedy_ids:array<int>,greedy_text:string>>"
@@ -19,13 +21,17 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.regexp_like("value", F.lit(r"(?U)\S"))).select("block", F.split(body, "\n").alias("lines"))
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, at, value: the lines of text files; (file, block, at) is their order, whatever the splits: a split tells its first byte, and reads in order."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return staged(lines.withColumn("at", F.monotonically_increasing_id()), "lines")
+
+
 def pairs(spark: SparkSession, path: str) -> DataFrame:
-    """pair, user, bot: lines 2i and 2i + 1 (blank ones not counted) where they are a user's and a bot's. A pair that
-    doesn't match is skipped and counting goes on. One file is one sequence, so its lines are ordered in one task."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).withColumn("file", F.input_file_name()).where(F.regexp_like("value", F.lit(r"(?U)\S")))
-    w = Window.partitionBy("file").orderBy("at")
-    placed = lines.select("file", (F.row_number().over(w) - 1).alias("i"), "value", F.lead("value").over(w).alias("next"))
-    return placed.where((F.pmod("i", F.lit(2)) == 0) & F.startswith("value", F.lit(USER)) & F.startswith("next", F.lit(BOT))).select((F.col("i") / 2).cast("long").alias("pair"), F.col("value").alias("user"), F.col("next").alias("bot"))
+    """file, pair, user, bot: lines 2 pair and 2 pair + 1 of a file (blank ones not counted) where they are a user's and a bot's. A pair that
+    doesn't match is skipped and counting goes on. A file may have any number of splits."""
+    found = paired(ordered_lines(spark, path), ["file", "block", "at"], F.startswith("value", F.lit(USER)), F.startswith("value", F.lit(BOT)), "value", "file")
+    return found.select("file", "pair", F.col("first").alias("user"), F.col("second").alias("bot"))
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
@@ -65,14 +71,17 @@ def write_corpus(conversations: DataFrame, path: str) -> DataFrame:
     return sums.join(letters, "split")
 
 
-def publication(conversations: DataFrame) -> DataFrame:
-    """What is published of each split: characters, bytes, conversations, turns, and a digest of the conversations' own digests."""
+def publication(conversations: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """What is published of each split: characters, bytes, conversations, turns, and a digest of its conversations in ``order`` (by their text, if none is given)."""
+    order = order or ["text"]
     lines = F.filter(F.split("text", "\n"), lambda x: F.startswith(x, F.lit(USER)) | F.startswith(x, F.lit(BOT)))
-    each = conversations.select("split", F.length("text").alias("n"), F.octet_length("text").alias("b"), F.size(lines).alias("t"), F.sha2("text", 256).alias("h"))
-    # Digests are summed by word, so that no task holds the corpus; equal corpora have equal sums.
-    words = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"w{i}") for i in range(8)]
-    out = each.groupBy("split").agg(F.sum(F.col("n") + 1).alias("chars"), F.sum(F.col("b") + 1).alias("bytes"), F.count("*").alias("conversations"), F.sum("t").alias("turns"), *words)
-    return out.select("split", "chars", "bytes", "conversations", "turns", F.sha2(F.concat_ws(":", *[f"w{i}" for i in range(8)]), 256).alias("digest"))
+    each = conversations.select("split", F.length("text").alias("n"), F.octet_length("text").alias("b"), F.size(lines).alias("t"))
+    out = each.groupBy("split").agg(F.sum(F.col("n") + 1).alias("chars"), F.sum(F.col("b") + 1).alias("bytes"), F.count("*").alias("conversations"), F.sum("t").alias("turns"))
+    digests = None
+    for name in [r["split"] for r in out.select("split").collect()]:  # train and held out
+        one = digest(digest_words(conversations.where(F.col("split").eqNullSafe(F.lit(name))), order, "text")).select(F.lit(name).alias("of"), "digest")
+        digests = one if digests is None else digests.union(one)
+    return out.join(digests, F.col("split").eqNullSafe(F.col("of"))).drop("of") if digests is not None else out.withColumn("digest", F.lit(None).cast("string"))
 
 
 def write_lines(lines: DataFrame, path: str, line: str = "line") -> DataFrame:
@@ -82,10 +91,10 @@ def write_lines(lines: DataFrame, path: str, line: str = "line") -> DataFrame:
     return counts.withColumn("ratio", F.round(F.col("distinct") / F.greatest(F.col("rows"), F.lit(1)), 6))
 
 
-def publish(conversations: DataFrame, path: str, command: str) -> str:
-    """Writes (split, text) rows and a README.md beside them with each split's figures and digest; returns the README's text."""
+def publish(conversations: DataFrame, path: str, command: str, order: list[str] | None = None) -> str:
+    """Writes (split, text, order...) rows and a README.md beside them with each split's figures and digest; returns the README's text."""
     stats = {r["split"]: r for r in write_corpus(conversations, f"{path}/text").collect()}
-    made = {r["split"]: r for r in publication(conversations).collect()}
+    made = {r["split"]: r for r in publication(conversations, order).collect()}
     names = sorted(made)
     row = lambda title, values: f"| {title} | " + " | ".join(f"{v:,}" for v in values) + " |"
     figures = [row(f, [made[n][f] for n in names]) for f in ("chars", "bytes", "conversations", "turns")] + [row("distinct characters", [stats[n]["distinct_chars"] for n in names])]
