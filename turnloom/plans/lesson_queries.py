@@ -13,6 +13,8 @@ from turnloom.functions.dialect import quoted
 from turnloom.functions.markers import BOT, END, START, USER
 from turnloom.operators import exports, lessons
 from turnloom.plans.registry import Registry, table
+from turnloom.session import scratch_folder
+from turnloom.streaming import lesson_log, sessions
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.oracle
@@ -90,11 +92,11 @@ def lesson_mask(spark, d):
     return rows.select("doc_id", "form", F.size(x).alias("n"), F.array_join(x.cast("array<string>"), " ").alias("x"), F.array_join(y.cast("array<string>"), " ").alias("y"))
 
 
-def _log_lines(spark, d):
+def _log_lines(spark, d, when=None):
     """A lesson log made of events: blank lines, cut lines, and lessons undone on errors."""
     e = table(spark, d, "events")
     record = F.to_json(F.struct(
-        F.lit("2024-01-01T00:00:00+00:00").alias("when"), F.concat(F.lit("What is item "), "user_id", F.lit("?")).alias("question"), F.concat(F.lit("It is "), "user_id", F.lit(".")).alias("answer"),
+        (F.lit("2024-01-01T00:00:00+00:00") if when is None else when).alias("when"), F.concat(F.lit("What is item "), "user_id", F.lit("?")).alias("question"), F.concat(F.lit("It is "), "user_id", F.lit(".")).alias("answer"),
         F.array(F.concat(F.lit("What is item "), "user_id", F.lit("?")), F.concat(F.lit("item "), "user_id")).alias("trained_wordings"), (F.col("value") > 20).alias("learned"), (F.col("value") > 60).alias("generalized"),
         (F.col("value") / 400).alias("drift"), (F.col("event_id") % 7).alias("checks"), F.lit(6).alias("checks_baseline"), (F.col("event_type") == "error").alias("rolled_back"),
     ))
@@ -160,14 +162,28 @@ def version_resolve(spark, d):
     return exports.resolved(exports.parsed(_files(spark, d)), spark.createDataFrame([(x,) for x in _REFS], "reference string"))
 
 
-@_r.query()
+@_r.query(ORACLE_SQL["lesson_log_pairs"])
 def log_stream(spark, d):
     """The lesson log read as a stream of files: equal to lesson_log_pairs over the same lines."""
-    from turnloom.session import scratch
-    from turnloom.streaming import lesson_log
-
-    import uuid
-
-    folder = f"{scratch(spark)}/turnloom-log-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "log")
     _log_lines(spark, d).select("value").write.text(f"{folder}/in")
     return lesson_log.run_once(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state").groupBy("wording", "answer").agg(F.count("*").alias("n"))
+
+
+#: Seconds that may lie between two lessons of a session.
+_GAP = 12 * 3600
+
+
+@_r.query(f"""WITH {_LOGGED}, o AS (SELECT DISTINCT 'It is ' || user_id || '.' AS learner, date_trunc('second', ts) AS ts, event_type, value, event_id % 7 AS checks FROM e),
+g AS (SELECT *, CASE WHEN date_diff('second', lag(ts) OVER w, ts) <= {_GAP} THEN 0 ELSE 1 END AS begins FROM o WINDOW w AS (PARTITION BY learner ORDER BY ts)),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY learner ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g)
+SELECT learner, epoch_ms(min(ts))::BIGINT AS began, epoch_ms(max(ts))::BIGINT AS ended, count(*)::BIGINT AS lessons, count(*) FILTER (event_type <> 'error')::BIGINT AS kept, count(*) FILTER (event_type = 'error')::BIGINT AS undone,
+  count(*) FILTER (event_type <> 'error' AND value > 20)::BIGINT AS learned, count(*) FILTER (event_type <> 'error' AND value > 60)::BIGINT AS generalized,
+  count(*) FILTER (value / 400 > 0.15::DOUBLE)::BIGINT AS drifted, count(*) FILTER (value / 400 <= 0.15::DOUBLE AND 6 - checks > 1)::BIGINT AS forgot FROM r GROUP BY learner, run""")
+def session_stream(spark, d):
+    """Sessions of the lesson log as a stream of files in no order of time, a learner being who is asked about."""
+    folder = scratch_folder(spark, "sessions")
+    lines = _log_lines(spark, d, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX")).select("value")
+    lines.repartition(4, F.crc32("value")).write.text(f"{folder}/in")
+    found = sessions.run_once(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", F.col("answer"), _GAP, "3650 days", files=2, close=True)
+    return found.select("learner", F.unix_millis("began").alias("began"), F.unix_millis("ended").alias("ended"), *sessions.FIGURES)

@@ -54,14 +54,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     size: later joins broadcast it only while it is below spark.sql.autoBroadcastJoinThreshold, and
     shuffle it beyond. The files go with release(), or else when the JVM ends.
     """
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/turnloom-{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one; the folder goes with release(), or else when the JVM ends."""
+    path = f"{scratch(spark)}/turnloom-{name}-{uuid.uuid4().hex}"
     _staged.append(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def release(spark: SparkSession) -> None:
