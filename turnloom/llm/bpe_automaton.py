@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from turnloom.llm import workers
 from turnloom.session import spread, text_batches
 
 CACHE, SHORT = 200_000, 48
@@ -305,16 +306,11 @@ class Encoder:
             yield " ".join([x for x, _ in got]), " ".join([x for _, x in got])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder_for(key: str, spec: dict, automaton: Automaton, cache: int) -> Encoder:
-    """The worker's encoder for a vocabulary; it outlives tasks."""
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(spec, automaton, cache)
-    _encoders[key].limit = cache
-    return _encoders[key]
+def encoder_for(key: str, shipped, cache: int) -> Encoder:
+    """The worker's encoder for a vocabulary (a broadcast of compiled()); it outlives tasks."""
+    encoder = workers.kept(key, lambda: Encoder(*shipped.value, cache))
+    encoder.limit = cache
+    return encoder
 
 
 def compiled(vocabulary: bytes) -> tuple[dict, Automaton]:
@@ -334,7 +330,7 @@ def _each_slice(docs: DataFrame, vocabulary: bytes, schema: str, row, cache: int
     shipped = docs.sparkSession.sparkContext.broadcast(compiled(vocabulary))  # its size is the vocabulary's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(key, *shipped.value, cache)
+        encoder = encoder_for(key, shipped, cache)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 yield row(batch.slice(at, 256), encoder)

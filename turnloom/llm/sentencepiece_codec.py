@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from turnloom.llm import workers
 from turnloom.session import spread, text_batches
 
 SPACE = "▁"
@@ -228,17 +229,11 @@ class Agenda:
         return self.lib.decode(ids)
 
 
-_agendas: dict[str, Agenda] = {}
-
-
 def agenda_for(model: bytes, cache: int) -> Agenda:
     """The worker's encoder for a vocabulary; it outlives tasks, and so do its segments, up to twice ``cache``."""
-    key = hashlib.sha256(model).hexdigest()
-    if key not in _agendas:
-        _agendas.clear()
-        _agendas[key] = Agenda(model)
-    _agendas[key].limit = cache
-    return _agendas[key]
+    agenda = workers.kept(hashlib.sha256(model).hexdigest(), lambda: Agenda(model))
+    agenda.limit = cache
+    return agenda
 
 
 def _digest(texts: list[str | None], agenda: Agenda) -> dict:

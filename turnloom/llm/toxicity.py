@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.llm import workers
 from turnloom.session import spread, staged, text_batches
 
 MOST_LABELLED, MOST_WORDS, LEAST_DOCS = 20_000, 256, 5
@@ -61,6 +62,7 @@ def _byte_classes() -> np.ndarray:
 
 
 def _char_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    workers.free()
     table, counts = _byte_classes(), np.zeros(N_CLASSES**3, np.int64)
     for batch in batches:
         for t in batch.column(0).to_pylist():
@@ -257,6 +259,7 @@ class Scorer:
 
 def _mark_counts(batches: Iterator[pa.RecordBatch], lm: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(text, toxic) to (mark, toxic and clean texts that show it); partial counts, flushed as they grow."""
+    workers.free()
     restorer, found = Restorer(lm), ({}, {})
 
     def flush() -> pa.RecordBatch:
@@ -347,6 +350,7 @@ def score_documents(docs: DataFrame, lm: np.ndarray, scorer: Scorer, text: str =
     shipped = docs.sparkSession.sparkContext.broadcast((lm, scorer))  # 28 ** 3 numbers and a short word list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.free()
         model, by = shipped.value
         restorer = Restorer(model, by.at)
         for batch in batches:
