@@ -10,8 +10,9 @@ from turnloom.functions.dialect import DUCKDB as D
 from turnloom.functions.dialect import HELD as H
 from turnloom.functions.dialect import SPARK as S
 from turnloom.functions.dialect import held, quoted
-from turnloom.operators import assemble, corpus, dialogue
+from turnloom.operators import assemble, corpus, dialogue, dictionary
 from turnloom.plans.registry import Registry, table
+from turnloom.session import staged
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.oracle
@@ -194,6 +195,19 @@ def longest_match(spark, d):
     return q.select("doc_id", "question", found.alias("name")).where("name is not null")
 
 
+@_r.query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM benchmark), k AS (SELECT name, row_number() OVER (ORDER BY name) AS ord FROM w WHERE length(name) >= 3),
+m AS (SELECT doc_id, name, ord FROM documents JOIN k ON contains(lower(text), name))
+SELECT doc_id, arg_min(ord, (-length(name), ord))::BIGINT AS ord, arg_min(name, (-length(name), ord)) AS name, count(*)::BIGINT AS n_names FROM m GROUP BY doc_id""")
+def names_in_documents(spark, d):
+    """All words of the benchmark, of three letters at least, as names in whole documents: the longest that occurs, the first of equally long ones, and how many do."""
+    from turnloom.operators.quality import word_vocabulary
+
+    words = word_vocabulary(table(spark, d, "benchmark")).where(F.length("w") >= 3)
+    names = corpus.prefix_sums(words, [F.col("w")], F.lit(1), "before").select((F.col("before") + 1).cast("long").alias("ord"), F.col("w").alias("name"))
+    texts = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    return dictionary.named_in(texts, staged(names, "names"), "doc_id")
+
+
 _GENERATED = assemble.conversation_ctes(D, "conversations", 97, 30)
 
 
