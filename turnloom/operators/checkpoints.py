@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import text as T
 from turnloom.operators.corpus import Codec
 from turnloom.operators.network import Config, Network
+from turnloom.session import staged
 
 TENSORS = "ord int, name string, shape array<int>, values array<double>, meta string"
 
@@ -75,6 +76,74 @@ def encoded_corpus(spark: SparkSession, path: str, symbols: list[str], cache: st
     return spark.read.schema("at long, ids array<int>").parquet(kept)
 
 
+def _manifest(spark: SparkSession, cache: str) -> tuple[int, DataFrame]:
+    """The newest complete manifest's number, and its rows (file, seal); 0 and none at first."""
+    fs, at = _folder(spark, cache)
+    numbers = [int(x.getPath().getName().removeprefix("manifest-")) for x in (fs.listStatus(at) if fs.exists(at) else []) if x.getPath().getName().startswith("manifest-")]
+    done = max((n for n in numbers if _status(spark, f"{cache}/manifest-{n}/_SUCCESS") is not None), default=0)
+    rows = spark.read.schema("file string, seal string").parquet(f"{cache}/manifest-{done}") if done else spark.createDataFrame([], "file string, seal string")
+    return done, rows
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any store."""
+    fs, at = _folder(spark, path)
+    fs.delete(at, True)
+
+
+def refresh_encoded(spark: SparkSession, path: str, symbols: list[str], cache: str, at_a_time: int = 1000) -> int:
+    """Brings the cache of the encoded files below ``path`` up to date, and returns how many files were read for that.
+
+    A file's seal is of its path, time, length and the symbols. Files whose seal the manifest has are not read; the others are encoded, each into a
+    folder of its seal; folders of seals that no file has any more go. The manifest is written last, so what was cut short is done again, over what it left.
+    """
+    cache = cache.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("_metadata.file_path").alias("file"), "modificationTime", "length")  # without the content
+    letters = hashlib.sha256(json.dumps(symbols).encode()).hexdigest()
+    seal = F.left(F.sha2(F.concat_ws("|", "path", F.unix_micros("modificationTime").cast("string"), F.col("length").cast("string"), F.lit(letters)), 256), F.lit(32))
+    files = staged(files.select("file", seal.alias("seal"), "path"), "files")
+    number, known = _manifest(spark, cache)
+    new = files.join(known, "seal", "left_anti").select("file", "seal", "path")
+    n, part = 0, []
+
+    def encode() -> None:
+        seals = spark.createDataFrame([x[:2] for x in part], "file string, seal string")
+        lines = spark.read.text([x[2] for x in part]).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).withColumn("at", F.monotonically_increasing_id())
+        told = lines.join(F.broadcast(seals), "file")  # ``at_a_time`` rows
+        told.select("file", "block", "at", Codec(symbols).encode(F.concat("value", F.lit("\n"))).alias("ids"), "seal").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seal").parquet(f"{cache}/ids")
+        part.clear()
+
+    for r in new.toLocalIterator():
+        part.append(tuple(r))
+        n += 1
+        if len(part) == at_a_time:
+            encode()
+    if part:
+        encode()
+    for r in known.join(files, "seal", "left_anti").toLocalIterator():
+        remove(spark, f"{cache}/ids/seal={r['seal']}")
+    files.select("file", "seal").write.mode("overwrite").parquet(f"{cache}/manifest-{number + 1}")
+    if number:
+        remove(spark, f"{cache}/manifest-{number}")
+    return n
+
+
+def encoded_files(spark: SparkSession, cache: str) -> DataFrame:
+    """file, block, at, ids: the encoded lines of the files in the cache's manifest, newline included; (file, block, at) is their order."""
+    cache = cache.rstrip("/")
+    _, known = _manifest(spark, cache)
+    fs, at = _folder(spark, f"{cache}/ids")
+    if not fs.exists(at):
+        return spark.createDataFrame([], "file string, block long, at long, ids array<int>")
+    told = spark.read.schema("file string, block long, at long, ids array<int>, seal string").parquet(f"{cache}/ids")
+    return told.join(known.select("seal"), "seal", "left_semi").select("file", "block", "at", "ids")
+
+
 def best_so_far(evaluations: DataFrame, patience: int, step: str = "step", loss: str = "loss", run: str = "run") -> DataFrame:
     """run, step, loss, best, stale, stopped: the least loss so far, evaluations since it strictly improved, and whether training has
     stopped by then. A run is one training, so its evaluations are ordered in one task."""

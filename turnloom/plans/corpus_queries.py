@@ -9,9 +9,9 @@ from turnloom.functions.dialect import DUCKDB as D
 from turnloom.functions.dialect import SPARK as S
 from turnloom.functions.dialect import quoted
 from turnloom.functions.markers import BASE, BOT, END, START, THINK, USER
-from turnloom.operators import corpus
+from turnloom.operators import checkpoints, corpus
 from turnloom.plans.registry import Registry, table
-from turnloom.session import spread
+from turnloom.session import scratch_folder, spread
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.oracle
@@ -353,3 +353,26 @@ def corpus_digest(spark, d):
     text = corpus.rendered(_turns(spark, d)).withColumn("back", -F.col("conv_id"))
     told = lambda name, order: corpus.digest(corpus.digest_words(text, [order], "text")).select(F.lit(name).alias("direction"), "n", "digest")
     return told("forward", "conv_id").union(told("backward", "back"))
+
+
+@_r.query(f"""WITH {VOCAB}, l AS (SELECT doc_id, replace(text, chr(10), ' ') || chr(10) AS line, unnest({_CHARS("replace(text, chr(10), ' ') || chr(10)")}) AS ch, unnest(range(length(text) + 1)) AS i FROM documents WHERE text <> '')
+SELECT doc_id, sha256(line) AS line_sha256, sha256(array_to_string(list(id ORDER BY i), ' ')) AS ids_sha256, count(*)::INTEGER AS n FROM l JOIN v USING (ch) GROUP BY doc_id, line""")
+def cached_encoding(spark, d):
+    """The documents' texts, a line each, in a folder of files by language, encoded through the cache: first with files of one language cut short and
+    one too many, then again when they are mended. Only those are read then, and what the cache holds is the whole."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", F.translate("text", "\n", " ").alias("value"))).where("value <> ''")
+    symbols = [r["ch"] for r in corpus.vocabulary(table(spark, d, "documents")).orderBy("id").collect()]
+    folder = scratch_folder(spark, "encoded")
+    least = docs.agg(F.min("lang")).first()[0]
+    old = docs.withColumn("value", F.when(F.col("lang") == least, F.left("value", F.lit(20))).otherwise(F.col("value")))
+    write = lambda df: df.select("lang", "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang").text(f"{folder}/text")
+    write(old.unionByName(docs.limit(1).withColumn("lang", F.lit("zz"))))
+    checkpoints.refresh_encoded(spark, f"{folder}/text", symbols, f"{folder}/cache")
+    write(docs.where(F.col("lang") == least))
+    checkpoints.remove(spark, f"{folder}/text/lang=zz")
+    checkpoints.refresh_encoded(spark, f"{folder}/text", symbols, f"{folder}/cache")
+    ids = checkpoints.encoded_files(spark, f"{folder}/cache").select("ids")
+    told = ids.select(F.sha2(corpus.Codec(symbols).decode(F.col("ids")), 256).alias("line_sha256"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.size("ids").alias("n"))
+    named = docs.select("doc_id", F.sha2(F.concat("value", F.lit("\n")), 256).alias("h"))
+    # Equal texts have equal encodings: each document takes one of its text's.
+    return named.join(told.distinct(), F.col("h") == F.col("line_sha256")).select("doc_id", "line_sha256", "ids_sha256", "n")
