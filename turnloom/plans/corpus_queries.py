@@ -118,7 +118,25 @@ def split_thought(spark, d):
     return t.select("item_id", T.thought_of(F.col("t")).alias("thought"), T.said_of(F.col("t")).alias("said"))
 
 
-@_r.query()
+def _loop_sql() -> str:
+    """Loops by runs of s[i] = s[i + n]: a unit of n characters three times in a row is such a run of 2 n; stutters by neighbouring tokens."""
+    white, letter = r"[\s\x0B\x85\p{Z}]", r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
+    other = f"[^{white[1:-1]}{letter[1:-1]}]"
+    units = range(2, 15)
+    differs = ", ".join(f"CASE WHEN c = lead(c, {n}) OVER w THEN 0 ELSE 1 END AS d{n}" for n in units)
+    runs = ", ".join(f"sum(d{n}) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND {2 * n - 1} FOLLOWING) AS r{n}, sum(solid) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS s{n}" for n in units)
+    least = "CASE " + " ".join(f"WHEN r{n} = 0 AND s{n} >= 2 THEN i * 16 + {n}" for n in units) + " END"
+    return f"""{LINES}, y AS (SELECT doc_id, line_no, line, regexp_extract(line, '^[^{T.STOPS}\n]*') AS head FROM l),
+u AS (SELECT t, row_number() OVER () AS k FROM (SELECT line AS t FROM y UNION SELECT head FROM y)),
+ch AS (SELECT k, c, row_number() OVER () AS o FROM (SELECT k, unnest({_CHARS('t')}) AS c FROM u)), ci AS (SELECT k, c, row_number() OVER (PARTITION BY k ORDER BY o) AS i FROM ch),
+e AS (SELECT k, i, CASE WHEN regexp_matches(c, '{white}') THEN 0 ELSE 1 END AS solid, {differs} FROM ci WINDOW w AS (PARTITION BY k ORDER BY i)),
+f AS (SELECT k, min({least}) AS at FROM (SELECT k, i, {runs} FROM e) GROUP BY k),
+s AS (SELECT k, ts, list_filter(range(1, len(ts) - 1), lambda j: ts[j] = ts[j + 2] AND length(ts[j]) <= 12 AND regexp_matches(ts[j], '^{letter}+$') AND regexp_matches(ts[j + 1], '^{white}+$'))[1] AS j
+  FROM (SELECT k, regexp_extract_all(t, '{letter}+|{white}+|{other}') AS ts FROM u)),
+z AS (SELECT t, CASE WHEN f.at IS NOT NULL THEN left(t, f.at // 16 + f.at % 16 - 1) WHEN j IS NOT NULL THEN array_to_string(ts[1:j], '') ELSE t END AS cut FROM u LEFT JOIN f USING (k) LEFT JOIN s USING (k))"""
+
+
+@_r.query(f"WITH {_loop_sql()} SELECT doc_id, line_no, regexp_replace(h.cut, '^[\\s\\x0B\\x85\\p{{Z}}]+|[\\s\\x0B\\x85\\p{{Z}}]+$', '', 'g') AS reply, z.cut <> line AS cut FROM y JOIN z ON z.t = line JOIN z h ON h.t = head")
 def trim_loop(spark, d):
     """Every line of every document as a reply, cut where it loops or stutters."""
     lines = corpus.lines(spread(table(spark, d, "documents").select("doc_id", "text")))
