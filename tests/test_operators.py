@@ -109,6 +109,39 @@ def test_variety_floors(spark):
     assert len(facts) > 200 and not any("{" in f for f in facts)
 
 
+def test_variety_of_greetings_and_courtesies(spark):
+    """Of 20,000 greetings more than 12,000 differ, of 400 courtesies more than 60, and a conversation has 8 exchanges on average."""
+    lines = [r[0] for r in spark.range(20_000).withColumnRenamed("id", "k").selectExpr(dialogue.greeting(SPARK, 1, "k")).collect()]
+    assert len(set(lines)) > 12_000 and max(map(len, lines)) <= 170
+    assert len({r[0] for r in spark.range(400).withColumnRenamed("id", "k").selectExpr(dialogue.social_exchange(SPARK, 1, "k")[1]).collect()}) > 60
+    assert assemble.conversations(spark, spark.range(2000).withColumnRenamed("id", "conv_id"), 4, 20).count() >= 8 * 2000
+
+
+def test_dialogues_stay_with_their_subject(spark):
+    keys = spark.range(300).withColumnRenamed("id", "conv_id")
+    rows = assemble.over(keys.repartition(5), lambda name: f"WITH {dialogue.dialogue_ctes(SPARK, name, 3)} SELECT * FROM lines").orderBy("conv_id", "turn").collect()
+    assert len(rows) == 300 * 2 * dialogue.DIALOGUE_UNITS and all(r["line"] and "{" not in r["line"] for r in rows)
+    named, after = {}, 0
+    for ask, tell in zip(rows[::2], rows[1::2]):
+        c = ask["conv_id"]
+        phrase = [t for t, p in zip(dialogue.THINGS, dialogue.PHRASES) for o in dialogue.OPENINGS if ask["line"] == o.replace("{np}", p)]
+        if phrase:
+            named[c] = phrase[0]
+        elif ask["line"] in dialogue.CHANGES:
+            named.pop(c, None)
+        assert ask["subject"] == tell["subject"] == (None if ask["line"] in dialogue.CHANGES else named.get(c))
+        if ask["line"] in dialogue.AFTER[True] + dialogue.AFTER[False]:
+            after += 1
+            assert (tell["line"] in dialogue.NOTHING_YET) == (c not in named)
+            assert c not in named or ask["line"] in dialogue.AFTER[named[c] in dialogue.PAIRED] and tell["line"] in dialogue._sentences(named[c])
+    said = {}
+    for r in rows[1::2]:
+        if r["subject"] and r["line"] not in dialogue.ASIDE_REPLIES:
+            assert said.get((r["conv_id"], r["subject"])) != r["line"] or len(dialogue._sentences(r["subject"])) < 4
+            said[r["conv_id"], r["subject"]] = r["line"]
+    assert after > 500
+
+
 def test_conversations(spark):
     keys = spark.range(2000).withColumnRenamed("id", "conv_id")
     got = assemble.conversations(spark, keys, 4, 20).collect()

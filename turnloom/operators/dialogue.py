@@ -22,10 +22,10 @@ USING = ["People reach for {np} to {base}.", "Made well, {np} can {base}.", "Who
 DOING = ["{Ing} takes {np}.", "When it comes to {ing}, try {np}.", "{NP} and {ing} belong together."]
 NAMING = ["By {np} people mean {noun}.", "{NP}, in other words, {is} {noun}.", "Picture {noun}: that {is} {np}."]
 REMARKS = ["No more to it.", "So I have read.", "Few people think about it.", "It took a while to get right.", "That has not changed for ages."]
-SALUTES = ["Hello", "Good day", "Welcome", "Greetings", "Glad you came", "Nice to see you", "Well met", "Hello there"]
-NOTES = ["I am a short program", "I read letter by letter", "I need no network", "I learned from small talk", "I know a handful of facts", "I like brief questions"]
-PROMPTS = ["What brings you here?", "Which thing shall I explain?", "Name a subject.", "What should we look at?", "Pick anything you like.", "How may I help?"]
-HEDGES = ["I do slip up.", "I keep it brief.", "Please check my sums.", "My memory is short."]
+SALUTES = ["Hello", "Good day", "Welcome", "Greetings", "Glad you came", "Nice to see you", "Well met", "Hello there", "A fine day to you", "Come in", "You found me", "Pleased to meet you", "Hello again, or for once", "Ah, a reader"]
+NOTES = ["I am a short program", "I read letter by letter", "I need no network", "I learned from small talk", "I know a handful of facts", "I like brief questions", "I fit on a floppy", "I was written in a week of rain", "I run where you are", "I keep no diary", "I can add two numbers", "I have never seen a harbour", "I was taught by one person", "I forget you when you leave"]
+PROMPTS = ["What brings you here?", "Which thing shall I explain?", "Name a subject.", "What should we look at?", "Pick anything you like.", "How may I help?", "Where shall we begin?", "Say a word, and I will try.", "Have you a sum for me?", "Tell me what you wonder about.", "Is there a thing you never understood?", "Begin wherever you please.", "What is on your desk today?", "Shall we take turns?"]
+HEDGES = ["I do slip up.", "I keep it brief.", "Please check my sums.", "My memory is short.", "Long words trip me.", "Some answers will be wrong.", "I know less than it seems.", "Be patient with me.", "I may say a thing twice.", "Doubt me now and then."]
 WHOLE_GREETINGS = ["Hello. The page was blank until now.", "Welcome. I start from nothing each time.", "Good day. There is only you and me here.", "Greetings from a very small file."]
 SOCIAL = {
     "greet": (["hello", "hi", "hey there", "good morning"], ["Hello to you.", "Hi. Good to hear from you.", "Good day."]),
@@ -34,6 +34,20 @@ SOCIAL = {
     "bye": (["bye", "see you", "good night"], ["Goodbye.", "Until next time.", "Take care."]),
 }
 SOCIAL_WEIGHTS = [40, 20, 25, 15]
+#: What may follow a courtesy.
+SOCIAL_MORE = {
+    "greet": ["What shall we talk about?", "I was just sitting idle.", "You are the first today.", "Ask me something.", "How is the day treating you?", "It was quiet here.", "Pull up a chair.", "I have all afternoon."],
+    "thank": ["Come back with the next one.", "It was a small thing.", "I enjoy such questions.", "That one I knew.", "Shall we do another?", "Now I am curious what follows."],
+    "ack": ["We can stay with it.", "Or shall we change the subject?", "Take your time.", "I can put it another way.", "The rest is easier.", "Tell me if it helps."],
+    "bye": ["It was pleasant.", "The door stays open.", "I will not remember this, sadly.", "Mind the step.", "Greet the others.", "Sleep on it."],
+}
+#: Turns of a dialogue that stays with its subject: openings, questions after one or several things, courtesies, changes of the subject, and what is said without one.
+OPENINGS = ["Tell me about {np}.", "What of {np}?", "I saw {np} yesterday.", "Do you know {np}?"]
+AFTER = {False: ["And what else about it?", "Why is it so?", "What is it good for?", "Say more of it."], True: ["And what else about them?", "Why are they so?", "What are they good for?", "Say more of them."]}
+CHANGES = ["Let us talk of something else.", "Enough of that.", "Another matter, please."]
+CHANGED = ["Gladly. What shall it be?", "As you like.", "Then I let it rest."]
+ASIDE, ASIDE_REPLIES = ["I see.", "Ha.", "Good.", "Hm."], ["Yes.", "Just so.", "Quite."]
+NOTHING_YET = ["Of what, if I may ask?", "We have no subject yet.", "Name one, and I will try."]
 #: Kinds of exchange within a conversation, by weight (the social kind stands at its edges only).
 KINDS = {"known": 34, "unknown": 16, "clarify": 10, "chit": 14, "cannot": 16}
 QUESTIONS = ["What does {name} mean?", "Could you explain {name}?", "I keep hearing of {name}. What is meant?", "{name}, please."]
@@ -127,7 +141,9 @@ def lyrical(d: Dialect, seed: int, key: str) -> tuple[str, str]:
 def social_exchange(d: Dialect, seed: int, key: str) -> tuple[str, str]:
     """(prompt, reply)."""
     kind = d.weighted(seed, key, 0, SOCIAL_WEIGHTS)
-    return tuple(_case(kind, [d.choice(seed, key, 1 + side, pools[side]) for pools in SOCIAL.values()]) for side in (0, 1))
+    prompt, reply = (_case(kind, [d.choice(seed, key, 1 + side, pools[side]) for pools in SOCIAL.values()]) for side in (0, 1))
+    more = _case(kind, [d.choice(seed, key, 4, pool) for pool in SOCIAL_MORE.values()])
+    return prompt, f"({reply} || CASE WHEN {d.draw(seed, key, 3)} % 100 < 75 THEN ' ' || {more} ELSE '' END)"
 
 
 def _named(d: Dialect, template: str, name: str) -> str:
@@ -204,3 +220,30 @@ def reframed_line(d: Dialect, seed: int, conv: str, place: str, role: str, body:
     opened = f"(CASE WHEN {chance(51, 35)} THEN {d.choice(seed, key, 52, STARTS)} ELSE '' END || {asked})"
     told = f"(CASE WHEN {chance(53, 30)} THEN {d.choice(seed, key, 54, LEADS)} ELSE '' END || {body} || CASE WHEN {chance(55, 20)} THEN {d.choice(seed, key, 56, TAILS)} ELSE '' END)"
     return f"CASE WHEN {role} <> 'user' THEN {told} WHEN {place} = 0 THEN {opened} ELSE {body} END"
+
+
+DIALOGUE_UNITS, DIALOGUE_KINDS = 12, {"open": 28, "after": 42, "aside": 18, "change": 12}
+
+
+def dialogue_ctes(d: Dialect, keys: str, seed: int) -> str:
+    """CTEs; the last, ``lines``, has conv_id, turn, role, subject, line: dialogues of DIALOGUE_UNITS exchanges that stay with a subject until it is changed.
+
+    Units are drawn by (conversation, unit). A unit that opens a subject names a thing; those after it are about the last one named since the
+    subject was last changed (a running maximum of unit and thing, within the stretch between two changes), and each says another sentence about it.
+    """
+    unit = "(cast(conv_id as string) || ':s' || cast(u as string))"
+    kinds, n = list(DIALOGUE_KINDS), len(THINGS)
+    over = "OVER (PARTITION BY conv_id, stretch ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    np = d.pick(PHRASES, "subject")
+    many = "subject IN (" + ", ".join(str(i) for i, t in enumerate(THINGS) if t in PAIRED) + ")"
+    pool = lambda i, xs: d.pick(xs, f"e{i}")
+    asked = f"CASE WHEN subject IS NOT NULL AND {many} THEN {pool(2, AFTER[True])} ELSE {pool(2, AFTER[False])} END"
+    said = _case("subject", [d.pick(_sentences(t), "begun + u") for t in THINGS])
+    prompt = f"CASE kind WHEN 'open' THEN {_named(d, pool(2, [o.replace('{np}', '{name}') for o in OPENINGS]), np)} WHEN 'after' THEN {asked} WHEN 'aside' THEN {pool(2, ASIDE)} ELSE {pool(2, CHANGES)} END"
+    reply = f"CASE WHEN kind = 'change' THEN {pool(3, CHANGED)} WHEN kind = 'aside' THEN {pool(3, ASIDE_REPLIES)} WHEN subject IS NULL THEN {pool(3, NOTHING_YET)} ELSE {said} END"
+    return f"""chosen AS (SELECT conv_id, u, {d.pick(kinds, d.weighted(seed, unit, 0, list(DIALOGUE_KINDS.values())))} AS kind, {d.draw(seed, unit, 1)} AS e1, {d.draw(seed, unit, 2)} AS e2, {d.draw(seed, unit, 3)} AS e3 FROM (SELECT DISTINCT conv_id FROM {keys}) k {d.lateral(str(DIALOGUE_UNITS - 1), 'u')}),
+parted AS (SELECT *, sum(CASE WHEN kind = 'change' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stretch FROM chosen),
+carried AS (SELECT *, max(CASE WHEN kind = 'open' THEN u * {n} + e1 % {n} END) {over} AS mention FROM parted),
+about AS (SELECT conv_id, u, kind, e2, e3, mention % {n} AS subject, {d.div('mention', n)} * 7 + conv_id AS begun FROM carried),
+spoken AS (SELECT conv_id, u, CASE WHEN kind = 'change' THEN NULL ELSE subject END AS subject, {prompt} AS prompt, {reply} AS reply FROM about),
+lines AS (SELECT conv_id, cast(2 * u + s as int) AS turn, CASE WHEN s = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN subject IS NOT NULL THEN {d.pick(THINGS, 'subject')} END AS subject, CASE WHEN s = 0 THEN prompt ELSE reply END AS line FROM spoken {d.lateral('1', 's')})"""

@@ -252,3 +252,10 @@ def corpus_fill(spark, d):
     blocks = corpus.blocks_of(corpus.turns(table(spark, d, "conversations")))
     n = blocks.agg(F.sum(F.length("body") + 2)).first()[0] or 0
     return assemble.fills(blocks, [n * t // 100 for t in _TARGETS], 105, **_SHARES)
+
+
+@_r.query(f"WITH {dialogue.dialogue_ctes(D, 'conversations', 107)} SELECT * FROM lines")
+def dialogue_turns(spark, d):
+    """For every conversation of the table, a dialogue whose questions are about the thing last named."""
+    keys = table(spark, d, "conversations").select("conv_id")
+    return assemble.over(keys, lambda name: f"WITH {dialogue.dialogue_ctes(S, name, 107)} SELECT * FROM lines")
