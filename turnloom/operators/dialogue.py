@@ -244,6 +244,6 @@ def dialogue_ctes(d: Dialect, keys: str, seed: int) -> str:
     return f"""chosen AS (SELECT conv_id, u, {d.pick(kinds, d.weighted(seed, unit, 0, list(DIALOGUE_KINDS.values())))} AS kind, {d.draw(seed, unit, 1)} AS e1, {d.draw(seed, unit, 2)} AS e2, {d.draw(seed, unit, 3)} AS e3 FROM (SELECT DISTINCT conv_id FROM {keys}) k {d.lateral(str(DIALOGUE_UNITS - 1), 'u')}),
 parted AS (SELECT *, sum(CASE WHEN kind = 'change' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stretch FROM chosen),
 carried AS (SELECT *, max(CASE WHEN kind = 'open' THEN u * {n} + e1 % {n} END) {over} AS mention FROM parted),
-about AS (SELECT conv_id, u, kind, e2, e3, mention % {n} AS subject, {d.div('mention', n)} * 7 + conv_id AS begun FROM carried),
+about AS (SELECT conv_id, u, kind, e2, e3, mention % {n} AS subject, mention % {n} + conv_id AS begun FROM carried),
 spoken AS (SELECT conv_id, u, CASE WHEN kind = 'change' THEN NULL ELSE subject END AS subject, {prompt} AS prompt, {reply} AS reply FROM about),
 lines AS (SELECT conv_id, cast(2 * u + s as int) AS turn, CASE WHEN s = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN subject IS NOT NULL THEN {d.pick(THINGS, 'subject')} END AS subject, CASE WHEN s = 0 THEN prompt ELSE reply END AS line FROM spoken {d.lateral('1', 's')})"""
