@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from turnloom.plans import corpus_queries, generator_queries, lesson_queries, model_queries, quality_queries
+from turnloom.plans import corpus_queries, generator_queries, lesson_queries, model_queries, quality_queries, source_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (corpus_queries, quality_queries, generator_queries, lesson_queries, model_queries):
+for _part in (corpus_queries, quality_queries, generator_queries, lesson_queries, model_queries, source_queries):
     QUERIES.update(_part.QUERIES)
     ORACLE_SQL.update(_part.ORACLE_SQL)
