@@ -37,12 +37,13 @@ def many_ranges(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-@pytest.mark.parametrize("width", [1, 3, WIDTH])
-def test_every_length(spark, many_ranges, width):
+@pytest.mark.parametrize(("width", "most"), [(1, 9), (3, 9), (WIDTH, 0), (WIDTH, 10**6), (4, 10**6)])
+def test_every_length(spark, many_ranges, width, most):
+    """Whether heads are shipped or too many."""
     rng = random.Random(width)
     lines = ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["é𝄞ü" * 9, "", None, "same line of some length " * 3] + ["same line of some length " * 3] * 30
     texts = [(x or "")[rng.randint(0, 30) :][: rng.randint(0, 50)] + rng.choice(["", "z", "ab"]) for x in lines] + ["", None, "zzz", "é𝄞x", "𝄞", "same line of some length " * 4, "a", "a"]
-    check(spark, texts, lines, width=width)
+    check(spark, texts, lines, width=width, most_heads=most)
 
 
 def test_no_texts_or_no_lines(spark, many_ranges):

@@ -6,7 +6,9 @@ texts at its edge wait for those. Ties are told apart by line and place, so a pa
 
 Suffixes are cut to WIDTH characters in the first round, which ends most texts. What agrees that far goes through a second one, in which only the
 suffixes behind such a beginning take part, as long as the longest text. Equal lines are taken once. Cost: a shuffle of WIDTH characters for each character of
-the corpus and one of its lines, whatever the number of texts; nothing is broadcast but the ranges' edges, two short texts each.
+the corpus and one of its lines, at most. Where the texts have few enough different heads of three characters (MOST_HEADS, counted), these are shipped, and
+suffixes with another head stay away: they agree with a text on two characters at most, which the corpus' different pairs of characters tell. Else
+nothing is broadcast but the ranges' edges, two short texts each.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from turnloom.session import spread, staged
 
-WIDTH, FLUSH = 24, 50_000
+WIDTH, FLUSH, HEAD, MOST_HEADS = 24, 50_000, 3, 500_000
 #: s: a suffix (text 0) or a text (1); at, place: where a suffix stands.
 SORTED = "s string, text int, at long, place int"
 #: What the merge of a range tells: of a text, how far it agrees within the range, and whether a neighbour is missing on
@@ -32,8 +34,10 @@ SORTED = "s string, text int, at long, place int"
 TOLD = "what string, range int, s string, n int, at long, place int"
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _suffixes(batches: Iterator[pa.RecordBatch], width: int, heads: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
+    """(at, line) to SORTED: the suffixes with one of the heads and, once a task, the pairs of characters; all suffixes without heads."""
     held: tuple[list, list, list] = [], [], []
+    twos: set[str] = set()
 
     def out() -> pa.RecordBatch:
         n = len(held[0])
@@ -45,10 +49,17 @@ def _suffixes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
     for batch in batches:
         for at, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for low in range(0, len(line), FLUSH):
-                high = min(low + FLUSH, len(line))
-                held[0].extend([line[i : i + width] for i in range(low, high)])
-                held[1].extend([at] * (high - low))
-                held[2].extend(range(low, high))
+                places = range(low, min(low + FLUSH, len(line)))
+                if heads is not None:
+                    new = {line[i : i + HEAD - 1] for i in places} - twos
+                    twos |= new
+                    held[0].extend(new)
+                    held[1].extend([None] * len(new))
+                    held[2].extend([None] * len(new))
+                    places = [i for i in places if line[i : i + HEAD] in heads]
+                held[0].extend([line[i : i + width] for i in places])
+                held[1].extend([at] * len(places))
+                held[2].extend(places)
                 if len(held[0]) >= FLUSH:
                     yield out()
     yield out()
@@ -156,13 +167,16 @@ def _round(texts: DataFrame, suffixes: DataFrame, width: int) -> tuple[DataFrame
     return found, places
 
 
-def longest_prefixes(texts: DataFrame, lines: DataFrame, key: str, text: str = "reply", line: str = "line", width: int = WIDTH) -> DataFrame:
+def longest_prefixes(texts: DataFrame, lines: DataFrame, key: str, text: str = "reply", line: str = "line", width: int = WIDTH, most_heads: int = MOST_HEADS) -> DataFrame:
     """key, length, prefix: of each text, its length and the length of its longest beginning that stands in one of the lines. Null counts as empty."""
     t = F.col(text)
     said = staged(texts.select(t.alias("t")).where(F.length(t) > 0).distinct(), "texts")
     longest = said.agg(F.max(F.length("t"))).first()[0] or 0
     kept = staged(lines.select(F.col(line).alias("line")).where(F.length(line) > 0).distinct().select(F.xxhash64("line").alias("at"), "line"), "lines")  # lines of one hash are all looked up
-    cut = spread(kept).mapInArrow(lambda it: _suffixes(it, width), SORTED)
+    heads = said.select(F.left("t", F.lit(HEAD)).alias("h")).distinct()
+    few = width > HEAD and heads.count() <= most_heads
+    shipped = lines.sparkSession.sparkContext.broadcast(frozenset(r["h"] for r in heads.collect()) if few else None)  # three characters each
+    cut = spread(kept).mapInArrow(lambda it: _suffixes(it, width, shipped.value), SORTED)
     found, places = _round(said.select(F.left("t", F.lit(width)).alias("s")).distinct(), cut, width)
     best = said.join(found.withColumnRenamed("n", "short"), F.left("t", F.lit(width)) == F.col("s")).select("t", "short")
     if longest > width:
