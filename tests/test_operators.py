@@ -1,5 +1,6 @@
 """Operators on hand-made cases, against plain Python, and for invariants."""
 
+import base64
 import json
 import math
 import random
@@ -284,37 +285,84 @@ def test_versions(spark):
     assert {r["reference"]: r["name"] for r in exports.resolved(e, refs).collect()} == {"big": "big_2.10.txt", "small_1.1": "small_1.1.txt", "small_1.0.txt": "small_1.0.txt", "none": None, "": "odd_1.03.txt"}
 
 
-@pytest.mark.parametrize("bits", [8, 4])
-def test_export_round_trip(spark, tmp_path, bits):
+def exported(rows, bits, group):
+    """The export's payload by numpy and the standard library, from the format's description."""
+    top, codes, scales = (1 << (bits - 1)) - 1, [], []
+    for _, _, _, values in rows:
+        flat = np.array(values + [0.0] * (-len(values) % group), np.float32).reshape(-1, group)
+        s = np.maximum(np.abs(flat).max(1) / np.float32(top), np.float32(1e-6)).astype(np.float16)
+        scales.append(s)
+        codes.append(np.clip(np.rint(flat / s[:, None].astype(np.float32)), -top, top).astype(int).ravel())
+    codes, scales = np.concatenate(codes), np.concatenate(scales)
+    raw = codes.astype(np.int8).tobytes() if bits == 8 else bytes((a & 15) | (b & 15) << 4 for a, b in zip(codes[::2].tolist(), codes[1::2].tolist()))
+    return base64.b85encode(raw).decode(), base64.b85encode(scales.astype("<f2").tobytes()).decode(), codes.reshape(-1, group) * scales[:, None].astype(float)
+
+
+@pytest.mark.parametrize("bits,group", [(8, 32), (4, 32), (8, 24), (4, 8)])
+def test_export_round_trip(spark, tmp_path, bits, group):
     config = network.Config(11, 16, 2, 2, 20)
     params = network.initial(config, 3)
-    rows = [(i, n, list(map(int, v.shape)), [float(x) for x in v.ravel()]) for i, (n, v) in enumerate(params.items())]
+    rows = [(i, n, list(map(int, v.shape)), [float(np.float32(x)) for x in v.ravel()]) for i, (n, v) in enumerate(params.items())]
+    rows.append((len(rows), "tiny", [3], [1e-7, -2e-8, 0.0]))
     df = spark.createDataFrame(rows, export_file.SCHEMA)
-    export_file.write(df, f"{tmp_path}/m", {"n_embd": 20}, "abc", bits, 32)
-    back = {r["name"]: r for r in export_file.read(spark, f"{tmp_path}/m").collect()}
-    export_file.check_names(df, list(params))
-    top = (1 << (bits - 1)) - 1
-    for n, v in params.items():
-        assert back[n]["shape"] == list(v.shape)
-        assert np.abs(np.array(back[n]["values"]) - v.ravel()).max() <= max(1e-6, np.abs(v).max() / top) * 0.51
-    assert all(r["values"] is None for r in export_file.read(spark, f"{tmp_path}/m", header_only=True).collect())
-    text = spark.read.text(f"{tmp_path}/m", wholetext=True).first()[0]
-    with pytest.raises(ValueError):
-        export_file.decode(text.replace('"v":4', '"v":3'))
-    assert export_file.decode(text.replace('"v":4', '"v":3'), lenient=True)[0]["v"] == 3
-    with pytest.raises(ValueError):
-        export_file.check_names(df.where("ord > 0"), list(params))
-    with pytest.raises(ValueError):
-        export_file.script_module("one line")
-    assert export_file.baked("<script>var MODEL = [1];\nrest</script>", "var MODEL = [2];\n") == "<script>var MODEL = [2];\nrest</script>"
+    export_file.write(df, f"{tmp_path}/m", {"n_embd": 20}, 'a"bé', bits, group)
+    text = spark.read.text(f"{tmp_path}/m", wholetext=True).first()[0].rstrip("\n")
+    codes, scales, values = exported(rows, bits, group)
+    header = json.dumps({"v": 4, "bits": bits, "group": group, "config": {"n_embd": 20}, "vocab": 'a"bé', "tensors": [{"n": n, "s": s} for _, n, s, _ in rows]}, separators=(",", ":"), ensure_ascii=False)
+    assert text.split("\n") == [header, codes, scales]
+    back, at = {r["name"]: r for r in export_file.read(spark, f"{tmp_path}/m").collect()}, 0
+    for i, n, shape, v in rows:
+        assert (back[n]["ord"], back[n]["shape"]) == (i, shape)
+        padded = -(-len(v) // group)
+        assert back[n]["values"] == [float(np.float32(x)) for x in values[at : at + padded].ravel()[: len(v)]]
+        at += padded
+    names = [r[1] for r in rows]
+    export_file.check_names(df, names)
+    export_file.check_names(df, [*names, "head.weight"])
+    heads = export_file.read(spark, f"{tmp_path}/m", header_only=True).orderBy("ord").collect()
+    assert [r["name"] for r in heads] == names and all(r["values"] is None for r in heads)
+    for old, new, lenient in (('"v":4', '"v":3', False), ('"bits":%d' % bits, '"bits":5', True), (codes, codes[5:], True)):
+        spark.createDataFrame([(text.replace(old, new, 1),)], "value string").write.mode("overwrite").text(f"{tmp_path}/bad")
+        with pytest.raises(Exception, match="known version|payload"):
+            export_file.read(spark, f"{tmp_path}/bad", lenient).collect()
+    spark.createDataFrame([(text.replace('"v":4', '"v":3'),)], "value string").write.mode("overwrite").text(f"{tmp_path}/old")
+    assert export_file.read(spark, f"{tmp_path}/old", lenient=True).count() == len(rows)
+    with pytest.raises(ValueError, match="missing.*unknown"):
+        export_file.check_names(df, [*names[1:], "other"])
+
+
+def test_exports_of_odd_tensors(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, "none", [0], []), (1, 1, "one", [1], [2.0]), (2, 0, "none", [0, 4], [])], "model int, " + export_file.SCHEMA)
+    export_file.write_all(df, f"{tmp_path}/m", {}, "")
+    assert sorted((r["file"].split("model=")[1][0], r["name"], len(r["values"])) for r in export_file.read_all(spark, f"{tmp_path}/m").collect()) == [("1", "none", 0), ("1", "one", 1), ("2", "none", 0)]
+    assert export_file.lines(df.limit(0), {}, "").count() == 0
+    for bad in (None, float("nan"), float("inf")):
+        with pytest.raises(Exception, match="finite"):
+            export_file.lines(spark.createDataFrame([(1, 0, "x", [1], [bad])], df.schema), {}, "").collect()
+    with pytest.raises(ValueError, match="whole numbers"):
+        export_file.lines(df, {}, "", 4, 9)
+    page = "<script>var MODEL = [1];\nrest</script>"
+    told = spark.createDataFrame([(page, "var MODEL = ['$1\\\\2'];\n"), ("none", "x")], "p string, m string").select(export_file.baked(F.col("p"), F.col("m"))).collect()
+    assert [r[0] for r in told] == ["<script>var MODEL = ['$1\\\\2'];\nrest</script>", None]
+    script = spark.range(1).select(export_file.script_module(F.lit('{"v":4}'), F.lit("a`<"), F.lit(""))).first()[0]
+    assert script == 'var MODEL = ["{\\"v\\":4}","a`<",""];\n'
+
+
+def test_base85(spark):
+    rng = np.random.default_rng(4)
+    raw = [bytes(rng.integers(0, 256, n).tolist()) for n in [*range(12), 255, 1000]] + [b"\xff" * n for n in range(9)] + [b"\0" * n for n in range(1, 9)]
+    df = spark.createDataFrame([(bytearray(x),) for x in raw] + [(None,)], "raw binary").coalesce(1).select("raw", weights.base85(F.col("raw")).alias("t"))
+    got = df.select("raw", "t", weights.unbase85(F.col("t")).alias("back")).collect()
+    assert [r["t"] for r in got] == [base64.b85encode(x).decode() for x in raw] + [None]
+    assert all(r["raw"] == r["back"] for r in got)
+    assert column(spark, ["~~~~~", 'ab"de', "ab de", ""], lambda c: weights.unbase85(c), "string") == [None, None, None, b""]
 
 
 def test_packing_and_halves(spark):
     rng = np.random.default_rng(8)
-    codes = rng.integers(-7, 8, 33).astype(np.int8)
-    assert (export_file.unpack(export_file.pack(codes, 4), 33, 4) == codes).all() and (export_file.unpack(export_file.pack(codes, 8), 33, 8) == codes).all()
     values = [float(x) for x in np.abs(rng.normal(size=200)) * 10.0 ** rng.integers(-7, 3, 200)]
     assert column(spark, values, weights.half, "double") == [float(np.float16(v)) for v in values]
+    assert column(spark, values, lambda x: weights.bits_of_half(weights.half(x)), "double") == np.array(values).astype(np.float16).view(np.uint16).tolist()
     bits = list(range(0, 65536, 37)) + [0x7C00, 0xFC00, 0x7E00, 1, 0x03FF]
     got = column(spark, bits, weights.half_of_bits, "int")
     assert all(a == b or (math.isnan(a) and math.isnan(b)) for a, b in zip(got, np.array(bits, np.uint16).view(np.float16).astype(float)))
