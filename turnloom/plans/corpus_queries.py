@@ -241,11 +241,11 @@ def sample_k(spark, d):
     return table(spark, d, "documents").select("doc_id").orderBy(F.expr(S.draw(9, "doc_id", 0)), "doc_id").limit(40)
 
 
-@_r.query("WITH k AS (SELECT DISTINCT ON (lang, w) lang, w, n FROM (SELECT lang, doc_id * 10000000000 + unnest(range(len(regexp_extract_all(text, '\\w+')))) AS n, unnest(regexp_extract_all(text, '\\w+')) AS w FROM documents) ORDER BY lang, w, n), o AS (SELECT lang, w, n::BIGINT AS n, row_number() OVER (PARTITION BY lang ORDER BY n)::INTEGER AS ordinal FROM k) SELECT * FROM o WHERE ordinal <= 8")
+@_r.query("WITH k AS (SELECT DISTINCT ON (lang, w) lang, w, doc_id, i FROM (SELECT lang, doc_id, unnest(range(len(regexp_extract_all(text, '\\w+'))))::INTEGER AS i, unnest(regexp_extract_all(text, '\\w+')) AS w FROM documents) ORDER BY lang, w, doc_id, i), o AS (SELECT lang, w, doc_id, i, row_number() OVER (PARTITION BY lang ORDER BY doc_id, i)::INTEGER AS ordinal FROM k) SELECT * FROM o WHERE ordinal <= 8")
 def dedup_keep_first(spark, d):
     """The first eight different words of each language, in order of appearance."""
     words = table(spark, d, "documents").select("lang", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[0-9A-Za-z_]+"), F.lit(0))).alias("i", "w"))
-    return corpus.keep_first(words.select("lang", "w", (F.col("doc_id") * 10_000_000_000 + F.col("i")).alias("n")), "lang", "n", "w", 8)
+    return corpus.keep_first(words.select("lang", "w", F.struct("doc_id", "i").alias("n")), "lang", "n", "w", 8).select("lang", "w", "n.doc_id", "n.i", "ordinal")
 
 
 @_r.query("WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (trim(line, ' ') = '')::BIGINT AS n_blank, count(*) FILTER (regexp_matches(line, '[0-9]\\s*[-+*/]\\s*[0-9]'))::BIGINT AS n_sums FROM x GROUP BY doc_id")

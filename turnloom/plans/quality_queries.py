@@ -9,6 +9,7 @@ from turnloom.functions.dialect import DUCKDB as D
 from turnloom.functions.dialect import SPARK as S
 from turnloom.functions.markers import END, THINK
 from turnloom.operators import corpus, quality
+from turnloom.plans import generator_queries
 from turnloom.plans.corpus_queries import LINES, REPLIES, replies
 from turnloom.plans.registry import Registry, table
 
@@ -81,7 +82,7 @@ def quality_summary(spark, d):
 
 
 def _sums(x) -> tuple[str, str]:
-    """225 fixed sums: three sizes, three operations, 25 each, as (size, op, i, l, r, truth)."""
+    """The operands of sum i of a size and an operation (0 to 2)."""
     key = "size * 1000 + op * 100 + i"
     low, high = "cast(power(10, size - 1) as bigint)", "cast(power(10, size) - 1 as bigint)"
     a, b = x.between(41, key, 1, low, high), x.between(41, key, 2, low, high)
@@ -91,29 +92,31 @@ def _sums(x) -> tuple[str, str]:
 
 
 _TRUTH = "(CASE op WHEN 0 THEN l + r WHEN 1 THEN l - r ELSE l * r END)"
-#: A stand-in for a model's replies: right for two sums in three, else off by one; the working is behind a think marker.
-_REPLY = lambda x: f"'try ' || {x.text('r')} || '{chr(0x25C7)}' || 'So ' || {x.text('l')} || ' gives ' || {x.text(f'({_TRUTH} + CASE WHEN {x.draw(43, 'size * 1000 + op * 100 + i', 0)} % 3 = 0 THEN 1 ELSE 0 END)')}"
-_GRID = "(SELECT unnest([1, 2, 3]) AS size), (SELECT unnest([0, 1, 2]) AS op), (SELECT unnest(range(25)) AS i)"
+#: A sum for every item of the benchmark.
+_ITEMS = lambda x: ["item_id", "cast(item_id % 3 + 1 as int) AS size", f"cast({x.div('item_id', 3)} % 3 as int) AS op", "item_id AS i"]
 
 
-@_r.query(f"""WITH g AS (SELECT size, op, i, {', '.join(_sums(D))} FROM {_GRID}), a AS (SELECT size, op, i, l, r, {_TRUTH} AS truth, {_REPLY(D)} AS reply FROM g),
-m AS (SELECT *, try_cast(list_last(regexp_extract_all(split_part(reply, '{chr(0x25C7)}', 2), '-?[0-9]+')) AS BIGINT) = truth AS hit FROM a)
-SELECT size::INTEGER AS size, op::INTEGER AS op, round(avg(hit::INTEGER), 6) AS score FROM m GROUP BY GROUPING SETS ((size, op), ())""")
-def arith_scoreboard(spark, d):
-    """Accuracy by size and operation and overall (both null), scored on the last number behind the think marker."""
-    seq = lambda n, lo=0: F.explode(F.array(*[F.lit(v) for v in range(lo, lo + n)]))
-    grid = spark.range(1).select(seq(3, 1).alias("size")).select("size", seq(3).alias("op")).select("size", "op", seq(25).alias("i"))
-    sums = grid.selectExpr("size", "op", "i", *_sums(S))
-    told = sums.withColumn("truth", F.expr(_TRUTH)).withColumn("reply", F.expr(_REPLY(S)))
-    hit = F.coalesce(T.final_number(T.said_of(F.col("reply"))) == F.col("truth"), F.lit(False))
-    return told.withColumn("hit", hit.cast("int")).groupingSets([["size", "op"], []], "size", "op").agg(F.round(F.avg("hit"), 6).alias("score"))
+@_r.query(f"WITH g AS (SELECT {', '.join(_ITEMS(D))} FROM benchmark), x AS (SELECT item_id, size, op, {', '.join(_sums(D))} FROM g) SELECT item_id, size, op, l, r, {_TRUTH}::BIGINT AS truth FROM x")
+def benchmark_sums(spark, d):
+    """A sum of one to three digits with its result for every item of the benchmark."""
+    items = table(spark, d, "benchmark").selectExpr(*_ITEMS(S))
+    return items.selectExpr("item_id", "size", "op", *_sums(S)).withColumn("truth", F.expr(_TRUTH))
 
 
-@_r.query(f"WITH g AS (SELECT size, op, i, {', '.join(_sums(D))} FROM {_GRID}) SELECT size::INTEGER AS size, op::INTEGER AS op, i::INTEGER AS i, l, r, {_TRUTH}::BIGINT AS truth FROM g")
-def benchmark_sums(spark, d):
-    seq = lambda n, lo=0: F.explode(F.array(*[F.lit(v) for v in range(lo, lo + n)]))
-    grid = spark.range(1).select(seq(3, 1).alias("size")).select("size", seq(3).alias("op")).select("size", "op", seq(25).alias("i"))
-    return grid.selectExpr("size", "op", "i", *_sums(S)).withColumn("truth", F.expr(_TRUTH))
+#: A reply ends where a model's budget of characters ends.
+BUDGET = 90
+_RESULT = lambda x: f"(CASE op WHEN 0 THEN l + r WHEN 1 THEN l - r WHEN 2 THEN l * r ELSE {x.div('l', 'r')} END)"
+
+
+@_r.query(f"""WITH w AS ({generator_queries.ORACLE_SQL['arith_operands']}), x AS ({generator_queries.ORACLE_SQL['arith_exchange']}), y AS (SELECT op, l, r, left(answer, {BUDGET}) AS reply FROM w JOIN x USING (doc_id)),
+m AS (SELECT op, length(cast(l AS VARCHAR)) AS size, coalesce(try_cast(list_last(regexp_extract_all(reply, '-?[0-9]+')) AS BIGINT) = {_RESULT(D)}, false) AS hit FROM y)
+SELECT size::INTEGER AS size, op::INTEGER AS op, round(avg(hit::INTEGER), 6) AS score FROM m GROUP BY GROUPING SETS ((size, op), ())""")
+def arith_scoreboard(spark, d):
+    """Accuracy by size and operation and overall (both null) of the worked answers to every document's sum, as far as the budget of characters goes: scored on the last number."""
+    answers = generator_queries.arith_exchange(spark, d).select("doc_id", F.left("answer", F.lit(BUDGET)).alias("reply"))
+    told = generator_queries.arith_operands(spark, d).select("doc_id", "op", "l", "r").join(answers, "doc_id")
+    hit = F.coalesce(T.final_number(F.col("reply")) == F.expr(_RESULT(S)), F.lit(False)).cast("int")
+    return told.select(F.length(F.col("l").cast("string")).alias("size"), F.col("op").cast("int").alias("op"), hit.alias("hit")).groupingSets([["size", "op"], []], "size", "op").agg(F.round(F.avg("hit"), 6).alias("score"))
 
 
 @_r.query("SELECT doc_id, CASE WHEN n > 0 THEN rpad(repeat('#', round_even(n_sym * 20.0 / n, 0)::INTEGER), 20, '.') ELSE '?' || repeat(' ', 19) END AS bar FROM (SELECT doc_id, len(regexp_extract_all(text, '[^\\sA-Za-z]')) AS n_sym, length(text) AS n FROM documents)")
