@@ -15,6 +15,7 @@ from turnloom.functions import text as T
 from turnloom.functions.dialect import SPARK
 from turnloom.functions.markers import BOT, END, START, USER
 from turnloom.operators import assemble, corpus, dialogue, exports, lessons, network, quality, weights
+from turnloom.session import small
 from turnloom.sources import export_file
 from turnloom.streaming import lesson_log
 
@@ -435,3 +436,10 @@ def test_scratch_must_be_shared(monkeypatch, spark):
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.scratch(cluster)
+
+
+def test_small_counts_rows_and_bytes(spark, tmp_path):
+    hinted = lambda df: "hint" in df._jdf.queryExecution().logical().toString().lower()
+    spark.range(1000).write.parquet(f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    assert hinted(small(stored)) and not hinted(small(stored, rows=999)) and not hinted(small(stored, size=100))

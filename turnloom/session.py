@@ -76,9 +76,11 @@ def release(spark: SparkSession) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """A stored table of a few narrow columns, marked for broadcast if it is counted to be short; else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = 500_000, size: int = 64 << 20) -> DataFrame:
+    """A stored table, marked for broadcast if it is counted to be short and its plan's statistics (a stored table's are its files') tell
+    of at most ``size`` bytes; else as it is."""
+    told = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(told)) <= size and df.count() <= rows else df
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
