@@ -4,7 +4,8 @@ Outcomes are labelled pages (bad or not). A host's bad rate is shrunk to that of
 the domain's to that of its suffix, the suffix's to the overall rate. At each level the strength of the
 prior is estimated from the data: with rho the intraclass correlation of the beta-binomial by the method
 of moments around the parent's mean, k = (1 - rho) / rho pseudo-pages. A host is blocked when the lower
-posterior bound, mean - z * sd of its Beta, exceeds ``max_bad``: little evidence never blocks.
+posterior bound, mean - z * sd of its Beta, exceeds ``max_bad``. The doubt is the host's own: the
+prior's rate is taken as it is, so where all labels of a domain, or of the whole table, are bad, its hosts without labels are blocked.
 
 Every host of the pages is judged: one without labels has the prior itself for its Beta, which is that of its domain, else
 of its suffix, else of all labels, with the prior's k pseudo-pages, so that its bound is wide.
