@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.operators.weights import parameter_shapes
-from turnloom.session import spread
+from turnloom.session import small, spread, staged
 
 IGNORE = -100
 # Coefficients of a rational approximation of the error function, within 1.5e-7 (Abramowitz and Stegun 7.1.26).
@@ -55,9 +55,10 @@ def initial(config: Config, seed: int) -> dict[str, np.ndarray]:
 
 
 def _norm(x, gain, bias):
-    mean = x.mean(-1, keepdims=True)
-    spread = 1 / np.sqrt(((x - mean) ** 2).mean(-1, keepdims=True) + 1e-5)
-    z = (x - mean) * spread
+    mean = np.full((x.shape[-1], 1), 1 / x.shape[-1], x.dtype)  # a product is faster than a mean over few numbers
+    z = x - x @ mean
+    spread = 1 / np.sqrt((z * z) @ mean + 1e-5)
+    z *= spread
     return z * gain + bias, (z, spread)
 
 
@@ -70,13 +71,32 @@ def _norm_back(d, gain, kept):
 
 
 def gelu(x):
-    """The exact form, by the error function."""
-    return 0.5 * x * (1 + _erf(x * math.sqrt(0.5)))
+    """The exact form, by the error function (as _erf, in few passes over the memory: x sign(x) is the size of x)."""
+    size = np.abs(x)
+    t = size * (0.3275911 * math.sqrt(0.5))
+    t += 1
+    np.reciprocal(t, out=t)
+    sum_ = t * ERF[-1]
+    for c in reversed(ERF[1:-1]):
+        sum_ += c
+        sum_ *= t
+    sum_ += ERF[0]
+    sum_ *= t
+    np.multiply(size, size, out=t)
+    t *= -0.5
+    sum_ *= np.exp(t, out=t)
+    np.subtract(1, sum_, out=sum_)
+    sum_ *= size
+    sum_ += x
+    sum_ *= 0.5
+    return sum_
 
 
 def softmax(x):
-    e = np.exp(x - x.max(-1, keepdims=True))
-    return e / e.sum(-1, keepdims=True)
+    e = x - x.max(-1, keepdims=True)
+    np.exp(e, out=e)
+    e /= e.sum(-1, keepdims=True)
+    return e
 
 
 class Network:
@@ -85,8 +105,8 @@ class Network:
     def __init__(self, config: Config, params: dict[str, np.ndarray], kind: type = np.float64):
         self.config, self.p = config, {k: np.asarray(v, kind) for k, v in params.items()}
 
-    def forward(self, ids: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Logits (batch, time, vocabulary) of id windows no longer than the block. keep: gets what backward() needs."""
+    def forward(self, ids: np.ndarray, keep: list | None = None, last: bool = False) -> np.ndarray:
+        """Logits (batch, time, vocabulary) of id windows no longer than the block. keep: gets what backward() needs. last: only those of the last place."""
         c, p = self.config, self.p
         n, t = ids.shape
         heads, size = c.n_head, c.n_embd // c.n_head
@@ -97,8 +117,10 @@ class Network:
             h, k1 = _norm(x, p[b + "ln1.weight"], p[b + "ln1.bias"])
             qkv = h @ p[b + "attn.qkv.weight"].T + p[b + "attn.qkv.bias"]
             q, k, v = (a.reshape(n, t, heads, size).transpose(0, 2, 1, 3) for a in np.split(qkv, 3, -1))
+            if last and i == c.n_layer - 1:
+                q, x, mask = q[:, :, -1:], x[:, -1:], mask[-1:]
             w = softmax(q @ k.transpose(0, 1, 3, 2) / math.sqrt(size) + mask)
-            y = (w @ v).transpose(0, 2, 1, 3).reshape(n, t, c.n_embd)
+            y = (w @ v).transpose(0, 2, 1, 3).reshape(n, -1, c.n_embd)
             x = x + y @ p[b + "attn.proj.weight"].T + p[b + "attn.proj.bias"]
             m, k2 = _norm(x, p[b + "ln2.weight"], p[b + "ln2.bias"])
             f = m @ p[b + "mlp.fc.weight"].T + p[b + "mlp.fc.bias"]
@@ -179,6 +201,26 @@ class Network:
         return ids[len(prompt):]
 
 
+    def continued(self, prompts: list[list[int]], new: int, stop: int | None = None, size: int = 16) -> list[list[int]]:
+        """generate() at temperature 0 of many prompts, ``size`` windows of one length at a time."""
+        block, out, going = self.config.block_size, [[] for _ in prompts], range(len(prompts))
+        tails = [list(p[-block:]) for p in prompts]
+        for _ in range(new):
+            by_length: dict[int, list[int]] = {}
+            for i in going:
+                by_length.setdefault(len(tails[i]), []).append(i)
+            for length, of in by_length.items():
+                for low in range(0, len(of), size):
+                    part = of[low : low + size]
+                    # Without any id there are no logits, and generate() takes the first id.
+                    best = self.forward(np.array([tails[i] for i in part]), last=True)[:, -1].argmax(-1).tolist() if length else [0] * len(part)
+                    for i, at in zip(part, best):
+                        out[i].append(at)
+                        tails[i] = [*tails[i], at][-block:]
+            going = [i for i in going if out[i][-1] != stop]
+        return out
+
+
 class Cache:
     """Keys and values of the ids fed so far. When the window slides, positions change and it is filled anew."""
 
@@ -270,7 +312,7 @@ def train_step(windows: DataFrame, net: Network, optimizer: Adam, rate: float) -
     return sum(r["loss"] for r in rows) / n
 
 
-def window_losses(windows: DataFrame, net: Network, key: str, size: int = 128) -> DataFrame:
+def window_losses(windows: DataFrame, net: Network, key: str, size: int = 32) -> DataFrame:
     """key, start, loss (nats) of each (x, y) window, scored in single precision, ``size`` at a time.
 
     Windows are small rows made of few large ones, so they are dealt out by number before they are scored."""
@@ -297,14 +339,26 @@ def text_loss(windows: DataFrame, net: Network) -> DataFrame:
     return scored.agg(F.count("*").alias("windows"), nats.alias("nats")).withColumn("bits", F.col("nats") / math.log(2))
 
 
-def generated(prompts: DataFrame, net: Network, key: str, new: int, stop: int | None = None, **how) -> DataFrame:
-    """key, ids: what the model adds to each prompt (key, ids); draws depend on the key alone."""
+def generated(prompts: DataFrame, net: Network, key: str, new: int, stop: int | None = None, temperature: float = 0.0, **how) -> DataFrame:
+    """key, ids: what the model adds to each prompt (key, ids); draws depend on the key alone.
+
+    Without draws, only a prompt's last block of ids counts: each different one is continued once, many at a time."""
     shipped = prompts.sparkSession.sparkContext.broadcast((net.config, net.p))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Network(*shipped.value)
         for pdf in batches:
-            ids = [model.generate([int(i) for i in p], new, stop, seed=int(k), **how) for k, p in zip(pdf[key], pdf["ids"])]
+            ids = [model.generate([int(i) for i in p], new, stop, temperature, seed=int(k), **how) for k, p in zip(pdf[key], pdf["ids"])]
             yield pd.DataFrame({key: pdf[key], "ids": ids})
 
-    return spread(prompts.select(key, "ids")).mapInPandas(run, f"{key} long, ids array<int>")
+    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Network(*shipped.value)
+        for pdf in batches:
+            yield pd.DataFrame({"tail": pdf["tail"], "added": model.continued([[int(i) for i in p] for p in pdf["tail"]], new, stop)})
+
+    if temperature > 0:
+        return spread(prompts.select(key, "ids")).mapInPandas(run, f"{key} long, ids array<int>")
+    n = F.size("ids")
+    held = spread(prompts.select(key, "ids")).select(F.col(key).cast("long").alias(key), F.slice("ids", F.greatest(n - net.config.block_size, F.lit(0)) + 1, net.config.block_size).alias("tail"))
+    told = staged(held.select("tail").distinct().mapInPandas(greedy, "tail array<int>, added array<int>"), "continued")
+    return held.join(small(told), "tail").select(key, F.col("added").alias("ids"))
