@@ -179,3 +179,19 @@ def test_sessions_close_by_time_and_late_records_fall(spark, tmp_path):
     assert run(record(10)) == [(3, 2)]  # the watermark has passed the first session's end
     assert run(record(4)) == [(3, 2)]  # too late: dropped
     assert run(record(20)) == [(3, 2), (10, 1)]
+
+
+def test_lessons_of_one_second_are_told_apart(spark, tmp_path):
+    """Different lessons of a learner with one time, question and answer count each; equal ones once."""
+    import duckdb
+
+    from turnloom.plans.lesson_queries import ORACLE_SQL, QUERIES
+
+    rows = [(1, 5, "click", 70.0), (2, 5, "click", 90.0), (3, 5, "error", 70.0), (8, 5, "click", 70.0), (15, 5, "view", 70.0), (4, 6, "view", 1.0), (11, 6, "view", 1.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.expr("timestamp'2024-01-05 10:00:00.25' + make_interval(0, 0, 0, 0, 0, 0, event_id / 100.0)")).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["session_stream"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute("set timezone='UTC'")
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(ORACLE_SQL["session_stream"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and sorted(r["lessons"] for r in got.collect()) == [1, 4]

@@ -82,7 +82,7 @@ def lesson_rows(pairs: DataFrame, key: str, block: int, context: Column) -> Data
 LOG = Y.StructType([
     Y.StructField("when", Y.StringType()), Y.StructField("question", Y.StringType()), Y.StructField("answer", Y.StringType()), Y.StructField("trained_wordings", Y.ArrayType(Y.StringType())),
     Y.StructField("learned", Y.BooleanType()), Y.StructField("generalized", Y.BooleanType()), Y.StructField("drift", Y.DoubleType()), Y.StructField("checks", Y.LongType()),
-    Y.StructField("checks_baseline", Y.LongType()), Y.StructField("rolled_back", Y.BooleanType()),
+    Y.StructField("checks_baseline", Y.LongType()), Y.StructField("rolled_back", Y.BooleanType()), Y.StructField("kind", Y.StringType()),
 ])
 
 

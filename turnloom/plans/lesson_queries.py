@@ -98,7 +98,7 @@ def _log_lines(spark, d, when=None):
     record = F.to_json(F.struct(
         (F.lit("2024-01-01T00:00:00+00:00") if when is None else when).alias("when"), F.concat(F.lit("What is item "), "user_id", F.lit("?")).alias("question"), F.concat(F.lit("It is "), "user_id", F.lit(".")).alias("answer"),
         F.array(F.concat(F.lit("What is item "), "user_id", F.lit("?")), F.concat(F.lit("item "), "user_id")).alias("trained_wordings"), (F.col("value") > 20).alias("learned"), (F.col("value") > 60).alias("generalized"),
-        (F.col("value") / 400).alias("drift"), (F.col("event_id") % 7).alias("checks"), F.lit(6).alias("checks_baseline"), (F.col("event_type") == "error").alias("rolled_back"),
+        (F.col("value") / 400).alias("drift"), (F.col("event_id") % 7).alias("checks"), F.lit(6).alias("checks_baseline"), (F.col("event_type") == "error").alias("rolled_back"), F.col("event_type").alias("kind"),
     ))
     return e.select("event_id", F.when(F.col("event_id") % 77 == 0, "  ").when(F.col("event_id") % 50 == 0, F.left(record, F.lit(30))).otherwise(record).alias("value"))
 

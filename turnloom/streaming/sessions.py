@@ -1,7 +1,7 @@
 """Lesson sessions as a keyed stream: one row for each learner's run of lessons without a longer pause.
 
 State is a learner's open sessions, each with its figures and the digests of its records. A lesson joins every session that lies within ``gap`` of it, which
-may make one of several, so records may come in any order; a record met again (same time, question and answer) while its session is open counts
+may make one of several, so records may come in any order; a record met again (the same in all its fields) while its session is open counts
 once. A session is told, and forgotten, when the watermark (``late`` behind the newest record) has passed its end by the gap: an event-time timer is set for
 that. Records older than the watermark are dropped, by Spark. So any split into batches gives the same rows as the batch form, as long as
 no record is later than ``late``. A learner's records of one batch meet in one task, which folds them; the batch, not the learner, bounds its memory.
@@ -28,7 +28,7 @@ def figures(log: DataFrame, learner: Column) -> DataFrame:
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("long")
     values = (F.lit(1).cast("long"), yes(~undone), yes(undone), yes(~undone & F.col("learned")), yes(~undone & F.col("generalized")), yes(decision == "drifted"), yes(decision == "forgot"))
     at = F.to_timestamp("when")
-    name = F.xxhash64("when", "question", "answer")
+    name = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in lessons.LOG.names])))
     return log.where(at.isNotNull()).select(learner.alias("learner"), at.alias("at"), name.alias("name"), *[v.alias(f) for v, f in zip(values, FIGURES)])
 
 
