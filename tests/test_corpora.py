@@ -67,6 +67,17 @@ def test_pairs_awkward(spark):
     assert corpus.paired(df.limit(0), ["k"], F.lit(True), F.lit(True)).count() == 0
 
 
+def written_bytes(spark):
+    """What all stages so far shuffled and stored."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None).iterator()
+    total = 0
+    while stages.hasNext():
+        s = stages.next()
+        total += s.shuffleWriteBytes() + s.outputBytes()
+    return total
+
+
 def test_a_million_windows(spark):
     rng = random.Random(1)
     chunks = [(i, [i * 1000 + j for j in range(rng.choice([0, 1, 3, 50, 900, 9000]))]) for i in range(200)]
@@ -84,6 +95,19 @@ def test_a_million_windows(spark):
     assert wide["x"] == whole[7:5007]
 
 
+def test_windows_of_texts_shuffle_little(spark):
+    """Texts take the place of ids; what is shuffled and stored is a few times the text, where every window of ids had been stored and shuffled in pieces."""
+    rng = random.Random(2)
+    chunks = [(i, "".join(rng.choice("ab cdé𝄞") for _ in range(rng.choice([0, 1, 30, 900, 20_000])))) for i in range(120)]
+    whole = "".join(t for _, t in chunks)
+    df = spark.createDataFrame(chunks, "k long, text string")
+    starts = corpus.drawn_starts(spark, len(whole) // 50, 4, len(whole) - 33)
+    before = written_bytes(spark)
+    got = {r["at"]: r for r in corpus.windows_at(df, "k", "text", 32, starts).collect()}
+    assert len(got) == len(whole) // 50 and all(r["x"] == whole[r["start"] : r["start"] + 32] and r["y"] == whole[r["start"] + 1 : r["start"] + 33] for r in got.values())
+    assert 0 < written_bytes(spark) - before < 5 * len(whole.encode())
+
+
 def test_digest_depends_on_order_and_merges(spark):
     rows = [(i, f"text {i % 5}") for i in range(40)]
     words = lambda part: tuple(corpus.digest_words(spark.createDataFrame(part, "k long, text string"), ["k"], "text").first())

@@ -352,9 +352,10 @@ c AS (SELECT i // 4096 AS cell, list(id ORDER BY i) AS ids FROM a GROUP BY cell)
 SELECT draw_no, start, {_JOINED('ids[1:32]')} AS x, {_JOINED('ids[2:33]')} AS y FROM w""")
 def drawn_windows(spark, d):
     """Windows of 32 code points and their successors at drawn starts of the whole corpus laid end to end, one for every 50 characters."""
-    codes = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.transform(T.characters(F.col("text")), lambda c: F.ascii(c)).alias("ids"))
-    placed, n = corpus.end_to_end(codes, "doc_id", "ids")
-    return _spelled(corpus._windows_of(placed, n, 32, corpus.drawn_starts(spark, n // 50, 11, n - 33)).withColumnRenamed("at", "draw_no"), "x", "y")
+    texts = spread(table(spark, d, "documents").select("doc_id", "text"))
+    placed, n = corpus.end_to_end(texts, "doc_id", "text")
+    windows = corpus._windows_of(placed, n, 32, corpus.drawn_starts(spark, n // 50, 11, n - 33)).withColumnRenamed("at", "draw_no")
+    return _spelled(windows.withColumns({c: F.transform(T.characters(F.col(c)), lambda k: F.ascii(k)) for c in ("x", "y")}), "x", "y")
 
 
 def _digest_sql(order: str) -> str:
