@@ -71,3 +71,23 @@ def test_a_hundred_thousand_texts(spark):
         at = rng.randint(0, len(x))
         texts.append(x[at : at + rng.randint(0, 80)] + rng.choice(["", "z", " mill", "s"]))
     check(spark, texts, lines)
+
+
+def test_texts_that_wait_over_batches(spark):
+    """Sorted suffixes alone: several texts behind the last suffix of a batch are told by the first of the next."""
+    rng = random.Random(11)
+    words = "the river a mill corn stone by valley stands runs of".split()
+    lines = [" ".join(rng.choice(words) + rng.choice(["", "s", "é"]) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    texts = [x[at : at + rng.randint(0, 80)] + rng.choice(["", "z", " mill", "s"]) for x in rng.choices(lines, k=30_000) for at in [rng.randint(0, len(x))]]
+    check(spark, texts, lines, most_bytes=0)
+
+
+def test_a_trie_reads_lines_once(spark, many_ranges):
+    """Few texts: the lines are neither stored nor shuffled but to deal them out; characters of several bytes count whole."""
+    lines = ["é𝄞ü" * 9, "êé", "same line of some length " * 3, None, "", "a"] * 50
+    texts = ["é𝄞x", "è", "ê", "êê", "𝄟", "same line", "line of some length samx", "", None, "a" * 300, "same\nline"]
+    check(spark, texts, lines)
+    longest_prefixes(spark.createDataFrame([(1, "same")], "i long, reply string"), spark.range(5).selectExpr("cast(id as string) as line"), "i")
+    from turnloom import session
+
+    assert not any("turnloom-lines" in x or "turnloom-merged" in x for x in session._staged[-2:])

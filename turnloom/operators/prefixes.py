@@ -1,5 +1,8 @@
 """How far texts agree with a corpus: the longest beginning of each that stands in one of the corpus' lines.
 
+Texts of MOST_BYTES together are shipped as one trie, which every place of every line walks as far as it agrees, many places at once: the corpus is read
+once and only what each task found of the texts is shuffled. More texts than that go the way of sorted suffixes:
+
 Every place of a line begins a suffix. Suffixes and texts are sorted together, and a text agrees longest with the suffix before or behind it. The sort is
 by ranges, so no task and not the driver holds more than its part; a range hands its first and last suffix to its neighbours, and
 texts at its edge wait for those. Ties are told apart by line and place, so a passage that a third of the lines repeat is cut into ranges like any other.
@@ -27,6 +30,9 @@ from pyspark.sql import functions as F
 from turnloom.session import spread, staged
 
 WIDTH, FLUSH, HEAD, MOST_HEADS = 24, 50_000, 3, 500_000
+MOST_BYTES = 4 << 20
+#: A byte that no text in UTF-8 has.
+BREAK = b"\xff"
 #: s: a suffix (text 0) or a text (1); at, place: where a suffix stands.
 SORTED = "s string, text int, at long, place int"
 #: What the merge of a range tells: of a text, how far it agrees within the range, and whether a neighbour is missing on
@@ -65,6 +71,72 @@ def _suffixes(batches: Iterator[pa.RecordBatch], width: int, heads: frozenset[st
     yield out()
 
 
+class Trie:
+    """Texts by their bytes. keys: 256 node + byte of every edge in order, levels one after another, so that edge i leads to node i + 1; the root is 0."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        coded = [t.encode() for t in texts]
+        self.sizes = np.array([len(b) for b in coded], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(coded) + BREAK, np.uint8)
+        node, levels, n, alive = np.zeros(len(texts), np.int64), [], 0, np.flatnonzero(self.sizes)
+        for depth in range(int(self.sizes.max(initial=0))):
+            alive = alive[self.sizes[alive] > depth]
+            edges, which = np.unique(node[alive] * 256 + self.bytes[self.begins[alive] + depth], return_inverse=True)
+            node[alive] = n + 1 + which
+            levels.append(edges)
+            n += len(edges)
+        self.keys = np.concatenate([*levels, [np.iinfo(np.int64).max]])
+        first = np.searchsorted(self.keys, 256)
+        self.one = np.zeros(256, np.int64)
+        self.one[self.keys[:first]] = np.arange(1, first + 1)
+        node, a, b = self.step(np.repeat(self.one, 256), np.tile(np.arange(256), 256))
+        self.two = np.where(np.repeat(self.one, 256) > 0, node, 0).astype(np.int32)
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next nodes, 0 where there is none; the keys and their places."""
+        key = node * 256 + byte
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, at + 1, 0), key, at
+
+    def walk(self, data: np.ndarray, seen: np.ndarray) -> None:
+        """Marks the nodes that any place of data leads to; data ends with two breaks."""
+        seen[self.one[np.flatnonzero(np.bincount(data, minlength=256))]] = True
+        node = self.two[data[:-1].astype(np.uint16) * np.uint16(256) + data[1:]]
+        at, depth = np.flatnonzero(node), 2
+        node = node[at].astype(np.int64)
+        while len(at):
+            seen[node] = True
+            node = self.step(node, data[at + depth])[0]
+            at, node, depth = at[node > 0], node[node > 0], depth + 1
+
+    def reached(self, seen: np.ndarray) -> np.ndarray:
+        """Of each text, how many whole characters the marked nodes spell."""
+        node, size, alive, depth = np.zeros(len(self.texts), np.int64), np.zeros(len(self.texts), np.int64), np.flatnonzero(self.sizes), 0
+        while len(alive):
+            alive = alive[self.sizes[alive] > depth]
+            node[alive] = self.step(node[alive], self.bytes[self.begins[alive] + depth])[0]
+            alive = alive[seen[node[alive]]]
+            depth += 1
+            size[alive] = depth
+        leads = np.concatenate([[0], np.cumsum((self.bytes & 0xC0) != 0x80)])
+        inside = (size < self.sizes) & ((self.bytes[self.begins + size] & 0xC0) == 0x80)  # it ends within a character
+        return leads[self.begins + size] - leads[self.begins] - inside
+
+
+def _found(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[pa.RecordBatch]:
+    """(line) to (t, n): how far the task's lines have each text, where they have any of it."""
+    seen = np.zeros(len(trie.keys), bool)
+    for batch in batches:
+        data = BREAK.join([x for x in batch.column(0).cast(pa.binary()).to_pylist() if x] + [BREAK * 2])
+        trie.walk(np.frombuffer(data, np.uint8), seen)
+    seen[0] = False
+    n = trie.reached(seen)
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array([trie.texts[i] for i in some], pa.string()), pa.array(n[some], pa.int32())], ["t", "n"])
+
+
 def _common(a: str | None, b: str | None) -> int:
     return len(os.path.commonprefix([a, b])) if a is not None and b is not None else 0
 
@@ -92,11 +164,11 @@ def _merge(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         texts, suffixes = np.flatnonzero(text), np.flatnonzero(~text)
         # Texts between one suffix and the next share both.
         before = np.searchsorted(suffixes, texts) - 1
+        if waiting and len(suffixes):  # texts of batches before
+            behind = s[int(suffixes[0])].as_py()
+            rows += [("text", me, x, max(n, _common(x, behind)), None, None) for x, n in waiting]
+            waiting = []
         for t, b in zip(texts.tolist(), before.tolist()):
-            if waiting and b >= 0:
-                behind = s[int(suffixes[0])].as_py()
-                rows += [("text", me, x, max(n, _common(x, behind)), None, None) for x, n in waiting]
-                waiting = []
             x = s[t].as_py()
             ahead = s[int(suffixes[b])].as_py() if b >= 0 else last
             n = _common(x, ahead)
@@ -106,10 +178,6 @@ def _merge(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
                 rows.append(("text", me, x, max(n, _common(x, s[int(suffixes[b + 1])].as_py())), None, None))
             else:
                 waiting.append((x, n))
-        if waiting and len(suffixes) and (not len(texts) or suffixes[-1] > texts[-1]):
-            behind = s[int(suffixes[0] if not len(texts) else suffixes[before[-1] + 1])].as_py()
-            rows += [("text", me, x, max(n, _common(x, behind)), None, None) for x, n in waiting]
-            waiting = []
         if len(suffixes):
             if last is None:
                 rows.append(("low", me, s[int(suffixes[0])].as_py(), None, None, None))
@@ -167,11 +235,23 @@ def _round(texts: DataFrame, suffixes: DataFrame, width: int) -> tuple[DataFrame
     return found, places
 
 
-def longest_prefixes(texts: DataFrame, lines: DataFrame, key: str, text: str = "reply", line: str = "line", width: int = WIDTH, most_heads: int = MOST_HEADS) -> DataFrame:
+def longest_prefixes(texts: DataFrame, lines: DataFrame, key: str, text: str = "reply", line: str = "line", width: int = WIDTH, most_heads: int = MOST_HEADS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """key, length, prefix: of each text, its length and the length of its longest beginning that stands in one of the lines. Null counts as empty."""
     t = F.col(text)
     said = staged(texts.select(t.alias("t")).where(F.length(t) > 0).distinct(), "texts")
-    longest = said.agg(F.max(F.length("t"))).first()[0] or 0
+    total, longest = said.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.coalesce(F.max(F.length("t")), F.lit(0))).first()
+    if total <= most_bytes:
+        shipped = lines.sparkSession.sparkContext.broadcast(Trie([r["t"] for r in said.collect()]))  # counted: most_bytes at most
+        best = spread(lines.select(F.col(line).alias("line"))).mapInArrow(lambda it: _found(it, shipped.value), "t string, n int").groupBy("t").agg(F.max("n").alias("n"))
+    else:
+        best = _by_suffixes(said, lines, line, longest, width, most_heads)
+    size: Column = F.coalesce(F.length(t), F.lit(0))
+    asked = texts.select(F.col(key).alias("__key"), t.alias("__text"), size.alias("__length"))
+    return asked.join(best, F.col("__text") == F.col("t"), "left").select(F.col("__key").alias(key), F.col("__length").alias("length"), F.coalesce("n", F.lit(0)).alias("prefix"))
+
+
+def _by_suffixes(said: DataFrame, lines: DataFrame, line: str, longest: int, width: int, most_heads: int) -> DataFrame:
+    """t, n of the texts (t), by sorted suffixes."""
     kept = staged(lines.select(F.col(line).alias("line")).where(F.length(line) > 0).distinct().select(F.xxhash64("line").alias("at"), "line"), "lines")  # lines of one hash are all looked up
     heads = said.select(F.left("t", F.lit(HEAD)).alias("h")).distinct()
     few = width > HEAD and heads.count() <= most_heads
@@ -183,9 +263,5 @@ def longest_prefixes(texts: DataFrame, lines: DataFrame, key: str, text: str = "
         tails = places.distinct().join(kept, "at").select(F.substr("line", F.col("place") + 1, F.lit(longest)).alias("s"), F.lit(0).alias("text"), "at", "place")
         deep = staged(best.where((F.col("short") == width) & (F.length("t") > width)).select(F.col("t").alias("s")), "texts")
         further, _ = _round(deep, tails, longest + 1)
-        best = best.join(further.withColumnRenamed("n", "far"), F.col("t") == F.col("s"), "left").select("t", F.greatest("short", "far").alias("n"))
-    else:
-        best = best.select("t", F.col("short").alias("n"))
-    size: Column = F.coalesce(F.length(t), F.lit(0))
-    asked = texts.select(F.col(key).alias("__key"), t.alias("__text"), size.alias("__length"))
-    return asked.join(best, F.col("__text") == F.col("t"), "left").select(F.col("__key").alias(key), F.col("__length").alias("length"), F.coalesce("n", F.lit(0)).alias("prefix"))
+        return best.join(further.withColumnRenamed("n", "far"), F.col("t") == F.col("s"), "left").select("t", F.greatest("short", "far").alias("n"))
+    return best.select("t", F.col("short").alias("n"))
