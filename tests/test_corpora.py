@@ -205,6 +205,18 @@ def test_sessions_close_by_time_and_late_records_fall(spark, tmp_path):
     assert run(record(20)) == [(3, 2), (10, 1)]
 
 
+def test_text_windows_are_not_shuffled_by_window(spark):
+    """Chunks are stored once and cut into cells; before, they were stored twice, and every window shuffled in pieces."""
+    rng = random.Random(3)
+    chunks = [(i, [rng.randint(0, 60_000) for _ in range(rng.choice([1, 30, 20_000]))]) for i in range(60)]
+    whole = [x for _, ids in chunks for x in ids]
+    before = written_bytes(spark)
+    got = {r["at"]: r for r in corpus.text_windows(spark.createDataFrame(chunks, "k long, ids array<int>"), "k", "ids", 32).collect()}
+    assert len(got) == -(-(len(whole) - 33) // 32) and all(r["start"] == 32 * i and r["x"] + r["y"][-1:] == whole[32 * i : 32 * i + 33] for i, r in got.items())
+    told = (written_bytes(spark) - before) / len(whole)
+    assert told < 9, told
+
+
 def test_lessons_of_one_second_are_told_apart(spark, tmp_path):
     """Different lessons of a learner with one time, question and answer count each; equal ones once."""
     import duckdb
