@@ -217,6 +217,16 @@ def test_text_windows_are_not_shuffled_by_window(spark):
     assert told < 9, told
 
 
+def test_lines_of_documents_are_made_once(spark, tmp_path):
+    """No empty text or null among them, and no text translated for a filter."""
+    from turnloom.plans.corpus_queries import _one_line
+
+    spark.createDataFrame([(1, "a", "x\ny"), (2, "a", ""), (3, "b", None), (4, "b", "\n")], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/d")
+    df = _one_line(spark.read.parquet(f"{tmp_path}/d"))
+    assert sorted(map(tuple, df.collect())) == [(1, "a", "x y"), (4, "b", " ")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
 def test_lessons_of_one_second_are_told_apart(spark, tmp_path):
     """Different lessons of a learner with one time, question and answer count each; equal ones once."""
     import duckdb

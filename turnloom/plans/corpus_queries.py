@@ -374,15 +374,20 @@ def corpus_digest(spark, d):
     return told("forward", "conv_id").union(told("backward", "back"))
 
 
+def _one_line(documents):
+    """doc_id, lang, value: the texts that aren't empty, a line each. A filter on ``value`` would translate every text once more."""
+    return spread(documents.where("text <> ''").select("doc_id", "lang", F.translate("text", "\n", " ").alias("value")))
+
+
 @_r.query(f"""WITH {VOCAB}, l AS (SELECT doc_id, replace(text, chr(10), ' ') || chr(10) AS line, unnest({_CHARS("replace(text, chr(10), ' ') || chr(10)")}) AS ch, unnest(range(length(text) + 1)) AS i FROM documents WHERE text <> '')
 SELECT doc_id, sha256(line) AS line_sha256, sha256(array_to_string(list(id ORDER BY i), ' ')) AS ids_sha256, count(*)::INTEGER AS n FROM l JOIN v USING (ch) GROUP BY doc_id, line""")
 def cached_encoding(spark, d):
     """The documents' texts, a line each, in a folder of files by language, encoded through the cache: first with files of one language cut short and
     one too many, then again when they are mended. Only those are read then, and what the cache holds is the whole."""
-    docs = spread(table(spark, d, "documents").select("doc_id", "lang", F.translate("text", "\n", " ").alias("value"))).where("value <> ''")
+    docs = _one_line(table(spark, d, "documents"))
     symbols = [r["ch"] for r in corpus.vocabulary(table(spark, d, "documents")).orderBy("id").collect()]
     folder = scratch_folder(spark, "encoded")
-    least = docs.agg(F.min("lang")).first()[0]
+    least = table(spark, d, "documents").where("text <> ''").agg(F.min("lang")).first()[0]
     old = docs.withColumn("value", F.when(F.col("lang") == least, F.left("value", F.lit(20))).otherwise(F.col("value")))
     write = lambda df: df.select("lang", "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang").text(f"{folder}/text")
     write(old.unionByName(docs.limit(1).withColumn("lang", F.lit("zz"))))
