@@ -91,3 +91,15 @@ def test_a_trie_reads_lines_once(spark, many_ranges):
     from turnloom import session
 
     assert not any("turnloom-lines" in x or "turnloom-merged" in x for x in session._staged[-2:])
+
+
+@pytest.mark.parametrize("name", ["novelty", "quality_summary", "exact_copy"])
+def test_no_suffixes_for_few_replies(spark, name):
+    """The queries that share the step neither store nor sort the corpus."""
+    from turnloom import session
+    from turnloom.plans.quality_queries import QUERIES
+
+    session.release(spark)
+    QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert session._staged and not any("-merged-" in x or "-lines-" in x for x in session._staged)
+    session.release(spark)
