@@ -632,6 +632,27 @@ def test_sentencepiece_round_trip(spark):
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {1: "Grain of the mill,\n  twice ground.", 2: ""}
 
 
+def test_segments_are_merged_together():
+    """Spaces split as the pattern does, ids are kept as bytes, and many short segments take few calls of the library, which still see a wrong one anywhere."""
+    agenda, rng = sentencepiece_codec.Agenda(sentencepiece_codec.public_model()), random.Random(14)
+    texts = ["".join(rng.choice("ab \n\0▁thé①🎉") for _ in range(rng.randint(0, 40))) for _ in range(400)] + [" a", "a ", "a  b", "a b\nc", "  ", "\0", " ".join(f"{x}{x * 7}" for x in range(3000))]
+    assert all(agenda.segments(t) == (agenda.cut.findall(sentencepiece_codec.SPACE + t.replace(" ", sentencepiece_codec.SPACE)) if t else []) for t in texts)
+    assert [ids.tolist() for ids in agenda.arrays(texts)] == agenda.lib.encode(texts)
+    short = sorted({s for t in texts for s in agenda.segments(t) if len(s) <= sentencepiece_codec.SHORT}, key=len)
+    assert all(isinstance(x, bytes) for x in agenda.cache.values()) and agenda.merge_all(short) == [agenda.merge(s) for s in short]
+    calls, lib = [], agenda.lib
+
+    class Counted:
+        def encode(self, text, **how):
+            calls.append(text)
+            return lib.encode(text, **how)
+
+    agenda.lib = Counted()
+    agenda.cache.clear()
+    agenda.learn({f"{sentencepiece_codec.SPACE}word{i}" for i in range(1600)})
+    assert len(calls) == 1600 // sentencepiece_codec.TOGETHER
+
+
 def test_cache_turns_over():
     model = sentencepiece_codec.public_model()
     agenda = sentencepiece_codec.Agenda(model)

@@ -9,8 +9,11 @@ No piece of such a vocabulary has the space mark behind another character, so me
 place before a run of space marks; texts are cut there and each distinct segment is merged once per
 worker (a bounded cache). The constructor tests that property and otherwise merges whole texts.
 
-Checks against the library, in every Arrow batch: each segment that isn't in the worker's cache, and the longest
-of each 64 texts as a whole. A difference raises. Decoding is the library's decode(ids).
+The cache holds a segment's ids as the bytes of 32-bit numbers: a text's ids are those of its segments joined, and its decimal ids
+are joined from a table, so that no number is a Python object.
+
+Checks against the library, in every Arrow batch: each segment that isn't in the worker's cache (TOGETHER of them as one text, where
+merges stay within segments), and the longest of each 64 texts as a whole. A difference raises. Decoding is the library's decode(ids).
 
 Scale: one pass over the rows, no shuffle; memory is one Arrow batch and two generations of the cache, which is bounded in segments
 of up to 32 characters (a longer one counts as several, so texts without spaces can't fill a worker).
@@ -26,7 +29,6 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,8 @@ from turnloom.llm import workers
 from turnloom.session import spread, text_batches
 
 SPACE = "▁"
-CACHE, SHORT = 300_000, 32
-OUTSIDE, END = 1 << 19, (1 << 21) - 1
+CACHE, SHORT, TOGETHER = 300_000, 32, 16
+OUTSIDE, GONE, END = 1 << 19, (1 << 21) - 2, (1 << 21) - 1
 #: The rank of two symbols that don't join.
 NEVER = np.iinfo(np.int32).max
 
@@ -56,10 +58,11 @@ class Agenda:
         self.id_of = ids
         #: A piece's place in the order of scores, best first.
         self.rank = {p: places[self.lib.get_score(i)] for p, i in ids.items()}
-        self.text = [str(i) for i in range(n)]
+        #: Every id in decimals and a comma, filled up with zero bytes.
+        self.digits = np.array([f"{i}," for i in range(n)], "S").view(np.uint8).reshape(n, -1)
         self.byte = [self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        whole = any(SPACE in p.lstrip(SPACE) for p in ids)
-        self.cut = re.compile(r"(?s).+" if whole else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.whole = any(SPACE in p.lstrip(SPACE) for p in ids)
+        self.cut = re.compile(r"(?s).+" if self.whole else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         #: Pairs of symbols that join, as (left << 21 | right), with the joined piece's rank and id.
         #: A symbol is a piece's id, or OUTSIDE + code point for a character that is no piece.
         pairs = {}
@@ -90,12 +93,12 @@ class Agenda:
         for piece, i in ids.items():
             if len(piece) == 1:
                 self.symbol[ord(piece)] = i
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.limit = CACHE
         self.held = 0
 
-    def merge(self, segment: str) -> tuple[int, ...]:
+    def merge(self, segment: str) -> bytes:
         symbols: list[str | None] = list(segment)
         n, rank = len(symbols), self.rank.get
         shift = n.bit_length()
@@ -130,7 +133,7 @@ class Agenda:
                     ids.append(known)
                 else:
                     ids.extend([self.byte[b] for b in s.encode()])
-        return tuple(ids)
+        return np.array(ids, np.int32).tobytes()
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -152,40 +155,54 @@ class Agenda:
             again = again[~hit & (held >= 0)]
         return out
 
-    def merge_all(self, segments: list[str]) -> list[tuple[int, ...]]:
-        """merge() of short segments: in every turn each segment's best agenda entry is taken, and its row loses a symbol."""
+    def merge_all(self, segments: list[str]) -> list[bytes]:
+        """merge() of short segments: in every turn each segment's best agenda entry is taken. A row is a segment between two ENDs; a symbol that was merged
+        into its left neighbour is GONE, and the others know their neighbours' columns."""
         n, width = len(segments), max(map(len, segments))
         codes = np.frombuffer("".join([x.ljust(width, "\0") for x in segments]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
         size = np.array([len(x) for x in segments])
-        symbols = np.full((n, width + 1), END, np.int32)
-        symbols[:, :width] = np.where(np.arange(width) < size[:, None], self.symbol[codes], END)
-        agenda = self.pair_rank[self.pairs(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())].reshape(n, width)
-        out, live = [()] * n, np.arange(n)
+        row = width + 2
+        symbols = np.full((n, row), END, np.int32)
+        symbols[:, 1:-1] = np.where(np.arange(width) < size[:, None], self.symbol[codes], END)
+        pair = np.full((n, row), 1 << self.bits, np.int32)
+        pair[:, :-1] = self.pairs(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, -1)
+        agenda = self.pair_rank[pair]
+        after, before = np.tile(np.arange(1, row + 1, dtype=np.int32), (n, 1)), np.tile(np.arange(-1, row - 1, dtype=np.int32), (n, 1))
+        out, live = [b""] * n, np.arange(n)
         while len(live):
             best = np.argmin(agenda, 1)  # the first of equals is the leftmost
-            go = agenda[np.arange(len(live)), best] < NEVER
-            if not go.all():
-                ended = symbols[~go]
-                for at, row, m in zip(live[~go].tolist(), ended.tolist(), (ended != END).sum(1).tolist()):
-                    out[at] = tuple(row[:m])
-                live, best, symbols, agenda = live[go], best[go], symbols[go], agenda[go]
-                if not len(live):
-                    break
-            i = np.arange(len(live))
-            symbols[i, best] = self.pair_id[self.pairs(symbols[i, best], symbols[i, best + 1])]
-            kept = np.ones(symbols.shape, bool)
-            kept[i, best + 1] = False  # the right symbol and its pair go; a pair with END never joins, so both exist
-            symbols, agenda = symbols[kept].reshape(len(live), -1), agenda[kept[:, :-1]].reshape(len(live), -1)
-            j = np.flatnonzero(best > 0)
-            at, row = np.concatenate([best, best[j] - 1]), np.concatenate([i, j])
-            agenda[row, at] = self.pair_rank[self.pairs(symbols[row, at], symbols[row, at + 1])]
-        for at, x in enumerate(out):
-            if max(x) >= OUTSIDE:
-                out[at] = tuple(y for i in x for y in ([i] if i < OUTSIDE else [self.byte[b] for b in chr(i - OUTSIDE).encode()]))
+            at = np.arange(0, agenda.size, row) + best
+            go = agenda.ravel()[at] < NEVER
+            if go.sum() * 4 <= len(live) * 3:
+                self._told(symbols[~go], live[~go].tolist(), out)
+                symbols, pair, agenda, after, before, live = symbols[go], pair[go], agenda[go], after[go], before[go], live[go]
+                continue
+            at = at[go]
+            base = at - best[go]
+            s, p, r, f, b = symbols.ravel(), pair.ravel(), agenda.ravel(), after.ravel(), before.ravel()
+            right = base + f[at]
+            s[at], s[right], r[right] = self.pair_id[p[at]], GONE, NEVER
+            next_, left = base + f[right], base + b[at]
+            f[at], b[next_] = f[right], best[go]
+            changed = np.concatenate([at, left])
+            p[changed] = self.pairs(s[changed], s[np.concatenate([next_, at])])
+            r[changed] = self.pair_rank[p[changed]]
         return out
 
+    def _told(self, symbols: np.ndarray, places: list[int], out: list[bytes]) -> None:
+        """The ids of ended rows; characters that are no piece become their bytes' pieces."""
+        left = (symbols != GONE) & (symbols != END)
+        data, ends = symbols[left].tobytes(), np.cumsum(4 * left.sum(1)).tolist()
+        for at, low, high in zip(places, [0, *ends], ends):
+            out[at] = data[low:high]
+        for i in np.flatnonzero((left & (symbols >= OUTSIDE)).any(1)).tolist():
+            known = [y for x in symbols[i][left[i]].tolist() for y in ([x] if x < OUTSIDE else [self.byte[b] for b in chr(x - OUTSIDE).encode()])]
+            out[places[i]] = np.array(known, np.int32).tobytes()
+
     def segments(self, text: str) -> list[str]:
-        return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        if self.whole or not text or text[0] == " " or "  " in text or SPACE in text or "\0" in text:
+            return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return (SPACE + text.replace(" ", "\0" + SPACE)).split("\0")  # every space begins a segment
 
     def learn(self, segments: set[str]) -> None:
         """Merges segments not in the cache and holds each of them against the library."""
@@ -200,32 +217,46 @@ class Agenda:
             self.cache.update(zip(part, self.merge_all(part)))
         for s in new[short:]:
             self.cache[s] = self.merge(s)
-        asked = [s for s in new if s != SPACE]  # alone, a space mark is the library's empty text
-        for s, theirs in zip(asked, self.lib.encode([s[1:].replace(SPACE, " ") for s in asked], num_threads=1) if asked else []):
-            if list(self.cache[s]) != theirs:
-                raise AssertionError(f"the library encodes {s[:80]!r} otherwise")
-
-    def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
-        """ids, and ids joined by commas, of every text."""
+        alone = new if self.whole else [s for s in new if s[-1] == SPACE]  # spaces alone join with those of a next segment
+        worded = [] if self.whole else [s for s in new if s[-1] != SPACE]
+        parts = [[s] for s in alone if s != SPACE]  # alone, a space mark is the library's empty text
+        parts += [worded[at : at + TOGETHER] for at in range(0, len(worded), TOGETHER)]
+        for part in parts:
+            theirs = self.lib.encode("".join(part)[1:].replace(SPACE, " "), return_type="numpy")
+            if b"".join(map(self.cache.__getitem__, part)) != theirs.astype(np.int32, copy=False).tobytes():
+                raise AssertionError(f"the library encodes {''.join(part)[:80]!r} otherwise")
+
+    def arrays(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """ids of every text."""
         parts = [self.segments(t) for t in texts]
-        missing = set().union(*parts).difference(self.cache)
+        found = [list(map(self.cache.get, p)) for p in parts]
+        holes = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        missing = {p[i] for p, h in zip(parts, holes) for i in h}
         for s in [s for s in missing if s in self.older]:
             self.cache[s] = self.older[s]
             self.held += 1 + len(s) // SHORT
             missing.discard(s)
-        self.learn(missing)
-        cache, older, text = self.cache, self.older, self.text
-        for p in parts:
-            try:
-                ids = list(chain.from_iterable(map(cache.__getitem__, p)))
-            except KeyError:  # the cache has turned over meanwhile
-                ids = [i for s in p for i in (cache[s] if s in cache else older[s])]
-            yield ids, ",".join(map(text.__getitem__, ids))
+        older = self.older  # the cache may turn over
+        if missing:
+            self.learn(missing)
+        for p, f, h in zip(parts, found, holes):
+            for i in h:
+                f[i] = self.cache.get(p[i]) or self.older.get(p[i]) or older[p[i]]
+            yield np.frombuffer(b"".join(f), np.int32)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """Decimal ids joined by commas."""
+        return self.digits[ids].tobytes().translate(None, b"\0")[:-1]
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+        """ids, and ids joined by commas, of every text."""
+        for ids in self.arrays(texts):
+            yield ids.tolist(), self.joined(ids).decode()
 
     def encode(self, text: str) -> tuple[list[int], str]:
         return next(self.encode_all([text]))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         return self.lib.decode(ids)
 
 
@@ -239,11 +270,11 @@ def agenda_for(model: bytes, cache: int) -> Agenda:
 def _digest(texts: list[str | None], agenda: Agenda) -> dict:
     out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
     probe = max(range(len(texts)), key=lambda i: len(texts[i] or ""), default=None)
-    for i, (ids, joined) in enumerate(agenda.encode_all([t or "" for t in texts])):
-        if i == probe and ids != agenda.lib.encode(texts[i] or ""):
+    for i, ids in enumerate(agenda.arrays([t or "" for t in texts])):
+        if i == probe and not np.array_equal(ids, agenda.lib.encode(texts[i] or "", return_type="numpy")):
             raise AssertionError(f"the library encodes {(texts[i] or '')[:80]!r} otherwise")
         out["n_tokens"].append(len(ids))
-        out["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
+        out["ids_sha256"].append(hashlib.sha256(agenda.joined(ids)).hexdigest())
         out["decoded_sha256"].append(hashlib.sha256(agenda.decode(ids).encode()).hexdigest())
     return out
 
