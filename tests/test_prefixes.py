@@ -103,3 +103,20 @@ def test_no_suffixes_for_few_replies(spark, name):
     QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert session._staged and not any("-merged-" in x or "-lines-" in x for x in session._staged)
     session.release(spark)
+
+
+def test_few_words_are_looked_up_before_the_shuffle(spark):
+    """Words of a-z of lower-cased texts, whatever stands between them; where replies have few words, the vocabulary's others aren't shuffled."""
+    import re
+
+    from turnloom.operators import quality
+
+    texts = ["The mill's GRIST\nand\tcorn", "naïve ﬁsh café İstanbul K-elvin É", None, "", "12 a1b_c", "zz" * 500, "𝄞x𝄞y", "same same"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    lowered = [r[0] or "" for r in docs.selectExpr("lower(text)").collect()]
+    want = {w for t in lowered for w in re.findall("[a-z]+", t)}
+    assert sorted(r["w"] for r in quality.word_vocabulary(docs).collect()) == sorted(want)
+    told = quality.spelled(spark.createDataFrame([(1, "the Mill the miller"), (2, "x y q"), (3, "")], "i long, reply string"), quality.word_vocabulary(docs), "i")
+    assert sorted(map(tuple, told.collect())) == [(1, 4, 3), (2, 3, 2)]
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi") > plan.rindex("Aggregate [w") and "explode(array_distinct" not in plan
