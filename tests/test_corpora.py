@@ -42,6 +42,26 @@ def test_fills(spark):
     assert empty.count() == 0 and empty.columns == ["target", "pass", "conv_id", "branch", "size", "text"]
 
 
+def test_fills_make_a_conversation_once(spark, monkeypatch):
+    """Texts are not made a second time once the sizes are known, only conversations that the mixture asks for are generated, and many tasks generate them."""
+    from turnloom import session
+
+    session.release(spark)
+    rows = [(c, p, "user" if p % 2 == 0 else "assistant", f"line {p} of block {c}.") for c in [*range(40), None] for p in range(4)]
+    blocks = spark.createDataFrame(rows, "conv_id long, place int, role string, body string")
+    parts, generated = [], assemble.conversations
+    monkeypatch.setattr(assemble, "conversations", lambda s, keys, *a: parts.append(keys.distinct().rdd.getNumPartitions()) or generated(s, keys, *a))
+    got = assemble.fills(blocks, [60_000], 5, **SHARES).collect()
+    assert got and all(r["conv_id"] for r in got) and max(r["pass"] for r in got) > 0
+    turns = [spark.read.parquet(p).select("conv_id", "exchange") for p in session._staged if "-turns-" in p]
+    made = [tuple(r) for t in turns for r in t.collect()]
+    assert made and len(made) == len(set(made))
+    branch = {r["conv_id"]: r["branch"] for r in got}
+    assert {branch[c] for c, _ in made if c in branch} == {"thinking", "talk"}
+    assert min(parts) >= spark.sparkContext.defaultParallelism
+    session.release(spark)
+
+
 @pytest.mark.parametrize("size", ["64", "10m"])
 def test_pairs_of_large_files(spark, tmp_path, size):
     """Files cut into many splits: parity goes by lines that aren't blank, a mismatch doesn't shift it, and every file begins anew."""

@@ -91,9 +91,10 @@ def conversation_ctes(d: Dialect, keys: str, seed: int, sums: int) -> str:
         f"SELECT conv_id, {at} AS u, 0 AS i, {d.choice(seed, own, counter + 10, dialogue.SOCIAL[pool][0])} AS prompt, {dialogue.quoted(dialogue.THOUGHTS['social'])} AS thought, {d.choice(seed, own, counter + 20, dialogue.SOCIAL[pool][1])} AS reply, cast(null as {'string' if d.spark else 'varchar'}) AS plain FROM keys WHERE {d.draw(seed, own, counter)} % 100 < {share}"
         for counter, share, pool, at in edge.values()
     )
+    units = "n - 1" if d.spark else "19"  # a unit is a row at least, so the others would be cut
     length = f"(2 + least({d.draw(seed, own, 44)} % 19, {d.draw(seed, own, 45)} % 19 + 3))"
     return f"""keys AS (SELECT DISTINCT conv_id FROM {keys}),
-units AS (SELECT conv_id, n, u, {kind} AS kind, {d.weighted(seed, unit, 46, FOLLOW_UPS)} AS more FROM (SELECT conv_id, {length} AS n FROM keys) k {d.lateral('19', 'u')}),
+units AS (SELECT conv_id, n, u, {kind} AS kind, {d.weighted(seed, unit, 46, FOLLOW_UPS)} AS more FROM (SELECT conv_id, {length} AS n FROM keys) k {d.lateral(units, 'u')}),
 laid AS (SELECT conv_id, n, u, kind, i FROM units {d.lateral("(CASE WHEN kind = 'known' THEN more ELSE 0 END)", 'i')}),
 cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY u, i) AS place FROM laid) x WHERE place <= n),
 drawn AS (SELECT conv_id, u, i, kind, {', '.join(held(d, seed, unit, range(21)))} FROM cut),
@@ -129,46 +130,72 @@ def over(*args) -> DataFrame:
             spark.catalog.dropTempView(name)
 
 
-def mixture_sql(d: Dialect, blocks: str, seed: int, composed: int, think: int, math: int, thinking_on: bool, turns: str | None = None) -> str:
+def branch_sql(d: Dialect, seed: int, composed: int, think: int, math: int) -> str:
+    """What a mixture makes of the conversation conv_id: reframed, thinking, math or talk."""
+    key = "conv_id"
+    return f"CASE WHEN {d.draw(seed, key, 60)} % 100 >= {composed} THEN 'reframed' WHEN {d.draw(seed, key, 61)} % 100 < {think} THEN 'thinking' WHEN {d.draw(seed, key, 61)} % 100 < {think + math} THEN 'math' ELSE 'talk' END"
+
+
+def mixture_sql(d: Dialect, blocks: str, seed: int, composed: int, think: int, math: int, thinking_on: bool, keys: str | None = None, turns: str | None = None) -> str:
     """A query of conv_id, branch, text, size: every block of ``blocks`` (conv_id, place, role, body) once, replaced by a
     generated conversation in ``composed`` of a hundred cases, else framed anew. Of the generated ones one draw gives
     ``think`` of a hundred to thinking, the next ``math`` to sums, the rest to talk. User lines are roughened. A thinking
-    conversation counts with its thinking form, whichever is written. turns: a relation of the generated conversations, if they are made already."""
-    made = f"keys AS (SELECT DISTINCT conv_id FROM blocks), turns AS (SELECT * FROM {turns})" if turns else conversation_ctes(d, "blocks", seed + 3, 35)
+    conversation counts with its thinking form, whichever is written. keys, turns: relations of the blocks' conv_id, each once, and of the generated
+    conversations that are asked for, if they are made already (in Spark); what a conversation becomes is then told from its conv_id, without joins."""
+    made = f"keys AS (SELECT * FROM {keys}), turns AS (SELECT * FROM {turns})" if turns else conversation_ctes(d, "blocks", seed + 3, 35)
     key, h = "conv_id", Held(d)
-    role = f"CASE WHEN {d.draw(seed, key, 60)} % 100 >= {composed} THEN 'reframed' WHEN {d.draw(seed, key, 61)} % 100 < {think} THEN 'thinking' WHEN {d.draw(seed, key, 61)} % 100 < {think + math} THEN 'math' ELSE 'talk' END"
+    role = branch_sql(d, seed, composed, think, math)
     line_key = "(cast(conv_id as string) || ':' || cast(place as string))"
     rough = dialogue.roughened(d, seed + 1, line_key, "body")
     newline = "'\\n'" if d.spark else "chr(10)"
-    social = lambda at, counter: f"SELECT conv_id, {at} + s AS place, CASE WHEN s = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN s = 0 THEN {dialogue.social_exchange(d, seed + 2, f'(cast(conv_id as string) || {dialogue.quoted(str(at))})')[0]} ELSE {dialogue.social_exchange(d, seed + 2, f'(cast(conv_id as string) || {dialogue.quoted(str(at))})')[1]} END AS body, branch FROM branches {d.lateral('1', 's')} WHERE branch = 'reframed' AND {d.draw(seed, key, counter)} % 100 < 18"
+    social = lambda at, counter: f"SELECT conv_id, {at} + s AS place, CASE WHEN s = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN s = 0 THEN {dialogue.social_exchange(d, seed + 2, f'(cast(conv_id as string) || {dialogue.quoted(str(at))})')[0]} ELSE {dialogue.social_exchange(d, seed + 2, f'(cast(conv_id as string) || {dialogue.quoted(str(at))})')[1]} END AS body, branch{unformed} FROM branches {d.lateral('1', 's')} WHERE branch = 'reframed' AND {d.draw(seed, key, counter)} % 100 < 18"
     bot = f"CASE WHEN branch = 'thinking' THEN thought || '{THINK}' || reply ELSE plain END" if thinking_on else "plain"
-    exchange = lambda relation, which: f"SELECT t.conv_id, 2 * exchange + s AS place, CASE WHEN s = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN s = 0 THEN prompt ELSE {bot} END AS body, branch FROM {relation} t JOIN branches b ON b.conv_id = t.conv_id {d.lateral('1', 's')} WHERE branch {which}"
+    if turns:
+        form = f"CASE WHEN s = 0 AND branch = 'thinking' THEN length('{USER}' || prompt || '{END}\\n{BOT}' || thought || '{THINK}' || reply || '{END}') END"
+        reframed, unformed = f"{role} = 'reframed'", ", cast(null as int) AS form"
+        exchanges = f"SELECT conv_id, 2 * exchange + s AS place, CASE WHEN s = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN s = 0 THEN prompt ELSE {bot} END AS body, branch, {form} AS form FROM (SELECT *, {role} AS branch FROM turns) t {d.lateral('1', 's')}"
+        # Forms are joined by newlines.
+        sizes, size = ", sum(form) + count(form) - 1 AS form", "form"
+        forms, joined = "", "chunk c"
+    else:
+        reframed, unformed = "conv_id IN (SELECT conv_id FROM branches WHERE branch = 'reframed')", ""
+        exchanges = f"SELECT t.conv_id, 2 * exchange + s AS place, CASE WHEN s = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN s = 0 THEN prompt ELSE {bot} END AS body, branch FROM turns t JOIN branches b ON b.conv_id = t.conv_id {d.lateral('1', 's')} WHERE branch IN ('thinking', 'talk')"
+        sizes, size = "", "length(thinking)"
+        forms, joined = f",\n{forms_cte(d)}", "chunk c LEFT JOIN forms f ON f.conv_id = c.conv_id"
     return f"""WITH blocks AS (SELECT * FROM {blocks}), {made},
 branches AS (SELECT conv_id, {role} AS branch FROM keys),
 sums_drawn AS (SELECT conv_id, u, {', '.join(held(d, seed + 4, "(cast(conv_id as string) || ':m' || cast(u as string))", [*range(14), 63, 64, 65]))} FROM (SELECT conv_id, {d.weighted(seed, key, 62, [60, 30, 10])} AS more FROM branches WHERE branch = 'math') m {d.lateral('more', 'u')}),
 sums_given AS (SELECT *, {', '.join(operands(h, 0, ''))} FROM sums_drawn),
 worked AS (SELECT conv_id, u, {worded(h, 0, '')} AS question, {working(h, 0, '')} AS working, CASE WHEN {how_many(h)} > 1 AND d63 % 100 < 35 THEN {h.choice(0, '', 64, AGAIN)} END AS again, {h.choice(0, '', 65, AGAIN_LEAD)} || {working(h, 0, '', 1)} AS other_way FROM sums_given),
-math_lines AS (SELECT conv_id, 4 * u + s AS place, CASE WHEN s % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, CASE s WHEN 0 THEN question WHEN 1 THEN working WHEN 2 THEN again ELSE other_way END AS body, 'math' AS branch FROM worked {d.lateral('(CASE WHEN again IS NULL THEN 1 ELSE 3 END)', 's')}),
-framed AS (SELECT conv_id, place, role, {dialogue.reframed_line(d, seed + 6, 'conv_id', 'place', 'role', 'body')} AS body, 'reframed' AS branch FROM blocks WHERE conv_id IN (SELECT conv_id FROM branches WHERE branch = 'reframed')),
-every AS (SELECT * FROM framed UNION ALL SELECT * FROM math_lines UNION ALL {social(-2, 66)} UNION ALL {social(1000000, 67)} UNION ALL {exchange('turns', "IN ('thinking', 'talk')")}),
-rough AS (SELECT conv_id, place, branch, CASE WHEN role = 'user' THEN '{USER}' || {rough} ELSE '{BOT}' || body END || '{END}' AS line FROM every),
-chunk AS (SELECT conv_id, branch, '{START}' || {newline} || {d.lines('place', 'line')} AS text FROM rough GROUP BY conv_id, branch),
-{forms_cte(d)}
-SELECT c.conv_id, branch, text, cast(greatest(length(text), CASE WHEN branch = 'thinking' THEN length(thinking) + 2 ELSE 0 END) + 1 as bigint) AS size FROM chunk c LEFT JOIN forms f ON f.conv_id = c.conv_id"""
+math_lines AS (SELECT conv_id, 4 * u + s AS place, CASE WHEN s % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, CASE s WHEN 0 THEN question WHEN 1 THEN working WHEN 2 THEN again ELSE other_way END AS body, 'math' AS branch{unformed} FROM worked {d.lateral('(CASE WHEN again IS NULL THEN 1 ELSE 3 END)', 's')}),
+framed AS (SELECT conv_id, place, role, {dialogue.reframed_line(d, seed + 6, 'conv_id', 'place', 'role', 'body')} AS body, 'reframed' AS branch{unformed} FROM blocks WHERE {reframed}),
+every AS (SELECT * FROM framed UNION ALL SELECT * FROM math_lines UNION ALL {social(-2, 66)} UNION ALL {social(1000000, 67)} UNION ALL {exchanges}),
+rough AS (SELECT conv_id, place, branch{', form' if turns else ''}, CASE WHEN role = 'user' THEN '{USER}' || {rough} ELSE '{BOT}' || body END || '{END}' AS line FROM every),
+chunk AS (SELECT conv_id, branch, '{START}' || {newline} || {d.lines('place', 'line')} AS text{sizes} FROM rough GROUP BY conv_id, branch){forms}
+SELECT c.conv_id, branch, text, cast(greatest(length(text), CASE WHEN branch = 'thinking' THEN {size} + 2 ELSE 0 END) + 1 as bigint) AS size FROM {joined}"""
+
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df over as many partitions as shuffles have, or the cluster cores: short rows that long ones are made of would else be gathered in a few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
 
-def mixture(blocks: DataFrame, seed: int, what: str = "*", **shares: int) -> DataFrame:
-    """mixture_sql on the blocks; the generated conversations are stored first, as three parts of it read them."""
-    turns = staged(conversations(blocks.sparkSession, blocks.select("conv_id"), seed + 3, 35), "turns")
-    return over(turns, blocks, lambda t, b: f"SELECT {what} FROM ({mixture_sql(SPARK, b, seed, **shares, turns=t)}) m")
+
+def mixture(blocks: DataFrame, seed: int, keys: DataFrame | None = None, **shares: int) -> DataFrame:
+    """mixture_sql on the blocks (keys: their conv_id, each once). Of the conversations only those are generated that it asks for; they are stored first, to
+    be dealt out anew with the rest."""
+    keys = dealt(blocks.select("conv_id").distinct() if keys is None else keys, "conv_id")
+    role = branch_sql(SPARK, seed, **{k: v for k, v in shares.items() if k != "thinking_on"})
+    turns = staged(conversations(blocks.sparkSession, keys.where(f"conv_id IS NOT NULL AND {role} IN ('thinking', 'talk')"), seed + 3, 35), "turns")
+    return over(keys, turns, blocks, lambda k, t, b: mixture_sql(SPARK, b, seed, **shares, keys=k, turns=t))
 
 
 def _passed(blocks: DataFrame, first: int, last: int) -> DataFrame:
-    """The blocks once for every pass from ``first`` to ``last``, under names of their own: conv_id/pass."""
+    """The blocks, or their keys, once for every pass from ``first`` to ``last``, under names of their own: conv_id/pass."""
     step = 4096  # two steps, so that no row holds a list of all passes
     begun = blocks.withColumn("__from", F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step))))
     each = begun.withColumn("pass", F.explode(F.sequence("__from", F.least(F.col("__from") + step - 1, F.lit(last)))))
-    return each.select(pass_key(F.col("conv_id"), F.col("pass")).alias("conv_id"), "place", "role", "body")
+    return each.select(pass_key(F.col("conv_id"), F.col("pass")).alias("conv_id"), *[c for c in blocks.columns if c != "conv_id"])
 
 
 def pass_key(conv_id: Column, number: Column) -> Column:
@@ -183,34 +210,34 @@ def fills(blocks: DataFrame, targets: list[int], seed: int, **shares: int) -> Da
     """Corpora of the target sizes: target, pass, conv_id, branch, size, text; in the order of pass, then draw(seed, conv_id), then conv_id.
 
     The blocks are mixed again and again (mixture_sql, with ``shares``), each pass in an order and with draws of its own, until a target is reached; the
-    conversation that crosses it is kept, whole. Sizes come first, of as many passes as the mean so far asks for: totals of passes, a running sum over
-    them, and running sums inside the passes that a target ends in. Texts are made only of what is kept, once for all targets, and no
-    row waits for another: a pass' conversations depend on their names alone. Without blocks, or for targets of 0, there is nothing.
+    conversation that crosses it is kept, whole. As many passes as the mean so far asks for are made and stored, each text once for all targets. Totals of
+    passes, a running sum over them, and running sums inside the passes that a target ends in tell each target's last conversation; the stored texts are
+    then read up to it, without a join. No row waits for another: a pass' conversations depend on their names alone. Without blocks, or for targets of 0,
+    there is nothing.
     """
-    mixed = lambda rows, what: mixture(rows, seed, what, **shares)
-    most, reached, passes, sizes = max(targets, default=0), 0, 0, None
+    most, reached, passes, made = max(targets, default=0), 0, 0, None
+    if most > 0:
+        blocks = staged(dealt(blocks.select("conv_id", "place", "role", "body")), "blocks")
+        keys = staged(dealt(blocks.select("conv_id").distinct(), "conv_id"), "keys")
     while reached < most:
         more = 1 if not passes else -(-(most - reached) * passes * 21 // (20 * reached))  # a twentieth more than the mean asks for
-        new = mixed(_passed(blocks, passes, passes + more - 1), "conv_id, size").select("conv_id", "size", pass_of().alias("pass"))
-        new = staged(new, "sizes")
+        span = passes, passes + more - 1
+        new = mixture(_passed(blocks, *span), seed, _passed(keys, *span), **shares)
+        new = staged(new.select("conv_id", "branch", "size", "text", pass_of().alias("pass"), draw(seed, F.col("conv_id"), 0).alias("__draw")), "texts")
         got = new.agg(F.sum("size")).first()[0]
         if not got:
             break
-        sizes, reached, passes = new if sizes is None else sizes.union(new), reached + got, passes + more
-    if sizes is None:
-        return mixed(blocks.limit(0), "cast(0 as long) as target, cast(0 as long) as pass, cast(conv_id as string) as conv_id, branch, size, text")
-    summed = staged(prefix_sums(sizes.groupBy("pass").agg(F.sum("size").alias("total")), [F.col("pass")], F.col("total"), "before"), "passes")
+        made, reached, passes = new if made is None else made.union(new), reached + got, passes + more
+    if made is None:
+        return blocks.sparkSession.createDataFrame([], "target long, pass long, conv_id string, branch string, size long, text string")
+    summed = staged(prefix_sums(made.groupBy("pass").agg(F.sum("size").alias("total")), [F.col("pass")], F.col("total"), "before"), "passes")
     ends = [(t, *summed.where(F.col("before") < t).orderBy(F.desc("pass")).select("pass", "before").first()) for t in targets if t > 0]
-    ended = sizes.where(F.col("pass").isin(sorted({e[1] for e in ends}))).withColumn("__draw", draw(seed, F.col("conv_id"), 0))
+    ended = made.where(F.col("pass").isin(sorted({e[1] for e in ends}))).select("pass", "__draw", "conv_id", "size")
     # Running sums go over all passes that a target ends in; what the earlier ones of them hold is taken off again.
-    inside = prefix_sums(ended, [F.col("pass"), F.col("__draw"), F.col("conv_id")], F.col("size"), "inside")
     totals = ended.groupBy("pass").agg(F.sum("size").alias("n")).collect()  # a row a target at most
-    earlier = F.coalesce(*[F.when(F.col("pass") == r["pass"], F.lit(sum(x["n"] for x in totals if x["pass"] < r["pass"]))) for r in totals])
-    cut = staged(inside.select("conv_id", (F.col("inside") - earlier).alias("inside")), "cut")
-    last = max(e[1] for e in ends)
-    whole = _passed(blocks, 0, last)
-    beyond = cut.where((pass_of() == last) & (F.col("inside") >= max(t - before for t, at, before in ends if at == last)))
-    text = mixed(whole.join(beyond.select("conv_id"), "conv_id", "left_anti"), "conv_id, branch, size, text")
-    placed = text.join(cut, "conv_id", "left").withColumn("pass", pass_of())
-    kept = F.array(*[F.struct(F.lit(t).cast("long").alias("target"), ((F.col("pass") < at) | ((F.col("pass") == at) & (F.col("inside") + before < t))).alias("kept")) for t, at, before in ends])
-    return placed.select("pass", "conv_id", "branch", "size", "text", F.explode(F.filter(kept, lambda x: x["kept"])).alias("k")).select("k.target", "pass", "conv_id", "branch", "size", "text")
+    inside = prefix_sums(ended, [F.col("pass"), F.col("__draw"), F.col("conv_id")], F.col("size"), "inside")
+    room = [(F.col("pass") == at) & (F.col("inside") < t - before + sum(x["n"] for x in totals if x["pass"] < at)) for t, at, before in ends]
+    lasts = inside.agg(*[F.max(F.when(fits, F.struct("__draw", "conv_id"))).alias(f"last{i}") for i, fits in enumerate(room)]).first()
+    upto = [(F.col("pass") < at) | ((F.col("pass") == at) & ((F.col("__draw") < last[0]) | ((F.col("__draw") == last[0]) & (F.col("conv_id") <= last[1])))) for (_, at, _), last in zip(ends, lasts)]
+    kept = F.array(*[F.struct(F.lit(t).cast("long").alias("target"), fits.alias("kept")) for (t, _, _), fits in zip(ends, upto)])
+    return made.select("pass", "conv_id", "branch", "size", "text", F.explode(F.filter(kept, lambda x: x["kept"])).alias("k")).select("k.target", "pass", "conv_id", "branch", "size", "text")
