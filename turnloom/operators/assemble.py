@@ -48,8 +48,18 @@ def worded(d: Dialect, seed: int, key: str) -> str:
     return f"replace({d.choice(seed, key, 12, WORDING)}, '{{p}}', {shown})"
 
 
-def working(d: Dialect, seed: int, key: str, further: int = 0) -> str:
-    """One of the workings of l op r that apply, or its plain result if none does; ``further`` counts on from the drawn one."""
+def listed(d: Dialect) -> str:
+    """In Spark, the workings of l op r that apply, as a column ``ways``: a plan that asks for them several times states them once."""
+    return "CASE op " + " ".join(f"WHEN {i} THEN array_compact(array({', '.join(Workings(d).methods(op).values())}))" for i, op in enumerate(SIGNS)) + " END AS ways"
+
+
+def working(d: Dialect, seed: int, key: str, further: int = 0, ways: str | None = None) -> str:
+    """One of the workings of l op r that apply, or its plain result if none does; ``further`` counts on from the drawn one. ways: the column, if they are listed."""
+    if ways:
+        at = f"get({ways}, cast(({d.draw(seed, key, 11)} + {further}) % greatest(size({ways}), 1) as int))"
+        signs = "CASE op " + " ".join(f"WHEN {i} THEN ' {s} '" for i, s in enumerate(SIGNS)) + " END"
+        result = f"CASE op WHEN 0 THEN l + r WHEN 1 THEN l - r WHEN 2 THEN l * r ELSE {d.div('l', 'r')} END"
+        return f"coalesce({at}, {d.text('l')} || {signs} || {d.text('r')} || ' = ' || {d.text(result)})"
     ways = [d.one_of(list(Workings(d).methods(op).values()), f"({d.draw(seed, key, 11)} + {further})") for op in SIGNS]
     results = ["l + r", "l - r", "l * r", d.div("l", "r")]
     plain = [f"{d.text('l')} || ' {s} ' || {d.text('r')} || ' = ' || {d.text(v)}" for s, v in zip(SIGNS, results)]
@@ -69,12 +79,12 @@ def total(d: Dialect, seed: int, key: str) -> str:
     return f"CASE op WHEN 0 THEN {short('(l + r)')} WHEN 1 THEN {short('(l - r)')} WHEN 2 THEN {short('(l * r)')} ELSE {rest} END"
 
 
-def sum_columns(d: Dialect, seed: int, key: str) -> list[str]:
-    """question, working, answer of a sum turn over the columns op, l, r; three in ten are of another kind. Draws 1 to 3 and 10 to 15."""
+def sum_columns(d: Dialect, seed: int, key: str, ways: str | None = None) -> list[str]:
+    """question, working, answer of a sum turn over the columns op, l, r (and ways, if listed); three in ten are of another kind. Draws 1 to 3 and 10 to 15."""
     kinds = list(OTHERS)
     parts = {k: other_problem(d, k, seed, key) for k in kinds}
     other = lambda i: f"CASE {d.draw(seed, key, 15)} % {len(kinds)} " + " ".join(f"WHEN {n} THEN {parts[k][i]}" for n, k in enumerate(kinds)) + " END"
-    plain = (worded(d, seed, key), working(d, seed, key), total(d, seed, key))
+    plain = (worded(d, seed, key), working(d, seed, key, ways=ways), total(d, seed, key))
     return [f"CASE WHEN {d.draw(seed, key, 14)} % 10 < 3 THEN {other(i)} ELSE {plain[i]} END AS {name}" for i, name in enumerate(("question", "working", "answer"))]
 
 
@@ -91,6 +101,7 @@ def conversation_ctes(d: Dialect, keys: str, seed: int, sums: int) -> str:
         f"SELECT conv_id, {at} AS u, 0 AS i, {d.choice(seed, own, counter + 10, dialogue.SOCIAL[pool][0])} AS prompt, {dialogue.quoted(dialogue.THOUGHTS['social'])} AS thought, {d.choice(seed, own, counter + 20, dialogue.SOCIAL[pool][1])} AS reply, cast(null as {'string' if d.spark else 'varchar'}) AS plain FROM keys WHERE {d.draw(seed, own, counter)} % 100 < {share}"
         for counter, share, pool, at in edge.values()
     )
+    ways, given = ("ways", f"(SELECT *, {listed(h)} FROM given) w") if d.spark else (None, "given")
     units = "n - 1" if d.spark else "19"  # a unit is a row at least, so the others would be cut
     length = f"(2 + least({d.draw(seed, own, 44)} % 19, {d.draw(seed, own, 45)} % 19 + 3))"
     return f"""keys AS (SELECT DISTINCT conv_id FROM {keys}),
@@ -100,7 +111,7 @@ cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER B
 drawn AS (SELECT conv_id, u, i, kind, {', '.join(held(d, seed, unit, range(21)))} FROM cut),
 talk AS (SELECT conv_id, u, i, {pick(0)} AS prompt, {pick(2)} AS thought, {pick(1)} AS reply, cast(null as {'string' if d.spark else 'varchar'}) AS plain FROM drawn WHERE kind <> 'sum'),
 given AS (SELECT *, {', '.join(operands(h, seed, unit))} FROM drawn WHERE kind = 'sum'),
-summed AS (SELECT conv_id, u, i, {', '.join(sum_columns(h, seed, unit))} FROM given),
+summed AS (SELECT conv_id, u, i, {', '.join(sum_columns(h, seed, unit, ways))} FROM {given}),
 said AS (SELECT * FROM talk UNION ALL SELECT conv_id, u, i, question, working, answer, working FROM summed UNION ALL {ends}),
 turns AS (SELECT conv_id, cast(row_number() OVER (PARTITION BY conv_id ORDER BY u, i) - 1 as int) AS exchange, prompt, thought, reply, coalesce(plain, reply) AS plain FROM said)"""
 
@@ -154,19 +165,21 @@ def mixture_sql(d: Dialect, blocks: str, seed: int, composed: int, think: int, m
         form = f"CASE WHEN s = 0 AND branch = 'thinking' THEN length('{USER}' || prompt || '{END}\\n{BOT}' || thought || '{THINK}' || reply || '{END}') END"
         reframed, unformed = f"{role} = 'reframed'", ", cast(null as int) AS form"
         exchanges = f"SELECT conv_id, 2 * exchange + s AS place, CASE WHEN s = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN s = 0 THEN prompt ELSE {bot} END AS body, branch, {form} AS form FROM (SELECT *, {role} AS branch FROM turns) t {d.lateral('1', 's')}"
+        ways, several, given = "ways", "size(ways)", f"(SELECT *, {listed(h)} FROM sums_given) w"
         # Forms are joined by newlines.
         sizes, size = ", sum(form) + count(form) - 1 AS form", "form"
         forms, joined = "", "chunk c"
     else:
         reframed, unformed = "conv_id IN (SELECT conv_id FROM branches WHERE branch = 'reframed')", ""
         exchanges = f"SELECT t.conv_id, 2 * exchange + s AS place, CASE WHEN s = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN s = 0 THEN prompt ELSE {bot} END AS body, branch FROM turns t JOIN branches b ON b.conv_id = t.conv_id {d.lateral('1', 's')} WHERE branch IN ('thinking', 'talk')"
+        ways, several, given = None, how_many(h), "sums_given"
         sizes, size = "", "length(thinking)"
         forms, joined = f",\n{forms_cte(d)}", "chunk c LEFT JOIN forms f ON f.conv_id = c.conv_id"
     return f"""WITH blocks AS (SELECT * FROM {blocks}), {made},
 branches AS (SELECT conv_id, {role} AS branch FROM keys),
 sums_drawn AS (SELECT conv_id, u, {', '.join(held(d, seed + 4, "(cast(conv_id as string) || ':m' || cast(u as string))", [*range(14), 63, 64, 65]))} FROM (SELECT conv_id, {d.weighted(seed, key, 62, [60, 30, 10])} AS more FROM branches WHERE branch = 'math') m {d.lateral('more', 'u')}),
 sums_given AS (SELECT *, {', '.join(operands(h, 0, ''))} FROM sums_drawn),
-worked AS (SELECT conv_id, u, {worded(h, 0, '')} AS question, {working(h, 0, '')} AS working, CASE WHEN {how_many(h)} > 1 AND d63 % 100 < 35 THEN {h.choice(0, '', 64, AGAIN)} END AS again, {h.choice(0, '', 65, AGAIN_LEAD)} || {working(h, 0, '', 1)} AS other_way FROM sums_given),
+worked AS (SELECT conv_id, u, {worded(h, 0, '')} AS question, {working(h, 0, '', ways=ways)} AS working, CASE WHEN {several} > 1 AND d63 % 100 < 35 THEN {h.choice(0, '', 64, AGAIN)} END AS again, {h.choice(0, '', 65, AGAIN_LEAD)} || {working(h, 0, '', 1, ways)} AS other_way FROM {given}),
 math_lines AS (SELECT conv_id, 4 * u + s AS place, CASE WHEN s % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, CASE s WHEN 0 THEN question WHEN 1 THEN working WHEN 2 THEN again ELSE other_way END AS body, 'math' AS branch{unformed} FROM worked {d.lateral('(CASE WHEN again IS NULL THEN 1 ELSE 3 END)', 's')}),
 framed AS (SELECT conv_id, place, role, {dialogue.reframed_line(d, seed + 6, 'conv_id', 'place', 'role', 'body')} AS body, 'reframed' AS branch{unformed} FROM blocks WHERE {reframed}),
 every AS (SELECT * FROM framed UNION ALL SELECT * FROM math_lines UNION ALL {social(-2, 66)} UNION ALL {social(1000000, 67)} UNION ALL {exchanges}),
