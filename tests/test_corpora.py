@@ -261,3 +261,26 @@ def test_lessons_of_one_second_are_told_apart(spark, tmp_path):
     con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
     want = con.execute(ORACLE_SQL["session_stream"]).fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want) and sorted(r["lessons"] for r in got.collect()) == [1, 4]
+
+
+def test_sessions_are_told_to_the_microsecond(spark, tmp_path):
+    """A pause of the gap joins, one a part of a millisecond longer doesn't, and a session's ends are whole; before, the stream cut times to milliseconds."""
+    times = ["10:00:00.000100", "10:30:00.000100", "11:00:00.000500", "11:30:00.000500", "11:30:00.000500"]
+    lines = [json.dumps({"when": f"2024-01-03T{t}Z", "question": "q", "answer": a}) for t in times for a in "ab"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    df.repartition(3).write.text(f"{tmp_path}/in")
+    got = sessions.run_once(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", F.col("answer"), 1800, "3000 days", close=True)
+    want = sessions.batch(lessons.records(df), F.col("answer"), 1800)
+    columns = ["learner", "began", "ended", *sessions.FIGURES]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert sorted((r["learner"], f"{r['began']:%T.%f}", f"{r['ended']:%T.%f}", r["lessons"]) for r in got.collect()) == [(a, times[i], times[i + 1], 2) for a in "ab" for i in (0, 2)]
+
+
+def test_sessions_are_folded_without_python(spark, tmp_path):
+    """No learner's rows or session's digests are held in a Python worker; before, each lesson was compared with all that its learner had open."""
+    (tmp_path / "in").mkdir()
+    stream = sessions.stream(spark.readStream.format("text").load(f"{tmp_path}/in"), F.col("answer"), 1800, "2 days")
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert stream.isStreaming and "session_window" in plan and "Python" not in plan and "Pandas" not in plan and "UDF" not in plan
+    with pytest.raises(ValueError, match="above 0"):
+        sessions.stream(spark.readStream.format("text").load(f"{tmp_path}/in"), F.col("answer"), 0, "2 days")

@@ -1,26 +1,24 @@
 """Lesson sessions as a keyed stream: one row for each learner's run of lessons without a longer pause.
 
-State is a learner's open sessions, each with its figures and the digests of its records. A lesson joins every session that lies within ``gap`` of it, which
-may make one of several, so records may come in any order; a record met again (the same in all its fields) while its session is open counts
-once. A session is told, and forgotten, when the watermark (``late`` behind the newest record) has passed its end by the gap: an event-time timer is set for
-that. Records older than the watermark are dropped, by Spark. So any split into batches gives the same rows as the batch form, as long as
-no record is later than ``late``. A learner's records of one batch meet in one task, which folds them; the batch, not the learner, bounds its memory.
+Two states follow each other, both in RocksDB: the digests of the records that the watermark (``late`` behind the newest record) has not passed, and each
+learner's open session windows with their figures. A record met again (the same in all its fields) counts once; a lesson joins every session that lies within
+``gap`` of it, which may make one of several, so records may come in any order. A session is told, and forgotten, when the watermark has passed its end by the gap.
+Records older than the watermark are dropped, by Spark. So any split into batches gives the same rows as the batch form, as long as no record is later
+than ``late``. A learner's records of one batch meet in one task, which sorts and folds them; neither they nor a session's digests are held at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from turnloom.operators import lessons
 
 FIGURES = ("lessons", "kept", "undone", "learned", "generalized", "drifted", "forgot")
 SESSION = "learner string, began timestamp, ended timestamp, " + ", ".join(f"{f} long" for f in FIGURES)
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def figures(log: DataFrame, learner: Column) -> DataFrame:
     """learner, at, name (of the record), and a number for each of FIGURES."""
     undone = F.coalesce("rolled_back", F.lit(False))
@@ -32,76 +30,26 @@ def figures(log: DataFrame, learner: Column) -> DataFrame:
     return log.where(at.isNotNull()).select(learner.alias("learner"), at.alias("at"), name.alias("name"), *[v.alias(f) for v, f in zip(values, FIGURES)])
 
 
-class Sessions(StatefulProcessor):
-    def __init__(self, gap_ms: int):
-        self.gap = gap_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", "low long, high long, names string, " + ", ".join(f"{f} long" for f in FIGURES))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [list(s) for s in self.open.get()] if self.open.exists() else []
-        spans = [(s[0], s[1], set(s[2].split(",")), s[3:]) for s in held]
-        for part in rows:
-            at = part["at"].astype("datetime64[ms]").astype("int64").tolist()
-            for t, name, values in zip(at, part["name"].astype(str).tolist(), part[list(FIGURES)].values.tolist()):
-                if not any(s[0] <= t <= s[1] and name in s[2] for s in spans):
-                    spans.append((t, t, {name}, values))
-            spans = self._joined(spans)
-        self.open.put([(low, high, ",".join(sorted(names)), *map(int, v)) for low, high, names, v in spans])
-        wanted = {s[1] + self.gap + 1 for s in spans}
-        for t in set(self.handle.listTimers()) - wanted:
-            self.handle.deleteTimer(t)
-        for t in wanted:
-            self.handle.registerTimer(t)
-        yield self._told(key, [])
-
-    def _joined(self, spans: list[tuple]) -> list[tuple]:
-        out: list[tuple] = []
-        for low, high, names, values in sorted(spans, key=lambda s: s[:2]):
-            if out and low - out[-1][1] <= self.gap:
-                a, b, known, sums = out[-1]
-                if low == high and names <= known and len(names) == 1 and values[0] == 1:
-                    continue  # a record met again
-                out[-1] = (a, max(b, high), known | names, [x + y for x, y in zip(sums, values)])
-            else:
-                out.append((low, high, names, values))
-        return out
-
-    def _told(self, key, spans: list[tuple]) -> pd.DataFrame:
-        rows = [(key[0], pd.Timestamp(s[0], unit="ms"), pd.Timestamp(s[1], unit="ms"), *s[2:]) for s in spans]
-        return pd.DataFrame(rows, columns=["learner", "began", "ended", *FIGURES])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        held = list(self.open.get()) if self.open.exists() else []
-        over = [s for s in held if s[1] + self.gap + 1 <= now]
-        left = [tuple(s) for s in held if s[1] + self.gap + 1 > now]
-        if left:
-            self.open.put(left)
-        else:
-            self.open.clear()
-        yield self._told(key, [(s[0], s[1], *s[3:]) for s in over])
-
-    def close(self) -> None:
-        pass
-
-
 def stream(lines: DataFrame, learner: Column, gap: int, late: str) -> DataFrame:
-    """Streaming (value) lines of a lesson log to sessions; gap in seconds."""
+    """Streaming (value) lines of a lesson log to sessions; gap in seconds, above 0."""
+    if gap <= 0:
+        raise ValueError(f"a gap of {gap} seconds: session windows need one above 0")
     lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    told = figures(lessons.records(lines), learner).withWatermark("at", late)
-    return told.groupBy("learner").transformWithStateInPandas(Sessions(gap * 1000), SESSION, "append", "eventTime")
+    once = figures(lessons.records(lines), learner).withWatermark("at", late).dropDuplicates(["learner", "at", "name"])
+    return once.groupBy("learner", F.session_window("at", f"{gap} seconds")).agg(*_told()).drop("session_window")
+
+
+def _told() -> list[Column]:
+    return [F.min("at").alias("began"), F.max("at").alias("ended"), *[F.sum(f).alias(f) for f in FIGURES]]
 
 
 def batch(log: DataFrame, learner: Column, gap: int) -> DataFrame:
     """The same rows of a whole log (lessons.records): runs of each learner's lessons, repeated records once."""
     once = figures(log, learner).dropDuplicates(["learner", "at", "name"])
     by = Window.partitionBy("learner").orderBy("at", "name")
-    begins = F.coalesce(F.unix_millis("at") - F.unix_millis(F.lag("at").over(by)) > gap * 1000, F.lit(True))
+    begins = F.coalesce(F.unix_micros("at") - F.unix_micros(F.lag("at").over(by)) > gap * 1_000_000, F.lit(True))
     run = F.sum(begins.cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return once.withColumn("run", run).groupBy("learner", "run").agg(F.min("at").alias("began"), F.max("at").alias("ended"), *[F.sum(f).alias(f) for f in FIGURES]).drop("run")
+    return once.withColumn("run", run).groupBy("learner", "run").agg(*_told()).drop("run")
 
 
 def run_once(spark: SparkSession, source: str, target: str, state: str, learner: Column, gap: int, late: str, files: int = 1, close: bool = False) -> DataFrame:
