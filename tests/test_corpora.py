@@ -284,3 +284,19 @@ def test_sessions_are_folded_without_python(spark, tmp_path):
     assert stream.isStreaming and "session_window" in plan and "Python" not in plan and "Pandas" not in plan and "UDF" not in plan
     with pytest.raises(ValueError, match="above 0"):
         sessions.stream(spark.readStream.format("text").load(f"{tmp_path}/in"), F.col("answer"), 0, "2 days")
+
+
+def test_session_stream_takes_two_batches(spark, tmp_path, monkeypatch):
+    """However many files the log has; before, two files a batch, and each batch opens every partition's state."""
+    from turnloom import session
+    from turnloom.plans.lesson_queries import QUERIES
+
+    spark.range(1, 60).selectExpr("id AS event_id", "id % 9 AS user_id", "'click' AS event_type", "double(id) AS value", "timestamp'2024-01-05 10:00:00' + make_interval(0, 0, 0, 0, id) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    frame = type(spark.range(1))
+    plain = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *by: plain(self, 12 if n == 4 else n, *by))
+    found = QUERIES["session_stream"](spark, str(tmp_path))
+    assert found.agg({"lessons": "sum"}).first()[0] == 58  # event 50's line is cut
+    folder = next(x for x in reversed(session._staged) if "turnloom-sessions-" in x).removeprefix("file:").replace("//", "/", 1)
+    with_rows = [x for x in spark.read.text(f"file:{folder}/state/sources/0").where("value like '{%'").selectExpr("get_json_object(value, '$.batchId') AS b").distinct().collect()]
+    assert len(with_rows) == 3  # two, and the log's end

@@ -181,9 +181,10 @@ SELECT learner, epoch_ms(min(ts))::BIGINT AS began, epoch_ms(max(ts))::BIGINT AS
   count(*) FILTER (event_type <> 'error' AND value > 20)::BIGINT AS learned, count(*) FILTER (event_type <> 'error' AND value > 60)::BIGINT AS generalized,
   count(*) FILTER (value / 400 > 0.15::DOUBLE)::BIGINT AS drifted, count(*) FILTER (value / 400 <= 0.15::DOUBLE AND 6 - checks > 1)::BIGINT AS forgot FROM r GROUP BY learner, run""")
 def session_stream(spark, d):
-    """Sessions of the lesson log as a stream of files in no order of time, a learner being who is asked about."""
+    """Sessions of the lesson log as a stream of files in no order of time, half of them a batch, a learner being who is asked about."""
     folder = scratch_folder(spark, "sessions")
     lines = _log_lines(spark, d, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX")).select("value")
     lines.repartition(4, F.crc32("value")).write.text(f"{folder}/in")
-    found = sessions.run_once(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", F.col("answer"), _GAP, "3650 days", files=2, close=True)
+    files = len(spark.read.text(f"{folder}/in").inputFiles())
+    found = sessions.run_once(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", F.col("answer"), _GAP, "3650 days", files=max(1, (files + 1) // 2), close=True)
     return found.select("learner", F.unix_millis("began").alias("began"), F.unix_millis("ended").alias("ended"), *sessions.FIGURES)
